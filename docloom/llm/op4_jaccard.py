@@ -72,7 +72,7 @@ def _grouped(s: np.ndarray, heavy: np.ndarray, groups: int, t: int) -> np.ndarra
     order = np.argsort(g, kind="stable")
     g, inner, heavy = g[order], inner[order], heavy[order]
     first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    token = mixed(np.add.reduceat(mixed(inner), first) + np.uint64(groups) * np.uint64(0x9E3779B97F4A7C15) + g[first].astype(np.uint64))
+    token = mixed(np.add.reduceat(mixed(inner), first) + np.uint64(groups * 0x9E3779B97F4A7C15 % (1 << 64)) + g[first].astype(np.uint64))
     n, light = np.diff(np.append(first, len(g))), ~np.logical_and.reduceat(heavy, first)
     return token[np.lexsort((token, -n, ~light))[: t + 1]]
 
@@ -343,5 +343,12 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) of one document a component, the one with the smallest id; rows without an id stay."""
+    keep = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

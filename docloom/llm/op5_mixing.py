@@ -101,5 +101,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return last.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, source, text, ...), each as often as the mix takes it."""
+    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies")).distinct()
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
