@@ -27,9 +27,9 @@ pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
 ), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-reach(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, p.b FROM reach r JOIN both_ways p ON p.a = r.at)
+reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, p.b FROM reach r JOIN both_ways p ON p.a = r.node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id
-FROM sh s JOIN (SELECT doc_id, min(at) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
+FROM sh s JOIN (SELECT doc_id, min(node) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
 """,
     "op10_embeddings": """
 WITH RECURSIVE v AS (
@@ -38,8 +38,8 @@ WITH RECURSIVE v AS (
   SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98
-), reach(vec_id, at) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.at)
+), reach(vec_id, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.node)
 SELECT e.vec_id, CAST((SELECT count(*) FROM pairs p WHERE p.a = e.vec_id) AS BIGINT) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
-FROM embeddings e JOIN (SELECT vec_id, min(at) AS c FROM reach GROUP BY vec_id) c USING (vec_id)
+FROM embeddings e JOIN (SELECT vec_id, min(node) AS c FROM reach GROUP BY vec_id) c USING (vec_id)
 """,
 }
