@@ -14,7 +14,8 @@ piece and digest. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,54 +31,50 @@ SIZE = 1024
 END = 2
 #: Pieces of one length that one salt holds on average when all pieces have that length.
 SALT_ROWS = 256
-CACHE = 200_000
 
-_TOKENIZERS: dict[str, object] = {}
-_CACHES: dict[str, dict[str, bytes]] = {}
-_RUNS = re.compile(r"\s\s|\A\s")
+_TOKENIZERS: dict[str, Tokens] = {}
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+class Tokens:
+    """A byte-level BPE tokenizer file. Where its merges come in the order of their ids, texts of Latin-1 characters without an
+    added token go to a faster encoder of the same merges; all others, and other files, to the tokenizer itself."""
 
+    #: The pre-tokenizer's pattern, a fixed value of this family of tokenizers.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-def token_bytes(texts: list[str | None], path: str, cache_size: int = CACHE) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
-
-    The pre-tokenizer splits before every single space, so units between such spaces are encoded once and remembered;
-    texts where white space meets white space are encoded whole."""
-    if path not in _TOKENIZERS:
-        import os
-
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path], _CACHES[path] = Tokenizer.from_file(path), {}
-    t, known = _TOKENIZERS[path], _CACHES[path]
-    if len(known) > cache_size:
-        known.clear()
-    out: list[bytes] = []
-    units: list[list[str] | None] = []
-    fresh: dict[str, None] = {}
-    for text in texts:
-        text = text or ""
-        if _RUNS.search(text):
-            units.append(None)
-            out.append(_packed(t.encode(text, add_special_tokens=False).ids))
-            continue
-        first, *rest = text.split(" ")
-        u = [first, *(" " + x for x in rest)]
-        fresh.update(dict.fromkeys(x for x in u if x not in known))
-        units.append(u)
-        out.append(b"")
-    new = list(fresh)
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        known.update(zip(part, (_packed(e.ids) for e in t.encode_batch(part, add_special_tokens=False)), strict=True))
-    for k, u in enumerate(units):
-        if u is not None:
-            out[k] = b"".join([known[x] for x in u])
-    return out
+        self.slow, self.fast = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.added = [t["content"] for t in said.get("added_tokens", [])]
+        pre, model = said.get("pre_tokenizer") or {}, said["model"]
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not said.get("normalizer")
+        if plain and model.get("type") == "BPE" and not model.get("dropout"):
+            import tiktoken
+
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+            byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+            ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+            merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            made = [model["vocab"]["".join(m)] for m in merges]
+            if made == sorted(made) and len(ranks) == 256 + len(made):
+                self.fast = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if self.fast and len(text.encode("latin-1", "ignore")) == len(text) and not any(t in text for t in self.added):
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit integers; null: none."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokens(path)
+    return [_TOKENIZERS[path].encode(t or "") for t in texts]
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
