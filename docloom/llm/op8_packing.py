@@ -40,7 +40,7 @@ class Tokens:
     added token go to a faster encoder of the same merges; all others, and other files, to the tokenizer itself."""
 
     #: The pre-tokenizer's pattern, a fixed value of this family of tokenizers.
-    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
