@@ -41,7 +41,7 @@ from .components import components
 SHINGLE = 5
 NUM, DEN = 4, 5  # the least Jaccard similarity
 SMALL = 64
-DIMS = 64
+DIMS = 256
 HEAVY = 1e-3
 FLUSH = 2_000_000
 BLOCK = 400
@@ -62,8 +62,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMS).astype(np.uint32)
+def point(s: np.ndarray) -> bytes:
+    """Counts of DIMS groups, in one byte each if they fit, else in four."""
+    n = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=DIMS)
+    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+
+
+def counts_of(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if len(point) == DIMS else np.uint32).astype(np.int32)
 
 
 def _grouped(s: np.ndarray, heavy: np.ndarray, groups: int, t: int) -> np.ndarray:
@@ -98,8 +104,9 @@ def tokens_of(s: np.ndarray, heavy_list: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _heavy(docs: DataFrame) -> np.ndarray:
-    """Shingles in more than HEAVY of the documents, as far as tasks see them; it serves the order of tokens alone."""
+def _describe(docs: DataFrame) -> DataFrame:
+    """heavy, doc_id, n, fp1, fp2 (of the set), pt; rows with heavy hold a shingle in fp1 that many of a task's documents have, how many in n."""
+    names = ["heavy", "doc_id", "n", "fp1", "fp2", "pt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, 0
@@ -108,38 +115,33 @@ def _heavy(docs: DataFrame) -> np.ndarray:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             big = c >= max(2, HEAVY / 2 * n)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[big].view(np.int64)), pa.array(c[big])], ["h", "n"])
+            k = int(big.sum())
+            return pa.RecordBatch.from_arrays([pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(c[big]), pa.array(h[big].view(np.int64)), pa.array([0] * k, pa.int64()), pa.nulls(k, pa.binary())], names)
 
         for b in batches:
-            for text in strings(b["text"]):
-                held.append(shingles(text))
-                size, n = size + len(held[-1]), n + 1
+            sets = [shingles(t) for t in strings(b["text"])]
+            with np.errstate(over="ignore"):
+                fp = [[int(mixed(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (0x632BE59BD9B4E019, 0x8CB92BA72F3D8DD7)]
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(sets), pa.bool_()), b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[0], pa.int64()), pa.array(fp[1], pa.int64()), pa.array([point(s) for s in sets], pa.binary())], names)
+            held += sets
+            size, n = size + sum(map(len, sets)), n + len(sets)
             if size >= 2 * FLUSH:
                 yield flush()
                 size = n = 0
         if held:
             yield flush()
 
-    least = max(16.0, HEAVY * docs.count())
-    got = map_batches(docs.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").toArrow()
-    return np.sort(got["h"].to_numpy().view(np.uint64))
-
+    return map_batches(docs.select("doc_id", "text"), run, "heavy boolean, doc_id long, n long, fp1 long, fp2 long, pt binary")
 
-def _describe(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """doc_id, n, fp1, fp2 (of the set), tokens, pt."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in strings(b["text"])]
-            with np.errstate(over="ignore"):
-                fp = [[int(mixed(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (0x632BE59BD9B4E019, 0x8CB92BA72F3D8DD7)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[0], pa.int64()), pa.array(fp[1], pa.int64()), pa.array([tokens_of(s, sent.value).tobytes() for s in sets], pa.binary()), pa.array([point(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "fp1", "fp2", "tokens", "pt"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, fp1 long, fp2 long, tokens binary, pt binary")
+def _heavy(about: DataFrame) -> np.ndarray:
+    """Shingles in more than HEAVY of the documents, as far as tasks saw them; they only serve the order of tokens."""
+    least = max(16.0, HEAVY * about.where("not heavy").count())
+    got = about.where("heavy").groupBy("fp1").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp1").toArrow()
+    return np.sort(got["fp1"].to_numpy().view(np.uint64))
 
 
-def _deal(shards: int):
+def _deal(shards: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, size = [], [], 0
 
@@ -155,9 +157,9 @@ def _deal(shards: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "tokens", "docs"])
 
         for b in batches:
-            for rep, tokens in zip(b["rep"].to_pylist(), b["tokens"].to_pylist(), strict=True):
-                held.append(np.frombuffer(tokens, np.uint64))
-                ids.append(rep)
+            for doc, text in zip(b["doc_id"].to_pylist(), strings(b["text"]), strict=True):
+                held.append(tokens_of(shingles(text), heavy.value))
+                ids.append(doc)
                 size += len(held[-1])
             if size >= FLUSH:
                 yield flush()
@@ -169,7 +171,7 @@ def _deal(shards: int):
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed tokens of a shard to rows (cell, doc, size, pivot) of tokens that several sets have; equal memberships once."""
+    """The packed tokens of a shard to rows (cell, doc) of tokens that several documents have; equal memberships once."""
     tokens, docs = [], []
     for b in batches:
         tokens += [np.frombuffer(x, np.uint64) for x in b["tokens"].to_pylist()]
@@ -185,13 +187,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(first, len(t)))
     with np.errstate(over="ignore"):
         member = mixed(np.add.reduceat(mixed(d.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first) + size.astype(np.uint64))
-    pivot = np.minimum.reduceat(d, first)
     many = np.flatnonzero(size > 1)
     _, one = np.unique(member[many], return_index=True)
     for part in np.array_split(many[one], max(1, int(size[many[one]].sum()) // 200_000)):
         n = size[part]
         at = np.repeat(first[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(member[part], n).view(np.int64)), pa.array(d[at]), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(np.repeat(pivot[part], n))], ["cell", "doc", "size", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(member[part], n).view(np.int64)), pa.array(d[at])], ["cell", "doc"])
 
 
 class RTree:
@@ -228,7 +229,7 @@ def _candidates(across: bool):
         if len(rows) < 2:
             return
         docs, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        points = np.array([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
+        points = np.array([counts_of(r[2]) for r in rows])
         tree = RTree(points)
         for i in range(len(rows)):
             near, bound = tree.search(points[i])
@@ -313,12 +314,18 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     shards = width(spark)
-    base = stash(_describe(docs, _heavy(docs)), "sets")
-    full = base.where("n > 0 and doc_id is not null")
-    reps = stash(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("tokens", "pt"), "doc_id").alias("x")).select("fp1", "fp2", "n", "rep", "x.tokens", "x.pt"), "classes")
-    packed = map_batches(reps.select("rep", "tokens"), _deal(shards), "shard int, tokens binary, docs binary")
-    cells = map_batches(packed.repartition(shards, "shard").select("tokens", "docs"), _cells, "cell long, doc long, size long, pivot long")
-    cells = stash(cells.groupBy("cell", "doc").agg(F.first("size").alias("size"), F.first("pivot").alias("pivot")), "cells")
+    about = stash(_describe(docs), "sets")
+    base = about.where("not heavy").drop("heavy")
+    classes = base.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("pt").alias("pt"))
+    reps = stash(classes, "classes")
+    members = stash(base.drop("pt").join(reps.drop("pt"), ["fp1", "fp2", "n"], "left").select("doc_id", "n", "rep"), "members")
+    heavy = spark.sparkContext.broadcast(_heavy(about))
+    packed = map_batches(docs.where("doc_id is not null"), _deal(shards, heavy), "shard int, tokens binary, docs binary")
+    cells = map_batches(packed.repartition(shards, "shard").select("tokens", "docs"), _cells, "cell long, doc long")
+    of = members.where("rep is not null").select(F.col("doc_id").alias("doc"), "rep").distinct()
+    cells = stash(cells.distinct().join(of, "doc").select("cell", F.col("rep").alias("doc")).distinct(), "cells")
+    many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("pivot")).where("size > 1")
+    cells = stash(cells.join(many, "cell"), "cells")
     _release(spark)
     points = reps.select(F.col("rep").alias("doc"), "pt")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -338,9 +345,8 @@ def join(docs: DataFrame) -> DataFrame:
         late = stash(verified(more, docs), "verified")
         if late.limit(1).count():
             found = components(links.unionByName(late))
-    classes = reps.select("fp1", "fp2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
