@@ -297,7 +297,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     own = many.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
     other = pairs.join(many, "a").select(F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"))
     roles = own.unionByName(other).groupBy("doc").agg(F.collect_list(F.struct("a", "portion")).alias("roles"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(roles, "doc")
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(roles.hint("merge"), "doc")  # roles grow with the corpus, so they are never broadcast
     sets = map_batches(texts, _sets, "a long, portion int, doc long, set binary")
     dealt = sets.repartition(n, "a", "portion").sortWithinPartitions("a", "portion", "doc")
     return map_batches(dealt, _verify_sorted, "a long, b long").distinct()
