@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s"
-#: Legal suffixes of company names, longest of a family first. A fixed value.
-SUFFIXES = ("private limited", "pvt limited", "pvt ltd", "pvt. ltd.", "public limited company", "limited liability company", "incorporated", "corporation", "company", "limited", "gmbh", "s.a.", "s.a", "b.v.", "b.v", "n.v.", "l.l.c.", "l.l.c", "plc", "llc", "inc.", "inc", "corp.", "corp", "co.", "ltd.", "ltd", "co", "ag", "sa")
+#: Legal suffixes of company names; a fixed value.
+SUFFIXES = (" pvt ltd", " pvt. ltd.", " private limited", " ltd.", " ltd", " limited", " inc.", " inc", " incorporated", " l.l.c.", " llc", " corp.", " corp", " corporation", " plc", " gmbh", " s.a.", " sa", " n.v.", " nv", " b.v.", " bv", " co.", " co")
 
 
 def strip(c: Column) -> Column:
@@ -24,7 +24,7 @@ def slug(c: Column) -> Column:
     """Lower-case key of a name: one legal suffix dropped, other runs of signs as one underscore; empty: unknown."""
     bare = strip(F.lower(c))
     ends = "|".join(s.replace(".", r"\.") for s in sorted(SUFFIXES, key=len, reverse=True))
-    cut = F.regexp_replace(bare, rf"[\s,]+(?:{ends})$", "")
+    cut = F.regexp_replace(bare, f"(?:{ends})$", "")
     out = F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(out == "", F.lit("unknown")).otherwise(out)
 
@@ -37,11 +37,14 @@ def snippet(c: Column, size: int = 280) -> Column:
     return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("..."))).otherwise(c)
 
 
+#: What is redacted, in this order; fixed values.
+SECRETS = (("API_KEY", r"\b(sk|gsk|pk|api)[-_][A-Za-z0-9]{16,}\b"), ("BEARER_TOKEN", r"(?i)Bearer\s+[A-Za-z0-9._-]{16,}"), ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))
+
+
 def redacted(c: Column) -> Column:
-    """Keys, bearer tokens and mail addresses replaced by a mark, in this order."""
-    c = F.regexp_replace(c, r"(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)(['\"]?)[A-Za-z0-9_.-]{8,}", "$1$2$3[REDACTED]")
-    c = F.regexp_replace(c, r"(?i)bearer\s+[A-Za-z0-9_.-]{8,}", "Bearer [REDACTED]")
-    return F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")
+    for name, pattern in SECRETS:
+        c = F.regexp_replace(c, pattern, f"[REDACTED_{name}]")
+    return c
 
 
 def contract_literal(c: Column) -> Column:
@@ -83,7 +86,6 @@ def word_count(c: Column) -> Column:
 
 def mention(text: Column, raw: Column, reach: int = 60) -> tuple[Column, Column]:
     """Offset of raw in text, whatever the case, and the text around it; null and raw itself if it is not there."""
-    at = F.locate(F.lower(raw), F.lower(text)) - 1 if isinstance(raw, str) else F.expr("null")
     at = F.call_function("locate", F.lower(raw), F.lower(text)) - 1
     start = F.greatest(F.lit(0), at - reach)
     around = F.substring(text, start + 1, at + F.length(raw) + reach - start)

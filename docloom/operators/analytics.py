@@ -35,7 +35,7 @@ def distribution(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def growth(df: DataFrame, at: str, spans: int) -> DataFrame:
     """bucket 0..spans and the rows up to its end; spans are equal parts between the first and the last instant."""
-    t = F.unix_micros(at)
+    t = F.unix_micros(F.col(at).cast("timestamp"))
     ends = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
     bucket = F.least(F.lit(spans), F.ceil((t - F.col("lo")) * F.lit(float(spans)) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)))).cast("long")
     per = df.where(F.col(at).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(F.coalesce(bucket, F.lit(0)).alias("bucket")).agg(F.count("*").alias("n"))

@@ -82,8 +82,8 @@ def repeats(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.select(seq, F.first(seq).over(w).alias("first_id"), F.row_number().over(w).alias("_n")).where("_n > 1").drop("_n")
 
 
-def conflicts(df: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
-    base = F.first(value).over(Window.partitionBy(*keys).orderBy(seq))
+def conflicts(df: DataFrame, keys: list[str], seq: list[str], value: str) -> DataFrame:
+    base = F.first(value).over(Window.partitionBy(*keys).orderBy(*seq))
     return df.where(F.col(value).isNotNull()).withColumn("base", base).where(~near(F.col(value), F.col("base")))
 
 

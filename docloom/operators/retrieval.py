@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, weighted
+from ..functions.text import alias_key, strip
 from ..functions.vectors import cosine_distance, inner_product_distance, l2_distance
 
 METRICS = {"cosine": cosine_distance, "l2": l2_distance, "inner_product": inner_product_distance}
@@ -125,25 +126,64 @@ def changed(items: DataFrame, existing: DataFrame) -> DataFrame:
     return items.join(old, ["source_type", "source_id"], "left").where(F.col("old").isNull() | (F.col("old") != F.col("hash"))).drop("old")
 
 
-#: Words that tell the intent of a query, in order. Fixed values.
-INTENTS = (("comparison", ("compare", "versus", " vs ", "difference between")), ("relationship", ("who owns", "owned by", "operates", "relationship", "related to", "connected")), ("listing", ("list ", "show all", "all the", "which ")), ("definition", ("what is", "define", "meaning of")))
-QUESTIONS = (("who", "who"), ("what", "what"), ("where", "where"), ("when", "when"), ("how many", "how_many"))
+#: Words that tell the intent of a query, in order, and first words of questions. Fixed values.
+INTENTS = (("comparison", ("compare", "versus", " vs ", " vs.")), ("relationship", ("owns", "owned by", "operates", "relationship", "related to", "connected to")), ("listing", ("list ", "list all", "which ", "all of", "every ")), ("definition", ("what is ", "define ", "definition of", "meaning of")))
+YES_NO = ("is", "are", "does", "do", "can", "did", "was", "were")
 
 
 def intent(q: Column) -> Column:
-    low = F.concat(F.lit(" "), F.lower(q), F.lit(" "))
-    out = F.when(F.trim(F.coalesce(q, F.lit(""))) == "", F.lit("unknown"))
+    low = F.lower(F.coalesce(q, F.lit("")))
+    out = None
     for name, words in INTENTS:
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(low, F.lit(w))
-        out = out.when(hit, F.lit(name))
-    return out.otherwise("factual")
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    return out.when(F.rlike(low, F.lit(r"\S")), F.lit("factual")).otherwise("unknown")
 
 
 def question_type(q: Column) -> Column:
-    low = F.lower(F.trim(F.coalesce(q, F.lit(""))))
-    out = F.when(low == "", F.lit("other"))
-    for start, name in sorted(QUESTIONS, key=lambda x: -len(x[0])):
-        out = out.when(F.startswith(low, F.lit(start + " ")), F.lit(name))
-    return out.when(F.rlike(low, F.lit(r"^(is|are|does|do|can|did|was|were) ")), F.lit("yes_no")).otherwise("other")
+    low = strip(F.lower(F.coalesce(q, F.lit(""))))
+    first = F.regexp_replace(F.element_at(F.split(low, " "), 1), r"\?+$", "")
+    return F.when(first.isin("who", "what", "where", "when"), first).when(F.rlike(low, F.lit("^how (many|much)")), F.lit("how_many")).when(first.isin(*YES_NO), F.lit("yes_no")).otherwise("other")
+
+
+def time_range(q: Column, now: Column) -> Column:
+    """struct<start, end> from a quarter, ISO dates, a phrase relative to now, or a year; null if there is none."""
+    low = F.lower(q)
+    none = F.lit(None).cast("timestamp")
+    day = lambda y, m="1": F.try_to_timestamp(F.format_string("%04d-%02d-01", y.cast("int"), m if isinstance(m, Column) else F.lit(int(m))))
+    year = lambda pattern, k: F.regexp_extract(q, pattern, k).try_cast("int")
+    pair = lambda a, b: F.struct(a.cast("timestamp").alias("start"), b.cast("timestamp").alias("end"))
+    quarter = r"(?i)\bQ([1-4])[\s-]?(\d{4})\b"
+    q_start = day(year(quarter, 2), year(quarter, 1) * 3 - 2)
+    iso = F.regexp_extract_all(q, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
+    this_quarter, this_year, this_month = (F.date_trunc(u, now) for u in ("quarter", "year", "month"))
+    any_year = r"\b((?:19|20)\d{2})\b"
+    back = lambda c, n: F.add_months(c, n)
+    return (
+        F.when(F.rlike(q, F.lit(quarter)), pair(q_start, back(q_start, 3)))
+        .when(F.size(iso) > 0, pair(F.try_to_timestamp(F.try_element_at(iso, F.lit(1))), F.try_to_timestamp(F.try_element_at(iso, F.lit(-1)))))
+        .when(F.contains(low, F.lit("last quarter")), pair(back(this_quarter, -3), this_quarter))
+        .when(F.contains(low, F.lit("last year")), pair(back(this_year, -12), this_year))
+        .when(F.contains(low, F.lit("this year")), pair(this_year, none))
+        .when(F.contains(low, F.lit("last month")), pair(back(this_month, -1), this_month))
+        .when(F.rlike(q, F.lit(any_year)), pair(day(year(any_year, 1)), day(year(any_year, 1) + 1)))
+    )
+
+
+def query_entities(queries: DataFrame, aliases: DataFrame, most: int = 4) -> DataFrame:
+    """query_id, entity_type, canonical_id, matched_text: longest spans first, then leftmost; a token serves one entity.
+
+    aliases (alias, rank, entity_type, canonical_id) has keys as alias_key() makes them; of several types the lowest rank wins."""
+    tokens = F.regexp_extract_all("query", F.lit(r"[A-Za-z0-9][A-Za-z0-9.\-]*"), F.lit(0))
+    t = queries.select("query_id", tokens.alias("t")).where(F.size("t") > 0)
+    spans = t.select("query_id", F.posexplode("t").alias("i", "_w"), "t").select("query_id", "i", "t", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("t") - F.col("i")))).alias("n"))
+    spans = spans.select("query_id", "i", "n", F.array_join(F.slice("t", F.col("i") + 1, F.col("n")), " ").alias("matched_text"))
+    hits = spans.withColumn("alias", alias_key(F.col("matched_text"))).join(aliases, "alias")
+    best = hits.groupBy("query_id", "i", "n", "matched_text").agg(F.min_by(F.struct("entity_type", "canonical_id"), "rank").alias("e"))
+    ordered = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "i", "n", "matched_text", "e"))).alias("s"))  # at most some spans a query
+    empty = F.filter("s", lambda x: F.lit(False))
+    free = lambda acc, x: ~F.exists(acc, lambda y: (x["i"] < y["i"] + y["n"]) & (y["i"] < x["i"] + x["n"]))
+    kept = F.aggregate("s", empty, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return ordered.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.e.entity_type", "x.e.canonical_id", "x.matched_text")

@@ -199,11 +199,11 @@ def win_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.repeats(table(spark, sf_dir, "documents").withColumn("k", alias_key(F.col("text"))), ["lang", "source", "k"], "doc_id")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_extendedprice AS value, base FROM (SELECT *, first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS base FROM lineitem WHERE l_extendedprice IS NOT NULL)
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice AS value, base FROM (SELECT *, first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS base FROM lineitem WHERE l_extendedprice IS NOT NULL)
 WHERE abs(l_extendedprice - base) / greatest(abs(l_extendedprice), abs(base)) > 0.05""")
 def win_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-10, WIN-3: values that differ from the first of their group by more than 5 %."""
-    return rel.conflicts(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value")), ["l_orderkey"], "l_linenumber", "value")
+    return rel.conflicts(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value")), ["l_orderkey"], ["l_linenumber", "value"], "value")
 
 
 @query("""SELECT o_orderkey, round(o_totalprice, 2) AS stated, round(s, 2) AS total FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE abs(o_totalprice - s) / greatest(abs(o_totalprice), abs(s)) > 0.02""")
