@@ -85,25 +85,26 @@ def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIMES = [("Q1 2026 shipment volumes", "2026-01-01", "2026-04-01"), ("Shipments in 2025", "2025-01-01", "2026-01-01"), ("from 2024-02-03 to 2024-05-06", "2024-02-03", "2024-05-06"), ("last quarter", "2025-10-01", "2026-01-01"), ("this year", "2026-01-01", None), ("last month", "2026-01-01", "2026-02-01"), ("last year", "2025-01-01", "2026-01-01"), ("no time", None, None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', {f"TIMESTAMPTZ '{a} 00:00:00+00'" if a else 'NULL'}, {f"TIMESTAMPTZ '{b} 00:00:00+00'" if b else 'NULL'})" for q, a, b in _TIMES) + ") t(query, start_at, end_at)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', {f"TIMESTAMP '{a}'" if a else 'NULL'}, {f"TIMESTAMP '{b}'" if b else 'NULL'})" for q, a, b in _TIMES) + ") t(query, start_at, end_at)")
 def query_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY-4, DAT-3: the time a query speaks of, seen from 2026-02-15."""
     q = spark.createDataFrame([(x[0],) for x in _TIMES], "query string")
     r = retrieval.time_range(F.col("query"), F.lit("2026-02-15 10:00:00").cast("timestamp"))
-    return q.select("query", r.alias("r")).select("query", F.col("r.start").alias("start_at"), F.col("r.end").alias("end_at"))
+    return q.select("query", r.alias("r")).select("query", F.col("r.start").cast("timestamp_ntz").alias("start_at"), F.col("r.end").cast("timestamp_ntz").alias("end_at"))
 
 
 @query()
 def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY-1, ARR-3: names of nations and parts in queries, longest first."""
-    n = table(spark, sf_dir, "nation").select(alias_key(F.col("n_name")).alias("alias"), F.lit(2).alias("rank"), F.lit("country").alias("entity_type"), F.concat(F.lit("country:"), "n_nationkey").alias("canonical_id"))
-    q = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Shipments to "), "n_name", F.lit(" in 2026")).alias("query"))
+    name = F.regexp_replace("n_name", "_", " ")
+    n = table(spark, sf_dir, "nation").select(alias_key(name).alias("alias"), F.lit(2).alias("rank"), F.lit("country").alias("entity_type"), F.concat(F.lit("country:"), "n_nationkey").alias("canonical_id"))
+    q = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Shipments to "), name, F.lit(" in 2026")).alias("query"))
     return retrieval.query_entities(q, n)
 
 
-@query("""WITH c AS (SELECT vec_id AS id, 'vector' AS m, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))) AS v, NULL::DOUBLE AS b FROM embeddings UNION ALL SELECT doc_id, 'bm25', NULL, n_chars / 1000.0 FROM documents WHERE doc_id % 3 = 0 AND doc_id < 400),
+@query("""WITH c AS (SELECT vec_id AS id, 'vector' AS m, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))) AS v, NULL::DOUBLE AS b FROM embeddings UNION ALL SELECT doc_id, 'bm25', NULL, n_chars::DOUBLE / 1000 FROM documents WHERE doc_id % 3 = 0 AND doc_id < 400),
 g AS (SELECT id, max(v) AS v, max(b) AS b, CASE WHEN count(DISTINCT m) > 1 THEN 'hybrid' ELSE min(m) END AS method FROM c GROUP BY id),
-s AS (SELECT id, method, round((coalesce(v * 0.3, 0) + coalesce(b / (1 + b) * 0.2, 0)) / (CASE WHEN v IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END), 9) AS score FROM g)
+s AS (SELECT id, method, round((coalesce(v * 0.3::DOUBLE, 0) + coalesce(b / (1::DOUBLE + b) * 0.2::DOUBLE, 0)) / (CASE WHEN v IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END), 9) AS score FROM g)
 SELECT id AS source_id, method, round(score, 6) AS rerank_score FROM s""")
 def hybrid_merge_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HYB-1, HYB-2, RRK-1, RRK-2, MTH-6: candidates of two branches merged and reranked."""
