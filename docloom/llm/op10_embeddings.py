@@ -34,7 +34,7 @@ SAMPLE = 8192
 SLACK_Q = 0.9999
 BLOCK = 400
 #: Vectors that a cell holds on average, and the most centroids a half may have.
-CELL, MOST = 16, 512
+CELL, MOST = 128, 512
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, steps: int = 12) -> np.ndarray:
