@@ -345,7 +345,8 @@ def join(docs: DataFrame) -> DataFrame:
         late = stash(verified(more, docs), "verified")
         if late.limit(1).count():
             found = components(links.unionByName(late))
-    out = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    # copies share their rep, and what was found grows with the corpus: a merge join, whose hot keys Spark splits
+    out = members.join(stash(found.withColumnRenamed("id", "rep"), "found").hint("merge"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
