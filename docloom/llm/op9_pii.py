@@ -142,9 +142,10 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, and n_chars, where there is one, counted anew."""
-    numbered = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "rows").withColumnRenamed("_row", "row")
-    found = _with_terms(_base(numbered), numbered).where(F.size("spans") > 0).select("row", "spans")
-    both = numbered.join(found, "row", "left")
+    numbered = stash(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "rows")
+    own = numbered.select(F.col("_pii_row").alias("row"), "doc_id", "text")
+    found = _with_terms(_base(own), own).where(F.size("spans") > 0).select(F.col("row").alias("_pii_row"), F.col("spans").alias("_pii_spans"))
+    both = numbered.join(found, "_pii_row", "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -152,9 +153,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
         out = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.when(s["start"] >= a["at"], F.element_at(names, s["kind"] + 1)).otherwise(F.lit("")))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("spans", start, step)
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1))))
-    out = both.withColumn("text", clean).drop("spans", "row")
+    done = F.aggregate("_pii_spans", start, step)
+    clean = F.when(F.col("_pii_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1))))
+    out = both.withColumn("text", clean).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
