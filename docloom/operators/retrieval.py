@@ -107,7 +107,7 @@ def merged(candidates: DataFrame) -> DataFrame:
 def normal_signal(name: str) -> Column:
     c = F.col(name)
     if name == "graph_distance":
-        return F.lit(1.0) / (F.lit(1.0) + F.greatest(F.lit(0), c))
+        return F.when(c.isNotNull(), F.lit(1.0) / (F.lit(1.0) + F.greatest(F.lit(0), c)))
     if name == "bm25_score":
         return F.when(c.isNotNull(), F.when(c > 0, c / (F.lit(1.0) + c)).otherwise(0.0))
     return F.when(c.isNotNull(), clamp(c))

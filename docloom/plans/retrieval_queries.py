@@ -104,7 +104,7 @@ def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT vec_id AS id, 'vector' AS m, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))) AS v, NULL::DOUBLE AS b FROM embeddings UNION ALL SELECT doc_id, 'bm25', NULL, n_chars::DOUBLE / 1000 FROM documents WHERE doc_id % 3 = 0 AND doc_id < 400),
 g AS (SELECT id, max(v) AS v, max(b) AS b, CASE WHEN count(DISTINCT m) > 1 THEN 'hybrid' ELSE min(m) END AS method FROM c GROUP BY id),
-s AS (SELECT id, method, round((coalesce(v * 0.3::DOUBLE, 0) + coalesce(b / (1::DOUBLE + b) * 0.2::DOUBLE, 0)) / (CASE WHEN v IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END), 9) AS score FROM g)
+s AS (SELECT id, method, round((coalesce(v * 0.3::DOUBLE, 0::DOUBLE) + coalesce(b / (1::DOUBLE + b) * 0.2::DOUBLE, 0::DOUBLE)) / (CASE WHEN v IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END), 9) AS score FROM g)
 SELECT id AS source_id, method, round(score, 6) AS rerank_score FROM s""")
 def hybrid_merge_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HYB-1, HYB-2, RRK-1, RRK-2, MTH-6: candidates of two branches merged and reranked."""
