@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,12 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks while a few steps read it: for many small parts, of which a table would make as many
+    files. Lost parts are made anew from their lineage. The caller lets go of it with unpersist()."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with small batches; the workers find this package wherever the driver found it."""
     spark = df.sparkSession

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, mixed, span_hashes, stash, strings, table, width, word_spans
+from .common import held, map_batches, mixed, span_hashes, stash, strings, table, width, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -314,12 +314,13 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     shards = width(spark)
-    about = stash(_describe(docs), "sets")
+    about = held(_describe(docs))
     base = about.where("not heavy").drop("heavy")
     classes = base.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("pt").alias("pt"))
     reps = stash(classes, "classes")
     members = stash(base.drop("pt").join(reps.drop("pt"), ["fp1", "fp2", "n"], "left").select("doc_id", "n", "rep"), "members")
     heavy = spark.sparkContext.broadcast(_heavy(about))
+    about.unpersist()
     packed = map_batches(docs.where("doc_id is not null"), _deal(shards, heavy), "shard int, tokens binary, docs binary")
     cells = map_batches(packed.repartition(shards, "shard").select("tokens", "docs"), _cells, "cell long, doc long")
     of = members.where("rep is not null").select(F.col("doc_id").alias("doc"), "rep").distinct()
