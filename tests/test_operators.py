@@ -105,3 +105,21 @@ def test_limiter(spark) -> None:
     t = [datetime.datetime(2026, 1, 1, 0, 0, s) for s in (0, 1, 2, 11, 12)]
     df = spark.createDataFrame([("k", x) for x in t], "key string, ts timestamp")
     assert [(r.hits, r.allowed) for r in limiter.limited(df, 10, 2).orderBy("ts").collect()] == [(1, True), (2, True), (3, False), (1, True), (2, True)]
+
+
+def test_replace_run(spark, tmp_path) -> None:
+    from docloom.operators import services
+
+    path = str(tmp_path / "runs")
+    services.replace_run(spark.createDataFrame([(1, 1), (2, 2)], "x int, run_id int"), path)
+    for _ in range(2):
+        services.replace_run(spark.createDataFrame([(9, 2)], "x int, run_id int"), path)
+        assert sorted((r.x, r.run_id) for r in spark.read.parquet(path).collect()) == [(1, 1), (9, 2)]
+
+
+def test_uploads(spark) -> None:
+    from docloom.operators import services
+
+    df = spark.createDataFrame([("a.pdf", "application/pdf", 10), (None, None, None), ("x", "y", 1)], "n string, m string, s long")
+    got = [r.r for r in df.select(services.upload_reasons(F.col("n"), F.col("m"), F.col("s")).alias("r")).collect()]
+    assert got[0] == [] and "blank name" in got[1] and "empty" in got[1] and got[2] == ["extension"]
