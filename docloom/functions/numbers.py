@@ -70,3 +70,23 @@ def shown(c: Column) -> Column:
     """A double as a plain decimal with at least one digit after the point."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e16)
     return F.when(whole, F.concat(c.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
+
+
+def pdf_date(c: Column) -> Column:
+    """The UTC instant of D:YYYYMMDD[HH[MM[SS]]]; null for others and impossible ones."""
+    pattern = r"^D:([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})?([0-9]{2})?([0-9]{2})?"
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(c, pattern, k), F.lit("")), F.lit("00"))
+    said = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6))
+    return F.when(F.rlike(c, F.lit(pattern)), F.try_to_timestamp(said, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def ago(at: Column, now: Column) -> Column:
+    """How long ago, in minutes, hours or days, each rounded from the one before, halves up."""
+    minutes = half_up((F.unix_micros(now) - F.unix_micros(at)) / F.lit(60e6))
+    hours = half_up(minutes / 60)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "m")).when(hours < 24, said(hours, "h")).otherwise(said(half_up(hours / 24), "d"))
+
+
+def signed(c: Column, decimals: int = 1) -> Column:
+    return F.concat(F.when(c > 0, "+").otherwise(""), F.format_string(f"%.{decimals}f", c))

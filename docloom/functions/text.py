@@ -90,3 +90,18 @@ def mention(text: Column, raw: Column, reach: int = 60) -> tuple[Column, Column]
     start = F.greatest(F.lit(0), at - reach)
     around = F.substring(text, start + 1, at + F.length(raw) + reach - start)
     return F.when(at >= 0, at), F.when(at >= 0, around).otherwise(raw)
+
+
+def query_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9.\-]*"), F.lit(0))
+
+
+def kind_of_id(c: Column) -> Column:
+    """What stands before the first colon of a canonical id; unknown without one."""
+    return F.when(F.contains(c, F.lit(":")), F.element_at(F.split(c, ":"), 1)).otherwise("unknown")
+
+
+def candidate_keys(c: Column) -> Column:
+    """Alias keys to look up in order: the whole text, then each word, a dollar sign apart and marks at the ends dropped."""
+    words = F.split(strip(F.replace(c, F.lit("$"), F.lit(" $ "))), rf"{SPACE}+")
+    return F.concat(F.array(alias_key(c)), F.transform(words, lambda w: alias_key(F.regexp_replace(w, r"^[().,]+|[().,]+$", ""))))

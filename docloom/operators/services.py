@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, strip
@@ -52,3 +52,24 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def replace_run(df: DataFrame, path: str, run: str = "run_id") -> None:
     """Rows of df in place of those of the same runs; other runs stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+
+
+def closed_at(state: Column, at: Column) -> Column:
+    """When a review item was closed; null while it is open."""
+    return F.when(state.isin("resolved", "dismissed"), at)
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """canonical_id, canonical_name, aliases, extra (the other keys, as a map of text) of a JSON list of entries."""
+    rows = spark.read.json(path, multiLine=True)
+    known = ("canonical_id", "canonical_name", "aliases")
+    rest = [c for c in rows.columns if c not in known]
+    extra = F.map_filter(F.map_from_arrays(F.array(*(F.lit(c) for c in rest)), F.array(*(F.col(c).cast("string") for c in rest))), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    return rows.select(*known, extra.alias("extra"))
+
+
+def structured(answers: Column, schema: str) -> tuple[Column, Column]:
+    """Answers read as JSON of a schema, and whether one must be asked for again."""
+    read = F.from_json(answers, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    bad = read.isNull() | read["_corrupt"].isNotNull()
+    return F.when(~bad, read), bad
