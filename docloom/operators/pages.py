@@ -34,8 +34,10 @@ def recall(truth: Column, found: Column) -> tuple[Column, Column]:
 
     def share(pattern: str) -> Column:
         tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
-        have, want = F.array_distinct(tokens(found)), tokens(truth)
-        return F.size(F.filter(want, lambda x: F.array_contains(have, x))) / F.greatest(F.lit(1), F.size(want))
+        # One struct in an array, so that the tokens are found once a row and not once an element.
+        both = F.array(F.struct(F.array_distinct(tokens(found)).alias("have"), tokens(truth).alias("want")))
+        part = F.transform(both, lambda b: F.size(F.filter(b["want"], lambda x: F.array_contains(b["have"], x))) / F.greatest(F.lit(1), F.size(b["want"])))
+        return F.get(part, F.lit(0))
 
     return share(r"[a-z0-9]+(?:\.[0-9]+)?"), share(r"[0-9]+(?:\.[0-9]+)?")
 
