@@ -1,21 +1,24 @@
 """Personal data: pattern spans, and terms that disclose them, in DataFrame operations only.
 
 Spans of the four base kinds come from patterns; every found value is a protected entity. Then the corpus says which terms
-give an entity away: for a term t that stands within REACH characters of entity e, with n(t, e) the rows where it does,
-n(t) the rows that hold t anywhere, n(e) those with e, and N all rows,
+give an entity away: for a term t and an entity e, with n(t, e) the rows that hold both, n(t) the rows that hold t, n(e)
+those with e, and N all rows,
 
     PMI(t; e) / IC(e) = 1 + log(n(t, e) / n(t)) / -log(n(e) / N)
 
-is the part of the entity's information that the term discloses. From DISCLOSURE on (and MIN_ROWS rows of evidence) the
-term is a span of kind ``term`` wherever it stands near that entity. Documents without an entity are never touched.
+is the part of the entity's information that the term discloses. From DISCLOSURE on the term is a span of kind ``term``
+wherever it occurs, in rows without an entity too. Every term of a row counts, however far from the value, and every
+entity, however rare: one that occurs in a single row is disclosed by each term that few other rows hold.
 Sanitising replaces a base span by its kind in brackets, a term by [TERM].
 
-Counts cover the whole corpus: document frequencies are map-side sums over all texts, then joined with the candidates.
+Counts cover the whole corpus: document frequencies are map-side sums over all texts, then joined with the terms of rows
+that hold an entity. Terms so frequent that no entity of this corpus lets them reach DISCLOSURE are left out before the
+rows of risky terms are sought, which changes no result. A row with very many entities and terms gives all their pairs.
 No pattern backtracks without bound or recurses with the text's length.
 
 Defined results: null text is empty: no spans, the digest of the empty string. Spans are in code points, end exclusive;
-term spans that would overlap a base span are dropped. Repeated rows are found alike, each a row of evidence. Other
-columns are kept by sanitise() and ignored by find().
+term spans that would overlap a base span are dropped. An entity of all rows has no information to disclose. Repeated rows
+are found alike, each a row of evidence. Other columns are kept by sanitise() and ignored by find().
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-REACH = 60
-MIN_ROWS = 3
 DISCLOSURE = 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -90,44 +91,63 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The terms within REACH of a span, whole words only, with their places."""
-    left = F.greatest(F.lit(0), span["start"] - REACH)
-    before, after = F.substring(text, left + 1, span["start"] - left), F.substring(text, span["end"] + 1, F.lit(REACH))
-    whole = F.filter(matches(before, TERM), lambda m: (m["start"] > 0) | (left == 0))
-    whole = F.filter(whole, lambda m: m["end"] < F.length(before))
-    rest = F.filter(matches(after, TERM), lambda m: (m["start"] > 0) & ((m["end"] < REACH) | (span["end"] + m["end"] >= F.length(text))))
-    place = lambda by: lambda m: F.struct(F.lower(m["value"]).alias("term"), (by + m["start"]).alias("start"), (by + m["end"]).alias("end"))
-    return F.concat(F.transform(whole, place(left)), F.transform(rest, place(span["end"])))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """row, doc_id, spans and hits (each entity with the terms near it) of docs (row, doc_id, text), in the shared folder."""
-    spans = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    hit = lambda s: F.struct(F.sha2(F.concat_ws(":", s["kind"], F.lower(s["value"])), 256).alias("entity"), _near(F.col("text"), s).alias("terms"))
-    spans = spans.withColumn("hits", F.when(F.size("spans") > 0, F.transform("spans", hit)))
+def _places(text: Column, terms: Column) -> Column:
+    """The spans of a text's words that are among terms."""
+    words = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
+        span = F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"), x["m"].alias("value"))
+        # only what is found is put to the list, so that a long text is not copied word by word
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(F.coalesce(x["m"], F.lit("")))), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(words, start, step)["out"]
+
+
+def _risky(docs: DataFrame) -> DataFrame:
+    """_pii_key, terms: the terms in each row of docs (_pii_key, text) that disclose an entity of the corpus."""
+    text = F.coalesce("text", F.lit(""))
+    entity = lambda s: F.sha2(F.concat_ws(":", s["kind"], F.lower(s["value"])), 256)
+    spans = docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    rows = stash(spans.select(F.array_distinct(F.transform("spans", entity)).alias("entities"), _words(F.col("text")).alias("terms")), "entities")
+    per = rows.select(F.explode("entities").alias("entity"), "terms")
+    n = docs.count()
+    n_e = stash(per.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n), "n_e")
+    n_te = per.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    held = docs.where("text is not null").select("_pii_key", F.explode(_words(F.col("text"))).alias("term"))
+    n_t = stash(held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "n_t")
+    part = 1 + F.log(F.col("n_te") / F.col("n_t")) / -F.log(F.col("n_e") / F.lit(float(max(n, 1))))
+    risky = stash(n_te.join(n_e, "entity").join(n_t, "term").where(part >= DISCLOSURE - 1e-12).select("term").distinct(), "risky")
+    # n_te is at most n_e, so no term of more rows than this is risky; of terms in over a thousandth of all rows there are few
+    most = (n_e.agg(F.max("n_e").alias("m")).first().m or 0) ** DISCLOSURE * max(n, 1) ** (1 - DISCLOSURE)
+    frequent = n_t.where((F.col("n_t") > most * 1.001) & (F.col("n_t") > n / 1000)).select("term")
+    found = held.join(F.broadcast(frequent), "term", "left_anti").join(risky, "term", "left_semi")
+    return found.groupBy("_pii_key").agg(F.collect_set("term").alias("_pii_terms"))
+
+
+def _spanned(docs: DataFrame) -> DataFrame:
+    """docs with _pii_spans: base and term spans, ordered.
+
+    The key of a row is a hash of its id and text. Rows of one key would share their terms, of which each takes those it holds."""
+    keyed = docs.withColumn("_pii_key", F.xxhash64("doc_id", "text"))
+    both = keyed.join(_risky(keyed.select("_pii_key", "text")), "_pii_key", "left").drop("_pii_key")
+    text = F.coalesce("text", F.lit(""))
+    both = both.withColumn("_pii_base", base_spans(text)).withColumn("_pii_places", F.when(F.col("_pii_terms").isNotNull(), _places(text, F.col("_pii_terms"))))
+    clear = F.filter("_pii_places", lambda t: ~F.exists("_pii_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    return stash(spans.select("row", "doc_id", F.transform("spans", place).alias("spans"), "hits"), "spans")
+    spans = F.when(F.col("_pii_places").isNull(), F.col("_pii_base")).otherwise(F.array_sort(F.concat("_pii_base", clear)))
+    return both.withColumn("_pii_spans", F.transform(spans, place)).drop("_pii_base", "_pii_places", "_pii_terms")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """row, doc_id and spans (start, kind, end; base and term spans, ordered) for docs (doc_id, text)."""
-    return _with_terms(_base(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")), docs)
-
-
-def _with_terms(base: DataFrame, docs: DataFrame) -> DataFrame:
-    hits = base.where("hits is not null").select("row", F.explode("hits").alias("h")).select("row", F.col("h.entity").alias("entity"), F.col("h.terms").alias("terms"))
-    near = hits.select("row", "entity", F.explode("terms").alias("t")).select("row", "entity", "t.term", "t.start", "t.end")
-    n_e = hits.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_te = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= MIN_ROWS)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    n_t = docs.where("text is not null").select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= MIN_ROWS)
-    n = base.agg(F.count(F.lit(1)).alias("n")).first().n
-    part = 1 + F.log(F.col("n_te") / F.greatest("n_t", "n_te")) / -F.log(F.col("n_e") / F.lit(float(max(n, 1))))
-    risky = n_te.join(n_e, "entity").where(F.col("n_e") < n).join(n_t, "term").where(part >= DISCLOSURE).select("entity", "term")
-    terms = near.join(risky, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
-    clear = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return base.drop("hits").join(terms, "row", "left").withColumn("spans", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", clear)))).drop("terms")
+    """doc_id and spans (start, kind, end; base and term spans, ordered) for docs (doc_id, text)."""
+    return _spanned(docs.select("doc_id", "text")).select("doc_id", F.col("_pii_spans").alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -142,10 +162,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, and n_chars, where there is one, counted anew."""
-    numbered = stash(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "rows")
-    own = numbered.select(F.col("_pii_row").alias("row"), "doc_id", "text")
-    found = _with_terms(_base(own), own).where(F.size("spans") > 0).select(F.col("row").alias("_pii_row"), F.col("spans").alias("_pii_spans"))
-    both = numbered.join(found, "_pii_row", "left")
+    both = _spanned(docs)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -154,7 +171,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate("_pii_spans", start, step)
-    clean = F.when(F.col("_pii_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1))))
+    clean = F.when(F.col("text").isNull() | (F.size("_pii_spans") == 0), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1))))
     out = both.withColumn("text", clean).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 

@@ -294,6 +294,20 @@ def test_pii_terms(spark) -> None:
     assert all(got[i] == t for i, t in rows if i >= 10)
 
 
+def test_pii_terms_of_rare_values_anywhere(spark) -> None:
+    """One row is evidence enough, no distance is too far, and a term is marked in rows without the value too."""
+    far = "common words stand between " * 10
+    rows = [(0, f"Quillon said so. {far}mail to who@site.org"), (1, f"{far}and quillon came back"), (2, None)] + [(10 + k, far + "and said so came back mail") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in op9_pii.sanitise(df).collect()}
+    n, text = len(rows), dict(rows)
+    assert 1 + math.log(1 / 2) / math.log(n) < op9_pii.DISCLOSURE  # held by two rows of so few, quillon stays
+    assert got == text | {0: text[0].replace("who@site.org", "[EMAIL]")}
+    more = df.unionByName(spark.range(1000, 2500).select(F.col("id").alias("doc_id"), F.lit("common words").alias("text")))
+    got = {r.doc_id: r.text for r in op9_pii.sanitise(more).where("doc_id < 1000").collect()}
+    assert got == text | {0: f"[TERM] said so. {far}mail to [EMAIL]", 1: f"{far}and [TERM] came back"}
+
+
 def test_embeddings(spark, sf, odd) -> None:
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 16))
