@@ -1,13 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing: P(w | c) = (n(c, w) + MU * P(w)) / (n(c) + MU) for contexts c that make
-up at least MIN_RATE of the training tokens (so at most 1 / MIN_RATE contexts, a bounded table that every task gets), and
-P(w) = (n(w) + ALPHA) / (N + ALPHA * (V + 1)) after all others and at the start. Both sum to one over the V known
-tokens and one unknown.
+The model is a bigram model with Dirichlet smoothing: P(w | c) = (n(c, w) + MU * P(w)) / (n(c) + MU) for every context c,
+and P(w) = (n(w) + ALPHA) / (N + ALPHA * (V + 1)) after unknown ones (where both are equal) and at the start. Both sum to
+one over the V known tokens and one unknown. There are no trigrams.
 
 Tokens go to shards by their own hash, as packed arrays. A shard holds all that the corpus says of its tokens, so it
 counts them, builds its trie, and answers the queries for them, all in one task whose size is the corpus over the number
-of shuffle partitions. A trie has two levels: tokens, and for each the contexts seen before it. Keys of a level are
+of shuffle partitions. log P(w | c) is a difference of two logarithms: the first needs the counts of w and of the pair,
+which the shard of w has, the second n(c), which the shard of c has. So each shard adds its parts to the sums of a
+document, no task needs a table of contexts, and contexts of any rate are kept. A trie has two levels: tokens, and for each the contexts seen before it. Keys of a level are
 monotone within a node and pointers to children monotone overall, so both are Elias-Fano coded; probabilities are
 quantised to 16 bits. The levels lie in a memory-mapped scratch file that ends with its task. A query finds its node, then
 the context by successor search between the node's pointers.
@@ -30,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, held, map_batches, span_hashes, strings, table, width, word_spans
+from .common import crc_mod, map_batches, span_hashes, strings, table, width, word_spans
 
 ALPHA = 0.1
 MU = 200.0
-MIN_RATE = 1e-5
+#: The least part of the training tokens that a context must make up: none, all are kept.
+MIN_RATE = 0.0
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task holds before it hands them on, and documents in one slice of results.
 FLUSH, SLICE = 2_000_000, 256
@@ -107,6 +109,7 @@ class Trie:
     """Two levels over the tokens of a shard: keys, log10 probabilities, pointers to contexts, contexts, theirs."""
 
     def __init__(self, words: np.ndarray, log_word: np.ndarray, first: np.ndarray, contexts: np.ndarray, log_pair: np.ndarray, n_contexts: int):
+        """log_pair: log10 of (n(c, w) + MU * P(w)) / (n(w) + MU), at most 0."""
         self.words = EliasFano(words, 1 << 64)
         self.pointers = EliasFano(first, int(first[-1]) + 1)
         owner = np.repeat(np.arange(len(words)), np.diff(first))
@@ -136,20 +139,20 @@ class Trie:
         at = self.words.successor(words, np.zeros(len(words), np.int64), n)
         return np.where((at < n) & (self.words.at(np.minimum(at, max(0, self.words.n - 1))) == words), at, -1) if self.words.n else np.full(len(words), -1)
 
-    def score(self, node: np.ndarray, context: np.ndarray, unknown: float, back: np.ndarray) -> np.ndarray:
-        """log10 P(token | context) for nodes (-1: unknown token) and contexts (0: none); back: log10 of a context's back-off weight."""
+    def score(self, node: np.ndarray, context: np.ndarray, p: np.ndarray, most: np.ndarray, mu: float) -> np.ndarray:
+        """The numerators' logarithms: log10 of n(c, w) + mu * P(w) for nodes (-1: unknown token) and contexts (0: none, P(w) alone); p: log10 of P of unknown tokens, most: log10 of n(w) + mu."""
         known = node >= 0
-        out = np.full(len(node), unknown)
+        out = p.copy()
         out[known] = self.p_word[node[known]] / LEVELS * LOWEST
         pair = np.flatnonzero(context > 0)
-        out[pair] += back[context[pair]]
+        out[pair] += np.log10(mu)
         pair = pair[known[pair]]
         lo, hi = self.pointers.at(node[pair]).astype(np.int64), self.pointers.at(node[pair] + 1).astype(np.int64)
         key = context[pair].astype(np.uint64) + node[pair].astype(np.uint64) * np.uint64(self.step)
         at = self.contexts.successor(key, lo, hi)
         there = at < hi
         there[there] = self.contexts.at(at[there]) == key[there]
-        out[pair[there]] = self.p_pair[at[there]] / LEVELS * LOWEST
+        out[pair[there]] = self.p_pair[at[there]] / LEVELS * LOWEST + most[pair[there]]
         return out
 
 
@@ -191,53 +194,31 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys += [np.frombuffer(x, np.uint64) for x in b["keys"].to_pylist()]
         counts += [np.frombuffer(x, np.uint32) for x in b["counts"].to_pylist()]
-    h, to = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.zeros(len(h), np.int64)
-    np.add.at(n, to, np.concatenate(counts).astype(np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([len(h)]), pa.array([int(n.sum())]), pa.array([h.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["types", "tokens", "keys", "counts"])
+    h = np.unique(np.concatenate(keys))
+    yield pa.RecordBatch.from_arrays([pa.array([len(h)]), pa.array([int(sum(c.sum(dtype=np.int64) for c in counts))])], ["types", "tokens"])
 
 
 class Vocabulary:
-    """N, V, and the frequent contexts with their counts."""
+    """N and V."""
 
-    def __init__(self, n: int, v: int, contexts: np.ndarray, counts: np.ndarray):
+    def __init__(self, n: int, v: int):
         self.n, self.v = n, v
-        order = np.argsort(contexts)
-        self.contexts, self.counts = contexts[order], counts[order]
-
-    def code(self, h: np.ndarray) -> np.ndarray:
-        """1 + the place of each context in the table; 0 where it is none."""
-        if not len(self.contexts):
-            return np.zeros(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == h, at + 1, 0).astype(np.uint32)
 
 
 def learn(docs: DataFrame) -> Vocabulary:
-    """Token counts of docs (text, train), merged shard by shard; the driver gets two sums and at most 1 / MIN_RATE contexts."""
+    """Token counts of docs (text, train), merged shard by shard; the driver gets two sums."""
     shards = width(docs.sparkSession)
     counted = map_batches(docs.select("text", "train"), _count(shards), "shard int, keys binary, counts binary")
-    merged = held(map_batches(counted.repartition(shards, "shard").select("keys", "counts"), _sum_counts, "types long, tokens long, keys binary, counts binary"))
+    merged = map_batches(counted.repartition(shards, "shard").select("keys", "counts"), _sum_counts, "types long, tokens long")
     sums = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    least = max(1.0, MIN_RATE * sums.n)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, c in zip(b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                h, n = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
-                big = (n >= least) & (h.view(np.uint64) != END)
-                yield pa.RecordBatch.from_arrays([pa.array(h[big]), pa.array(n[big])], ["h", "n"])
-
-    got = map_batches(merged.select("keys", "counts"), frequent, "h long, n long").toArrow()
-    merged.unpersist()
-    return Vocabulary(sums.n, sums.v, got["h"].to_numpy().view(np.uint64), got["n"].to_numpy())
+    return Vocabulary(sums.n, sums.v)
 
 
-def _deal(vocabulary, shards: int):
+def _deal(shards: int):
     """Documents to rows (shard, part, slices, blob): the tokens of a shard with their contexts and documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, squeeze = vocabulary.value, zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         held: list[np.ndarray] = []
         ids: list = []
         learnt: list[bool] = []
@@ -247,8 +228,9 @@ def _deal(vocabulary, shards: int):
             nonlocal size, part
             n = np.array([len(x) for x in held])
             h = np.concatenate(held)
-            before = np.concatenate((np.zeros(1, np.uint32), v.code(h)[:-1]))
-            before[np.cumsum(n)[:-1]] = 0
+            before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
+            before[np.cumsum(n)[:-1]] = END  # no word: there is no context
+            before[0] = END
             doc = np.repeat(np.arange(len(held), dtype=np.uint32), n)
             order = np.argsort(h, kind="stable")
             h, before, doc = h[order], before[order], doc[order]
@@ -260,7 +242,8 @@ def _deal(vocabulary, shards: int):
                 if a == b and not mine:
                     continue
                 w, times = np.unique(h[a:b], return_counts=True)
-                blob = b"".join((np.array([len(w), b - a, len(ids)], np.int64).tobytes(), w.tobytes(), times.astype(np.uint32).tobytes(), before[a:b].tobytes(), doc[a:b].tobytes(), np.array(learnt, np.uint8).tobytes()))
+                c, place = np.unique(before[a:b], return_inverse=True)
+                blob = b"".join((np.array([len(w), b - a, len(ids), len(c)], np.int64).tobytes(), w.tobytes(), c.tobytes(), times.astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), doc[a:b].tobytes(), np.array(learnt, np.uint8).tobytes()))
                 about = np.array([[0 if x is None else x for x in ids], [x is None for x in ids], learnt, n], np.int64).tobytes() if mine else None
                 rows.append((k, part, squeeze(blob), about))
             held.clear()
@@ -283,7 +266,7 @@ def _deal(vocabulary, shards: int):
     return run
 
 
-def _answer(vocabulary, mu: float):
+def _answer(v: Vocabulary, mu: float):
     """The rows of a shard to rows (part, slice, base, score, known, about): sums for the documents of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,28 +282,30 @@ def _answer(vocabulary, mu: float):
             yield from answer(rows)
 
     def answer(rows: list) -> Iterator[pa.RecordBatch]:
-        v, loose = vocabulary.value, zstandard.ZstdDecompressor().decompress
+        loose = zstandard.ZstdDecompressor().decompress
         parts, words, contexts, docs, learnt, abouts, sizes = [], [], [], [], [], [], []
         for part, blob, about in rows:
             raw = loose(blob)
-            types, n, size = np.frombuffer(raw, np.int64, 3).tolist()
-            at = 24
-            w = np.repeat(np.frombuffer(raw, np.uint64, types, at), np.frombuffer(raw, np.uint32, types, at + 8 * types))
-            at += 12 * types
+            types, n, size, n_c = np.frombuffer(raw, np.int64, 4).tolist()
+            at = 32 + 8 * (types + n_c)
+            w = np.repeat(np.frombuffer(raw, np.uint64, types, 32), np.frombuffer(raw, np.uint32, types, at))
+            at += 4 * types
             parts.append(part)
             words.append(w)
-            contexts.append(np.frombuffer(raw, np.uint32, n, at))
+            contexts.append((np.frombuffer(raw, np.uint64, n_c, 32 + 8 * types), np.frombuffer(raw, np.uint32, n, at)))
             docs.append(np.frombuffer(raw, np.uint32, n, at + 4 * n))
             learnt.append(np.frombuffer(raw, np.uint8, size, at + 8 * n))
             abouts.append(about)
             sizes.append(size)
         rows.clear()
-        w, c = np.concatenate(words), np.concatenate(contexts)
+        w = np.concatenate(words)
+        names = np.setdiff1d(np.concatenate([x for x, _ in contexts]), [END])  # this shard's contexts; 0 is none
+        c = np.concatenate([np.where(x == END, 0, np.searchsorted(names, x) + 1).astype(np.uint32)[at] for x, at in contexts])
         train = np.concatenate([x[d] for x, d in zip(learnt, docs, strict=True)]).astype(bool)
         words.clear()
         contexts.clear()
         total = v.n + ALPHA * (v.v + 1)
-        steps = len(v.contexts) + 1
+        steps = len(names) + 1
         kinds, kind = np.unique(w, return_inverse=True)
         del w
         pair, to = np.unique(kind * np.int64(steps) + c, return_inverse=True)
@@ -334,13 +319,14 @@ def _answer(vocabulary, mu: float):
         name[node] = np.arange(len(node))
         p = (count + ALPHA) / total
         in_trie = (context > 0) & (seen > 0)
-        n_c = np.concatenate(([0], v.counts)).astype(np.float64)
-        log_pair = np.log10((seen[in_trie] + mu * p[owner[in_trie]]) / (n_c[context[in_trie]] + mu))
+        most = np.log10(count + mu)
+        log_pair = np.log10(seen[in_trie] + mu * p[owner[in_trie]]) - most[owner[in_trie]]
         first = np.concatenate(([0], np.cumsum(np.bincount(name[owner[in_trie]], minlength=len(node))))) if len(node) else np.zeros(1, np.int64)
         trie = Trie(kinds[node], np.log10(p[node]), first, context[in_trie], log_pair, steps).mapped()
-        back = np.log10(mu / (n_c + mu))
         found = trie.find(kinds)
-        score = trie.score(found[owner], context, float(np.log10(ALPHA / total)), back)[to]
+        unknown = np.full(len(owner), np.log10(ALPHA / total))
+        score = trie.score(found[owner], context, unknown, most[owner], mu)[to]
+        score -= np.where(kinds == END, 0.0, most)[kind]  # as the context of the token that follows; after an end there is none
         base, known = np.log10(count + ALPHA)[kind], (count > 0)[kind].astype(np.float64)
         at = 0
         for part, d, size, about in zip(parts, docs, sizes, abouts, strict=True):
@@ -391,9 +377,8 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score, train_tokens for docs (doc_id, text, train)."""
     spark = docs.sparkSession
     v, shards = learn(docs), 2 * width(spark)
-    sent = spark.sparkContext.broadcast(v)
-    dealt = map_batches(docs.select("doc_id", "text", "train"), _deal(sent, shards), "shard int, part long, blob binary, about binary")
-    answers = map_batches(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "part"), _answer(sent, mu), "part long, slice long, sums binary, about binary")
+    dealt = map_batches(docs.select("doc_id", "text", "train"), _deal(shards), "shard int, part long, blob binary, about binary")
+    answers = map_batches(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "part"), _answer(v, mu), "part long, slice long, sums binary, about binary")
     answers = answers.withColumn("mine", F.spark_partition_id()).repartition(shards, "part", "slice").sortWithinPartitions("part", "slice", "mine").drop("mine")
     out = map_batches(answers, _gather(v.n, v.v), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(v.n).cast("long"))

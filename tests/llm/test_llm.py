@@ -228,6 +228,17 @@ def test_lm(spark, sf, docs, odd) -> None:
     assert op7_lm.scored(odd.withColumn("train", F.lit(False))).first().train_tokens == 0
 
 
+def test_lm_keeps_rare_contexts(spark) -> None:
+    """A word that is one of 120 000 tokens still tells the next."""
+    rows = [(k, "wordy " * 20000, True) for k in range(6)] + [(6, "seldom heard", True), (7, "seldom heard", False), (8, "heard never", False)]
+    n, v = 6 * 20001 + 3, 4
+    p = {w: (c + 0.1) / (n + 0.1 * (v + 1)) for w, c in {"seldom": 1, "heard": 1, "": 7, "never": 0}.items()}
+    after = lambda w, pair, c: (pair + op7_lm.MU * p[w]) / (c + op7_lm.MU)
+    got = {r.doc_id: r.score for r in op7_lm.scored(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).where("doc_id > 6").collect()}
+    assert math.isclose(got[7], math.log10(p["seldom"] * after("heard", 1, 1) * after("", 1, 1)), abs_tol=2e-3)
+    assert math.isclose(got[8], math.log10(p["heard"] * after("never", 0, 1) * p[""]), abs_tol=2e-3)
+
+
 def test_packing(spark, sf, docs, odd) -> None:
     import public_tokenizers
     from tokenizers import Tokenizer
