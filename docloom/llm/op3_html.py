@@ -33,7 +33,7 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
 #: The labelled table: words and link density (percent) of the block, the one before and the one after; inside an
-#: article; inside a side element; is content.
+#: article; inside a side element; is content. Elements and names may be wrong: lists of links inside an article, long text inside a side element.
 TABLE = """
  12   0   0   0  60   0  1 0 1
   6   0   0   0   9   0  1 0 1
@@ -74,6 +74,33 @@ TABLE = """
  90  10   4 100  35   0  0 0 1
   9   0  60   0  80   0  0 0 1
  22   0   5   0  45   0  0 0 1
+  4 100   2 100   5 100  1 0 0
+  3 100  60   0   4 100  1 0 0
+  5 100   4 100   0   0  1 0 0
+  6  95   3 100  90   0  1 0 0
+  2 100   8   0   3 100  1 0 0
+ 12 100  10 100  11 100  1 0 0
+ 14 100   5   0  12 100  0 0 0
+  4   0  40   0  60   0  0 0 1
+  6   0   5 100  70   0  0 0 1
+  2   0   4 100  35   0  0 0 1
+  5   0  80   0  45   0  0 0 1
+  3   0  70   0  25   0  0 0 1
+ 40   0   5   0   0   0  0 0 1
+ 30   0  60   0   0   0  0 0 1
+ 55   0   0   0   0   0  0 0 1
+ 25   0   4   0   2 100  0 0 1
+ 45   0   3   0   2   0  0 0 1
+ 38   0   2 100   3   0  0 0 1
+  2   0   2   0 168   0  1 0 1
+  3   0   3   0   7   0  1 0 1
+  4   0   2   0  30   0  1 0 1
+  2   0   1   0   5   0  1 0 1
+  3   0   2   0   0   0  1 0 1
+  2   0   3   0   2 100  1 0 1
+120   0  90   0 110   0  0 1 1
+150   5   6   0  95   0  0 1 1
+ 95   0 130   0   2 100  1 1 1
 """
 
 
@@ -155,7 +182,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if name == "p" and open_ and open_[-1][0] == "p":
                 open_.pop()
             _, body, side, skip = open_[-1] if open_ else ("", 0, 0, 0)
-            said = {w.lower() for g in NAMES.findall(m[3]) for w in re.split(r"[^A-Za-z]+", "".join(g))}
+            said = {w.lower() for g in NAMES.findall(m[3]) for w in "".join(g).split()}
             if name in ("html", "body"):
                 said = set()
             side = side or int(name in SIDE or bool(said & SIDE_NAMES) or (name == "header" and not body))

@@ -95,6 +95,23 @@ def test_html(spark, sf) -> None:
     assert op3_html.main_text("<article><p>One &amp; two three four five.<div class=comments>nice post</div></article>", tree) == "One & two three four five."
 
 
+def test_html_of_other_pages() -> None:
+    """Link density and neighbours tell where tags and class names do not."""
+    tree = op3_html.small_tree()
+
+    def splits(t):
+        return set() if isinstance(t, int) else {t[0]} | splits(t[2]) | splits(t[3])
+
+    assert splits(tree) & {1} and splits(tree) & {2, 3, 4, 5}
+    text = " ".join(f"word{k}" for k in range(40))
+    links = "".join(f"<li><a href=x>More of this {k}</a></li>" for k in range(4))
+    keep = lambda page: op3_html.main_text(page, tree).split("\n\n")
+    assert keep(f"<article><p>{text}</p><ul>{links}</ul></article>") == [text]
+    assert keep(f"<body><ul>{links}</ul><h1>A short heading</h1><p>{text}</p><h2>Then another</h2><p>{text}</p></body>") == ["A short heading", text, "Then another", text]
+    assert keep(f'<body><p class="ad-free share-price">{text}</p><p class="text ad">{text}</p></body>') == [text]
+    assert keep(f"<body><div class=widget><p>{text} {text} {text}</p><p>{text} {text} {text}</p></div></body>") == [f"{text} {text} {text}"] * 2
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
