@@ -214,6 +214,22 @@ def test_licenses(odd) -> None:
     assert op6_licenses.scan(odd).count() == len(ODD)
 
 
+def test_licenses_anywhere() -> None:
+    """Several paragraphs inside a longer text, a notice in the middle of a line, one word a line; BSD with three clauses is not BSD with two."""
+    t = op6_licenses.Templates()
+    mit, bsd = op6_licenses.TEMPLATES["MIT"][2], op6_licenses.TEMPLATES["BSD-3-Clause"][2]
+    prose = " ".join(f"word{k}" for k in range(300))
+    parts = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    assert parts.count("\n\n") == 2
+    for body, name in ((parts, "MIT"), (bsd.replace(". ", ".\n\n"), "BSD-3-Clause"), ("Released under the MIT License.", "MIT"), ("Released\nunder\nthe\nMIT\nLicense.", "MIT")):
+        for joint in (" ", "\n\n"):
+            [(a, b, got, dice)] = t.scan(prose + joint + body + joint + prose)
+            assert (got, dice) == (name, 1.0) and a == len(prose + joint) and abs(b - a - len(body)) <= 1
+    for name in ("AGPL-3.0", "LGPL-3.0"):
+        assert [m[2] for m in t.scan(op6_licenses.TEMPLATES[name][0])] == [name]
+    assert [m[2] for m in t.scan(f"İ {prose}\n{mit}\n{prose}\n{bsd}")] == ["MIT", "BSD-3-Clause"]
+
+
 def test_elias_fano() -> None:
     rng = np.random.default_rng(2)
     for n, u in ((1, 5), (700, 1 << 64), (900, 950), (500, 1 << 30)):
