@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and 09-0D (``bytes.split()`` splits on exactly these).
 SPACES = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that one Arrow batch may hold; texts are long, and a worker holds a few batches at once.
-BATCH_ROWS = 512
+#: Rows and bytes that one Arrow batch may hold; texts are long, and a worker holds a few batches at once. A row over the bytes is a batch.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or an own one where none is set."""
+    """The folder that driver and executors share: the session's checkpoint folder. Where none is set, a local session (whose
+    executors are the driver) gets one of its own; on a cluster that would be another folder on each machine, so it fails."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("/tmp/docloom-checkpoints")
         where = sc.getCheckpointDir()
     return where
@@ -51,9 +55,14 @@ def held(df: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches; the workers find this package wherever the driver found it."""
+    """mapInArrow with batches bounded in rows and bytes; the workers find this package wherever the driver found it.
+
+    Spark reads both bounds when it plans, so they are set for the session, never above what it had."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

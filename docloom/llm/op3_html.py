@@ -1,17 +1,27 @@
 """HTML extraction: a page as a flat run of text blocks, each classified by a decision tree.
 
-A block ends at every block-level tag. Its features are its word count and link density, those of the block before and
-after it, and what its open elements say of it (inside the article; inside a menu, notice, form ...). The tree is grown
-here, by Gini impurity, from the small labelled table TABLE below, and content blocks are joined in page order.
+A block ends at every block-level tag. Its features are its word count and link density, those of the block before and of
+the block after, whether it lies in an article, how its containers are marked (not, weakly, strongly), whether it is a
+heading and whether it starts like a notice. The tree is grown here, by Gini impurity, from the small labelled pages
+EXAMPLES below, most of which mark nothing by names; content blocks are joined in page order.
 
-Defined results: null or empty html, or a page without content: empty text, 0. Unclosed elements end with their parent;
-what a parser would call broken markup never fails. Repeated rows are answered each. Other columns are ignored.
+Marks: ``nav``, ``aside``, ``footer``, ``menu`` and ``dialog`` are strong, as are names of comments; other side names
+count as whole tokens of class, id or role, strongly for blocks directly inside and weakly below a further container. Names
+on an article, on ``main`` or on what they stand in say nothing of the blocks inside.
+
+The scan is linear: a tag whose quotes never close switches to a plain reading of what follows, and the search for the
+element that an end tag closes gives up what it has passed.
+
+Defined results: null or empty html, or a page without content: empty text, 0. Unclosed elements end with their parent
+(p, li, dt, dd, tr, td and th also with their next sibling); what a parser would call broken markup never fails. Repeated
+rows are answered each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,188 +31,282 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_batches, strings, table
 
 # Names of elements and of classes.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("button canvas head iframe noscript object option script select style svg template textarea title".split())
-SIDE = frozenset("nav footer aside form menu dialog".split())
+SKIPPED = frozenset("audio button canvas datalist head math noscript object select svg template video".split())
+RAW_NAMES = frozenset("iframe noembed noframes script style textarea title xmp".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+SIDE = frozenset("nav footer aside menu dialog search".split())
 BODY = frozenset("article main".split())
-SIDE_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
-
-#: The labelled table: words and link density (percent) of the block, the one before and the one after; inside an
-#: article; inside a side element; is content. Elements and names may be wrong: lists of links inside an article, long text inside a side element.
-TABLE = """
- 12   0   0   0  60   0  1 0 1
-  6   0   0   0   9   0  1 0 1
-  2   0  70   0  55   0  1 0 1
- 45   0   6   0  80   0  1 0 1
-180   0  45   0  20   0  1 0 1
-  3   0 120   0   0   0  1 0 1
- 30  20  80   0  70   0  1 0 1
-  8  90  60   0  60   0  1 0 1
- 70   0   2 100   4   0  1 0 1
-  1   0   1   0   1   0  1 0 1
- 20   0  30   0   2 100  1 0 1
-  4   0  50   0   3 100  1 0 1
- 35   0   2 100   2 100  1 0 1
- 12   0   3 100   8 100  1 0 1
-  5   0   1   0   6  95  1 0 1
- 50   0  40   0   5  90  0 0 1
-  1 100   1 100   1 100  0 1 0
-  2 100   0   0   2 100  0 1 0
-  1 100   2 100   9   0  0 1 0
-  8   0   1 100  10   0  0 1 0
- 25   0   1 100  12   0  0 1 0
- 14   0  90   0   0   0  0 1 0
- 60   0  80   0   0   0  0 1 0
-  5  60 100   0   3  50  0 1 0
- 40   0  30   0  35   0  1 1 0
-  7   0  50   0  22   0  1 1 0
-  3 100  90   0   2 100  1 1 0
-  2 100   3 100   4 100  0 0 0
-  4 100   1 100   6  80  0 0 0
-  6  70   5  90   0   0  0 0 0
-  3   0   2 100   2 100  0 0 0
-  4   0   0   0   3 100  0 0 0
-  2   0   1   0   3   0  0 0 0
- 65   0  50   0  70   0  0 0 1
- 40   5  30   0  45   0  0 0 1
- 18   0  60   0  55   0  0 0 1
- 90  10   4 100  35   0  0 0 1
-  9   0  60   0  80   0  0 0 1
- 22   0   5   0  45   0  0 0 1
-  4 100   2 100   5 100  1 0 0
-  3 100  60   0   4 100  1 0 0
-  5 100   4 100   0   0  1 0 0
-  6  95   3 100  90   0  1 0 0
-  2 100   8   0   3 100  1 0 0
- 12 100  10 100  11 100  1 0 0
- 14 100   5   0  12 100  0 0 0
-  4   0  40   0  60   0  0 0 1
-  6   0   5 100  70   0  0 0 1
-  2   0   4 100  35   0  0 0 1
-  5   0  80   0  45   0  0 0 1
-  3   0  70   0  25   0  0 0 1
- 40   0   5   0   0   0  0 0 1
- 30   0  60   0   0   0  0 0 1
- 55   0   0   0   0   0  0 0 1
- 25   0   4   0   2 100  0 0 1
- 45   0   3   0   2   0  0 0 1
- 38   0   2 100   3   0  0 0 1
-  2   0   2   0 168   0  1 0 1
-  3   0   3   0   7   0  1 0 1
-  4   0   2   0  30   0  1 0 1
-  2   0   1   0   5   0  1 0 1
-  3   0   2   0   0   0  1 0 1
-  2   0   3   0   2 100  1 0 1
-120   0  90   0 110   0  0 1 1
-150   5   6   0  95   0  0 1 1
- 95   0 130   0   2 100  1 1 1
+CONTAINERS = frozenset("div section center td table".split())
+COMMENT_NAMES = frozenset("comment comments comment-area comment-body comment-content comment-form comment-list comment-respond comments-area comments-list commentlist disqus disqus_thread replies reply respond".split())
+STRONG_NAMES = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs complementary contentinfo cookie cookie-banner cookie-consent cookie-notice cookies copyright footer menu modal nav navbar navigation pager pagination popup sidebar site-footer site-header site-nav sponsored".split())
+WEAK_NAMES = frozenset("disclaimer hidden login newsletter notice notices promo promoted recommended related share sharing signup social sponsor subscribe subscription tags toolbar widget widgets".split())
+HEADER_NAMES = frozenset("banner header masthead".split())
+NOTICE = re.compile(r"(?:accept(?: all)?(?: cookies)?\b|(?:we|this (?:web)?site|our (?:web)?site) uses? cookies|by (?:using|continuing)\b.*\bcookies|subscribe\b|sign (?:up|in)\b|log ?in\b|share (?:this|on|via)\b|follow us\b|advertisements?\b|sponsored\b|skip to\b|privacy policy|terms of (?:use|service)|related (?:posts|articles|stories)|you (?:may|might) also like|leave a (?:comment|reply)|[0-9]+ comments?$)", re.I)
+
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: For what follows a tag that never closes by the rule above: it ends where the next one starts.
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)([^<>]*+)>?")
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?", re.S)
+NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_END = {k: re.compile(rf"</{k}(?![\w-])[^>]*>?", re.I) for k in RAW_NAMES}
+#: Which open siblings a start tag closes, and how far up it looks; open inline elements that one block tracks.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
+BOUNDS = frozenset("ul ol menu dir dl table tbody thead tfoot select article main body".split())
+LOOK, INLINE = 64, 512
+
+#: The labelled table: pages in which +n stands for n words of content and -n for n words of anything else; written words
+#: are not content either.
+EXAMPLES = """
+<body><nav><ul><li><a>-1</a></li><li><a>-2</a></li></ul></nav><article><h1>+6</h1><p>+45</p><p>+3</p><p>+80 <a>+4</a></p><h2>+2</h2><ul><li>+3</li><li>+7</li><li>+2</li></ul><p>+22</p></article><footer>-9</footer></body>
+<header><a>-2</a> <p>-5</p></header><main><h1>+4</h1><p>+120</p><p>+4 <a>+9</a></p><p>+60</p></main><aside><h3>-2</h3><p>-130</p><ul><li><a>-4</a></li></ul></aside><footer><p>-40</p><p>-6</p></footer>
+<body><ul><li><a>-1</a></li><li><a>-2</a></li><li><a>-1</a></li></ul><h1>+5</h1><p>+50</p><h2>+3</h2><p>+35</p><p>+4</p><p>+28</p></body>
+<div><a>-1</a> <a>-1</a> <a>-2</a></div><div><h1>+3</h1><p>+9</p><p>+70</p></div><div><a>-2</a> -1 <a>-2</a></div>
+<div><p>+3</p></div>
+<p>+1</p>
+<body>+7</body>
+<body><h1>+2</h1><p>+5</p></body>
+<body><p>+4</p><p>+6</p><p>+3</p></body>
+<div>+12</div><div>+30</div><div>+5</div>
+<article><p>+3</p></article>
+<article><h2>+1</h2><p>+2</p><p>+2</p><p>+1</p></article>
+<article><p>+40</p><h3>-2</h3><ul><li><a>-4</a></li><li><a>-5</a></li><li><a>-3</a></li><li><a>-6</a></li></ul></article>
+<article><p>+40</p><ul><li><a>-4</a></li><li><a>-5</a></li><li><a>-3</a></li></ul><p>+25</p></article>
+<article><p>+30</p><p>+1 <a>+8</a></p><p>+45</p><p><a>+12</a></p><p>+50</p></article>
+<article><p>+18</p><p><a>+7</a></p><p>+33</p></article>
+<article><p>+30</p><div>We use cookies here.</div><p>+20</p><p>Subscribe to our letter</p><p>+12</p><p>Share this</p></article>
+<body><p>+30</p><div>We use cookies here.</div><p>+20</p><div>Terms of use</div></body>
+<div class=widget><p>-3</p><p>-14</p></div><div class=widget><p>+120</p><p>+95</p></div><p>+40</p><div class=share>-1</div><p>+33</p><div class=related><h4>-2</h4><a>-6</a></div>
+<div class=ad>-3</div><p>+40</p><div class=ad>-45</div><p>+30</p><div class=comments><p>-20</p><p>-140</p><div><div><p>-60</p></div></div></div>
+<form><p>-3</p><p>-8</p></form><form><p>+70</p><p>+45</p><p>+90</p></form>
+<div class=sidebar><p>-12</p><div><p>-9</p><p>-30</p></div><div><p>+100</p><p>+90</p></div></div>
+<div><a>-3</a></div><div><a>-2</a></div><div>+25</div><div>+4</div><div>+60 <a>+5</a></div><div><a>-10</a></div><div><a>-14</a></div><div><a>-11</a></div>
+<body><p>-2 <a>-3</a></p><ul><li><a>-2</a> -1</li><li><a>-2</a></li></ul><p>+16</p><table><tr><td>+1</td><td>+2</td></tr><tr><td>+1</td><td>+3</td></tr></table><p>+11</p></body>
+<div><h2>-2</h2><ul><li><a>-5</a></li><li><a>-6</a></li></ul></div><div><h1>+7</h1><p>+26</p><blockquote>+8</blockquote><p>+19</p></div>
+<body><p><a>-2</a> <a>-2</a></p><h1>+4</h1><p>+15</p></body>
+<article><h1>+5</h1><p>+9</p></article><ul><li><a>-3</a></li><li><a>-2</a></li></ul>
+<div><p>+14</p><p>+6</p></div><div><a>-2</a> <a>-3</a></div>
+<aside><p>-70</p><p>-110</p><p>-200</p><p>-55</p><p>-80</p></aside><p>+66</p><footer><p>-75</p><p>-100</p><p>-300</p></footer>
+<div class=widget><p>+75</p><p>+85</p><p>+160</p><p>+66</p><p>+300</p></div>
+<div class=comments><p>-62</p><p>-90</p><p>-122</p><p>-170</p><p>-500</p><p>-4</p></div>
 """
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
-    """A tree of (feature, threshold, at most, above); a leaf is the class. Ties go to the first feature and threshold."""
-    if depth == 0 or y.min() == y.max():
-        return int(2 * y.sum() >= len(y))
-    best = None
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            left = x[:, f] <= cut
-            gini = sum(len(p) * 2 * p.mean() * (1 - p.mean()) for p in (y[left], y[~left]))
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, f, float(cut), left)
-    if best is None:
-        return int(2 * y.sum() >= len(y))
-    _, f, cut, left = best
-    return f, cut, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+class Block(tuple):
+    """Text, words, link density in percent, in an article, mark of its containers, heading, starts like a notice."""
 
 
-def small_tree() -> tuple | int:
-    rows = np.array([[float(v) for v in line.split()] for line in TABLE.split("\n") if line.strip()])
-    return grow(rows[:, :-1], rows[:, -1].astype(int))
+class _Frame:
+    __slots__ = ("name", "block", "body", "side", "named", "comments", "skip")
 
+    def __init__(self, name: str, block: bool, up: _Frame | None):
+        self.name, self.block = name, block
+        self.body, self.side, self.named, self.comments, self.skip = (up.body, up.side, up.named, up.comments, up.skip) if up else (0, 0, 0, 0, 0)
 
-def classify(tree: tuple | int, x: tuple) -> bool:
-    while not isinstance(tree, int):
-        f, cut, low, high = tree
-        tree = low if x[f] <= cut else high
-    return bool(tree)
 
+def _marked(f: _Frame, up: _Frame | None, said: set[str]) -> None:
+    """side: marks that elements give, 0 to 2; named: marks that names give, which weaken below a further container."""
+    if f.name in ("html", "body"):
+        return
+    if said & COMMENT_NAMES:
+        f.side, f.comments = 2, 1
+        return
+    if f.name in BODY:
+        if not f.comments:
+            f.named = 0
+            f.side = f.side if f.side == 2 else 0
+            f.body = 1
+        return
+    if up and up.named and f.name in CONTAINERS:
+        f.named = 1
+    if f.name in SIDE or (said & {"navigation", "contentinfo", "complementary"} and f.name != "div"):
+        f.side = 2
+    elif f.name == "form" or (f.name == "header" and not f.body):
+        f.side = max(f.side, 1)
+    if said & STRONG_NAMES:
+        f.named = 2
+    elif said & WEAK_NAMES or (said & HEADER_NAMES and not f.body):
+        f.named = max(f.named, 1)
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
-    """Text, words, link density in percent, inside an article, inside a side element, of each block that has text."""
-    out: list[tuple[str, int, float, int, int]] = []
-    open_: list[tuple[str, int, int, int]] = []  # name, inside an article, inside a side element, skipped
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that have text."""
+    out: list[Block] = []
+    stack: list[_Frame] = []
+    open_: Counter = Counter()
     parts: list[str] = []
-    links: list[str] = []
-    anchors, at, end = 0, 0, len(page)
+    linked = 0
+    within = 0  # inline elements open in the innermost block
+    at, end, tag = 0, len(page), TAG
+    missing: set[str] = set()
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
+        nonlocal linked
+        text = " ".join("".join(parts).split())
         if text:
-            n, linked = text.count(" ") + 1, len(" ".join(links).split())
-            _, body, side, _ = open_[-1] if open_ else ("", 0, 0, 0)
-            out.append((text, n, min(100.0, 100.0 * linked / n), body, side))
+            n = text.count(" ") + 1
+            f = next((f for f in reversed(stack) if f.block), None)
+            head = int(any(x.name in HEADINGS for x in stack[-LOOK:]))
+            out.append(Block((text, n, min(100.0, 100.0 * linked / n), f.body if f else 0, max(f.side, f.named) if f else 0, head, int(n <= 12 and bool(NOTICE.match(text))))))
         parts.clear()
-        links.clear()
+        linked = 0
+
+    def pop_to(k: int) -> None:
+        nonlocal within
+        for f in stack[k:]:
+            open_[f.name] -= 1
+        del stack[k:]
+        within = 0
+        for f in reversed(stack):
+            if f.block or within > INLINE:
+                break
+            within += 1
+
+    def innermost() -> int:
+        k = len(stack) - 1
+        while k >= 0 and not stack[k].block:
+            k -= 1
+        return k
 
     while at < end:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text and not (open_ and open_[-1][3]):
+        lt = page.find("<", at)
+        text = page[at : lt if lt >= 0 else end]
+        if text and not (stack and stack[-1].skip):
+            text = entities.unescape(text)
             parts.append(text)
-            if anchors:
-                links.append(entities.unescape(text))
-        if not m:
+            if open_["a"]:
+                linked += len(text.split())
+        if lt < 0:
             break
-        at = m.end()
-        if not m[2]:
+        after = page[lt + 1 : lt + 3]
+        if after[:1] in ("!", "?"):
+            at = COMMENT.match(page, lt).end()
             continue
+        if not re.match(r"/?[A-Za-z]", after):
+            if after[:1] == "/":  # an end tag without a name
+                gt = page.find(">", lt)
+                at = gt + 1 if gt >= 0 else end
+            else:
+                if not (stack and stack[-1].skip):
+                    parts.append("<")
+                at = lt + 1
+            continue
+        m = tag.match(page, lt)
+        if not m:
+            tag = LOOSE_TAG
+            m = tag.match(page, lt)
+        at = m.end()
         name = m[2].lower()
+        block = name in BLOCKS or name in SKIPPED
         if name in BLOCKS:
             flush()
         if m[1]:
-            if name == "a":
-                anchors = max(0, anchors - 1)
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    del open_[k:]
+            if not open_[name]:
+                continue
+            k = len(stack) - 1
+            while stack[k].name != name and (block or not stack[k].block):
+                k -= 1
+                if k < 0:
                     break
-        elif name in VOID or m[3].endswith("/"):
+            if k >= 0 and stack[k].name == name:
+                pop_to(k)
+            continue
+        if name in VOID or m[3].endswith("/"):
             if name == "br":
                 parts.append(" ")
-        elif name == "a":
-            anchors += 1
-        elif name in BLOCKS or name in SKIPPED or m[3]:
-            if name == "p" and open_ and open_[-1][0] == "p":
-                open_.pop()
-            _, body, side, skip = open_[-1] if open_ else ("", 0, 0, 0)
-            said = {w.lower() for g in NAMES.findall(m[3]) for w in "".join(g).split()}
-            if name in ("html", "body"):
-                said = set()
-            side = side or int(name in SIDE or bool(said & SIDE_NAMES) or (name == "header" and not body))
-            open_.append((name, body or int(name in BODY), side, skip or int(name in SKIPPED)))
-            if name in RAW:
-                over = RAW[name].search(page, at)
-                at = over.end() if over else end
-                open_.pop()
+            continue
+        if name in RAW_NAMES:
+            over = None if name in missing else RAW_END[name].search(page, at)
+            if over:
+                at = over.end()
+            elif name in ("script", "style"):
+                at = end
+            else:
+                missing.add(name)
+            continue
+        if name in BLOCKS:
+            k = innermost()
+            if k >= 0 and stack[k].name == "p":
+                pop_to(k)
+            if name in CLOSES:
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - LOOK), -1):
+                    if stack[k].name in BOUNDS:
+                        break
+                    if stack[k].name in CLOSES[name]:
+                        pop_to(k)
+                        if name != "tr" or not any(f.name == "tr" for f in stack[-2:]):
+                            break
+        elif name == "a" and open_["a"]:
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - LOOK), -1):
+                if stack[k].name == "a":
+                    pop_to(k)
+                    break
+        if not block and within >= INLINE:
+            continue
+        up = stack[-1] if stack else None
+        f = _Frame(name, block, up)
+        f.skip = f.skip or int(name in SKIPPED)
+        if block:
+            # only whole tokens count; role="x" is read like a name
+            _marked(f, up, {w for g in NAMES.findall(m[3]) for w in (g[1] or g[2] or g[3]).lower().split()} if m[3] else set())
+        within = 0 if block else within + 1
+        open_[name] += 1
+        stack.append(f)
     flush()
     return out
 
 
+PAD = Block(("", 0, 0.0, 0, 0, 0, 0))
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in an article", "mark", "heading", "notice")
+
+
+def features(found: list[Block]) -> list[tuple]:
+    return [(b[1], b[2], before[1], before[2], after[1], after[2], *b[3:]) for before, b, after in zip([PAD, *found], found, [*found[1:], PAD], strict=False)]
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple | int:
+    """A tree of (feature, threshold, at most, above); a leaf is the class. Ties go to the first feature and threshold."""
+    if depth == 0 or y.min() == y.max():
+        return int(2 * y.sum() >= len(y))
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for cut in (values[1:] + values[:-1]) / 2:
+            left = x[:, f] <= cut
+            gini = sum(len(p) * 2 * p.mean() * (1 - p.mean()) for p in (y[left], y[~left]))
+            if best is None or gini < best[0] - 1e-12:
+                best = (gini, f, float(cut), left)
+    if best is None:
+        return int(2 * y.sum() >= len(y))
+    _, f, cut, left = best
+    return f, cut, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and classes of the blocks of EXAMPLES."""
+    x, y = [], []
+    for page in EXAMPLES.strip().split("\n"):
+        found = blocks(re.sub(r"([+-])([0-9]+)", lambda m: " ".join(["k" if m[1] == "+" else "d"] * int(m[2])), page))
+        x += features(found)
+        y += [int(b[0][0] == "k") for b in found]
+    return np.array(x, float), np.array(y)
+
+
+def small_tree() -> tuple | int:
+    return grow(*labelled())
+
+
+def classify(tree: tuple | int, x: tuple) -> bool:
+    while not isinstance(tree, int):
+        f, cut, low, high = tree
+        tree = low if x[f] <= cut else high
+    return bool(tree)
+
+
 def main_text(page: str | None, tree: tuple | int) -> str:
     found = blocks(page or "")
-    pad = ("", 0, 0.0, 0, 0)
-    kept = []
-    for before, b, after in zip([pad, *found], found, [*found[1:], pad], strict=False):
-        if classify(tree, (b[1], b[2], before[1], before[2], after[1], after[2], b[3], b[4])):
-            kept.append(b[0])
-    return "\n\n".join(kept)
+    return "\n\n".join(b[0] for b, x in zip(found, features(found), strict=True) if classify(tree, x))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -102,7 +103,8 @@ def test_html_of_other_pages() -> None:
     def splits(t):
         return set() if isinstance(t, int) else {t[0]} | splits(t[2]) | splits(t[3])
 
-    assert splits(tree) & {1} and splits(tree) & {2, 3, 4, 5}
+    used = {op3_html.FEATURES[k] for k in splits(tree)}
+    assert "link density" in used and used & {"words before", "link density before"} | used & {"words after", "link density after"}
     text = " ".join(f"word{k}" for k in range(40))
     links = "".join(f"<li><a href=x>More of this {k}</a></li>" for k in range(4))
     keep = lambda page: op3_html.main_text(page, tree).split("\n\n")
@@ -112,6 +114,43 @@ def test_html_of_other_pages() -> None:
     assert keep(f"<body><div class=widget><p>{text} {text} {text}</p><p>{text} {text} {text}</p></div></body>") == [f"{text} {text} {text}"] * 2
 
 
+def test_html_of_real_markup() -> None:
+    """Names that only look like side names, headings in containers, elements that close themselves, broken tags."""
+    tree = op3_html.small_tree()
+    keep = lambda page: op3_html.main_text(page, tree).split("\n\n")
+    text = " ".join(f"word{k}" for k in range(40))
+    for page in (f'<article class="post share-enabled"><p>{text}', f'<article class="post comments-open"><p>{text}</p></article>', f'<div class="site has-sidebar"><p>{text}</p></div>', f'<div class="sidebar layout"><main><p>{text}</p></main></div>', f"<form><article><p>{text}</p></article></form>"):
+        assert keep(page) == [text]
+    assert keep("<div><p>Short text here.</p></div>") == ["Short text here."]
+    assert keep(f'<article><div class="entry-header"><h1>The title</h1></div><p>{text}</p></article>') == ["The title", text]
+    assert keep(f"<article><ul><li class=share>tw<li><p>Second item of it</ul><p>{text}</p></article>") == ["Second item of it", text]
+    assert keep(f"<article><p>{text}</p><div>We use cookies.</div><p>{text}</p></article>") == [text, text]
+    assert keep(f"<table><tr><td>one<td>two<tr><td>three</table><dl><dt>a<dd>b<dt>c<dd>{text}</dl>") == ["one", "two", "three", "a", "b", "c", text]
+    assert keep('<p><b class="x"><b>one two</b> three</b> four</p>') == ["one two three four"]
+    assert keep("<p>a < b and c &lt; d &amp;amp; &am<b>p;</b> <a title='x > y'>e</a> f g</p>") == ["a < b and c < d &amp; &amp; e f g"]
+    assert keep(f'<main><p>{text}</p><section class="comments-area"><article class="comment"><p>{text} {text} {text}</p></article></section></main>') == [text]
+    assert keep(f"<aside><p>{text} {text} {text}</p></aside><p>{text}</p><footer>{text} {text}</footer>") == [text]
+    assert keep(f"<p>{text}</p><p class='x>never closed</p>")[0] == text
+    assert keep(f"<title>x<p>{text}</p>")[-1] == text
+
+
+def test_html_odd_input(spark) -> None:
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>Same one two three</p></article>"), (3, "u", "<article><p>Same one two three</p></article>"), (4, "u", "<div>" * 50_000 + "deep " * 30 + "</div>" * 50_000), (5, "u", "<p>" + "long " * 200_000), (6, "u", "<p>\U0001f600 é a b c d</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(7)).withColumn("n_chars", F.lit("x"))
+    got = op3_html.extract(df).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 18), (3, 18), (4, 149), (5, 999_999), (6, 11)]
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert op3_html.extract(df.where("false")).count() == 0
+
+
+def test_html_is_linear() -> None:
+    tree = op3_html.small_tree()
+    for bad in ('<a "', "<a ", "<b><i>", "<div>", "<ul><li>", "</p>", "<title>", "<i><div><b>", "<a href=x>y<div>"):
+        start = time.process_time()
+        op3_html.main_text(bad * 30_000, tree)
+        assert time.process_time() - start < 5
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
