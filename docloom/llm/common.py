@@ -42,12 +42,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def held(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks while a few steps read it: for many small parts, of which a table would make as many
     files. Lost parts are made anew from their lineage. The caller lets go of it with unpersist()."""
@@ -63,11 +66,40 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
         now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
         if not now or not 0 < int(now[1]) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+    reach_workers(spark)
+    return df.mapInArrow(f, schema)
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Workers find this package wherever the driver found it."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
-    return df.mapInArrow(f, schema)
+
+
+def shard_ids(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that Spark's hash partitioning deals to n partitions, one each: number k goes to partition k."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < n:
+        rows = spark.range(at, at + 32 * n, numPartitions=1).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("to"))
+        for r in rows.groupBy("to").agg(F.min("id").alias("id")).collect():  # at most n rows
+            found.setdefault(r.to, r.id)
+        at += 32 * n
+    return [found[k] for k in range(n)]
+
+
+def bucketed(df: DataFrame, key: str, n: int, tag: str) -> DataFrame:
+    """df, already dealt by key to n partitions, written once to the shared folder as n buckets, so that readers by key need no exchange."""
+    spark = df.sparkSession
+    name = f"docloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    _removed_at_exit(spark, path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def width(spark: SparkSession) -> int:

@@ -1,19 +1,28 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing: P(w | c) = (n(c, w) + MU * P(w)) / (n(c) + MU) for every context c,
-and P(w) = (n(w) + ALPHA) / (N + ALPHA * (V + 1)) after unknown ones (where both are equal) and at the start. Both sum to
-one over the V known tokens and one unknown. There are no trigrams.
+A trigram model that weighs the evidence of each order:
 
-Tokens go to shards by their own hash, as packed arrays. A shard holds all that the corpus says of its tokens, so it
-counts them, builds its trie, and answers the queries for them, all in one task whose size is the corpus over the number
-of shuffle partitions. log P(w | c) is a difference of two logarithms: the first needs the counts of w and of the pair,
-which the shard of w has, the second n(c), which the shard of c has. So each shard adds its parts to the sums of a
-document, no task needs a table of contexts, and contexts of any rate are kept. A trie has two levels: tokens, and for each the contexts seen before it. Keys of a level are
-monotone within a node and pointers to children monotone overall, so both are Elias-Fano coded; probabilities are
-quantised to 16 bits. The levels lie in a memory-mapped scratch file that ends with its task. A query finds its node, then
-the context by successor search between the node's pointers.
+    P(w | u, v) = (n(u, v, w) + A * n(v, w) + B * P(w)) / (n(u, v) + A * n(v) + B),   P(w) = (n(w) + ALPHA) / (N + ALPHA * (V + 1))
 
-Counts are of all training texts; nothing is sampled or capped. Sums over shards come back as arrays for slices of documents.
+sums to one over the V known tokens and one unknown. Two starts stand before each text; after unknown words less evidence
+is left, none at last. log P splits into a numerator, of which all counts end in w, and a denominator, of which all end in v.
+So one trie that is keyed from the last word backwards serves both: w, below it the words before, below those the words
+before them. An occurrence of w asks for its own numerator and for the denominator of the token that follows.
+
+Four steps, none of which sends a table of the corpus anywhere:
+
+1. Tokens are counted map-side and summed by shards: N, V. Each task also names the n-grams that make up at least HOT / 2
+   of what it holds, so every n-gram of a rate of HOT or more is named; at most 2 / HOT an order go on, a proven bound.
+2. Their exact counts are taken over all texts.
+3. Distinct n-grams with counts go to shards: by w, hot words by (v, w), hot pairs by (u, v, w), so no shard gets more than
+   about HOT of the corpus by one key. A shard builds its trie, which is written once to shared storage, a bucket a shard.
+4. Distinct n-grams of all texts go to the shards as questions; the tries stay where they are. Hot trigrams are answered
+   from the bounded tables. Answers return to the part of the texts that asked, in its order, and are summed by document.
+
+Keys of a level are monotone within a node and pointers to children monotone overall, so both are Elias-Fano coded;
+numerators and denominators are quantised to 16 bits. A task maps the levels of its trie from a scratch file that ends with
+it, and finds a child by successor search between its parent's pointers. All counts are of all training texts; no n-gram is
+dropped, whatever its rate.
 
 Defined results: null text is empty: one token, the end. A null doc_id is neither held out nor learnt from. Without
 training texts N and V are 0. Repeated rows are counted and answered each. Other columns are ignored.
@@ -21,6 +30,7 @@ training texts N and V are 0. Repeated rows are counted and answered each. Other
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Iterator
 
@@ -31,21 +41,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, span_hashes, strings, table, width, word_spans
+from .common import bucketed, crc_mod, map_batches, mixed, reach_workers, shard_ids, span_hashes, stash, strings, table, width, word_spans
 
 ALPHA = 0.1
-MU = 200.0
-#: The least part of the training tokens that a context must make up: none, all are kept.
-MIN_RATE = 0.0
-END = np.uint64(0x5851F42D4C957F2D)
-#: Tokens that a task holds before it hands them on, and documents in one slice of results.
-FLUSH, SLICE = 2_000_000, 256
-LOWEST, LEVELS = -20.0, 65535
+#: Weights of the lower orders, by held-out likelihood.
+A, B = 0.01, 20.0
+#: The rate from which an n-gram counts as hot; it only decides where counts are held.
+HOT = 2.5e-4
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Tokens that a task holds before it hands them on.
+FLUSH = 2_000_000
+LOWEST, HIGHEST, LEVELS = -16.0, 12.0, 65535
 
 
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, with a directory of ones for every 64 bits."""
 
+    PARTS = ("low", "high", "ahead")
+
     def __init__(self, values: np.ndarray, universe: int):
         values = values.astype(np.uint64)
         self.n = n = len(values)
@@ -58,10 +71,19 @@ class EliasFano:
         flags = np.zeros(size * 64, np.uint8)
         flags[ones] = 1
         self.high = np.packbits(flags, bitorder="little").view(np.uint64)
-        self.ahead = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high)))).astype(np.int64)
+        self.ahead = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high)))).astype(np.uint32)
 
-    def parts(self) -> list[str]:
-        return ["low", "high", "ahead"]
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        first = i * self.l
+        raw = np.zeros(len(i), np.uint64)
+        byte = first >> 3
+        for k in range((self.l + 7) // 8 + 1 if self.l <= 48 else 8):
+            raw |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
+        raw >>= (first & 7).astype(np.uint64)
+        more = (first & 7) + self.l > 64
+        if more.any():
+            raw[more] |= self.low[byte[more] + 8].astype(np.uint64) << (64 - (first[more] & 7)).astype(np.uint64)
+        return raw & np.uint64((1 << self.l) - 1)
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
@@ -75,18 +97,13 @@ class EliasFano:
             place += np.where(up, half, 0)
             bits = np.where(up, bits >> np.uint64(half), bits)
         high = (word * 64 + place - i).astype(np.uint64)
-        if not self.l:
-            return high
-        first = i * self.l
-        raw = np.zeros(len(i), np.uint64)
-        byte = first >> 3
-        for k in range(8):
-            raw |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        raw >>= (first & 7).astype(np.uint64)
-        more = (first & 7) + self.l > 64
-        if more.any():
-            raw[more] |= self.low[byte[more] + 8].astype(np.uint64) << (64 - (first[more] & 7)).astype(np.uint64)
-        return (high << np.uint64(self.l)) | (raw & np.uint64((1 << self.l) - 1))
+        return (high << np.uint64(self.l)) | self._low(i) if self.l else high
+
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        i = np.arange(self.n)
+        high = (np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n] - i).astype(np.uint64)
+        return (high << np.uint64(self.l)) | self._low(i) if self.l else high
 
     def successor(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The first place in [start, end) with a value of at least x; end if there is none."""
@@ -101,287 +118,532 @@ class EliasFano:
         return start
 
 
-def quantised(log: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(log, LOWEST, 0) / LOWEST * LEVELS).astype(np.uint16)
+def quantised(x: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(x, LOWEST, HIGHEST) - LOWEST) / (HIGHEST - LOWEST) * LEVELS).astype(np.uint16)
+
+
+def loosened(q: np.ndarray) -> np.ndarray:
+    return q / LEVELS * (HIGHEST - LOWEST) + LOWEST
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(v) + w)
+
+
+def triple_key(u: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return mixed(mixed(u ^ np.uint64(0xA0761D6478BD642F)) + pair)
+
+
+class Counts:
+    """Sorted keys with counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of keys, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], -1)
+
+
+class Model:
+    """What all tasks know: N, V, the number of training texts, and the exact counts of hot n-grams by order."""
+
+    def __init__(self, n: int, v: int, texts: int, hot: list[Counts], shards: list[int]):
+        self.n, self.v, self.texts, self.hot, self.shards = n, v, texts, hot, shards
+        self.total = n + ALPHA * (v + 1)
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        return (count + ALPHA) / self.total
+
+    def routed(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The shard of each n-gram: by its word; if that is hot, by its last two; if those are, by all three."""
+        route = w.copy()
+        hot = np.flatnonzero(self.hot[0].get(w) >= 0)
+        pair = pair_key(v[hot], w[hot])
+        route[hot] = pair
+        of = self.hot[1].get(pair) >= 0
+        route[hot[of]] = triple_key(u[hot[of]], pair[of])
+        return ((mixed(route) >> np.uint64(32)) * np.uint64(len(self.shards)) >> np.uint64(32)).astype(np.int64)
 
 
 class Trie:
-    """Two levels over the tokens of a shard: keys, log10 probabilities, pointers to contexts, contexts, theirs."""
-
-    def __init__(self, words: np.ndarray, log_word: np.ndarray, first: np.ndarray, contexts: np.ndarray, log_pair: np.ndarray, n_contexts: int):
-        """log_pair: log10 of (n(c, w) + MU * P(w)) / (n(w) + MU), at most 0."""
-        self.words = EliasFano(words, 1 << 64)
-        self.pointers = EliasFano(first, int(first[-1]) + 1)
-        owner = np.repeat(np.arange(len(words)), np.diff(first))
-        self.step = n_contexts + 1  # keys of a level are made monotone by adding the node's number times this
-        self.contexts = EliasFano(contexts.astype(np.uint64) + owner.astype(np.uint64) * np.uint64(self.step), max(1, len(words)) * self.step)
-        self.p_word, self.p_pair = quantised(log_word), quantised(log_pair)
-
-    def mapped(self) -> Trie:
-        """The same with all arrays in one memory-mapped file without a name."""
-        self.file = tempfile.TemporaryFile()
-        where = [(o, k) for o in (self.words, self.pointers, self.contexts) for k in o.parts()] + [(self, "p_word"), (self, "p_pair")]
-        spots = []
-        for o, k in where:
-            a = getattr(o, k)
-            self.file.write(b"\0" * (-self.file.tell() % 8))
-            spots.append((o, k, self.file.tell(), a.dtype, len(a)))
-            self.file.write(a.tobytes())
+    """The n-grams of a shard. names: all its words; then levels of words, words before them, and words before those."""
+
+    LEVELS_OF = ("names", "words", "first2", "keys2", "first3", "keys3")
+    VALUES = ("count", "num2", "den2", "num3")
+
+    def __init__(self, names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray, n: np.ndarray, model: Model):
+        """names sorted; w, v, u their numbers, n counts, sorted by (w, v, u) without repeats."""
+        step = len(names)
+        words, top = np.unique(w, return_inverse=True)
+        pair = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))) if len(w) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
+        count = np.bincount(top, n, len(words)).astype(np.int64)
+        known = model.hot[0].get(names[words])
+        count = np.where(known >= 0, known, count)
+        count2 = np.bincount(owner, n, len(pair)).astype(np.int64)
+        known = model.hot[1].get(pair_key(names[v[pair]], names[w[pair]]))
+        count2 = np.where(known >= 0, known, count2)
+        up = top[pair]
+        low = B * model.p(count)
+        self.step = step
+        self.names = EliasFano(names, 1 << 64)
+        self.words = EliasFano(words, step + 1)
+        self.first2 = EliasFano(np.searchsorted(up, np.arange(len(words) + 1)), len(pair) + 1)
+        self.keys2 = EliasFano(up.astype(np.uint64) * np.uint64(step) + v[pair].astype(np.uint64), max(1, len(words)) * step)
+        self.first3 = EliasFano(np.append(pair, len(w)), len(w) + 1)
+        self.keys3 = EliasFano(owner.astype(np.uint64) * np.uint64(step) + u.astype(np.uint64), max(1, len(pair)) * step)
+        self.count = count.astype(np.uint64)
+        self.num2 = quantised(np.log10(A * count2 + low[up]))
+        self.den2 = quantised(np.log10(count2 + A * count[up] + B))
+        self.num3 = quantised(np.log10(n + A * count2[owner] + low[top]))
+
+    def to_bytes(self) -> bytes:
+        said, blobs, at = {"step": self.step}, [], 0
+        for o, names in [(getattr(self, k), EliasFano.PARTS) for k in self.LEVELS_OF] + [(self, self.VALUES)]:
+            said.setdefault("levels", []).append([o.n, o.l] if o is not self else [])
+            for k in names:
+                a = getattr(o, k)
+                said.setdefault("at", []).append([at, a.dtype.str, len(a)])
+                blob = a.tobytes()
+                blobs += [blob, bytes(-len(blob) % 8)]
+                at += len(blob) + -len(blob) % 8
+        head = json.dumps(said).encode()
+        head += b" " * (-(len(head) + 8) % 8)
+        return len(head).to_bytes(8, "little") + head + b"".join(blobs)
+
+    @classmethod
+    def mapped(cls, blob: bytes) -> Trie:
+        """The trie with its levels mapped from a scratch file without a name."""
+        self, size = cls.__new__(cls), int.from_bytes(blob[:8], "little")
+        said = json.loads(bytes(blob[8 : 8 + size]))
+        self.file, self.step = tempfile.TemporaryFile(), said["step"]
+        self.file.write(blob)
         self.file.flush()
-        for o, k, at, kind, n in spots:
-            if n:
-                setattr(o, k, np.memmap(self.file, kind, "r", at, (n,)))
+        spots = iter(said["at"])
+
+        def fill(o: object, names: tuple) -> None:
+            for k in names:
+                at, kind, n = next(spots)
+                setattr(o, k, np.memmap(self.file, kind, "r", 8 + size + at, (n,)) if n else np.zeros(0, kind))
+
+        for k, (n, low) in zip(self.LEVELS_OF, said["levels"], strict=False):
+            level = EliasFano.__new__(EliasFano)
+            level.n, level.l = n, low
+            fill(level, EliasFano.PARTS)
+            setattr(self, k, level)
+        fill(self, self.VALUES)
+        self.name, self.word = self.names.all(), self.words.all()  # looked up by many: decoded once
         return self
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """The nodes of words, -1 where there is none."""
-        n = np.full(len(words), self.words.n)
-        at = self.words.successor(words, np.zeros(len(words), np.int64), n)
-        return np.where((at < n) & (self.words.at(np.minimum(at, max(0, self.words.n - 1))) == words), at, -1) if self.words.n else np.full(len(words), -1)
-
-    def score(self, node: np.ndarray, context: np.ndarray, p: np.ndarray, most: np.ndarray, mu: float) -> np.ndarray:
-        """The numerators' logarithms: log10 of n(c, w) + mu * P(w) for nodes (-1: unknown token) and contexts (0: none, P(w) alone); p: log10 of P of unknown tokens, most: log10 of n(w) + mu."""
-        known = node >= 0
-        out = p.copy()
-        out[known] = self.p_word[node[known]] / LEVELS * LOWEST
-        pair = np.flatnonzero(context > 0)
-        out[pair] += np.log10(mu)
-        pair = pair[known[pair]]
-        lo, hi = self.pointers.at(node[pair]).astype(np.int64), self.pointers.at(node[pair] + 1).astype(np.int64)
-        key = context[pair].astype(np.uint64) + node[pair].astype(np.uint64) * np.uint64(self.step)
-        at = self.contexts.successor(key, lo, hi)
-        there = at < hi
-        there[there] = self.contexts.at(at[there]) == key[there]
-        out[pair[there]] = self.p_pair[at[there]] / LEVELS * LOWEST + most[pair[there]]
+    @staticmethod
+    def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
+        return np.where(sorted_[at] == x, at, -1) if len(sorted_) else np.full(len(x), -1)
+
+    def ids(self, names: np.ndarray) -> np.ndarray:
+        """The numbers of names, -1 where there is none."""
+        return self._find(self.name, names)
+
+    def nodes(self, w: np.ndarray) -> np.ndarray:
+        """The nodes of word numbers."""
+        return np.where(w >= 0, self._find(self.word, np.maximum(w, 0).astype(np.uint64)), -1)
+
+    def child(self, level: str, node: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """The children of nodes for context numbers, -1 where there is none, by successor search between two pointers."""
+        out = np.full(len(node), -1)
+        at = np.flatnonzero((node >= 0) & (context >= 0))
+        first, keys = (self.first2, self.keys2) if level == "2" else (self.first3, self.keys3)
+        lo, hi = first.at(node[at]).astype(np.int64), first.at(node[at] + 1).astype(np.int64)
+        key = node[at].astype(np.uint64) * np.uint64(self.step) + context[at].astype(np.uint64)
+        found = keys.successor(key, lo, hi)
+        there = found < hi
+        there[there] = keys.at(found[there]) == key[there]
+        out[at[there]] = found[there]
         return out
 
 
+def ask(trie: Trie | None, model: Model, names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of words, and quantised numerators and denominators, of n-grams sorted by (w, v, u), given by numbers into names."""
+    c = np.zeros(len(names), np.int64)
+    if trie:
+        ids = trie.ids(names)
+        node = trie.nodes(ids)
+        c[node >= 0] = trie.count[node[node >= 0]]
+    hot = model.hot[0].get(names)
+    c = np.where(hot >= 0, hot, c)
+    pair = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))) if len(w) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
+    pw, pv = w[pair], v[pair]
+    low = B * model.p(c[pw])
+    num, den = quantised(np.log10(low)), quantised(np.log10(A * c[pw] + B))
+    known = model.hot[1].get(pair_key(names[pv], names[pw]))
+    of = known >= 0
+    num[of], den[of] = quantised(np.log10(A * known[of] + low[of])), quantised(np.log10(known[of] + A * c[pw[of]] + B))
+    if not trie:
+        return c[w], num[owner], den[owner]
+    node2 = trie.child("2", node[pw], ids[pv])
+    there = node2 >= 0
+    num[there], den[there] = trie.num2[node2[there]], trie.den2[node2[there]]
+    num, den = num[owner], den[owner]
+    node3 = trie.child("3", node2[owner], ids[u])
+    there = node3 >= 0
+    num[there] = trie.num3[node3[there]]
+    return c[w], num, den
+
+
 def tokens(text: str | None) -> np.ndarray:
     data, starts, ends = word_spans(text or "")
     return np.append(span_hashes(data, starts, ends), END) if len(starts) else np.array([END], np.uint64)
 
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def contexts(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, the ones before and those before them, and the number of tokens of each text."""
+    n = np.array([len(x) for x in held], np.int64)
+    w = np.concatenate(held) if held else np.zeros(0, np.uint64)
+    first = np.cumsum(n) - n
+    v = np.concatenate(([START], w[:-1]))[: len(w)]
+    v[first] = START
+    u = np.concatenate(([START], v[:-1]))[: len(w)]
+    u[first] = START
+    return w, v, u, n
 
 
-def _count(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first ones first, which compress better so."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            cut = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
-            rows = [(k, h[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "keys", "counts"])
 
-        for b in batches:
-            for text, train in zip(strings(b["text"]), b["train"].to_pylist(), strict=True):
-                if train:
-                    held.append(tokens(text))
-                    size += len(held[-1])
+def _unplaned(raw: bytes, kind: type, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    a = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+    return np.ascontiguousarray(a).view(kind).reshape(n), at + n * size
+
+
+def packed(names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray, n: np.ndarray | None = None) -> bytes:
+    """N-grams (numbers into names) sorted by (w, v, u), with counts or without, and the names that they use."""
+    used, to = np.unique(np.concatenate((w, v, u)), return_inverse=True)
+    k = len(w)
+    parts = [np.array([len(used), k], np.int64).tobytes(), _planes(np.diff(names[used], prepend=np.uint64(0)))]
+    parts += [_planes(x.astype(np.uint32)) for x in (np.diff(to[:k], prepend=0), to[k : 2 * k], to[2 * k :])]
+    parts += [_planes(n.astype(np.uint32))] if n is not None else []
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpacked(blob: bytes, counts: bool) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    m, k = np.frombuffer(raw, np.int64, 2).tolist()
+    steps, at = _unplaned(raw, np.uint64, m, 16)
+    out = [np.cumsum(steps, dtype=np.uint64)]
+    for j in range(3 + counts):
+        x, at = _unplaned(raw, np.uint32, k, at)
+        out.append(np.cumsum(x, dtype=np.int64) if j == 0 else x.astype(np.int64))
+    return tuple(out)
+
+
+def distinct(w: np.ndarray, v: np.ndarray, u: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct n-gram (numbers below m), sorted by (w, v, u), and which of them each place has."""
+    key = w.astype(np.uint64) * np.uint64(m) + v.astype(np.uint64)
+    if m >= 2_600_000:  # three numbers no longer fit 64 bits
+        key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    _, first, to = np.unique(key * np.uint64(m) + u.astype(np.uint64), return_index=True, return_inverse=True)
+    return first, to
+
+
+def _flushed(batches: Iterator[pa.RecordBatch], only_training: bool, f, end) -> Iterator[pa.RecordBatch]:
+    """f(ids, train, tokens of texts) for every FLUSH tokens or so, and end() at last."""
+    ids, train, held, size = [], [], [], 0
+    for b in batches:
+        for doc, text, learnt in zip(b["doc_id"].to_pylist(), strings(b["text"]), b["train"].to_pylist(), strict=True):
+            if only_training and not learnt:
+                continue
+            ids.append(doc)
+            train.append(bool(learnt))
+            held.append(tokens(text))
+            size += len(held[-1])
             if size >= FLUSH:
-                yield flush()
-                size = 0
-        yield flush()
+                yield from f(ids, train, held)
+                ids, train, held, size = [], [], [], 0
+    if held:
+        yield from f(ids, train, held)
+    yield from end()
 
-    return run
+
+def _rows(kinds: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+
+
+def _count(shards: int):
+    """Rows (shard, level, keys, counts): words at level 0, hot n-grams of what a task holds at 1 to 3."""
+    kinds = [("shard", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
+
+    def out(_: list, __: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w, v, u, _n = contexts(held)
+        h, to, n = np.unique(w, return_inverse=True, return_counts=True)
+        least = HOT / 2 * len(w)
+        hot = np.flatnonzero((n >= least)[to])
+        k2, of2, n2 = np.unique(pair_key(v[hot], w[hot]), return_inverse=True, return_counts=True)
+        hot3 = (n2 >= least)[of2]
+        k3, n3 = np.unique(triple_key(u[hot[hot3]], k2[of2[hot3]]), return_counts=True)
+        rows = []
+        for level, keys, counts in ((0, h, n), (1, h[n >= least], n[n >= least]), (2, k2[n2 >= least], n2[n2 >= least]), (3, k3[n3 >= least], n3[n3 >= least])):
+            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            keys, counts, cut = keys[order], counts[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            rows += [(k, level, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+        yield _rows(kinds, rows)
+
+    return lambda batches: _flushed(batches, True, out, lambda: [])
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    """Rows (level, key, n, types): tokens and types at level 0, sums of hot n-grams at the others."""
+    keys, counts = [[] for _ in range(4)], [[] for _ in range(4)]
     for b in batches:
-        keys += [np.frombuffer(x, np.uint64) for x in b["keys"].to_pylist()]
-        counts += [np.frombuffer(x, np.uint32) for x in b["counts"].to_pylist()]
-    h = np.unique(np.concatenate(keys))
-    yield pa.RecordBatch.from_arrays([pa.array([len(h)]), pa.array([int(sum(c.sum(dtype=np.int64) for c in counts))])], ["types", "tokens"])
+        for level, k, n in zip(b["level"].to_pylist(), b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
+            keys[level].append(np.frombuffer(k, np.uint64))
+            counts[level].append(np.frombuffer(n, np.uint32))
+    for level in range(4):
+        if keys[level]:
+            k, to = np.unique(np.concatenate(keys[level]), return_inverse=True)
+            n = np.bincount(to, np.concatenate(counts[level])).astype(np.int64)
+            cols = [[0], [int(n.sum())], [len(k)]] if level == 0 else [k.view(np.int64), n, np.zeros(len(k), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([level] * len(cols[0]), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["level", "key", "n", "types"])
+
+
+def _recount(sent):
+    """Rows (level, key, n): exact counts of the hot n-grams, and of the texts at level 0."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = [Counts(np.sort(k), np.arange(len(k))) for k in sent.value]
+        totals, texts = [np.zeros(len(k.keys), np.int64) for k in hot], 0
+
+        def add(_: list, __: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal texts
+            texts += len(held)
+            w, v, u, _n = contexts(held)
+            for level in range(3):
+                key = w if level == 0 else pair_key(v, w) if level == 1 else triple_key(u, pair_key(v, w))
+                at = hot[level].get(key)
+                totals[level] += np.bincount(at[at >= 0], minlength=len(totals[level]))
+                w, v, u = w[at >= 0], v[at >= 0], u[at >= 0]
+            return iter(())
+
+        def end() -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate([[0], *(np.full(len(t), k + 1) for k, t in enumerate(totals))]), np.concatenate([np.zeros(1, np.uint64), *(h.keys for h in hot)]).view(np.int64), np.concatenate([[texts], *totals])]
+            some = cols[2] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][some], pa.int32()), pa.array(cols[1][some], pa.int64()), pa.array(cols[2][some], pa.int64())], ["level", "key", "n"])
+
+        yield from _flushed(batches, True, add, end)
 
-class Vocabulary:
-    """N and V."""
+    return run
 
-    def __init__(self, n: int, v: int):
-        self.n, self.v = n, v
 
+def learn(docs: DataFrame) -> Model:
+    """N, V and the counts of hot n-grams of docs (doc_id, text, train). The driver gets two sums and at most 2 / HOT counts an order."""
+    spark = docs.sparkSession
+    shards = width(spark)
+    docs = docs.select("doc_id", "text", "train")
+    counted = map_batches(docs, _count(shards), "shard int, level int, keys binary, counts binary")
+    sums = stash(map_batches(counted.repartitionById(shards, F.col("shard")).select("level", "keys", "counts"), _sum_counts, "level int, key long, n long, types long"), "counts")
+    all_ = sums.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    named = sums.where(F.col("level") > 0).where(F.col("n") >= HOT / 2 * all_.n).select("level", "key").toArrow()
+    level, key = named["level"].to_numpy(), named["key"].to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast([key[level == k] for k in (1, 2, 3)])
+    exact = map_batches(docs, _recount(sent), "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).toArrow()
+    level, key, n = exact["level"].to_numpy(), exact["key"].to_numpy().view(np.uint64), exact["n"].to_numpy()
+    return Model(all_.n, all_.v, int(n[level == 0].sum()), [Counts(key[level == k], n[level == k]) for k in (1, 2, 3)], shard_ids(spark, shards))
 
-def learn(docs: DataFrame) -> Vocabulary:
-    """Token counts of docs (text, train), merged shard by shard; the driver gets two sums."""
-    shards = width(docs.sparkSession)
-    counted = map_batches(docs.select("text", "train"), _count(shards), "shard int, keys binary, counts binary")
-    merged = map_batches(counted.repartition(shards, "shard").select("keys", "counts"), _sum_counts, "types long, tokens long")
-    sums = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    return Vocabulary(sums.n, sums.v)
 
+def _parts(model: Model, names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams in the order of their shards, and where each shard starts."""
+    shard = model.routed(names[u], names[v], names[w])
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(len(model.shards) + 1))
 
-def _deal(shards: int):
-    """Documents to rows (shard, part, slices, blob): the tokens of a shard with their contexts and documents."""
+
+def _deal(sent):
+    """Rows (shard, grams): the distinct n-grams of training texts with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        held: list[np.ndarray] = []
-        ids: list = []
-        learnt: list[bool] = []
-        size, part = 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-
-        def flush() -> pa.RecordBatch:
-            nonlocal size, part
-            n = np.array([len(x) for x in held])
-            h = np.concatenate(held)
-            before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
-            before[np.cumsum(n)[:-1]] = END  # no word: there is no context
-            before[0] = END
-            doc = np.repeat(np.arange(len(held), dtype=np.uint32), n)
-            order = np.argsort(h, kind="stable")
-            h, before, doc = h[order], before[order], doc[order]
-            cut = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
-            rows = []
-            for k in range(shards):
-                a, b = cut[k], cut[k + 1]
-                mine = k == (part >> 32) % shards
-                if a == b and not mine:
-                    continue
-                w, times = np.unique(h[a:b], return_counts=True)
-                c, place = np.unique(before[a:b], return_inverse=True)
-                blob = b"".join((np.array([len(w), b - a, len(ids), len(c)], np.int64).tobytes(), w.tobytes(), c.tobytes(), times.astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), doc[a:b].tobytes(), np.array(learnt, np.uint8).tobytes()))
-                about = np.array([[0 if x is None else x for x in ids], [x is None for x in ids], learnt, n], np.int64).tobytes() if mine else None
-                rows.append((k, part, squeeze(blob), about))
-            held.clear()
-            ids.clear()
-            learnt.clear()
-            size, part = 0, part + 1
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["shard", "part", "blob", "about"])
+        model: Model = sent.value
 
-        for b in batches:
-            for doc, text, train in zip(b["doc_id"].to_pylist(), strings(b["text"]), b["train"].to_pylist(), strict=True):
-                ids.append(doc)
-                learnt.append(bool(train))
-                held.append(tokens(text))
-                size += len(held[-1])
-            if size >= FLUSH:
-                yield flush()
-        if ids:
-            yield flush()
+        def out(_: list, __: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            w, v, u, _n = contexts(held)
+            names, to = np.unique(np.append(w, START), return_inverse=True)
+            w, v, u = to[:-1], np.searchsorted(names, v), np.searchsorted(names, u)
+            first, which = distinct(w, v, u, len(names))
+            n = np.bincount(which)
+            w, v, u = w[first], v[first], u[first]
+            order, cut = _parts(model, names, w, v, u)
+            rows = [(model.shards[k], packed(names, *(x[order[a:b]] for x in (w, v, u, n)))) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+            yield _rows([("shard", pa.int32()), ("grams", pa.binary())], rows)
+
+        yield from _flushed(batches, True, out, lambda: [])
 
     return run
 
 
-def _answer(v: Vocabulary, mu: float):
-    """The rows of a shard to rows (part, slice, base, score, known, about): sums for the documents of a slice."""
+def _build(sent):
+    """The n-grams of a shard to its trie."""
+
+    def made(shard: int, blobs: list[bytes], model: Model) -> pa.RecordBatch:
+        parts = [unpacked(b, True) for b in blobs]
+        names = np.unique(np.concatenate([p[0] for p in parts]))
+        w, v, u, n = (np.concatenate([np.searchsorted(names, p[0])[p[k]] if k < 4 else p[k] for p in parts]) for k in (1, 2, 3, 4))
+        parts.clear()
+        first, which = distinct(w, v, u, len(names))
+        trie = Trie(names, w[first], v[first], u[first], np.bincount(which, n).astype(np.int64), model)
+        return _rows([("shard", pa.int32()), ("trie", pa.large_binary())], [(shard, trie.to_bytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
+        held: dict[int, list[bytes]] = {}
         for b in batches:
-            for k, *row in zip(*(b[c].to_pylist() for c in ("shard", "part", "blob", "about")), strict=True):
-                if k != shard and rows:
-                    yield from answer(rows)
-                    rows = []
-                shard = k
-                rows.append(row)
-        if rows:
-            yield from answer(rows)
-
-    def answer(rows: list) -> Iterator[pa.RecordBatch]:
-        loose = zstandard.ZstdDecompressor().decompress
-        parts, words, contexts, docs, learnt, abouts, sizes = [], [], [], [], [], [], []
-        for part, blob, about in rows:
-            raw = loose(blob)
-            types, n, size, n_c = np.frombuffer(raw, np.int64, 4).tolist()
-            at = 32 + 8 * (types + n_c)
-            w = np.repeat(np.frombuffer(raw, np.uint64, types, 32), np.frombuffer(raw, np.uint32, types, at))
-            at += 4 * types
-            parts.append(part)
-            words.append(w)
-            contexts.append((np.frombuffer(raw, np.uint64, n_c, 32 + 8 * types), np.frombuffer(raw, np.uint32, n, at)))
-            docs.append(np.frombuffer(raw, np.uint32, n, at + 4 * n))
-            learnt.append(np.frombuffer(raw, np.uint8, size, at + 8 * n))
-            abouts.append(about)
-            sizes.append(size)
-        rows.clear()
-        w = np.concatenate(words)
-        names = np.setdiff1d(np.concatenate([x for x, _ in contexts]), [END])  # this shard's contexts; 0 is none
-        c = np.concatenate([np.where(x == END, 0, np.searchsorted(names, x) + 1).astype(np.uint32)[at] for x, at in contexts])
-        train = np.concatenate([x[d] for x, d in zip(learnt, docs, strict=True)]).astype(bool)
-        words.clear()
-        contexts.clear()
-        total = v.n + ALPHA * (v.v + 1)
-        steps = len(names) + 1
-        kinds, kind = np.unique(w, return_inverse=True)
-        del w
-        pair, to = np.unique(kind * np.int64(steps) + c, return_inverse=True)
-        kind, to = kind.astype(np.int32), to.astype(np.int32)
-        del c
-        seen = np.bincount(to, train, len(pair)).astype(np.int64)
-        owner, context = pair // steps, pair % steps
-        count = np.bincount(owner, seen, len(kinds)).astype(np.int64)
-        node = np.flatnonzero(count > 0)
-        name = np.full(len(kinds), -1)
-        name[node] = np.arange(len(node))
-        p = (count + ALPHA) / total
-        in_trie = (context > 0) & (seen > 0)
-        most = np.log10(count + mu)
-        log_pair = np.log10(seen[in_trie] + mu * p[owner[in_trie]]) - most[owner[in_trie]]
-        first = np.concatenate(([0], np.cumsum(np.bincount(name[owner[in_trie]], minlength=len(node))))) if len(node) else np.zeros(1, np.int64)
-        trie = Trie(kinds[node], np.log10(p[node]), first, context[in_trie], log_pair, steps).mapped()
-        found = trie.find(kinds)
-        unknown = np.full(len(owner), np.log10(ALPHA / total))
-        score = trie.score(found[owner], context, unknown, most[owner], mu)[to]
-        score -= np.where(kinds == END, 0.0, most)[kind]  # as the context of the token that follows; after an end there is none
-        base, known = np.log10(count + ALPHA)[kind], (count > 0)[kind].astype(np.float64)
-        at = 0
-        for part, d, size, about in zip(parts, docs, sizes, abouts, strict=True):
-            end = at + len(d)
-            own, to = np.unique(d, return_inverse=True)
-            sums = np.array([np.bincount(to, x[at:end], len(own)) for x in (base, score, known)])
-            at = end
-            told = np.frombuffer(about, np.int64).reshape(4, size) if about else None
-            cut = np.searchsorted(own, np.arange(0, size + SLICE, SLICE))
-            rows = [(part, k, b"".join((sums[0, a:b].tobytes(), sums[1, a:b].astype(np.float32).tobytes(), sums[2, a:b].astype(np.uint32).tobytes(), (own[a:b] - k).astype(np.uint8).tobytes())), told[:, k : k + SLICE].tobytes() if about else None) for k, a, b in zip(range(0, size, SLICE), cut, cut[1:], strict=False) if about or a < b]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["part", "slice", "sums", "about"])
+            for shard, grams in zip(b["shard"].to_pylist(), b["grams"].to_pylist(), strict=True):
+                held.setdefault(shard, []).append(grams)
+        for shard in list(held):
+            yield made(shard, held.pop(shard), sent.value)
 
     return run
 
 
-def _gather(v_n: int, v_v: int):
-    """Sorted rows of slices to documents."""
+def build(docs: DataFrame, model: Model) -> DataFrame:
+    """shard, trie: the tries of docs (doc_id, text, train), written once, a bucket a shard."""
+    shards = len(model.shards)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    dealt = map_batches(docs.select("doc_id", "text", "train"), _deal(sent), "shard int, grams binary").repartition(shards, "shard")
+    return bucketed(map_batches(dealt, _build(sent), "shard int, trie binary"), "shard", shards, "tries")
+
+
+def _asked(sent):
+    """Rows (shard, part, grams, about): the distinct n-grams of a part; one row of a part has what is needed to sum the answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, about = None, None, None
+        model: Model = sent.value
+        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+
+        def out(ids: list, train: list[bool], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            w, v, u, n = contexts(held)
+            doc = np.repeat(np.arange(len(held)), n)
+            names, to = np.unique(np.append(w, START), return_inverse=True)
+            w, v, u = to[:-1], np.searchsorted(names, v), np.searchsorted(names, u)
+            first, which = distinct(w, v, u, len(names))
+            w, v, u = w[first], v[first], u[first]
+            sums = np.zeros((3, len(held)))  # of hot n-grams: logarithms of counts, scores, known ones
+            cold = np.ones(len(w), bool)
+            maybe = np.flatnonzero(model.hot[0].get(names[w]) >= 0)
+            pair = pair_key(names[v[maybe]], names[w[maybe]])
+            n3 = model.hot[2].get(triple_key(names[u[maybe]], pair))
+            hot = n3 >= 0
+            if hot.any():
+                g, n3 = maybe[hot], n3[hot]
+                n2, n1 = model.hot[1].get(pair[hot]), model.hot[0].get(names[w[g]])
+                cold[g] = False
+                value = np.zeros((3, len(w)))
+                value[0, g], value[2, g] = np.log10(n1 + ALPHA), 1
+                value[1, g] = np.log10(n3 + A * n2 + B * model.p(n1)) - np.where(names[w[g]] == END, 0, np.log10(n2 + A * n1 + B))
+                sums = np.array([np.bincount(doc, x[which], len(held)) for x in value])
+            kept = np.flatnonzero(cold)
+            order, cut = _parts(model, names, w[kept], v[kept], u[kept])
+            kept = kept[order]
+            place = np.full(len(w), -1)
+            place[kept] = np.arange(len(kept))
+            at = place[which]
+            some = np.flatnonzero(at >= 0)
+            some = some[np.argsort(at[some], kind="stable")]
+            about = [np.array([len(held), len(kept), len(some)], np.int64).tobytes(), np.array([0 if x is None else x for x in ids], np.int64).tobytes(), np.array([x is None for x in ids], np.int64).tobytes(), np.array(train, np.int64).tobytes(), n.tobytes(), sums.tobytes()]
+            about += [_planes(doc[some].astype(np.uint32)), _planes(np.bincount(at[some], minlength=len(kept)).astype(np.uint32))]
+            mine = ((part >> 32) + part) % len(model.shards)
+            rows = []
+            for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+                if a < b or k == mine:
+                    rows.append((model.shards[k], part, k, packed(names, *(x[kept[a:b]] for x in (w, v, u))), zstandard.ZstdCompressor(level=1).compress(b"".join(about)) if k == mine else None))
+            part += 1
+            yield _rows([("shard", pa.int32()), ("part", pa.int64()), ("nth", pa.int32()), ("grams", pa.binary()), ("about", pa.binary())], rows)
+
+        yield from _flushed(batches, False, out, lambda: [])
+
+    return run
+
+
+def _answer(sent):
+    """A shard's trie and the questions to it, to rows (part, nth, values, about)."""
+
+    def run(tries: pa.Table, asked: pa.Table) -> pa.Table:
+        model: Model = sent.value
+        trie = Trie.mapped(tries["trie"][0].as_py()) if len(tries) else None
+        rows = []
+        for part, nth, grams, about in zip(*(asked[c].to_pylist() for c in ("part", "nth", "grams", "about")), strict=True):
+            names, w, v, u = unpacked(grams, False)
+            c, num, den = ask(trie, model, names, w, v, u)
+            den[names[w] == END] = 0  # nothing follows
+            rows.append((part, nth, zstandard.ZstdCompressor(level=1).compress(b"".join((_planes(c.astype(np.uint64)), _planes(num), _planes(den)))), about))
+        kinds = [("part", pa.int64()), ("nth", pa.int32()), ("values", pa.binary()), ("about", pa.binary())]
+        return pa.Table.from_batches([_rows(kinds, rows)])
+
+    return run
+
 
-        def out(total: np.ndarray, about: bytes) -> pa.RecordBatch:
-            doc, null, train, n = np.frombuffer(about, np.int64).reshape(4, -1)
-            total = total[:, : len(n)]
-            base = total[0] - n * np.log10(v_n + ALPHA * (v_v + 1))
-            cols = [pa.array(doc, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(n), pa.array(np.rint(total[2]).astype(np.int64)), pa.array(base), pa.array(total[1])]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+def _gather(sent):
+    """Sorted answers of parts to documents."""
 
+    def out(values: list[bytes], about: bytes, model: Model) -> pa.RecordBatch:
+        loose = zstandard.ZstdDecompressor().decompress
+        raw = loose(about)
+        size, grams, asked = np.frombuffer(raw, np.int64, 3).tolist()
+        ids, null, train, n = np.frombuffer(raw, np.int64, 4 * size, 24).reshape(4, size)
+        sums = np.frombuffer(raw, np.float64, 3 * size, 24 + 32 * size).reshape(3, size)
+        doc, at = _unplaned(raw, np.uint32, asked, 24 + 56 * size)
+        runs, at = _unplaned(raw, np.uint32, grams, at)
+        got = []
+        for v in map(loose, values):
+            k = len(v) // 12
+            c, at = _unplaned(v, np.uint64, k, 0)
+            num, at = _unplaned(v, np.uint16, k, at)
+            den, at = _unplaned(v, np.uint16, k, at)
+            got.append(np.array([np.log10(c + ALPHA), loosened(num) - np.where(den > 0, loosened(den), 0), c > 0]))
+        value = np.repeat(np.concatenate(got, 1), runs, 1)
+        base, score, known = (s + np.bincount(doc, x, size) for s, x in zip(sums, value, strict=True))
+        base = base - n * np.log10(model.total)
+        score = score - np.log10(model.texts + A * model.texts + B)
+        cols = [pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, values, about = None, [], None
         for b in batches:
-            for part, part_slice, sums, told in zip(b["part"].to_pylist(), b["slice"].to_pylist(), b["sums"].to_pylist(), b["about"].to_pylist(), strict=True):
-                if (part, part_slice) != key:
+            for part, v, a in zip(b["part"].to_pylist(), b["values"].to_pylist(), b["about"].to_pylist(), strict=True):
+                if part != key:
                     if key is not None:
-                        yield out(total, about)
-                    key, total, about = (part, part_slice), np.zeros((3, SLICE)), None
-                n = len(sums) // 17
-                at = np.frombuffer(sums, np.uint8, n, 16 * n)
-                total[0, at] += np.frombuffer(sums, np.float64, n)
-                total[1, at] += np.frombuffer(sums, np.float32, n, 8 * n)
-                total[2, at] += np.frombuffer(sums, np.uint32, n, 12 * n)
-                about = told or about
+                        yield out(values, about, sent.value)
+                    key, values, about = part, [], None
+                values.append(v)
+                about = a or about
         if key is not None:
-            yield out(total, about)
+            yield out(values, about, sent.value)
 
     return run
 
 
-def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
+def scored(docs: DataFrame) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score, train_tokens for docs (doc_id, text, train)."""
     spark = docs.sparkSession
-    v, shards = learn(docs), 2 * width(spark)
-    dealt = map_batches(docs.select("doc_id", "text", "train"), _deal(shards), "shard int, part long, blob binary, about binary")
-    answers = map_batches(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "part"), _answer(v, mu), "part long, slice long, sums binary, about binary")
-    answers = answers.withColumn("mine", F.spark_partition_id()).repartition(shards, "part", "slice").sortWithinPartitions("part", "slice", "mine").drop("mine")
-    out = map_batches(answers, _gather(v.n, v.v), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(v.n).cast("long"))
+    docs = docs.select("doc_id", "text", "train")
+    model = learn(docs)
+    tries, shards = build(docs, model), len(model.shards)
+    sent = spark.sparkContext.broadcast(model)
+    asked = map_batches(docs, _asked(sent), "shard int, part long, nth int, grams binary, about binary")
+    reach_workers(spark)
+    answers = tries.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answer(sent), "part long, nth int, values binary, about binary")
+    to = F.expr(f"cast(pmod((part >> 32) + 7919 * (part & 4294967295), {shards}) as int)")
+    answers = answers.repartitionById(shards, to).sortWithinPartitions("part", "nth")
+    out = map_batches(answers, _gather(sent), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,36 +279,65 @@ def test_elias_fano() -> None:
         assert (e.successor(q, np.zeros(300), np.full(300, n)) == np.searchsorted(x, q)).all()
 
 
-def test_lm(spark, sf, docs, odd) -> None:
-    rows = [(x.doc_id, x.text) for x in docs.collect()]
+#: A token's error: half a step of the quantised numerator, and of the denominator.
+STEP = 1.01 * (op7_lm.HIGHEST - op7_lm.LOWEST) / op7_lm.LEVELS
+
+
+def brute_lm(rows):
+    """What scored() gives for rows (doc_id, text, train), by dictionaries of counts."""
     cut = lambda t: [*(t or "").encode().lower().split(), None]
-    train = [cut(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    c, pair = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:], strict=False))
-    n, v = sum(c.values()), len(c)
-    frequent = {w for w in c if w is not None and c[w] >= max(1, op7_lm.MIN_RATE * n)}
+    grams = lambda t: list(zip(["", "", *t], ["", *t], t, strict=False))
+    train = [g for _, t, learnt in rows if learnt for g in grams(cut(t))]
+    c, c2, c3 = Counter(w for _, _, w in train), Counter((v, w) for _, v, w in train), Counter(train)
+    before, before2 = Counter(v for _, v, _ in train), Counter((u, v) for u, v, _ in train)
+    n, v_ = sum(c.values()), len(c)
+    out = []
+    for i, t, _ in rows:
+        p = [(c[w] + 0.1) / (n + 0.1 * (v_ + 1)) for w in cut(t)]
+        score = [(c3[u, v, w] + op7_lm.A * c2[v, w] + op7_lm.B * q) / (before2[u, v] + op7_lm.A * before[v] + op7_lm.B) for (u, v, w), q in zip(grams(cut(t)), p, strict=True)]
+        out.append((i, len(p), sum(c[w] > 0 for w in cut(t)), n, sum(map(math.log10, p)), sum(map(math.log10, score))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [op7_lm.HOT, 0.02, 1.1])
+def test_lm(spark, sf, docs, odd, monkeypatch, hot) -> None:
+    """Scores equal those of plain counts, whatever counts as hot."""
+    monkeypatch.setattr(op7_lm, "HOT", hot)
+    rows = [(x.doc_id, x.text, zlib.crc32(str(x.doc_id).encode()) % 10 != 0) for x in docs.collect()]
     got = {r.doc_id: r for r in op7_lm.op7_lm(spark, sf).collect()}
-    for i, t in rows:
-        base = [(c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in cut(t)]
-        score = [(pair[a, w] + op7_lm.MU * p) / (c[a] + op7_lm.MU) if a in frequent else p for a, w, p in zip([b"", *cut(t)[:-1]], cut(t), base, strict=True)]
+    for i, size, known, n, base, score in brute_lm(rows):
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(base), sum(c[w] > 0 for w in cut(t)), n)
-        assert math.isclose(r.base_score, sum(map(math.log10, base)), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(map(math.log10, score)), rel_tol=1e-3, abs_tol=1e-3)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (size, known, n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert abs(r.score - score) < STEP * size
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
-    for df in (odd, odd.where("false")):
-        assert op7_lm.scored(df.withColumn("train", F.col("doc_id") > 1)).count() == df.count()
-    assert op7_lm.scored(odd.withColumn("train", F.lit(False))).first().train_tokens == 0
+    if hot == op7_lm.HOT:
+        for df in (odd, odd.where("false")):
+            assert op7_lm.scored(df.withColumn("train", F.col("doc_id") > 1)).count() == df.count()
+        assert op7_lm.scored(odd.withColumn("train", F.lit(False))).first().train_tokens == 0
 
 
 def test_lm_keeps_rare_contexts(spark) -> None:
-    """A word that is one of 120 000 tokens still tells the next."""
-    rows = [(k, "wordy " * 20000, True) for k in range(6)] + [(6, "seldom heard", True), (7, "seldom heard", False), (8, "heard never", False)]
-    n, v = 6 * 20001 + 3, 4
-    p = {w: (c + 0.1) / (n + 0.1 * (v + 1)) for w, c in {"seldom": 1, "heard": 1, "": 7, "never": 0}.items()}
-    after = lambda w, pair, c: (pair + op7_lm.MU * p[w]) / (c + op7_lm.MU)
-    got = {r.doc_id: r.score for r in op7_lm.scored(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).where("doc_id > 6").collect()}
-    assert math.isclose(got[7], math.log10(p["seldom"] * after("heard", 1, 1) * after("", 1, 1)), abs_tol=2e-3)
-    assert math.isclose(got[8], math.log10(p["heard"] * after("never", 0, 1) * p[""]), abs_tol=2e-3)
+    """A word that is one of 120 000 tokens still tells the next; two copies tell more than one; a word of nearly all tokens is no other case."""
+    rows = [(k, "wordy " * 20000, True) for k in range(6)] + [(6, "seldom heard", True), (7, "seldom heard", False), (8, "heard never", False), (9, "once upon a midnight", True), (10, "twice upon a noon", True), (10, "twice upon a noon", True), (11, None, False)]
+    want = brute_lm(rows)
+    got = [tuple(r) for r in op7_lm.scored(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()]
+    for a, b in zip(sorted(want), sorted(got), strict=True):
+        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9) and abs(a[5] - b[5]) < STEP * a[1]
+    score = {r[0]: r[5] for r in got}
+    assert score[10] > score[9] + 0.5
+
+
+def test_lm_tries_are_written_once(spark, docs) -> None:
+    """The tries are a table of one row a shard, read by the step that asks without another exchange of them."""
+    train = docs.withColumn("train", F.lit(True))
+    model = op7_lm.learn(train)
+    tries = op7_lm.build(train, model)
+    rows = tries.collect()
+    assert sorted(r.shard for r in rows) == sorted(model.shards)
+    t = op7_lm.Trie.mapped(bytes(rows[0].trie))
+    assert t.names.n and len(t.num3) == t.keys3.n and (t.names.at(np.arange(t.names.n)) == t.name).all()
+    assert len(rows[0].trie) < 12 * t.keys3.n  # of 32 bytes and more as plain counts and hashes
 
 
 def test_packing(spark, sf, docs, odd) -> None:
