@@ -1,13 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-A trigram model that weighs the evidence of each order:
+A model of order 2 or 3 that weighs the evidence of each order; of order 3:
 
     P(w | u, v) = (n(u, v, w) + A * n(v, w) + B * P(w)) / (n(u, v) + A * n(v) + B),   P(w) = (n(w) + ALPHA) / (N + ALPHA * (V + 1))
 
-sums to one over the V known tokens and one unknown. Two starts stand before each text; after unknown words less evidence
-is left, none at last. log P splits into a numerator, of which all counts end in w, and a denominator, of which all end in v.
-So one trie that is keyed from the last word backwards serves both: w, below it the words before, below those the words
-before them. An occurrence of w asks for its own numerator and for the denominator of the token that follows.
+and of order 2, the default: P(w | v) = (n(v, w) + B2 * P(w)) / (n(v) + B2). Both sum to one over the V known tokens and one
+unknown. Starts stand before each text; after unknown words less evidence is left, none at last. log P splits into a
+numerator, of which all counts end in w, and a denominator, of which all end in v. So one trie that is keyed from the last
+word backwards serves both: w, below it the words before, below those the words before them. An occurrence of w asks for its
+own numerator and for the denominator of the token that follows.
 
 Four steps, none of which sends a table of the corpus anywhere:
 
@@ -30,8 +31,10 @@ training texts N and V are 0. Repeated rows are counted and answered each. Other
 
 from __future__ import annotations
 
+import itertools
 import json
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, crc_mod, map_batches, mixed, reach_workers, shard_ids, span_hashes, stash, strings, table, width, word_spans
+from .common import bucketed, crc_mod, lowered, map_batches, mixed, reach_workers, shard_ids, span_hashes, stash, strings, table, width
 
 ALPHA = 0.1
-#: Weights of the lower orders, by held-out likelihood.
-A, B = 0.01, 20.0
+#: Weights of the lower orders by held-out likelihood, for triples and for pairs; the longest n-grams of the model.
+A, B, B2 = 0.01, 20.0, 200.0
+ORDER = 2
 #: The rate from which an n-gram counts as hot; it only decides where counts are held.
 HOT = 2.5e-4
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -55,35 +59,27 @@ LOWEST, HIGHEST, LEVELS = -16.0, 12.0, 65535
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary, with a directory of ones for every 64 bits."""
+    """A monotone sequence: low parts in whole bytes, high parts in unary, with a directory of ones for every 64 bits."""
 
     PARTS = ("low", "high", "ahead")
 
     def __init__(self, values: np.ndarray, universe: int):
         values = values.astype(np.uint64)
         self.n = n = len(values)
-        self.l = low = min(56, max(1, universe // max(1, n)).bit_length() - 1)
-        some = 1 << 14  # a multiple of 8, so that parts end with a byte
-        parts = (((values[k : k + some, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) for k in range(0, n if low else 0, some))
-        self.low = np.concatenate([*(np.packbits(b.reshape(-1), bitorder="little") for b in parts), np.zeros(16, np.uint8)])
-        ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
+        self.l = min(56, -(-(max(1, universe // max(1, n)).bit_length() - 1) // 8) * 8)
+        self.low = np.ascontiguousarray(values.view(np.uint8).reshape(n, 8)[:, : self.l // 8].T).reshape(-1)
+        ones = (values >> np.uint64(self.l)).astype(np.int64) + np.arange(n)
         size = (int(ones[-1]) if n else 0) // 64 + 2
         flags = np.zeros(size * 64, np.uint8)
         flags[ones] = 1
         self.high = np.packbits(flags, bitorder="little").view(np.uint64)
         self.ahead = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high)))).astype(np.uint32)
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        first = i * self.l
-        raw = np.zeros(len(i), np.uint64)
-        byte = first >> 3
-        for k in range((self.l + 7) // 8 + 1 if self.l <= 48 else 8):
-            raw |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        raw >>= (first & 7).astype(np.uint64)
-        more = (first & 7) + self.l > 64
-        if more.any():
-            raw[more] |= self.low[byte[more] + 8].astype(np.uint64) << (64 - (first[more] & 7)).astype(np.uint64)
-        return raw & np.uint64((1 << self.l) - 1)
+    def _joined(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+        out = high.astype(np.uint64) << np.uint64(self.l)
+        for k in range(self.l // 8):
+            out |= self.low[i + k * self.n].astype(np.uint64) << np.uint64(8 * k)
+        return out
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
@@ -96,14 +92,12 @@ class EliasFano:
             left = np.where(up, left - n, left)
             place += np.where(up, half, 0)
             bits = np.where(up, bits >> np.uint64(half), bits)
-        high = (word * 64 + place - i).astype(np.uint64)
-        return (high << np.uint64(self.l)) | self._low(i) if self.l else high
+        return self._joined(word * 64 + place - i, i)
 
     def all(self) -> np.ndarray:
         """The whole sequence."""
         i = np.arange(self.n)
-        high = (np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n] - i).astype(np.uint64)
-        return (high << np.uint64(self.l)) | self._low(i) if self.l else high
+        return self._joined(np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n] - i, i)
 
     def successor(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The first place in [start, end) with a value of at least x; end if there is none."""
@@ -152,13 +146,22 @@ class Counts:
 class Model:
     """What all tasks know: N, V, the number of training texts, and the exact counts of hot n-grams by order."""
 
-    def __init__(self, n: int, v: int, texts: int, hot: list[Counts], shards: list[int]):
-        self.n, self.v, self.texts, self.hot, self.shards = n, v, texts, hot, shards
+    def __init__(self, order: int, n: int, v: int, texts: int, hot: list[Counts], shards: list[int]):
+        self.order, self.n, self.v, self.texts, self.hot, self.shards = order, n, v, texts, hot, shards
         self.total = n + ALPHA * (v + 1)
+        self.a, self.b = (A, B) if order == 3 else (0.0, B2)
 
     def p(self, count: np.ndarray) -> np.ndarray:
         return (count + ALPHA) / self.total
 
+    def num(self, low: np.ndarray, two: np.ndarray, three: np.ndarray | int = 0) -> np.ndarray:
+        """Logarithms of numerators: low is b * P(w), two and three the counts of the last two and of all three."""
+        return np.log10(low + (self.a * two + three if self.order == 3 else two))
+
+    def den(self, one: np.ndarray, two: np.ndarray | int) -> np.ndarray:
+        """Logarithms of denominators of what follows: one and two count its last word, and its last two."""
+        return np.log10((self.a * one + two if self.order == 3 else one) + self.b)
+
     def routed(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """The shard of each n-gram: by its word; if that is hot, by its last two; if those are, by all three."""
         route = w.copy()
@@ -189,18 +192,20 @@ class Trie:
         known = model.hot[1].get(pair_key(names[v[pair]], names[w[pair]]))
         count2 = np.where(known >= 0, known, count2)
         up = top[pair]
-        low = B * model.p(count)
+        low = model.b * model.p(count)
         self.step = step
         self.names = EliasFano(names, 1 << 64)
         self.words = EliasFano(words, step + 1)
         self.first2 = EliasFano(np.searchsorted(up, np.arange(len(words) + 1)), len(pair) + 1)
         self.keys2 = EliasFano(up.astype(np.uint64) * np.uint64(step) + v[pair].astype(np.uint64), max(1, len(words)) * step)
-        self.first3 = EliasFano(np.append(pair, len(w)), len(w) + 1)
-        self.keys3 = EliasFano(owner.astype(np.uint64) * np.uint64(step) + u.astype(np.uint64), max(1, len(pair)) * step)
         self.count = count.astype(np.uint64)
-        self.num2 = quantised(np.log10(A * count2 + low[up]))
-        self.den2 = quantised(np.log10(count2 + A * count[up] + B))
-        self.num3 = quantised(np.log10(n + A * count2[owner] + low[top]))
+        self.num2 = quantised(model.num(low[up], count2))
+        if model.order == 2:
+            pair, owner, u, top, n = pair[:0], owner[:0], u[:0], top[:0], n[:0]
+        self.den2 = quantised(model.den(count[up], count2)) if model.order == 3 else np.zeros(0, np.uint16)
+        self.first3 = EliasFano(np.append(pair, len(u)), len(u) + 1)
+        self.keys3 = EliasFano(owner.astype(np.uint64) * np.uint64(step) + u.astype(np.uint64), max(1, len(pair)) * step)
+        self.num3 = quantised(model.num(low[top], count2[owner], n))
 
     def to_bytes(self) -> bytes:
         said, blobs, at = {"step": self.step}, [], 0
@@ -279,16 +284,19 @@ def ask(trie: Trie | None, model: Model, names: np.ndarray, w: np.ndarray, v: np
     pair = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))) if len(w) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
     pw, pv = w[pair], v[pair]
-    low = B * model.p(c[pw])
-    num, den = quantised(np.log10(low)), quantised(np.log10(A * c[pw] + B))
+    low = model.b * model.p(c[pw])
+    num, den = quantised(np.log10(low)), quantised(model.den(c[pw], 0))
     known = model.hot[1].get(pair_key(names[pv], names[pw]))
     of = known >= 0
-    num[of], den[of] = quantised(np.log10(A * known[of] + low[of])), quantised(np.log10(known[of] + A * c[pw[of]] + B))
+    num[of], den[of] = quantised(model.num(low[of], known[of])), quantised(model.den(c[pw[of]], known[of]))
     if not trie:
         return c[w], num[owner], den[owner]
     node2 = trie.child("2", node[pw], ids[pv])
     there = node2 >= 0
-    num[there], den[there] = trie.num2[node2[there]], trie.den2[node2[there]]
+    num[there] = trie.num2[node2[there]]
+    if model.order == 2:
+        return c[w], num, den  # the n-grams are pairs
+    den[there] = trie.den2[node2[there]]
     num, den = num[owner], den[owner]
     node3 = trie.child("3", node2[owner], ids[u])
     there = node3 >= 0
@@ -296,21 +304,40 @@ def ask(trie: Trie | None, model: Model, names: np.ndarray, w: np.ndarray, v: np
     return c[w], num, den
 
 
-def tokens(text: str | None) -> np.ndarray:
-    data, starts, ends = word_spans(text or "")
-    return np.append(span_hashes(data, starts, ends), END) if len(starts) else np.array([END], np.uint64)
-
-
-def contexts(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, the ones before and those before them, and the number of tokens of each text."""
-    n = np.array([len(x) for x in held], np.int64)
-    w = np.concatenate(held) if held else np.zeros(0, np.uint64)
-    first = np.cumsum(n) - n
-    v = np.concatenate(([START], w[:-1]))[: len(w)]
-    v[first] = START
-    u = np.concatenate(([START], v[:-1]))[: len(w)]
-    u[first] = START
-    return w, v, u, n
+class Part:
+    """Texts as numbers of words."""
+
+    def __init__(self, order: int):
+        self.order, self.index, self.held, self.size = order, defaultdict(itertools.count().__next__), [], 0
+        self.start, self.end = self.index[0], self.index[1]  # words are bytes
+
+    def add(self, text: str | None) -> None:
+        words = lowered(text or "").split()
+        ids = np.fromiter(itertools.chain(map(self.index.__getitem__, words), (self.end,)), np.int32, len(words) + 1)
+        self.held.append(ids)
+        self.size += len(ids)
+
+    def grams(self) -> tuple[np.ndarray, ...]:
+        """The sorted hashes of all words; the numbers in them of the tokens, of the ones before and of those before them (the
+        start for all in a model of pairs); tokens of each text."""
+        words = list(self.index)[2:]
+        data, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size + 1) - 1
+        names = np.concatenate((np.array([START, END]), span_hashes(data, ends - size, ends))) if words else np.array([START, END])
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names))
+        n = np.array([len(x) for x in self.held], np.int64)
+        w = rank[np.concatenate(self.held)]
+        first = np.cumsum(n) - n
+        v = np.concatenate((rank[:1], w[:-1]))
+        v[first] = rank[0]
+        if self.order == 2:
+            u = np.full(len(w), rank[0])
+        else:
+            u = np.concatenate((rank[:1], v[:-1]))
+            u[first] = rank[0]
+        return names[order], w, v, u, n
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -326,10 +353,13 @@ def _unplaned(raw: bytes, kind: type, n: int, at: int) -> tuple[np.ndarray, int]
 
 def packed(names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray, n: np.ndarray | None = None) -> bytes:
     """N-grams (numbers into names) sorted by (w, v, u), with counts or without, and the names that they use."""
-    used, to = np.unique(np.concatenate((w, v, u)), return_inverse=True)
-    k = len(w)
-    parts = [np.array([len(used), k], np.int64).tobytes(), _planes(np.diff(names[used], prepend=np.uint64(0)))]
-    parts += [_planes(x.astype(np.uint32)) for x in (np.diff(to[:k], prepend=0), to[k : 2 * k], to[2 * k :])]
+    there = np.zeros(len(names), bool)
+    for x in (w, v, u):
+        there[x] = True
+    to = np.cumsum(there, dtype=np.uint32) - np.uint32(1)
+    used = names[there]
+    parts = [np.array([len(used), len(w)], np.int64).tobytes(), _planes(np.diff(used, prepend=np.uint64(0)))]
+    parts += [_planes(x) for x in (np.diff(to[w], prepend=np.uint32(0)), to[v], to[u])]
     parts += [_planes(n.astype(np.uint32))] if n is not None else []
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -354,22 +384,21 @@ def distinct(w: np.ndarray, v: np.ndarray, u: np.ndarray, m: int) -> tuple[np.nd
     return first, to
 
 
-def _flushed(batches: Iterator[pa.RecordBatch], only_training: bool, f, end) -> Iterator[pa.RecordBatch]:
-    """f(ids, train, tokens of texts) for every FLUSH tokens or so, and end() at last."""
-    ids, train, held, size = [], [], [], 0
+def _flushed(batches: Iterator[pa.RecordBatch], order: int, only_training: bool, f, end=lambda: ()) -> Iterator[pa.RecordBatch]:
+    """f(ids, train, part) for every FLUSH tokens or so, and end() at last."""
+    ids, train, part = [], [], Part(order)
     for b in batches:
         for doc, text, learnt in zip(b["doc_id"].to_pylist(), strings(b["text"]), b["train"].to_pylist(), strict=True):
             if only_training and not learnt:
                 continue
             ids.append(doc)
             train.append(bool(learnt))
-            held.append(tokens(text))
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield from f(ids, train, held)
-                ids, train, held, size = [], [], [], 0
-    if held:
-        yield from f(ids, train, held)
+            part.add(text)
+            if part.size >= FLUSH:
+                yield from f(ids, train, part)
+                ids, train, part = [], [], Part(order)
+    if ids:
+        yield from f(ids, train, part)
     yield from end()
 
 
@@ -377,27 +406,28 @@ def _rows(kinds: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
-def _count(shards: int):
+def _count(order: int, shards: int):
     """Rows (shard, level, keys, counts): words at level 0, hot n-grams of what a task holds at 1 to 3."""
     kinds = [("shard", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 
-    def out(_: list, __: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        w, v, u, _n = contexts(held)
-        h, to, n = np.unique(w, return_inverse=True, return_counts=True)
+    def out(_: list, __: list, part: Part) -> Iterator[pa.RecordBatch]:
+        names, w, v, u, _n = part.grams()
+        n = np.bincount(w, minlength=len(names))
+        h, n1 = names[n > 0], n[n > 0]
         least = HOT / 2 * len(w)
-        hot = np.flatnonzero((n >= least)[to])
-        k2, of2, n2 = np.unique(pair_key(v[hot], w[hot]), return_inverse=True, return_counts=True)
+        hot = np.flatnonzero((n >= least)[w])
+        k2, of2, n2 = np.unique(pair_key(names[v[hot]], names[w[hot]]), return_inverse=True, return_counts=True)
         hot3 = (n2 >= least)[of2]
-        k3, n3 = np.unique(triple_key(u[hot[hot3]], k2[of2[hot3]]), return_counts=True)
+        k3, n3 = np.unique(triple_key(names[u[hot[hot3]]], k2[of2[hot3]]), return_counts=True)
         rows = []
-        for level, keys, counts in ((0, h, n), (1, h[n >= least], n[n >= least]), (2, k2[n2 >= least], n2[n2 >= least]), (3, k3[n3 >= least], n3[n3 >= least])):
+        for level, keys, counts in ((0, h, n1), (1, h[n1 >= least], n1[n1 >= least]), (2, k2[n2 >= least], n2[n2 >= least]), (3, k3[n3 >= least], n3[n3 >= least])):
             shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            keys, counts, cut = keys[order], counts[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            by = np.argsort(shard, kind="stable")
+            keys, counts, cut = keys[by], counts[by], np.searchsorted(shard[by], np.arange(shards + 1))
             rows += [(k, level, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
         yield _rows(kinds, rows)
 
-    return lambda batches: _flushed(batches, True, out, lambda: [])
+    return lambda batches: _flushed(batches, order, True, out)
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,22 +445,25 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([level] * len(cols[0]), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["level", "key", "n", "types"])
 
 
-def _recount(sent):
+def _recount(order: int, sent):
     """Rows (level, key, n): exact counts of the hot n-grams, and of the texts at level 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = [Counts(np.sort(k), np.arange(len(k))) for k in sent.value]
         totals, texts = [np.zeros(len(k.keys), np.int64) for k in hot], 0
 
-        def add(_: list, __: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def add(_: list, __: list, part: Part) -> Iterator[pa.RecordBatch]:
             nonlocal texts
-            texts += len(held)
-            w, v, u, _n = contexts(held)
+            texts += len(part.held)
+            names, w, v, u, _n = part.grams()
+            at = hot[0].get(names)[w]
+            key = None
             for level in range(3):
-                key = w if level == 0 else pair_key(v, w) if level == 1 else triple_key(u, pair_key(v, w))
-                at = hot[level].get(key)
+                if level:
+                    key = pair_key(names[v], names[w]) if level == 1 else triple_key(names[u], key)
+                    at = hot[level].get(key)
                 totals[level] += np.bincount(at[at >= 0], minlength=len(totals[level]))
-                w, v, u = w[at >= 0], v[at >= 0], u[at >= 0]
+                w, v, u, key = w[at >= 0], v[at >= 0], u[at >= 0], None if key is None else key[at >= 0]
             return iter(())
 
         def end() -> Iterator[pa.RecordBatch]:
@@ -438,25 +471,25 @@ def _recount(sent):
             some = cols[2] > 0
             yield pa.RecordBatch.from_arrays([pa.array(cols[0][some], pa.int32()), pa.array(cols[1][some], pa.int64()), pa.array(cols[2][some], pa.int64())], ["level", "key", "n"])
 
-        yield from _flushed(batches, True, add, end)
+        yield from _flushed(batches, order, True, add, end)
 
     return run
 
 
-def learn(docs: DataFrame) -> Model:
+def learn(docs: DataFrame, order: int = ORDER) -> Model:
     """N, V and the counts of hot n-grams of docs (doc_id, text, train). The driver gets two sums and at most 2 / HOT counts an order."""
     spark = docs.sparkSession
     shards = width(spark)
     docs = docs.select("doc_id", "text", "train")
-    counted = map_batches(docs, _count(shards), "shard int, level int, keys binary, counts binary")
+    counted = map_batches(docs, _count(order, shards), "shard int, level int, keys binary, counts binary")
     sums = stash(map_batches(counted.repartitionById(shards, F.col("shard")).select("level", "keys", "counts"), _sum_counts, "level int, key long, n long, types long"), "counts")
     all_ = sums.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     named = sums.where(F.col("level") > 0).where(F.col("n") >= HOT / 2 * all_.n).select("level", "key").toArrow()
     level, key = named["level"].to_numpy(), named["key"].to_numpy().view(np.uint64)
     sent = spark.sparkContext.broadcast([key[level == k] for k in (1, 2, 3)])
-    exact = map_batches(docs, _recount(sent), "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).toArrow()
+    exact = map_batches(docs, _recount(order, sent), "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).toArrow()
     level, key, n = exact["level"].to_numpy(), exact["key"].to_numpy().view(np.uint64), exact["n"].to_numpy()
-    return Model(all_.n, all_.v, int(n[level == 0].sum()), [Counts(key[level == k], n[level == k]) for k in (1, 2, 3)], shard_ids(spark, shards))
+    return Model(order, all_.n, all_.v, int(n[level == 0].sum()), [Counts(key[level == k], n[level == k]) for k in (1, 2, 3)], shard_ids(spark, shards))
 
 
 def _parts(model: Model, names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -472,10 +505,8 @@ def _deal(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
 
-        def out(_: list, __: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            w, v, u, _n = contexts(held)
-            names, to = np.unique(np.append(w, START), return_inverse=True)
-            w, v, u = to[:-1], np.searchsorted(names, v), np.searchsorted(names, u)
+        def out(_: list, __: list, part: Part) -> Iterator[pa.RecordBatch]:
+            names, w, v, u, _n = part.grams()
             first, which = distinct(w, v, u, len(names))
             n = np.bincount(which)
             w, v, u = w[first], v[first], u[first]
@@ -483,7 +514,7 @@ def _deal(sent):
             rows = [(model.shards[k], packed(names, *(x[order[a:b]] for x in (w, v, u, n)))) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
             yield _rows([("shard", pa.int32()), ("grams", pa.binary())], rows)
 
-        yield from _flushed(batches, True, out, lambda: [])
+        yield from _flushed(batches, model.order, True, out)
 
     return run
 
@@ -524,17 +555,15 @@ def _asked(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
-        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-
-        def out(ids: list, train: list[bool], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            w, v, u, n = contexts(held)
-            doc = np.repeat(np.arange(len(held)), n)
-            names, to = np.unique(np.append(w, START), return_inverse=True)
-            w, v, u = to[:-1], np.searchsorted(names, v), np.searchsorted(names, u)
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+
+        def out(ids: list, train: list[bool], part: Part) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            names, w, v, u, n = part.grams()
+            doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             first, which = distinct(w, v, u, len(names))
             w, v, u = w[first], v[first], u[first]
-            sums = np.zeros((3, len(held)))  # of hot n-grams: logarithms of counts, scores, known ones
+            sums = np.zeros((3, len(n)))  # of hot n-grams: logarithms of counts, scores, known ones
             cold = np.ones(len(w), bool)
             maybe = np.flatnonzero(model.hot[0].get(names[w]) >= 0)
             pair = pair_key(names[v[maybe]], names[w[maybe]])
@@ -545,9 +574,9 @@ def _asked(sent):
                 n2, n1 = model.hot[1].get(pair[hot]), model.hot[0].get(names[w[g]])
                 cold[g] = False
                 value = np.zeros((3, len(w)))
-                value[0, g], value[2, g] = np.log10(n1 + ALPHA), 1
-                value[1, g] = np.log10(n3 + A * n2 + B * model.p(n1)) - np.where(names[w[g]] == END, 0, np.log10(n2 + A * n1 + B))
-                sums = np.array([np.bincount(doc, x[which], len(held)) for x in value])
+                value[0, g], value[2, g] = np.log10(model.p(n1)), 1
+                value[1, g] = model.num(model.b * model.p(n1), n2, n3) - np.where(names[w[g]] == END, 0, model.den(n1, n2))
+                sums = np.array([np.bincount(doc, x[which], len(n)) for x in value])
             kept = np.flatnonzero(cold)
             order, cut = _parts(model, names, w[kept], v[kept], u[kept])
             kept = kept[order]
@@ -556,17 +585,17 @@ def _asked(sent):
             at = place[which]
             some = np.flatnonzero(at >= 0)
             some = some[np.argsort(at[some], kind="stable")]
-            about = [np.array([len(held), len(kept), len(some)], np.int64).tobytes(), np.array([0 if x is None else x for x in ids], np.int64).tobytes(), np.array([x is None for x in ids], np.int64).tobytes(), np.array(train, np.int64).tobytes(), n.tobytes(), sums.tobytes()]
-            about += [_planes(doc[some].astype(np.uint32)), _planes(np.bincount(at[some], minlength=len(kept)).astype(np.uint32))]
-            mine = ((part >> 32) + part) % len(model.shards)
+            about = [np.array([len(n), len(kept), len(some)], np.int64).tobytes(), np.array([0 if x is None else x for x in ids], np.int64).tobytes(), np.array([x is None for x in ids], np.int64).tobytes(), np.array(train, np.int64).tobytes(), n.tobytes(), sums.tobytes()]
+            about += [_planes(doc[some]), _planes(np.bincount(at[some], minlength=len(kept)).astype(np.uint32))]
+            mine = ((number >> 32) + number) % len(model.shards)
             rows = []
             for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
                 if a < b or k == mine:
-                    rows.append((model.shards[k], part, k, packed(names, *(x[kept[a:b]] for x in (w, v, u))), zstandard.ZstdCompressor(level=1).compress(b"".join(about)) if k == mine else None))
-            part += 1
+                    rows.append((model.shards[k], number, k, packed(names, *(x[kept[a:b]] for x in (w, v, u))), zstandard.ZstdCompressor(level=1).compress(b"".join(about)) if k == mine else None))
+            number += 1
             yield _rows([("shard", pa.int32()), ("part", pa.int64()), ("nth", pa.int32()), ("grams", pa.binary()), ("about", pa.binary())], rows)
 
-        yield from _flushed(batches, False, out, lambda: [])
+        yield from _flushed(batches, model.order, False, out)
 
     return run
 
@@ -606,11 +635,10 @@ def _gather(sent):
             c, at = _unplaned(v, np.uint64, k, 0)
             num, at = _unplaned(v, np.uint16, k, at)
             den, at = _unplaned(v, np.uint16, k, at)
-            got.append(np.array([np.log10(c + ALPHA), loosened(num) - np.where(den > 0, loosened(den), 0), c > 0]))
+            got.append(np.array([np.log10(model.p(c)), loosened(num) - np.where(den > 0, loosened(den), 0), c > 0]))
         value = np.repeat(np.concatenate(got, 1), runs, 1)
         base, score, known = (s + np.bincount(doc, x, size) for s, x in zip(sums, value, strict=True))
-        base = base - n * np.log10(model.total)
-        score = score - np.log10(model.texts + A * model.texts + B)
+        score = score - model.den(model.texts, model.texts)
         cols = [pa.array(ids, mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
@@ -630,11 +658,11 @@ def _gather(sent):
     return run
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score, train_tokens for docs (doc_id, text, train)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "train")
-    model = learn(docs)
+    model = learn(docs, order)
     tries, shards = build(docs, model), len(model.shards)
     sent = spark.sparkContext.broadcast(model)
     asked = map_batches(docs, _asked(sent), "shard int, part long, nth int, grams binary, about binary")
