@@ -12,13 +12,13 @@ own numerator and for the denominator of the token that follows.
 
 Four steps, none of which sends a table of the corpus anywhere:
 
-1. Tokens are counted map-side and summed by shards: N, V. Each task also names the n-grams that make up at least HOT / 2
-   of what it holds, so every n-gram of a rate of HOT or more is named; at most 2 / HOT an order go on, a proven bound.
-2. Their exact counts are taken over all texts.
-3. Distinct n-grams with counts go to shards: by w, hot words by (v, w), hot pairs by (u, v, w), so no shard gets more than
-   about HOT of the corpus by one key. A shard builds its trie, which is written once to shared storage, a bucket a shard.
-4. Distinct n-grams of all texts go to the shards as questions; the tries stay where they are. Hot trigrams are answered
-   from the bounded tables. Answers return to the part of the texts that asked, in its order, and are summed by document.
+1. Tokens are counted map-side and summed by shards: N, V. Each task also names the words that make up at least HOT / 2 of
+   what it holds, so every word of a rate of HOT or more is named; at most 2 / HOT go on with their counts, a proven bound.
+   (Of order 3, also pairs and triples, whose counts take another reading of the texts.)
+2. Distinct n-grams with counts go to shards by w, those of hot words by (v, w) (hot pairs by (u, v, w)), so no shard gets more
+   than about HOT of the corpus by one key. A shard builds its trie, which is written once to shared storage, a bucket a shard.
+3. Distinct n-grams of all texts go to the shards as questions; the tries stay where they are.
+4. Answers return to the part of the texts that asked, in its order, and are summed by document.
 
 Keys of a level are monotone within a node and pointers to children monotone overall, so both are Elias-Fano coded;
 numerators and denominators are quantised to 16 bits. A task maps the levels of its trie from a scratch file that ends with
@@ -99,17 +99,36 @@ class EliasFano:
         i = np.arange(self.n)
         return self._joined(np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n] - i, i)
 
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a high part below the given ones: the ones before that many zeros."""
+        zeros = np.arange(len(self.ahead)) * 64 - self.ahead
+        j = np.minimum(high, zeros[-1]) - 1
+        word = np.maximum(np.searchsorted(zeros, j, "right") - 1, 0)
+        left = j - zeros[word]
+        bits, place = ~self.high[np.minimum(word, len(self.high) - 1)], np.zeros(len(j), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            n = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= n
+            left = np.where(up, left - n, left)
+            place += np.where(up, half, 0)
+            bits = np.where(up, bits >> np.uint64(half), bits)
+        return np.where(j < 0, 0, word * 64 + place - j)
+
     def successor(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The first place in [start, end) with a value of at least x; end if there is none."""
-        start, end = start.astype(np.int64).copy(), end.astype(np.int64).copy()
-        todo = np.flatnonzero(start < end)
+        """The first place in [start, end) with a value of at least x; end if there is none. The high part leads to a short run."""
+        x = x.astype(np.uint64)
+        high = (x >> np.uint64(self.l)).astype(np.int64)
+        lo = np.clip(self._below(high), start, end).astype(np.int64)
+        hi = np.clip(self._below(high + 1), start, end).astype(np.int64)
+        low = x & np.uint64((1 << self.l) - 1)
+        todo = np.flatnonzero(lo < hi)
         while len(todo):
-            mid = (start[todo] + end[todo]) >> 1
-            less = self.at(mid) < x[todo]
-            start[todo[less]] = mid[less] + 1
-            end[todo[~less]] = mid[~less]
-            todo = todo[start[todo] < end[todo]]
-        return start
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = self._joined(np.zeros(len(mid), np.uint64), mid) < low[todo]
+            lo[todo[less]] = mid[less] + 1
+            hi[todo[~less]] = mid[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        return lo
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -162,15 +181,17 @@ class Model:
         """Logarithms of denominators of what follows: one and two count its last word, and its last two."""
         return np.log10((self.a * one + two if self.order == 3 else one) + self.b)
 
-    def routed(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def routed(self, names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The shard of each n-gram: by its word; if that is hot, by its last two; if those are, by all three."""
-        route = w.copy()
-        hot = np.flatnonzero(self.hot[0].get(w) >= 0)
-        pair = pair_key(v[hot], w[hot])
-        route[hot] = pair
-        of = self.hot[1].get(pair) >= 0
-        route[hot[of]] = triple_key(u[hot[of]], pair[of])
-        return ((mixed(route) >> np.uint64(32)) * np.uint64(len(self.shards)) >> np.uint64(32)).astype(np.int64)
+        route = mixed(names)[w]
+        hot = np.flatnonzero((self.hot[0].get(names) >= 0)[w])
+        pair = pair_key(names[v[hot]], names[w[hot]])
+        route[hot] = mixed(pair)
+        if self.order == 3:
+            of = self.hot[1].get(pair) >= 0
+            route[hot[of]] = mixed(triple_key(names[u[hot[of]]], pair[of]))
+        shard = (route >> np.uint64(32)) * np.uint64(len(self.shards)) >> np.uint64(32)
+        return shard.astype(np.uint16 if len(self.shards) < 1 << 16 else np.int64)
 
 
 class Trie:
@@ -183,7 +204,7 @@ class Trie:
         """names sorted; w, v, u their numbers, n counts, sorted by (w, v, u) without repeats."""
         step = len(names)
         words, top = np.unique(w, return_inverse=True)
-        pair = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))) if len(w) else np.zeros(0, np.int64)
+        pair = first_of(w, v)
         owner = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
         count = np.bincount(top, n, len(words)).astype(np.int64)
         known = model.hot[0].get(names[words])
@@ -281,7 +302,7 @@ def ask(trie: Trie | None, model: Model, names: np.ndarray, w: np.ndarray, v: np
         c[node >= 0] = trie.count[node[node >= 0]]
     hot = model.hot[0].get(names)
     c = np.where(hot >= 0, hot, c)
-    pair = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))) if len(w) else np.zeros(0, np.int64)
+    pair = first_of(w, v)
     owner = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(w))))
     pw, pv = w[pair], v[pair]
     low = model.b * model.p(c[pw])
@@ -375,13 +396,31 @@ def unpacked(blob: bytes, counts: bool) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def distinct(w: np.ndarray, v: np.ndarray, u: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct n-gram (numbers below m), sorted by (w, v, u), and which of them each place has."""
-    key = w.astype(np.uint64) * np.uint64(m) + v.astype(np.uint64)
-    if m >= 2_600_000:  # three numbers no longer fit 64 bits
-        key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    _, first, to = np.unique(key * np.uint64(m) + u.astype(np.uint64), return_index=True, return_inverse=True)
-    return first, to
+def sorted_grams(w: np.ndarray, v: np.ndarray, u: np.ndarray, m: int, order: int, extra: np.ndarray | None = None, most: int = 1) -> tuple[np.ndarray, ...]:
+    """N-grams (numbers below m) sorted by (w, v, u) and extra (below most), which is the last of the columns that return. One
+    sort of one number each where these fit 64 bits."""
+    extra = np.zeros(len(w), np.uint64) if extra is None else extra.astype(np.uint64)
+    w, v = w.astype(np.uint64), v.astype(np.uint64)
+    big, size, none = np.uint64(m), np.uint64(most), u[:1]
+    if order == 2 and m * m * most < 1 << 64:
+        pair, extra = np.divmod(np.sort((w * big + v) * size + extra), size)
+        w, v = np.divmod(pair, big)
+        u = np.repeat(none, len(w))
+    elif most == 1 and m**3 < 1 << 64:
+        pair, u = np.divmod(np.sort((w * big + v) * big + u.astype(np.uint64)), big)
+        w, v = np.divmod(pair, big)
+    else:
+        by = np.lexsort((extra, u, v, w))
+        w, v, u, extra = w[by], v[by], u[by], extra[by]
+    return w.astype(np.int64), v.astype(np.int64), u.astype(np.int64), extra
+
+
+def first_of(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value starts in sorted columns."""
+    new = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, new)) if len(columns[0]) else np.zeros(0, np.int64)
 
 
 def _flushed(batches: Iterator[pa.RecordBatch], order: int, only_training: bool, f, end=lambda: ()) -> Iterator[pa.RecordBatch]:
@@ -415,12 +454,15 @@ def _count(order: int, shards: int):
         n = np.bincount(w, minlength=len(names))
         h, n1 = names[n > 0], n[n > 0]
         least = HOT / 2 * len(w)
-        hot = np.flatnonzero((n >= least)[w])
-        k2, of2, n2 = np.unique(pair_key(names[v[hot]], names[w[hot]]), return_inverse=True, return_counts=True)
-        hot3 = (n2 >= least)[of2]
-        k3, n3 = np.unique(triple_key(names[u[hot[hot3]]], k2[of2[hot3]]), return_counts=True)
+        named = [(0, h, n1), (1, h[n1 >= least], n1[n1 >= least])]
+        if order == 3:
+            hot = np.flatnonzero((n >= least)[w])
+            k2, of2, n2 = np.unique(pair_key(names[v[hot]], names[w[hot]]), return_inverse=True, return_counts=True)
+            hot3 = (n2 >= least)[of2]
+            k3, n3 = np.unique(triple_key(names[u[hot[hot3]]], k2[of2[hot3]]), return_counts=True)
+            named += [(2, k2[n2 >= least], n2[n2 >= least]), (3, k3[n3 >= least], n3[n3 >= least])]
         rows = []
-        for level, keys, counts in ((0, h, n1), (1, h[n1 >= least], n1[n1 >= least]), (2, k2[n2 >= least], n2[n2 >= least]), (3, k3[n3 >= least], n3[n3 >= least])):
+        for level, keys, counts in named:
             shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             keys, counts, cut = keys[by], counts[by], np.searchsorted(shard[by], np.arange(shards + 1))
@@ -431,30 +473,34 @@ def _count(order: int, shards: int):
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (level, key, n, types): tokens and types at level 0, sums of hot n-grams at the others."""
+    """Rows (level, key, n, named, types): tokens, texts and types at level 0; at 1 to 3 the n-grams that tasks named, how often
+    they did, and for words the exact count."""
     keys, counts = [[] for _ in range(4)], [[] for _ in range(4)]
     for b in batches:
         for level, k, n in zip(b["level"].to_pylist(), b["keys"].to_pylist(), b["counts"].to_pylist(), strict=True):
             keys[level].append(np.frombuffer(k, np.uint64))
             counts[level].append(np.frombuffer(n, np.uint32))
+    words = Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for level in range(4):
         if keys[level]:
             k, to = np.unique(np.concatenate(keys[level]), return_inverse=True)
             n = np.bincount(to, np.concatenate(counts[level])).astype(np.int64)
-            cols = [[0], [int(n.sum())], [len(k)]] if level == 0 else [k.view(np.int64), n, np.zeros(len(k), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array([level] * len(cols[0]), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["level", "key", "n", "types"])
+            if level == 0:
+                words = Counts(k, n)
+                cols = [[int(max(0, words.get(np.array([END]))[0]))], [int(n.sum())], [0], [len(k)]]
+            else:
+                cols = [k.view(np.int64), words.get(k) if level == 1 else n, n, np.zeros(len(k), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([level] * len(cols[0]), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], ["level", "key", "n", "named", "types"])
 
 
 def _recount(order: int, sent):
-    """Rows (level, key, n): exact counts of the hot n-grams, and of the texts at level 0."""
+    """Rows (level, key, n): exact counts of the hot n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = [Counts(np.sort(k), np.arange(len(k))) for k in sent.value]
-        totals, texts = [np.zeros(len(k.keys), np.int64) for k in hot], 0
+        totals = [np.zeros(len(k.keys), np.int64) for k in hot]
 
         def add(_: list, __: list, part: Part) -> Iterator[pa.RecordBatch]:
-            nonlocal texts
-            texts += len(part.held)
             names, w, v, u, _n = part.grams()
             at = hot[0].get(names)[w]
             key = None
@@ -467,7 +513,7 @@ def _recount(order: int, sent):
             return iter(())
 
         def end() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate([[0], *(np.full(len(t), k + 1) for k, t in enumerate(totals))]), np.concatenate([np.zeros(1, np.uint64), *(h.keys for h in hot)]).view(np.int64), np.concatenate([[texts], *totals])]
+            cols = [np.concatenate([np.full(len(t), k + 1) for k, t in enumerate(totals)]), np.concatenate([h.keys for h in hot]).view(np.int64), np.concatenate(totals)]
             some = cols[2] > 0
             yield pa.RecordBatch.from_arrays([pa.array(cols[0][some], pa.int32()), pa.array(cols[1][some], pa.int64()), pa.array(cols[2][some], pa.int64())], ["level", "key", "n"])
 
@@ -482,19 +528,22 @@ def learn(docs: DataFrame, order: int = ORDER) -> Model:
     shards = width(spark)
     docs = docs.select("doc_id", "text", "train")
     counted = map_batches(docs, _count(order, shards), "shard int, level int, keys binary, counts binary")
-    sums = stash(map_batches(counted.repartitionById(shards, F.col("shard")).select("level", "keys", "counts"), _sum_counts, "level int, key long, n long, types long"), "counts")
-    all_ = sums.where("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    named = sums.where(F.col("level") > 0).where(F.col("n") >= HOT / 2 * all_.n).select("level", "key").toArrow()
-    level, key = named["level"].to_numpy(), named["key"].to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast([key[level == k] for k in (1, 2, 3)])
-    exact = map_batches(docs, _recount(order, sent), "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).toArrow()
-    level, key, n = exact["level"].to_numpy(), exact["key"].to_numpy().view(np.uint64), exact["n"].to_numpy()
-    return Model(order, all_.n, all_.v, int(n[level == 0].sum()), [Counts(key[level == k], n[level == k]) for k in (1, 2, 3)], shard_ids(spark, shards))
+    sums = stash(map_batches(counted.repartitionById(shards, F.col("shard")).select("level", "keys", "counts"), _sum_counts, "level int, key long, n long, named long, types long"), "counts")
+    all_ = sums.where("level = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "types", "key"))).first()
+    got = sums.where(F.col("level") > 0).where(F.col("named") >= HOT / 2 * all_.n).select("level", "key", "n").toArrow()
+    level, key, n = got["level"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    hot = [Counts(key[level == k], n[level == k]) for k in (1, 2, 3)]
+    if order == 3:
+        sent = spark.sparkContext.broadcast([h.keys for h in hot])
+        exact = map_batches(docs, _recount(order, sent), "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n")).toArrow()
+        level, key, n = exact["level"].to_numpy(), exact["key"].to_numpy().view(np.uint64), exact["n"].to_numpy()
+        hot = [Counts(key[level == k], n[level == k]) for k in (1, 2, 3)]
+    return Model(order, all_.n, all_.types, all_.key, hot, shard_ids(spark, shards))
 
 
 def _parts(model: Model, names: np.ndarray, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """N-grams in the order of their shards, and where each shard starts."""
-    shard = model.routed(names[u], names[v], names[w])
+    shard = model.routed(names, w, v, u)
     order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(len(model.shards) + 1))
 
@@ -507,8 +556,9 @@ def _deal(sent):
 
         def out(_: list, __: list, part: Part) -> Iterator[pa.RecordBatch]:
             names, w, v, u, _n = part.grams()
-            first, which = distinct(w, v, u, len(names))
-            n = np.bincount(which)
+            w, v, u, _ = sorted_grams(w, v, u, len(names), model.order)
+            first = first_of(w, v, u)
+            n = np.diff(np.append(first, len(w)))
             w, v, u = w[first], v[first], u[first]
             order, cut = _parts(model, names, w, v, u)
             rows = [(model.shards[k], packed(names, *(x[order[a:b]] for x in (w, v, u, n)))) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
@@ -527,8 +577,13 @@ def _build(sent):
         names = np.unique(np.concatenate([p[0] for p in parts]))
         w, v, u, n = (np.concatenate([np.searchsorted(names, p[0])[p[k]] if k < 4 else p[k] for p in parts]) for k in (1, 2, 3, 4))
         parts.clear()
-        first, which = distinct(w, v, u, len(names))
-        trie = Trie(names, w[first], v[first], u[first], np.bincount(which, n).astype(np.int64), model)
+        if model.order == 2 and len(names) ** 2 < 1 << 63:
+            by = np.argsort(w * len(names) + v)
+        else:
+            by = np.lexsort((u, v, w))
+        w, v, u, n = w[by], v[by], u[by], n[by]
+        first = first_of(w, v, u)
+        trie = Trie(names, w[first], v[first], u[first], np.add.reduceat(n, first) if len(n) else n, model)
         return _rows([("shard", pa.int32()), ("trie", pa.large_binary())], [(shard, trie.to_bytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,33 +615,30 @@ def _asked(sent):
         def out(ids: list, train: list[bool], part: Part) -> Iterator[pa.RecordBatch]:
             nonlocal number
             names, w, v, u, n = part.grams()
-            doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            first, which = distinct(w, v, u, len(names))
+            w, v, u, doc = sorted_grams(w, v, u, len(names), model.order, np.repeat(np.arange(len(n)), n), len(n))
+            first = first_of(w, v, u)
+            runs = np.diff(np.append(first, len(w)))
             w, v, u = w[first], v[first], u[first]
-            sums = np.zeros((3, len(n)))  # of hot n-grams: logarithms of counts, scores, known ones
+            sums = np.zeros((3, len(n)))  # of hot triples: logarithms of counts, scores, known ones
             cold = np.ones(len(w), bool)
-            maybe = np.flatnonzero(model.hot[0].get(names[w]) >= 0)
-            pair = pair_key(names[v[maybe]], names[w[maybe]])
-            n3 = model.hot[2].get(triple_key(names[u[maybe]], pair))
-            hot = n3 >= 0
-            if hot.any():
+            if model.order == 3:
+                maybe = np.flatnonzero(model.hot[0].get(names)[w] >= 0)
+                pair = pair_key(names[v[maybe]], names[w[maybe]])
+                n3 = model.hot[2].get(triple_key(names[u[maybe]], pair))
+                hot = n3 >= 0
                 g, n3 = maybe[hot], n3[hot]
                 n2, n1 = model.hot[1].get(pair[hot]), model.hot[0].get(names[w[g]])
                 cold[g] = False
                 value = np.zeros((3, len(w)))
                 value[0, g], value[2, g] = np.log10(model.p(n1)), 1
                 value[1, g] = model.num(model.b * model.p(n1), n2, n3) - np.where(names[w[g]] == END, 0, model.den(n1, n2))
-                sums = np.array([np.bincount(doc, x[which], len(n)) for x in value])
+                sums = np.array([np.bincount(doc.astype(np.int64), np.repeat(x, runs), len(n)) for x in value])
             kept = np.flatnonzero(cold)
             order, cut = _parts(model, names, w[kept], v[kept], u[kept])
             kept = kept[order]
-            place = np.full(len(w), -1)
-            place[kept] = np.arange(len(kept))
-            at = place[which]
-            some = np.flatnonzero(at >= 0)
-            some = some[np.argsort(at[some], kind="stable")]
+            some = np.repeat(first[kept] - np.cumsum(runs[kept]) + runs[kept], runs[kept]) + np.arange(runs[kept].sum())
             about = [np.array([len(n), len(kept), len(some)], np.int64).tobytes(), np.array([0 if x is None else x for x in ids], np.int64).tobytes(), np.array([x is None for x in ids], np.int64).tobytes(), np.array(train, np.int64).tobytes(), n.tobytes(), sums.tobytes()]
-            about += [_planes(doc[some]), _planes(np.bincount(at[some], minlength=len(kept)).astype(np.uint32))]
+            about += [_planes(doc[some].astype(np.uint32)), _planes(runs[kept].astype(np.uint32))]
             mine = ((number >> 32) + number) % len(model.shards)
             rows = []
             for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
