@@ -9,12 +9,15 @@ those with e, and N all rows,
 is the part of the entity's information that the term discloses. From DISCLOSURE on the term is a span of kind ``term``
 wherever it occurs, in rows without an entity too. Every term of a row counts, however far from the value, and every
 entity, however rare: one that occurs in a single row is disclosed by each term that few other rows hold.
-Sanitising replaces a base span by its kind in brackets, a term by [TERM].
+Sanitising replaces a base span by its kind in brackets. A term is generalised to its class ([NAME] if capitalised, [ACRONYM]
+if all its letters are capitals, else [WORD]); from REMOVAL on it is removed, which [TERM] marks.
 
 Counts cover the whole corpus: document frequencies are map-side sums over all texts, then joined with the terms of rows
-that hold an entity. Terms so frequent that no entity of this corpus lets them reach DISCLOSURE are left out before the
-rows of risky terms are sought, which changes no result. A row with very many entities and terms gives all their pairs.
-No pattern backtracks without bound or recurses with the text's length.
+that hold an entity. Entities of the very same rows disclose alike, so they are put together before they meet terms: a row
+with thousands of addresses that occur nowhere else gives its terms once. Terms so frequent that no entity of this corpus
+lets them reach DISCLOSURE are left out first, which changes no result. Positions are running sums over blocks of matches,
+and texts are cut by blocks of characters, so the work grows with the text and hardly with its square. No pattern backtracks
+without bound or recurses with the text's length.
 
 Defined results: null text is empty: no spans, the digest of the empty string. Spans are in code points, end exclusive;
 term spans that would overlap a base span are dropped. An entity of all rows has no information to disclose. Repeated rows
@@ -23,12 +26,14 @@ are found alike, each a row of evidence. Other columns are kept by sanitise() an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash, table
 
-DISCLOSURE = 0.9
+DISCLOSURE, REMOVAL = 0.9, 0.97
 KINDS = ("email", "ip", "card", "phone", "term")
 
 # The patterns of the base kinds, possessive and anchored to where a leftmost match must start.
@@ -38,6 +43,9 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 
+#: Matches that a block of a running sum holds, and characters of a block of text.
+RUN, CUT = 64, 2048
+
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -61,20 +69,34 @@ def _valid_phone(m: Column) -> Column:
     return F.length(_digits(m)).between(10, 15)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's leftmost matches that do not overlap, by the lengths of the parts between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's integers, op over 0 and those before it; within blocks, then over blocks."""
+    zero = F.lit(0)
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["gap"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+    def before(array: Column, first: Column) -> Column:
+        return F.aggregate(array, F.array(first), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    return F.aggregate(pairs, start, step)["out"]
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(zero, F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / RUN).cast("int")), lambda k: F.slice(v, k * RUN + 1, RUN))
+
+    def joined(b: Column) -> Column:
+        heads = before(F.transform(b, lambda c: F.aggregate(c, zero, op)), zero)
+        return F.flatten(F.zip_with(b, F.slice(heads, 1, F.size(b)), lambda c, h: F.slice(before(c, h), 1, F.size(c))))
+
+    return let(values, lambda v: let(blocks(v), joined))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of a pattern's leftmost matches that do not overlap, by the lengths of the parts between them."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    parts = F.zip_with(found, between, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), (F.length(g) + F.length(m)).alias("step")))
+    span = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["step"]).alias("end"), x["m"].alias("value"))
+    return let(F.filter(parts, lambda x: x["m"].isNotNull()), lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["step"]), lambda a, x: a + x), span))
 
 
 def base_spans(text: Column) -> Column:
@@ -97,42 +119,37 @@ def _words(text: Column) -> Column:
 
 def _places(text: Column, terms: Column) -> Column:
     """The spans of a text's words that are among terms."""
-    words = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        # only what is found is put to the list, so that a long text is not copied word by word
-        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(F.coalesce(x["m"], F.lit("")))), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(words, start, step)["out"]
+    hits = F.filter(matches(text, TERM), lambda m: F.array_contains(terms, F.lower(m["value"])))
+    return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
 
 def _risky(docs: DataFrame) -> DataFrame:
-    """_pii_key, terms: the terms in each row of docs (_pii_key, text) that disclose an entity of the corpus."""
+    """_pii_key, _pii_terms, _pii_removed: the terms in each row of docs (_pii_key, text) that disclose an entity of the corpus, and those of them past REMOVAL."""
     text = F.coalesce("text", F.lit(""))
     entity = lambda s: F.sha2(F.concat_ws(":", s["kind"], F.lower(s["value"])), 256)
     spans = docs.select(text.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    rows = stash(spans.select(F.array_distinct(F.transform("spans", entity)).alias("entities"), _words(F.col("text")).alias("terms")), "entities")
-    per = rows.select(F.explode("entities").alias("entity"), "terms")
+    rows = stash(spans.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.transform("spans", entity)).alias("entities"), _words(F.col("text")).alias("terms")), "entities")
     n = docs.count()
-    n_e = stash(per.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n), "n_e")
-    n_te = per.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    # entities of the very same rows have the same count and sum of the rows' hashes
+    per = rows.select("row", F.explode("entities").alias("entity"))
+    like = per.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows")).where(F.col("n_e") < n)
+    classes = stash(per.join(like, "entity").select("row", "n_e", "rows").distinct().groupBy("row").agg(F.collect_list(F.struct("n_e", "rows")).alias("classes")), "classes")
     held = docs.where("text is not null").select("_pii_key", F.explode(_words(F.col("text"))).alias("term"))
     n_t = stash(held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "n_t")
-    part = 1 + F.log(F.col("n_te") / F.col("n_t")) / -F.log(F.col("n_e") / F.lit(float(max(n, 1))))
-    risky = stash(n_te.join(n_e, "entity").join(n_t, "term").where(part >= DISCLOSURE - 1e-12).select("term").distinct(), "risky")
-    # n_te is at most n_e, so no term of more rows than this is risky; of terms in over a thousandth of all rows there are few
-    most = (n_e.agg(F.max("n_e").alias("m")).first().m or 0) ** DISCLOSURE * max(n, 1) ** (1 - DISCLOSURE)
-    frequent = n_t.where((F.col("n_t") > most * 1.001) & (F.col("n_t") > n / 1000)).select("term")
-    found = held.join(F.broadcast(frequent), "term", "left_anti").join(risky, "term", "left_semi")
-    return found.groupBy("_pii_key").agg(F.collect_set("term").alias("_pii_terms"))
+    # n_te is at most n_e, so no term of more rows than this is risky; of terms in over a thousandth of all rows there are at
+    # most a thousand times the mean number of terms of a row
+    most = (classes.agg(F.max(F.array_max(F.transform("classes", lambda c: c["n_e"]))).alias("m")).first().m or 0) ** DISCLOSURE * max(n, 1) ** (1 - DISCLOSURE)
+    frequent = F.broadcast(n_t.where((F.col("n_t") > most * 1.001) & (F.col("n_t") > n / 1000)).select("term"))
+    both = rows.select("row", "terms").join(classes, "row").select("classes", F.explode("terms").alias("term")).join(frequent, "term", "left_anti")
+    n_te = both.select("term", F.explode("classes").alias("c")).groupBy("c", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    part = 1 + F.log(F.col("n_te") / F.col("n_t")) / -F.log(F.col("c.n_e") / F.lit(float(max(n, 1))))
+    risky = stash(n_te.join(n_t, "term").withColumn("part", part).where(F.col("part") >= DISCLOSURE - 1e-12).groupBy("term").agg((F.max("part") >= REMOVAL - 1e-12).alias("removed")), "risky")
+    found = held.join(frequent, "term", "left_anti").join(risky, "term")
+    return found.groupBy("_pii_key").agg(F.collect_set("term").alias("_pii_terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_pii_removed"))
 
 
 def _spanned(docs: DataFrame) -> DataFrame:
-    """docs with _pii_spans: base and term spans, ordered.
+    """docs with _pii_spans, base and term spans, ordered, and _pii_removed, the terms that go.
 
     The key of a row is a hash of its id and text. Rows of one key would share their terms, of which each takes those it holds."""
     keyed = docs.withColumn("_pii_key", F.xxhash64("doc_id", "text"))
@@ -140,14 +157,13 @@ def _spanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     both = both.withColumn("_pii_base", base_spans(text)).withColumn("_pii_places", F.when(F.col("_pii_terms").isNotNull(), _places(text, F.col("_pii_terms"))))
     clear = F.filter("_pii_places", lambda t: ~F.exists("_pii_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     spans = F.when(F.col("_pii_places").isNull(), F.col("_pii_base")).otherwise(F.array_sort(F.concat("_pii_base", clear)))
-    return both.withColumn("_pii_spans", F.transform(spans, place)).drop("_pii_base", "_pii_places", "_pii_terms")
+    return both.withColumn("_pii_spans", spans).drop("_pii_base", "_pii_places", "_pii_terms")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, kind, end; base and term spans, ordered) for docs (doc_id, text)."""
-    return _spanned(docs.select("doc_id", "text")).select("doc_id", F.col("_pii_spans").alias("spans"))
+    return _spanned(docs.select("doc_id", "text")).select("doc_id", F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -157,21 +173,33 @@ def _joined(spans: Column) -> Column:
 
 def report(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])), F.sha2(_joined(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(4).alias("n_term"))
+    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])), F.sha2(_joined(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(4).alias("n_term"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets, and n_chars, where there is one, counted anew."""
-    both = _spanned(docs)
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _replaced(text: Column, spans: Column, removed: Column) -> Column:
+    """text with its spans (ordered, perhaps overlapping) replaced: a span that starts inside another one goes with it."""
+    shape = lambda v: F.when(v == F.lower(v), "[WORD]").when((v == F.upper(v)) & (F.length(v) > 1), "[ACRONYM]").when(F.substring(v, 1, 1) != F.lower(F.substring(v, 1, 1)), "[NAME]").otherwise("[WORD]")
+    kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    name = lambda s: F.when((s["kind"] == 4) & ~F.coalesce(F.array_contains(removed, F.lower(s["value"])), F.lit(False)), shape(s["value"])).otherwise(F.element_at(kinds, s["kind"] + 1))
 
-    def step(a: Column, s: Column) -> Column:
-        out = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.when(s["start"] >= a["at"], F.element_at(names, s["kind"] + 1)).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        """The characters from a to b, of the blocks that hold them."""
+        first = F.floor(a / CUT).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((b - 1) / CUT).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(some, ""), a - first * CUT + 1, b - a)).otherwise("")
 
-    done = F.aggregate("_pii_spans", start, step)
-    clean = F.when(F.col("text").isNull() | (F.size("_pii_spans") == 0), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.lit(2**31 - 1))))
+    def joined(blocks: Column, spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        parts = F.zip_with(spans, ends, lambda s, at: F.concat(cut(blocks, at, s["start"]), F.when(s["start"] >= at, name(s)).otherwise("")))
+        return F.concat(F.array_join(parts, ""), cut(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0)), lambda blocks: let(spans, lambda s: joined(blocks, s)))
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """docs with every span of text replaced, and n_chars, where there is one, counted anew."""
+    both = _spanned(docs)
+    clean = F.when(F.col("text").isNull() | (F.size("_pii_spans") == 0), F.col("text")).otherwise(_replaced(F.col("text"), F.col("_pii_spans"), F.col("_pii_removed")))
     out = both.withColumn("text", clean).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 

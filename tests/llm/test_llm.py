@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docloom.llm import op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings, queries
@@ -240,6 +241,38 @@ def test_mixing(spark, sf, odd, docs) -> None:
     assert set(op5_mixing.mixed_rows(odd).columns) == set(odd.columns)
 
 
+def test_mixing_solves_the_dual(spark, docs) -> None:
+    """Rates against bisection on single documents, by source."""
+    by: dict = {}
+    for x in op5_mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        by.setdefault(x.source, []).append(x)
+    tilted = 0
+    for rows in by.values():
+        total, target = sum(x.size for x in rows), rows[0].target
+        mean = total / len(rows)
+        assert math.isclose(sum(x.size * x.rate for x in rows), target, rel_tol=1e-6)
+        if target < 2.999 * total:
+            lo, hi = -50.0, 50.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if sum(x.size * min(3, math.exp(min(50, mid * x.size / mean))) for x in rows) > target else (mid, hi)
+            assert all(math.isclose(x.rate, min(3, math.exp(lo * x.size / mean)), rel_tol=1e-4) for x in rows)
+            tilted += 1
+    assert tilted
+
+
+def test_mixing_rows_of_one_id(spark) -> None:
+    """Rows are told apart by what they hold, not by doc_id alone."""
+    rows = [(k // 2, f"s{k % 3}", f"w{k} " * (1 + k % 17)) for k in range(120)] + [(7, "s0", "same row"), (7, "s0", "same row"), (None, None, "x y"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("key", F.lit(1)).withColumn("copies", F.lit("x"))
+    taken = Counter()
+    for r in op5_mixing._planned(df).collect():
+        taken[r.doc_id, r.size] += r.copies
+    mixed = op5_mixing.mixed_rows(df)
+    assert mixed.columns == df.columns
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in mixed.collect()) == +taken
+
+
 def test_licenses(odd) -> None:
     t = op6_licenses.Templates()
     mit = op6_licenses.TEMPLATES["MIT"][2]
@@ -426,7 +459,40 @@ def test_pii_terms_of_rare_values_anywhere(spark) -> None:
     assert got == text | {0: text[0].replace("who@site.org", "[EMAIL]")}
     more = df.unionByName(spark.range(1000, 2500).select(F.col("id").alias("doc_id"), F.lit("common words").alias("text")))
     got = {r.doc_id: r.text for r in op9_pii.sanitise(more).where("doc_id < 1000").collect()}
-    assert got == text | {0: f"[TERM] said so. {far}mail to [EMAIL]", 1: f"{far}and [TERM] came back"}
+    assert got == text | {0: f"[NAME] said so. {far}mail to [EMAIL]", 1: f"{far}and [WORD] came back"}  # two rows of so many: generalised
+
+
+def test_pii_terms_are_those_of_plain_counts(spark, docs) -> None:
+    """Term spans against the rule written out, over whole texts."""
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = {r.doc_id: r.spans for r in op9_pii.find(docs).collect()}
+    spans = {i: {t[a:b].lower() for a, k, b in ((s.start, s.kind, s.end) for s in got[i]) if k == 4} for i, t in rows}
+    words_of = {i: {w.lower() for w in regex.findall(r"\p{L}{3,}", t)} for i, t in rows}
+    entities = {i: {(s.kind, t[s.start : s.end].lower()) for s in got[i] if s.kind < 4} for i, t in rows}
+    n, n_t, n_e = len(rows), Counter(w for ws in words_of.values() for w in ws), Counter(e for es in entities.values() for e in es)
+    n_te = Counter((w, e) for i in words_of for w in words_of[i] for e in entities[i])
+    risk: dict = {}
+    for (w, e), k in n_te.items():
+        if n_e[e] < n:
+            risk[w] = max(risk.get(w, 0), 1 + math.log(k / n_t[w]) / -math.log(n_e[e] / n))
+    risky = {w for w, r in risk.items() if r >= op9_pii.DISCLOSURE - 1e-12}
+    assert risky
+    for i, t in rows:
+        inside = [(s.start, s.end) for s in got[i] if s.kind < 4]
+        free = {m[0].lower() for m in regex.finditer(r"\p{L}{3,}", t) if all(m.end() <= a or b <= m.start() for a, b in inside)}
+        assert spans[i] == free & risky
+
+
+def test_pii_of_long_texts(spark) -> None:
+    """Thousands of values in one text, overlapping ones, and characters outside the basic plane; time grows with the text."""
+    many = " ".join(f"u{k}@x{k % 7}.org \U0001f600" for k in range(6000))
+    texts = [many, "a@1.2.3.4 b", "x " * 2500 + "+1 (743) 555-3824" + " y" * 2500, "\U0001f600" * 3000 + "a@b.co" + "\U0001f600" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in op9_pii.sanitise(df).collect()}
+    assert time.time() - start < 60
+    assert got[0] == " ".join("[EMAIL] \U0001f600" for _ in range(6000)) and got[1] == "[EMAIL] b"
+    assert got[2] == "x " * 2500 + "[PHONE]" + " y" * 2500 and got[3] == "\U0001f600" * 3000 + "[EMAIL]" + "\U0001f600" * 3000
 
 
 def test_embeddings(spark, sf, odd) -> None:
