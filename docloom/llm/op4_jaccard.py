@@ -44,7 +44,8 @@ SMALL = 64
 DIMS = 256
 HEAVY = 1e-3
 FLUSH = 2_000_000
-BLOCK = 400
+#: Members of a cell that are compared with one another in one go, and partners that a set travels to at once.
+BLOCK, PORTION = 400, 400
 LEAF = 16
 
 
@@ -278,22 +279,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, own = None, None
+    key, own = None, {}  # rows of one id may have several sets
     for b in batches:
         out = []
         for a, portion, doc, s in zip(b["a"].to_pylist(), b["portion"].to_pylist(), b["doc"].to_pylist(), b["set"].to_pylist(), strict=True):
-            s = np.frombuffer(s, np.uint64)
             if doc == a:
-                key, own = (a, portion), s
-            elif key == (a, portion) and linked(own, s):
+                key, own = (a, portion), own if key == (a, portion) else {}
+                own.setdefault(s, np.frombuffer(s, np.uint64))
+            elif key == (a, portion) and any(linked(o, np.frombuffer(s, np.uint64)) for o in own.values()):
                 out.append((a, doc))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a < b) whose whole sets are linked; a's set travels once for every BLOCK partners."""
+    """Those of pairs (a < b) whose whole sets are linked; a's set travels once for every PORTION partners."""
     n = width(pairs.sparkSession)
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("portions"))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / PORTION).cast("int").alias("portions"))
     own = many.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
     other = pairs.join(many, "a").select(F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"))
     roles = own.unionByName(other).groupBy("doc").agg(F.collect_list(F.struct("a", "portion")).alias("roles"))
@@ -334,7 +335,10 @@ def join(docs: DataFrame) -> DataFrame:
     round1 = cells.withColumn("g2", F.explode(F.when((F.col("doc") == F.col("pivot")) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))))
     round1 = round1.join(points, "doc").select(F.col("cell").alias("g1"), "g2", F.lit(0).alias("g3"), "doc", F.col("doc").alias("label"), "pt")
     tested = stash(_search(round1, False), "pairs")
-    links = stash(verified(tested, docs), "verified")
+    # rows of one id are one vertex, so its classes are linked
+    ids = of.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc", "a")
+    same = of.join(ids, "doc").select("a", F.col("rep").alias("b")).where("a <> b")
+    links = stash(verified(tested, docs).unionByName(same), "verified")
     _release(spark)
     found = components(links)
     labelled = cells.join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))

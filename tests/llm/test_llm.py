@@ -201,6 +201,15 @@ def test_jaccard(spark, odd, seed) -> None:
     assert op4_jaccard.deduplicated(df).count() == len({c for _, c in got.values()})
 
 
+def test_jaccard_rows_of_one_id_are_one_vertex(spark) -> None:
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "ABCDE"}
+    near = lambda k: text[k] + " end"
+    rows = [(1, text["A"]), (5, text["A"]), (5, text["B"]), (7, near("B")), (8, text["C"]), (8, text["D"]), (9, near("C")), (10, near("D")), (11, text["E"])]
+    got = op4_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8, 10: 8, 11: 11}
+    assert got.count() == len(rows)
+
+
 def test_jaccard_tree_loses_nothing() -> None:
     rng = np.random.default_rng(1)
     points = rng.poisson(2, (300, 32)).astype(np.int32)
