@@ -1,21 +1,16 @@
-"""Retrieval: nearest vectors, full text, merging, reranking, evaluation."""
+"""Retrieval: nearest vectors, branches of a hybrid run, merging, reranking, citations, evaluation."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, weighted
-from ..functions.text import alias_key, strip
+from ..functions.text import alias_key, snippet, strip
 from ..functions.vectors import cosine_distance, inner_product_distance, l2_distance
 
 METRICS = {"cosine": cosine_distance, "l2": l2_distance, "inner_product": inner_product_distance}
 WEIGHTS = {"vector_similarity": 0.30, "bm25_score": 0.20, "graph_distance": 0.15, "entity_trust": 0.15, "relationship_confidence": 0.10, "recency": 0.05, "document_quality": 0.05}
-#: English stop words of the full-text parser; a fixed value.
-STOP_WORDS = frozenset("a about after all also an and any are as at be because been but by can could did do does for from had has have he her his how i if in into is it its just me more my no not of on only or other our out over she so some such than that the their them then there these they this to was we were what when which who will with would you your".split())
-
 
 def nearest(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", drop_self: bool = False) -> DataFrame:
     """query_id, vec_id, distance, rank of the k nearest items (vec_id, embedding, ...) of each query (query_id, q).
@@ -39,62 +34,77 @@ def label_metrics(ranked: DataFrame, items: DataFrame) -> DataFrame:
     return per.agg(F.sum("hits").alias("hits"), F.sum("k").cast("long").alias("k"), F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("precision_at_k"), F.round(F.avg(F.col("hits") / F.col("relevant")), 6).alias("recall_at_k"))
 
 
-def parse_query(text: str) -> list[tuple[list[list[str]], list[list[str]]]]:
-    """A web-style query as alternatives of (required phrases, excluded phrases); each phrase a list of words. Never fails."""
-    out: list[tuple[list[list[str]], list[list[str]]]] = [([], [])]
-    for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text or ""):
-        if plain.lower() == "or" and not minus:
-            out.append(([], []))
-            continue
-        words = [w for w in re.findall(r"[a-z0-9]+", (quoted or plain).lower()) if w not in STOP_WORDS]
-        if words:
-            out[-1][1 if minus else 0].append(words)
-    return [a for a in out if a[0]]
-
-
-def lexemes(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def full_text(docs: DataFrame, key: str, text: str, query: str, limit: int | None = None) -> DataFrame:
-    """key and score of the documents that match: every phrase of some alternative, none of its excluded ones.
-
-    score is the cover density of the required words: for each minimal cover, one over its width."""
-    alternatives = parse_query(query)
-    tokens = lexemes(F.col(text))
-    has = lambda words: F.contains(F.concat(F.lit(" "), F.array_join(F.col("_t"), " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
-    ok = F.lit(False)
-    for required, excluded in alternatives:
-        one = F.lit(True)
-        for p in required:
-            one = one & has(p)
-        for p in excluded:
-            one = one & ~has(p)
-        ok = ok | one
-    hits = docs.select(key, tokens.alias("_t")).where(ok)
-    words = sorted({w for required, _ in alternatives for p in required for w in p})
-    scored = hits.withColumn("score", cover_density(F.col("_t"), words)).select(key, "score")
-    return scored.orderBy(F.desc("score"), key).limit(limit) if limit is not None else scored
-
-
-def cover_density(tokens: Column, words: list[str]) -> Column:
-    """Sum over minimal covers of all present words of number of words / width, by one fold over the tokens.
-
-    The fold keeps the last place of each word; a cover ends where it cannot be shortened from the left."""
-    if not words:
-        return F.lit(0.0)
-    present = [w for w in words]
-    last = F.struct(*[F.lit(None).cast("int").alias(f"w{k}") for k in range(len(present))], F.lit(0.0).alias("s"), F.lit(-1).alias("from"), F.lit(-1).alias("i"))
-
-    def step(a: Column, t: Column) -> Column:
-        i = a["i"] + 1
-        at = [F.when(t == w, i).otherwise(a[f"w{k}"]) for k, w in enumerate(present)]
-        start = F.least(*at) if len(at) > 1 else at[0]
-        full = ~start.isNull() if len(at) == 1 else ~F.array_contains(F.transform(F.array(*at), lambda x: x.isNull()), True)
-        new = full & t.isin(present) & (start > a["from"])
-        return F.struct(*[x.alias(f"w{k}") for k, x in enumerate(at)], F.when(new, a["s"] + F.lit(float(len(present))) / (i - start + 1)).otherwise(a["s"]).alias("s"), F.when(new, start).otherwise(a["from"]).alias("from"), i.alias("i"))
-
-    return F.aggregate(tokens, last, step)["s"]
+SOURCE_TYPES = ("document_chunk", "graph_node", "graph_edge", "canonical_entity", "ontology_definition")
+
+
+def hybrid(query_id: str, text_hits: DataFrame, vector_hits: DataFrame, nodes: DataFrame, edges: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """Candidates of the three branches, for merged() and reranked().
+
+    text_hits: source_id, score. vector_hits: source_type, source_id, similarity, already limited, so the allow-list acts after
+    that limit; text and graph are left out before. nodes: source_id, hops, recency. edges: source_id, confidence, recency."""
+    signals = lambda **k: [k.get(s, F.lit(None)).cast("double").alias(s) for s in WEIGHTS]
+    head = lambda kind, method, score, seq: [F.lit(query_id).alias("query_id"), kind.alias("source_type"), F.col("source_id").cast("string").alias("source_id"), F.lit(method).alias("method"), score.cast("double").alias("score"), F.lit(seq).alias("seq")]
+    ok = lambda kind: allowed is None or kind in allowed
+    score, sim, conf = F.col("score"), F.col("similarity"), F.col("confidence")
+    out = vector_hits.select(*head(F.col("source_type"), "vector", sim, 2), *signals(vector_similarity=sim))
+    if allowed is not None:
+        out = out.where(F.col("source_type").isin(*allowed))
+    if ok("document_chunk"):
+        out = out.unionByName(text_hits.select(*head(F.lit("document_chunk"), "bm25", score, 1), *signals(bm25_score=score)))
+    if ok("graph_node"):
+        out = out.unionByName(nodes.select(*head(F.lit("graph_node"), "graph_expansion", 1 / (1 + F.col("hops")), 3), *signals(graph_distance=F.col("hops"), recency=F.col("recency"))))
+    if ok("graph_edge"):
+        out = out.unionByName(edges.select(*head(F.lit("graph_edge"), "graph_expansion", conf, 3), *signals(relationship_confidence=conf, recency=F.col("recency"))))
+    return out
+
+
+def cited(results: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, ontology: DataFrame) -> DataFrame:
+    """results (source_type, source_id, final_rank, ...) with what each cites; a chunk, node or edge that is not there fails.
+
+    chunks: chunk_id, document_id, document_title, page_number, text. nodes: node_id, canonical_id. edges: edge_id, source_node, target_node,
+    relationship, confidence. evidence: evidence_id, edge_id, document_id, page_number, chunk_id, entity_id, in the order of ids.
+    ontology: entity_type, description; a definition that is not there is left out of the context only."""
+    is_ = lambda kind: F.col("source_type") == kind
+    c = chunks.select(F.lit("document_chunk").alias("source_type"), F.col("chunk_id").alias("source_id"), F.struct("document_id", "document_title", "page_number", snippet(F.col("text")).alias("text_snippet")).alias("c"))
+    n = nodes.select(F.lit("graph_node").alias("source_type"), F.col("node_id").alias("source_id"), F.col("canonical_id").alias("n"))
+    name = lambda k: nodes.select(F.col("node_id").alias(f"{k}_node"), F.col("canonical_id").alias(f"_{k}"))
+    wanted = results.where(is_("graph_edge")).select(F.col("source_id").alias("edge_id")).distinct()
+    per = evidence.join(wanted, "edge_id").groupBy("edge_id").agg(F.sort_array(F.collect_list(F.struct("evidence_id", "document_id", "page_number", "chunk_id", "entity_id"))).alias("v"))
+    e = edges.join(wanted, "edge_id").join(name("source"), "source_node", "left").join(name("target"), "target_node", "left").join(per, "edge_id", "left")
+    path = F.array(F.coalesce("_source", "source_node"), F.col("relationship"), F.coalesce("_target", "target_node"))
+    e = e.select(F.lit("graph_edge").alias("source_type"), F.col("edge_id").alias("source_id"), F.struct(path.alias("path"), "confidence", F.get("v", F.lit(0)).alias("first"), F.coalesce(F.transform("v", lambda x: x["evidence_id"]), F.array().cast("array<string>")).alias("ids")).alias("e"))
+    o = ontology.select(F.lit("ontology_definition").alias("source_type"), F.col("entity_type").alias("source_id"), F.col("description").alias("o"))
+    key = ["source_type", "source_id"]
+    all_ = results.join(c, key, "left").join(n, key, "left").join(e, key, "left").join(o, key, "left")
+    found = F.when(is_("document_chunk"), F.col("c").isNotNull()).when(is_("graph_node"), F.col("n").isNotNull()).when(is_("graph_edge"), F.col("e").isNotNull()).otherwise(True)
+    checked = F.when(found, F.col("source_id")).otherwise(F.raise_error(F.concat("source_type", F.lit(" "), "source_id", F.lit(" not found"))))
+    return all_.select(
+        *[x for x in results.columns if x != "source_id"],
+        checked.alias("source_id"),
+        F.coalesce("c.document_id", "e.first.document_id").alias("document_id"),
+        F.col("c.document_title").alias("document_title"),
+        F.coalesce("c.page_number", "e.first.page_number").alias("page_number"),
+        F.when(is_("document_chunk"), F.col("source_id")).otherwise(F.col("e.first.chunk_id")).alias("chunk_id"),
+        F.col("e.first.entity_id").alias("entity_id"),
+        F.when(is_("canonical_entity"), F.col("source_id")).otherwise(F.col("n")).alias("canonical_id"),
+        F.col("c.text_snippet").alias("text_snippet"),
+        F.col("e.path").alias("graph_path"),
+        F.col("e.ids").alias("evidence_ids"),
+        F.col("e.confidence").alias("confidence"),
+        (~is_("ontology_definition") | F.col("o").isNotNull()).alias("in_context"),
+    )
+
+
+#: The order of a context's buckets; a fixed value.
+BUCKETS = ("document_chunk", "graph_node", "graph_edge", "canonical_entity", "ontology_definition")
+
+
+def context(cites: DataFrame) -> DataFrame:
+    """query_id, source_type, source_id, place and total_items of a query's context: buckets in their order, ranks within."""
+    order = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("source_type"))
+    w = Window.partitionBy("query_id")
+    kept = cites.where("in_context")
+    return kept.select("query_id", "source_type", "source_id", F.row_number().over(w.orderBy(order, "final_rank")).alias("place"), F.count(F.lit(1)).over(w).alias("total_items"))
 
 
 def merged(candidates: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key
-from ..operators import chunking, retrieval
+from ..operators import chunking, fulltext, graph, retrieval
+from ..operators import relational as rel
 from ..streaming import limiter
 from .catalogue import query, table
+from .graph_queries import _G
 
 
 def _knn_sql(distance: str, where: str = "true") -> str:
@@ -46,31 +48,51 @@ def vec_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, "cosine", 3)
 
 
-_TOKENS = "t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS s FROM documents)"
+#: Words of the test tables by their stems, and the tokens of texts.
+_LICENS = "('license', 'licenses', 'licensed', 'licensing')"
+_TOKENS = "t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents))"
+_ONE = f"round(0.1::DOUBLE * len(list_filter(w, lambda x: x IN {_LICENS})), 9)"
 
 
-@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE contains(s, ' apache ') AND contains(s, ' license ')")
-def fts_unstemmed_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FT-2, FT-3: all words."""
-    return retrieval.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", "apache license").select("doc_id")
+def _text_search(spark: SparkSession, sf_dir: str, q: str, limit: int | None = None) -> DataFrame:
+    return fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", q, limit)
 
 
-@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE contains(s, ' general public license ')")
+@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE regexp_matches(s, ' apaches? ') AND regexp_matches(s, ' licens(e|es|ed|ing) ')")
+def fts_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FT-1, FT-2, FT-3: all words, by their stems; stop words do not count."""
+    return _text_search(spark, sf_dir, "the Apache licensing").select("doc_id")
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE regexp_matches(s, ' general(ly|s)? public(ly|s)? licens(e|es|ed|ing) ')")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FT-2: a quoted phrase."""
-    return retrieval.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", '"general public license"').select("doc_id")
+    return _text_search(spark, sf_dir, '"general public license"').select("doc_id")
 
 
-@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE (contains(s, ' license ') AND NOT contains(s, ' mit ')) OR contains(s, ' token ')")
+@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE (regexp_matches(s, ' licens(e|es|ed|ing) ') AND NOT regexp_matches(s, ' mits? ')) OR regexp_matches(s, ' tokens? ')")
 def fts_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FT-2: exclusion and alternatives."""
-    return retrieval.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", "license -mit or token").select("doc_id")
+    return _text_search(spark, sf_dir, "license -mit or token").select("doc_id")
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, score FROM (SELECT doc_id, {_ONE} AS score FROM t) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
+def fts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FT-4, FT-5, TOP-1: the fifty densest matches of one word, each occurrence a cover."""
+    return _text_search(spark, sf_dir, "licenses", 50)
 
 
 @query()
 def fts_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FT-4, FT-5, TOP-1: the fifty densest matches."""
-    return retrieval.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", "licensed apache", 50)
+    """FT-4: the density of covers of two words; tested against all stretches of small texts."""
+    return _text_search(spark, sf_dir, "licensed apache", 50)
+
+
+@query(f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM t) SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(min(k) AS BIGINT) AS first FROM p WHERE x IN {_LICENS} GROUP BY 1")
+def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FT-1: positions of a lexeme."""
+    p = fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text").where("lexeme = 'licens'")
+    return p.select("doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).cast("long").alias("first"))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN contains(q, 'compare') OR contains(q, 'versus') OR contains(q, ' vs ') OR contains(q, ' vs.') THEN 'comparison' WHEN contains(q, 'owns') OR contains(q, 'owned by') OR contains(q, 'operates') OR contains(q, 'relationship') OR contains(q, 'related to') OR contains(q, 'connected to') THEN 'relationship'
@@ -102,35 +124,80 @@ def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.query_entities(q, n)
 
 
-@query("""WITH c AS (SELECT vec_id AS id, 'vector' AS m, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))) AS v, NULL::DOUBLE AS b FROM embeddings UNION ALL SELECT doc_id, 'bm25', NULL, n_chars::DOUBLE / 1000 FROM documents WHERE doc_id % 3 = 0 AND doc_id < 400),
-g AS (SELECT id, max(v) AS v, max(b) AS b, CASE WHEN count(DISTINCT m) > 1 THEN 'hybrid' ELSE min(m) END AS method FROM c GROUP BY id),
-s AS (SELECT id, method, round((coalesce(v * 0.3::DOUBLE, 0::DOUBLE) + coalesce(b / (1::DOUBLE + b) * 0.2::DOUBLE, 0::DOUBLE)) / (CASE WHEN v IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END), 9) AS score FROM g)
-SELECT id AS source_id, method, round(score, 6) AS rerank_score FROM s""")
-def hybrid_merge_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HYB-1, HYB-2, RRK-1, RRK-2, MTH-6: candidates of two branches merged and reranked."""
-    from ..functions.vectors import cosine_distance
-
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    signals = lambda **k: [k.get(s, F.lit(None)).cast("double").alias(s) for s in retrieval.WEIGHTS]
-    head = lambda i, m, s, n: [F.lit("q1").alias("query_id"), F.lit("chunk").alias("source_type"), i.alias("source_id"), F.lit(m).alias("method"), s.alias("score"), F.lit(n).alias("seq")]
-    sim = 1 - cosine_distance(F.col("embedding"), F.col("q"))
-    v = e.crossJoin(F.broadcast(q)).select(*head(F.col("vec_id"), "vector", sim, 2), *signals(vector_similarity=sim))
-    b = table(spark, sf_dir, "documents").where("doc_id % 3 = 0 and doc_id < 400")
-    b = b.select(*head(F.col("doc_id"), "bm25", F.col("n_chars") / 1000.0, 1), *signals(bm25_score=F.col("n_chars") / 1000.0))
-    return retrieval.reranked(retrieval.merged(v.unionByName(b))).select("source_id", "method", F.round("rerank_score", 6).alias("rerank_score"))
+_TYPE = "CASE label % 3 WHEN 0 THEN 'document_chunk' WHEN 1 THEN 'graph_node' ELSE 'canonical_entity' END"
+_ID = "CASE label % 3 WHEN 0 THEN '' WHEN 1 THEN 'c' ELSE 'e' END || vec_id"
+_RUN = f"""WITH RECURSIVE {_G}, {_TOKENS}, r(node, depth) AS (SELECT 's1', 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 2),
+o AS (SELECT 'c' || o_custkey AS node, pow(0.5, greatest(0.0, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2026-01-01')) / 90.0) AS recency FROM orders GROUP BY 1),
+c AS (SELECT 'document_chunk' AS t, CAST(doc_id AS VARCHAR) AS id, 'bm25' AS m, NULL::DOUBLE AS vs, s AS bm, NULL::DOUBLE AS gd, NULL::DOUBLE AS rc, NULL::DOUBLE AS re FROM (SELECT doc_id, {_ONE} AS s FROM t) WHERE s > 0 QUALIFY row_number() OVER (ORDER BY s DESC, doc_id) <= 50
+UNION ALL SELECT * FROM (SELECT {_TYPE} AS t, {_ID} AS id, 'vector', 1 - d, NULL, NULL, NULL, NULL FROM (SELECT a.vec_id, a.label, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY d, a.vec_id LIMIT 50)) WHERE t <> 'canonical_entity'
+UNION ALL SELECT 'graph_node', node, 'graph_expansion', NULL, NULL, min(depth), NULL, any_value(recency) FROM r LEFT JOIN o USING (node) GROUP BY node
+UNION ALL SELECT 'graph_edge', a || '>' || b, 'graph_expansion', NULL, NULL, NULL, CASE WHEN a[1] = 'c' THEN 0.8 ELSE 0.9 END, NULL FROM (SELECT DISTINCT a, b FROM e0) WHERE a IN (SELECT node FROM r) AND b IN (SELECT node FROM r)),
+g AS (SELECT t, id, CASE WHEN count(DISTINCT m) > 1 THEN 'hybrid' ELSE min(m) END AS method, max(vs) AS vs, max(bm) AS bm, max(gd) AS gd, max(rc) AS rc, max(re) AS re FROM c GROUP BY t, id),
+s AS (SELECT t, id, method, (CASE WHEN vs IS NULL THEN 0 ELSE greatest(0.0, least(1.0, vs)) * 0.3::DOUBLE END + coalesce(bm / (1.0 + bm) * 0.2::DOUBLE, 0) + coalesce(0.15::DOUBLE / (1.0 + gd), 0) + coalesce(rc * 0.1::DOUBLE, 0) + coalesce(re * 0.05::DOUBLE, 0))
+  / (CASE WHEN vs IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN bm IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN gd IS NULL THEN 0 ELSE 0.15::DOUBLE END + CASE WHEN rc IS NULL THEN 0 ELSE 0.1::DOUBLE END + CASE WHEN re IS NULL THEN 0 ELSE 0.05::DOUBLE END) AS score FROM g),
+ranked AS (SELECT t, id, method, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, t, id) AS rank FROM s)"""
 
 
-@query("""SELECT doc_id, source, CASE WHEN length(text) > 280 THEN substr(text, 1, 280) || '...' ELSE text END AS text_snippet, CAST(sum(1) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS place, CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS total_items FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)""")
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = retrieval.nearest(e, q, 50).join(e.select("vec_id", "label"), "vec_id")
+    kind = F.element_at(F.array(*map(F.lit, ("document_chunk", "graph_node", "canonical_entity"))), F.col("label").cast("int") % 3 + 1)
+    prefix = F.element_at(F.array(F.lit(""), F.lit("c"), F.lit("e")), F.col("label").cast("int") % 3 + 1)
+    near = near.select(kind.alias("source_type"), F.concat(prefix, "vec_id").alias("source_id"), (1 - F.col("distance")).alias("similarity"))
+    hits = _text_search(spark, sf_dir, "licenses", 50).select(F.col("doc_id").cast("string").alias("source_id"), "score")
+    links = rel.star_graph(lambda n: table(spark, sf_dir, n))[1]
+    reached = graph.within(links, spark.createDataFrame([("s1",)], "seed string"), 2)
+    age = F.datediff(F.lit("2026-01-01").cast("date"), F.max("o_orderdate").cast("date"))
+    seen = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), "o_custkey").alias("node")).agg(F.pow(F.lit(0.5), F.greatest(F.lit(0), age) / 90.0).alias("recency"))
+    nodes = graph.nearest_seed(reached).join(seen, "node", "left").select(F.col("node").alias("source_id"), "hops", "recency")
+    inside = graph.subgraph(links, reached).select("a", "b").distinct()
+    edges = inside.select(F.concat("a", F.lit(">"), "b").alias("source_id"), F.when(F.col("a").startswith("c"), 0.8).otherwise(0.9).alias("confidence"), F.lit(None).cast("double").alias("recency"))
+    return retrieval.hybrid("q1", hits, near, nodes, edges, ("document_chunk", "graph_node", "graph_edge"))
+
+
+@query(_RUN + " SELECT t AS source_type, id AS source_id, method, score AS rerank_score, CAST(rank AS INTEGER) AS final_rank FROM ranked")
+def hybrid_merge_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HYB-1..3, FIL-8, RRK-1, RRK-2, MTH-6: candidates of full text, vectors and graph, allowed types only, merged and reranked."""
+    out = retrieval.reranked(retrieval.merged(_candidates(spark, sf_dir)))
+    return out.select("source_type", "source_id", "method", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
+
+
+_CITED = """x AS (SELECT 'document_chunk' AS t, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'graph_node', 's' || s_suppkey FROM supplier UNION ALL SELECT 'graph_edge', 's' || s_suppkey || '>n' || s_nationkey FROM supplier
+UNION ALL SELECT 'canonical_entity', 'country:' || n_nationkey FROM nation UNION ALL SELECT 'ontology_definition', r_name FROM region UNION ALL SELECT 'ontology_definition', 'unknown')"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    chunks = t("documents").select(text("doc_id").alias("chunk_id"), text("doc_id").alias("document_id"), F.col("source").alias("document_title"), F.lit(1).alias("page_number"), "text")
+    s = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.concat(F.lit("supplier:"), "s_suppkey").alias("canonical_id"), F.concat(F.lit("n"), "s_nationkey").alias("to"), F.col("s_suppkey").alias("k"))
+    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("country:"), "n_nationkey").alias("canonical_id"))
+    edges = s.select(F.concat("node_id", F.lit(">"), "to").alias("edge_id"), F.col("node_id").alias("source_node"), F.col("to").alias("target_node"), F.lit("located_in").alias("relationship"), F.lit(0.7).alias("confidence"), "k")
+    proof = edges.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).where("k % 2 = 0").select(F.concat(F.lit("v"), "k", F.lit("."), "i").alias("evidence_id"), "edge_id", text("k").alias("document_id"), (F.col("i") + 3).alias("page_number"), none.alias("chunk_id"), F.concat(F.lit("m"), "i").alias("entity_id"))
+    onto = t("region").select(F.col("r_name").alias("entity_type"), F.lit("a region").alias("description"))
+    r = lambda df, kind, c: df.select(F.lit(kind).alias("source_type"), c.alias("source_id"))
+    rows = r(chunks.where("document_title is not null"), "document_chunk", F.col("chunk_id")).unionByName(r(s, "graph_node", F.col("node_id"))).unionByName(r(edges, "graph_edge", F.col("edge_id")))
+    rows = rows.unionByName(r(n, "canonical_entity", F.col("canonical_id"))).unionByName(r(onto, "ontology_definition", F.col("entity_type"))).unionByName(r(spark.range(1), "ontology_definition", F.lit("unknown")))
+    rows = rows.withColumn("query_id", F.substring("source_id", -1, 1)).withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("source_id", "source_type")))
+    return retrieval.cited(rows, chunks, s.select("node_id", "canonical_id").unionByName(n), edges, proof, onto)
+
+
+@query(f"""WITH {_CITED} SELECT t AS source_type, id AS source_id, CASE t WHEN 'document_chunk' THEN id WHEN 'graph_edge' THEN CASE WHEN k % 2 = 0 THEN '' || k END END AS document_id, d.source AS document_title, CASE WHEN t = 'document_chunk' THEN 1 WHEN t = 'graph_edge' AND k % 2 = 0 THEN 3 END AS page_number,
+CASE WHEN t = 'document_chunk' THEN id END AS chunk_id, CASE WHEN t = 'graph_edge' AND k % 2 = 0 THEN 'm0' END AS entity_id, CASE t WHEN 'graph_node' THEN 'supplier:' || substr(id, 2) WHEN 'canonical_entity' THEN id END AS canonical_id,
+CASE WHEN length(d.text) > 280 THEN substr(d.text, 1, 280) || '...' ELSE d.text END AS text_snippet, CASE WHEN t = 'graph_edge' THEN 'supplier:' || k || '|located_in|country:' || split_part(id, '>n', 2) END AS graph_path, CASE WHEN t = 'graph_edge' THEN CASE WHEN k % 2 = 0 THEN 'v' || k || '.0|v' || k || '.1' ELSE '' END END AS evidence_ids
+FROM (SELECT t, id, CASE WHEN t = 'graph_edge' THEN CAST(split_part(substr(id, 2), '>', 1) AS BIGINT) END AS k FROM x) y LEFT JOIN documents d ON t = 'document_chunk' AND d.doc_id = TRY_CAST(id AS BIGINT)""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CIT-1, CTX-1: cited rows by bucket, with totals."""
-    from pyspark.sql import Window
+    """CIT-1: what a chunk, a node, an edge, a canonical entity and a definition cite."""
+    return _cited(spark, sf_dir).drop("final_rank", "query_id", "in_context", "confidence").withColumn("graph_path", F.array_join("graph_path", "|")).withColumn("evidence_ids", F.array_join("evidence_ids", "|"))
 
-    from ..functions.text import snippet
 
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    w = Window.partitionBy("source")
-    return d.select("doc_id", "source", snippet(F.col("text")).alias("text_snippet"), F.row_number().over(w.orderBy("doc_id")).cast("long").alias("place"), F.count("*").over(w).alias("total_items"))
+@query(f"""WITH {_CITED}, y AS (SELECT t, id, right(id, 1) AS q, row_number() OVER (PARTITION BY right(id, 1) ORDER BY id, t) AS r FROM x)
+SELECT q AS query_id, t AS source_type, id AS source_id, CAST(row_number() OVER (PARTITION BY q ORDER BY list_position(['document_chunk', 'graph_node', 'graph_edge', 'canonical_entity', 'ontology_definition'], t), r) AS INTEGER) AS place, count(*) OVER (PARTITION BY q) AS total_items FROM y WHERE id <> 'unknown'""")
+def context_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CTX-1: citations of each query in the order of the buckets, with totals; unknown definitions are left out."""
+    return retrieval.context(_cited(spark, sf_dir))
 
 
 @query()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers, text
-from docloom.operators import chunking, graph, retrieval, trust
+from docloom.operators import chunking, fulltext, graph, retrieval, trust
+from docloom.plans import document_queries
 from docloom.streaming import limiter
 
 
@@ -88,10 +90,42 @@ def test_rerank(spark) -> None:
 
 def test_full_text(spark) -> None:
     d = spark.createDataFrame([(1, "Adani Ports SEZ owns and operates Mundra Port terminal."), (2, "Crude oil prices rose."), (3, "Port of Mundra, the port far away from Mundra")], "id int, t string")
-    assert [r.id for r in retrieval.full_text(d, "id", "t", '"Mundra Port"').collect()] == [1]
-    assert [r.id for r in retrieval.full_text(d, "id", "t", "Mundra Port", 5).collect()][0] in (1, 3)
-    assert retrieval.full_text(d, "id", "t", "  ").count() == 0
-    assert retrieval.full_text(d, "id", "t", '"unclosed -- or').count() == 0
+    found = lambda q: {r.id: r.score for r in fulltext.search(d, "id", "t", q).collect()}
+    assert list(found('"Mundra Port"')) == [1] and list(found("the prices rising or rise")) == []
+    assert set(found("operation")) == {1} and set(found("owning -sez")) == set()
+    # 1: Ports SEZ ... Mundra, Mundra Port; 3: Port of Mundra, Mundra the port, port far away from Mundra
+    assert found("Mundra Port") == {1: pytest.approx(0.1 / 5 + 0.1), 3: pytest.approx(0.1 / 2 + 0.1 / 2 + 0.1 / 4)}
+    assert found("  ") == {} and found("of the") == {} and found('"unclosed -- or') == {}
+
+
+def test_stems() -> None:
+    stems = dict(consistency="consist", knocks="knock", hopping="hop", hoping="hope", agreed="agre", happy="happi", by="by", relational="relat", electricity="electr", replacement="replac", controlling="control", communication="communic", kiwis="kiwi", gas="gas", cries="cri", skies="sky", exceeding="exceed", licensed="licens")
+    assert {w: fulltext.stem(w) for w in stems} == stems
+
+
+def test_cover_density_is_that_of_all_shortest_stretches() -> None:
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [rng.choice(["alpha", "beta", "gamma", "x1", "x2"]) for _ in range(rng.randint(1, 14))]
+        text = " ".join(words)
+        place = lambda w: [k for k, x in enumerate(words) if x == w]
+        covers = {(min(a, b), max(a, b)) for a in place("alpha") for b in place("beta")}
+        shortest = [c for c in covers if not any(o != c and c[0] <= o[0] and o[1] <= c[1] for o in covers)]
+        want = sum(0.1 / (b - a) for a, b in shortest)
+        got = fulltext.rank(fulltext.lexemes_of(text), fulltext.parse("alpha beta"))
+        assert (got is None) == (not covers) and (got or 0.0) == pytest.approx(want)
+
+
+def test_grounded_middle(spark) -> None:
+    rng = random.Random(2)
+    rows = [(k, [rng.choice(["ab", "c", "abc", "d"]) for _ in range(rng.randint(4, 9))]) for k in range(30)]
+    got = {r.doc_id: (r.x0, r.x1) for r in document_queries.grounded_middle(spark.createDataFrame(rows, "doc_id long, ws array<string>")).collect()}
+    for k, ws in rows:
+        h = len(ws) // 2
+        value = "zzqx" if k % 3 == 0 else f"{ws[h - 1]} {ws[h]}"
+        runs = [(n, s) for n in range(1, 13) for s in range(len(ws) - n + 1) if value in " ".join(ws[s : s + n])]
+        n, s = min(runs, default=(0, None))
+        assert got[k] == ((None, None) if s is None else (10.0 * (s + 1), 10.0 * (s + n) + 8))
 
 
 def test_rules(spark) -> None:
