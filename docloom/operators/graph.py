@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp
@@ -23,13 +23,24 @@ RULES = (
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's checkpoint folder (an own one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("/tmp/docloom-checkpoints")
+    """df with its lineage cut, in the session's checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set a local session gets one of its own; on a cluster it would be another on each machine, so that fails."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "/tmp/docloom-checkpoints"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    return where
+
+
 def findings(mentions: DataFrame) -> DataFrame:
     """chunk_id, source_id, target_id, relationship, confidence of the pairs of a chunk that a rule relates.
 
@@ -55,13 +66,18 @@ def findings(mentions: DataFrame) -> DataFrame:
 def upserted(edges: DataFrame, evidence: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (source_id, target_id, relationship, confidence, evidence_count) and evidence (those keys, entity_id, chunk_id) after new findings.
 
-    The greater confidence stays, evidence is added once, counts are of distinct chunks; self-loops are dropped. A second run changes nothing."""
+    The greater confidence stays, evidence is added once, counts are of distinct chunks; self-loops are dropped. A second run changes
+    nothing. Where edges and new have a provenance (and new a seq), that of an edge's last new finding stands, else the edge's own."""
     key = ["source_id", "target_id", "relationship"]
     new = new.where("source_id <> target_id")
     added = new.select(*key, F.explode(F.array("source_id", "target_id")).alias("entity_id"), "chunk_id")
     all_evidence = evidence.unionByName(added).distinct()
     counts = all_evidence.groupBy(*key).agg(F.countDistinct("chunk_id").alias("evidence_count"))
-    best = edges.select(*key, "confidence").unionByName(new.select(*key, "confidence")).groupBy(*key).agg(F.max("confidence").alias("confidence"))
+    if "provenance" in edges.columns:
+        said = edges.select(*key, "confidence", "provenance", F.lit(None).cast("long").alias("seq")).unionByName(new.select(*key, "confidence", "provenance", F.col("seq").cast("long").alias("seq")))
+        best = said.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.max_by("provenance", F.coalesce("seq", F.lit(-1))).alias("provenance"))
+    else:
+        best = edges.select(*key, "confidence").unionByName(new.select(*key, "confidence")).groupBy(*key).agg(F.max("confidence").alias("confidence"))
     return best.join(counts, key, "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0))), all_evidence
 
 
@@ -117,8 +133,23 @@ def survivors(merges: DataFrame) -> DataFrame:
     return m
 
 
-def merged(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """Edges (a, b, relationship, confidence, chunk_ids) after merges (node, survivor): ends moved, self-loops gone, duplicates folded."""
+def merged(edges: DataFrame, evidence: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b, relationship, confidence) and evidence (a, b, relationship, chunk_id, ...) after merges (node, survivor).
+
+    Ends move, self-loops go with their evidence, duplicates are folded: the greatest confidence, all evidence, chunks counted anew."""
     to = lambda c: merges.select(F.col("node").alias(c), F.col("survivor").alias(f"_{c}"))
-    moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "relationship", "confidence", "chunk_ids").where("a <> b")
-    return moved.groupBy("a", "b", "relationship").agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
+    move = lambda df: df.join(to("a"), "a", "left").join(to("b"), "b", "left").withColumns({"a": F.coalesce("_a", "a"), "b": F.coalesce("_b", "b")}).drop("_a", "_b").where("a <> b")
+    key = ["a", "b", "relationship"]
+    proof = move(evidence).select(evidence.columns)
+    best = move(edges).groupBy(*key).agg(F.max("confidence").alias("confidence"))
+    counts = proof.groupBy(*key).agg(F.count_distinct("chunk_id").alias("evidence_count"))
+    return best.join(counts, key, "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0))), proof
+
+
+def merged_nodes(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    """nodes (node, display_name, aliases, status) after merges (node, survivor): survivors take aliases and names of the merged, which become tombstones (merged_into)."""
+    gone = nodes.join(merges, "node")
+    names = gone.select(F.col("survivor").alias("node"), F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("display_name"))).alias("_alias")).groupBy("node").agg(F.collect_set("_alias").alias("_more"))
+    j = nodes.join(names, "node", "left").join(merges.select("node", F.col("survivor").alias("merged_into")), "node", "left")
+    aliases = F.when(F.col("_more").isNull() | F.col("merged_into").isNotNull(), F.col("aliases")).otherwise(F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), "_more"))))
+    return j.select("node", "display_name", aliases.alias("aliases"), F.when(F.col("merged_into").isNotNull(), "merged").otherwise(F.col("status")).alias("status"), "merged_into")

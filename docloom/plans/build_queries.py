@@ -19,7 +19,7 @@ def trust_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)[0].agg(F.count("*").alias("n"), F.count_if(F.col("overall") < 0.6).alias("n_low"), F.round(F.avg("overall"), 6).alias("mean"))
 
 
-@query("""SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN n_nationkey < 20 THEN 'none' ELSE 'identity' END AS reason FROM nation UNION ALL SELECT 'type' FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1), range(2)) GROUP BY 1""")
+@query("""SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN n_nationkey < 20 THEN 'none' ELSE 'identity' END AS reason FROM nation UNION ALL SELECT 'type' FROM (SELECT DISTINCT l_orderkey FROM lineitem), range(2)) GROUP BY 1""")
 def node_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRB-1, JN-5: how many entities become nodes, and why others do not."""
     scores, _, n = _scored(spark, sf_dir)
@@ -101,8 +101,7 @@ def query_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, source, CASE WHEN source = 'src1' THEN upper(lang) ELSE lang END AS lang FROM documents WHERE source IS NOT NULL""")
 def run_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-4..7, EXT-3, REV-6: rows of one run replaced twice, the others stay; read from the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/docloom-checkpoints"
-    path = f"{base}/docloom-reload-{uuid.uuid4().hex}"
+    path = f"{graph.shared_dir(spark)}/docloom-reload-{uuid.uuid4().hex}"
     d = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "lang", "source")
     services.replace_run(d, path, "source")
     for _ in range(2):

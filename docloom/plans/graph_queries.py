@@ -58,14 +58,37 @@ def edge_upsert_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges
 
 
-@query("""WITH e AS (SELECT l_suppkey AS s, l_partkey AS p, max(1 - l_discount) AS c, list(DISTINCT l_orderkey) AS ch FROM lineitem GROUP BY 1, 2), m AS (SELECT CASE WHEN s = 2 THEN 1 WHEN s = 3 THEN 1 ELSE s END AS s, p, c, ch FROM e)
-SELECT 's' || s AS a, 'p' || p AS b, 'supplies' AS relationship, max(c) AS confidence, CAST(len(list_distinct(flatten(list(ch)))) AS BIGINT) AS n_chunks FROM m GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT CASE WHEN l_suppkey IN (2, 3) THEN 1 ELSE l_suppkey END AS s, l_partkey AS p, 1 - l_discount AS c, l_orderkey AS ch FROM lineitem)
+SELECT 's' || s AS a, 'p' || p AS b, 'supplies' AS relationship, max(c) AS confidence, count(DISTINCT ch) AS n_chunks, count(*) AS n_evidence FROM m GROUP BY 1, 2""")
 def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRT-6, GRT-7: two nodes merged into a third, by a chain."""
-    l = table(spark, sf_dir, "lineitem")
-    e = l.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.collect_set("l_orderkey").alias("chunk_ids")).withColumn("relationship", F.lit("supplies"))
+    """GRT-6, GRT-7: two nodes merged into a third, by a chain; their edges and evidence move."""
+    l = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.lit("supplies").alias("relationship"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_orderkey").alias("chunk_id"))
+    e = l.groupBy("a", "b", "relationship").agg(F.max("confidence").alias("confidence"))
+    chain = spark.createDataFrame([("s3", "s2"), ("s2", "s1")], "node string, into string")
+    edges, proof = graph.merged(e, l.drop("confidence"), graph.survivors(chain))
+    key = ["a", "b", "relationship"]
+    return edges.join(proof.groupBy(*key).agg(F.count("*").alias("n_evidence")), key).withColumnRenamed("evidence_count", "n_chunks")
+
+
+@query("""SELECT 's' || s_suppkey AS node, s_name AS display_name, CASE WHEN s_suppkey = 1 THEN (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT 'alias ' || s_suppkey AS x FROM supplier WHERE s_suppkey IN (1, 2, 3) UNION SELECT s_name FROM supplier WHERE s_suppkey IN (2, 3))) ELSE 'alias ' || s_suppkey END AS aliases,
+CASE WHEN s_suppkey IN (2, 3) THEN 'merged' ELSE 'active' END AS status, CASE WHEN s_suppkey IN (2, 3) THEN 's1' END AS merged_into FROM supplier""")
+def node_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRT-7: the survivor takes aliases and names of the merged, which become tombstones."""
+    n = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_name").alias("display_name"), F.array(F.concat(F.lit("alias "), "s_suppkey")).alias("aliases"), F.lit("active").alias("status"))
     chain = spark.createDataFrame([("s3", "s2"), ("s2", "s1")], "node string, into string")
-    return graph.merged(e, graph.survivors(chain)).select("a", "b", "relationship", "confidence", F.size("chunk_ids").cast("long").alias("n_chunks"))
+    return graph.merged_nodes(n, graph.survivors(chain)).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query("""SELECT 's' || l_suppkey AS source_id, 'p' || l_partkey AS target_id, max(1 - l_discount) AS confidence, CAST(coalesce(max(l_orderkey * 10 + l_linenumber) FILTER (l_linenumber > 3), max(l_orderkey * 10 + l_linenumber)) AS VARCHAR) AS provenance, count(DISTINCT l_orderkey) AS evidence_count FROM lineitem GROUP BY 1, 2""")
+def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPS-1: the greater confidence, and the provenance of the last finding of the last batch."""
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    f = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source_id"), F.concat(F.lit("p"), "l_partkey").alias("target_id"), F.lit("supplies").alias("relationship"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_orderkey").alias("chunk_id"), k.cast("string").alias("provenance"), k.alias("seq"), "l_linenumber")
+    key = ["source_id", "target_id", "relationship"]
+    edges, evidence = f.where("false").select(*key, "confidence", "provenance"), f.where("false").select(*key, F.lit("").alias("entity_id"), "chunk_id")
+    for batch in (f.where("l_linenumber <= 3"), f.where("l_linenumber > 3")):
+        edges, evidence = graph.upserted(edges, evidence, batch)
+    return edges.drop("relationship")
 
 
 _TEXTS = [
@@ -77,6 +100,14 @@ _TEXTS = [
     (6, "Mundra, India.", "port", "Mundra", "country", "India", "located_in", 0.60, False),
     (7, "Adani Ports, India.", "company", "Adani Ports", "country", "India", None, None, False),
     (8, "CT-1 for Brent crude.", "contract", "CT-1", "commodity", "Brent crude", "references", 0.55, False),
+    (9, "Adani Ports operates Mundra Terminal.", "company", "Adani Ports", "terminal", "Mundra Terminal", "operates", 0.75, False),
+    (10, "Mundra Terminal, operated by Adani Ports.", "terminal", "Mundra Terminal", "company", "Adani Ports", "operates", 0.75, True),
+    (11, "Mundra Terminal operates Adani Ports.", "terminal", "Mundra Terminal", "company", "Adani Ports", None, None, False),
+    (12, "Adani Ports, headquartered in India.", "company", "Adani Ports", "country", "India", "located_in", 0.70, False),
+    (13, "India is where Adani Ports is based in.", "country", "India", "company", "Adani Ports", None, None, False),
+    (14, "Mundra Port is situated in India.", "port", "Mundra Port", "country", "India", "located_in", 0.70, False),
+    (15, "Mundra Port trades with India.", "port", "Mundra Port", "country", "India", None, None, False),
+    (16, "Thermal coal loaded at Rotterdam.", "commodity", "Thermal coal", "port", "Rotterdam", "shipped_from", 0.70, False),
 ]
 
 
