@@ -25,6 +25,8 @@ from .common import map_batches, span_hashes, strings, table
 TRAIN_DOCS = 800
 TRAIN_CHARS = 20_000
 MIN_CONTENT = 0.5
+#: Lines, padding counted, that training holds as numbers at once; features wait as bits.
+GROUP = 50_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -133,12 +135,23 @@ class Field:
         return np.array(states[::-1])
 
 
-def _chains(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(map(len, docs))
-    x, there = np.zeros((len(docs), longest, FEATURES)), np.zeros((len(docs), longest), bool)
-    for k, d in enumerate(docs):
-        x[k, : len(d)], there[k, : len(d)] = d, True
-    return x, there
+def _chains(docs: list[np.ndarray], bad: list[bool]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features (bits), places that hold a line, and classes of documents of like length, padded to at most GROUP lines a group."""
+    order = sorted(range(len(docs)), key=lambda k: len(docs[k]))
+    groups: list[list[int]] = []
+    for k in order:
+        if groups and (len(groups[-1]) + 1) * len(docs[k]) <= GROUP:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    out = []
+    for g in groups:
+        longest = len(docs[g[-1]])
+        x, there = np.zeros((len(g), longest, FEATURES), bool), np.zeros((len(g), longest), bool)
+        for i, k in enumerate(g):
+            x[i, : len(docs[k])], there[i, : len(docs[k])] = docs[k], True
+        out.append((x, there, np.array([bad[k] for k in g])))
+    return out
 
 
 def _marginals(x: np.ndarray, there: np.ndarray, unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,27 +176,32 @@ def fit(docs: list[np.ndarray], bad: list[bool], rounds: int = 3, steps: int = 8
     """The field fitted by gradient ascent with step sizes from squared gradients; None if a class has no example."""
     if not docs or all(bad) or not any(bad):
         return None
-    x, there = _chains(docs)
-    is_bad = np.array(bad)
-    y = np.where(is_bad[:, None], 1, 0) * there
+    groups = _chains(docs, bad)
+    states = [np.where(is_bad[:, None], 1, 0) * there for _, there, is_bad in groups]
     unary, moves = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     for _ in range(rounds):
-        want = np.zeros((*y.shape, 2))
-        want[..., 0], want[..., 1] = (y == 0) & there, (y == 1) & there
-        seen = np.einsum("dtf,dts->fs", x, want)
-        pairs = np.einsum("dti,dtj->ij", want[:, :-1], want[:, 1:])
+        seen, pairs = np.zeros_like(unary), np.zeros_like(moves)
+        for (x, there, _), y in zip(groups, states, strict=True):
+            want = np.stack(((y == 0) & there, (y == 1) & there), axis=-1).astype(float)
+            seen += np.einsum("dtf,dts->fs", x.astype(float), want)
+            pairs += np.einsum("dti,dtj->ij", want[:, :-1], want[:, 1:])
         sq_u, sq_m = np.full_like(unary, 1e-8), np.full_like(moves, 1e-8)
         for _ in range(steps):
-            p, expected = _marginals(x, there, unary, moves)
-            g_u = (seen - np.einsum("dtf,dts->fs", x, p)) / len(docs) - 1e-3 * unary
-            g_m = (pairs - expected) / len(docs) - 1e-3 * moves
+            g_u, g_m = seen.copy(), pairs.copy()
+            for x, there, _ in groups:
+                real = x.astype(float)
+                p, expected = _marginals(real, there, unary, moves)
+                g_u -= np.einsum("dtf,dts->fs", real, p)
+                g_m -= expected
+            g_u, g_m = g_u / len(docs) - 1e-3 * unary, g_m / len(docs) - 1e-3 * moves
             sq_u += g_u**2
             sq_m += g_m**2
             unary = unary + 0.5 * g_u / np.sqrt(sq_u)
             moves = moves + 0.5 * g_m / np.sqrt(sq_m)
-        p = np.where(there, _marginals(x, there, unary, moves)[0][..., 1], -1)
-        y = ((p > 0.5) | (p == p.max(1, keepdims=True))) & is_bad[:, None] & there
-        y = y.astype(int)
+        states = []
+        for x, there, is_bad in groups:
+            p = np.where(there, _marginals(x.astype(float), there, unary, moves)[0][..., 1], -1)
+            states.append((((p > 0.5) | (p == p.max(1, keepdims=True))) & is_bad[:, None] & there).astype(int))
     return Field(unary, moves)
 
 
@@ -194,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     sample = pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAIN_DOCS).select("doc_id", "quality")
     texts = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).collect()
-    made = [(lines_of(r.text)[0], r.quality == 0) for r in rows]
+    made = [(lines_of(r.text)[0].astype(bool), r.quality == 0) for r in rows]
     made = [m for m in made if len(m[0])]
     return fit([m[0] for m in made], [m[1] for m in made])
 

@@ -201,6 +201,23 @@ def test_jaccard(spark, odd, seed) -> None:
     assert op4_jaccard.deduplicated(df).count() == len({c for _, c in got.values()})
 
 
+def test_quality_training_is_bounded(monkeypatch) -> None:
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 2, (int(n), op2_quality.FEATURES)).astype(bool) for n in [3000, *rng.integers(1, 40, 60)]]
+    bad = [k % 3 == 0 for k in range(len(docs))]
+    whole = op2_quality.fit(docs, bad, 1, 5)
+    monkeypatch.setattr(op2_quality, "GROUP", 200)
+    parts = op2_quality._chains(docs, bad)
+    assert sum(len(x) for x, _, _ in parts) == len(docs) and all(x.shape[0] * x.shape[1] <= 200 or len(x) == 1 for x, _, _ in parts)
+    cut = op2_quality.fit(docs, bad, 1, 5)
+    assert np.allclose(whole.unary, cut.unary) and np.allclose(whole.moves, cut.moves)
+
+
+def test_quality_without_usable_rows(spark, odd) -> None:
+    labels = spark.createDataFrame([(1, None), (4, 1), (4, 0), (None, 0), (99, 1)], "doc_id long, quality int")
+    assert op2_quality.train(odd, labels) is None and op2_quality.train(odd.where("false"), labels) is None and op2_quality.train(odd, labels.where("false")) is None
+
+
 def test_jaccard_rows_of_one_id_are_one_vertex(spark) -> None:
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "ABCDE"}
     near = lambda k: text[k] + " end"
