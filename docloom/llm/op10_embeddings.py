@@ -33,15 +33,18 @@ THRESHOLD = 0.98
 SAMPLE = 8192
 SLACK_Q = 0.9999
 BLOCK = 400
-#: Vectors that a cell holds on average, and the most centroids a half may have.
-CELL, MOST = 128, 512
+#: Vectors that a cell holds on average; centroids a half follow the data up to half the sample, which is some 2e9 distinct
+#: vectors. Beyond that cells grow, and are compared by blocks all the same.
+CELL, MOST = 128, SAMPLE // 2
+#: Rows whose distances to all centroids are held at once.
+ROWS = 1024
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, steps: int = 12) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(steps):
-        near = _gaps(x, c).argmin(1)
+        near = np.concatenate([_gaps(x[i : i + ROWS], c).argmin(1) for i in range(0, len(x), ROWS)])
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         n = np.bincount(near, minlength=k)
@@ -67,10 +70,14 @@ class Index:
         y -= (y * x).sum(1, keepdims=True) * x
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
         y = threshold * x + np.sqrt(1 - threshold**2) * y
-        at = np.arange(len(x))
-        extra = sum(d[at, e.argmin(1)] - d.min(1) for d, e in zip(self.split(x), self.split(y), strict=True))
+        extra = np.concatenate([self._extra(x[i : i + ROWS], y[i : i + ROWS]) for i in range(0, len(x), ROWS)])
         self.slack = float(np.quantile(extra, quantile)) + 1e-9
 
+    def _extra(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How much further than its nearest cell the cell of y lies from x."""
+        at = np.arange(len(x))
+        return sum(d[at, e.argmin(1)] - d.min(1) for d, e in zip(self.split(x), self.split(y), strict=True))
+
     def split(self, x: np.ndarray) -> list[np.ndarray]:
         h = (self.dim + 1) // 2
         return [_gaps(x[:, :h], self.books[0]), _gaps(x[:, h:], self.books[1])]
