@@ -45,7 +45,7 @@ DIMS = 256
 HEAVY = 1e-3
 FLUSH = 2_000_000
 #: Members of a cell that are compared with one another in one go, and partners that a set travels to at once.
-BLOCK, PORTION = 400, 400
+BLOCK, PORTION = 400, 64
 LEAF = 16
 
 
