@@ -8,7 +8,8 @@ it makes up at least MIN_RATE of that language's n-grams, and its share there is
 any language. So a language has at most 1 / MIN_RATE n-grams, and the filter that goes to the executors is bounded by
 that, whatever the size of the corpus.
 
-Defined results: null text, empty text or no letter: ``und`` and 0. No training language: ``und`` and 0 everywhere.
+Defined results: null text, empty text or no letter: ``und`` and 0. No training language: ``und`` and 0 everywhere. A text
+with letters whose n-grams are in no filter: the first language by code point, and 0.
 Ties go to the first language by code point. Repeated rows are counted and answered each. Other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, mixed, strings, table
+from .common import crc_mod, map_batches, mixed, stash, strings, table
 
 N = 4
 MIN_RATE = 1e-5
@@ -125,7 +126,8 @@ class Filters:
 
 def train(docs: DataFrame) -> Filters:
     """Filters from the columns text and lang of docs. The driver receives at most 1 / MIN_RATE rows a language."""
-    counted = map_batches(docs.where("lang is not null and text is not null").select("text", "lang"), _count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.where("lang is not null and text is not null").select("text", "lang"), _count, "lang string, gram long, n long")
+    counted = stash(counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")  # read twice: the texts are counted once
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     sums = {r.lang: r.total for r in total.collect()}  # one row a language
     langs = sorted(sums)
