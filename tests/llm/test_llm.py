@@ -227,6 +227,19 @@ def test_jaccard_rows_of_one_id_are_one_vertex(spark) -> None:
     assert got.count() == len(rows)
 
 
+@pytest.mark.parametrize("hub", [0, 50, 1000])
+def test_jaccard_verifies_a_document_with_many_partners(spark, monkeypatch, hub) -> None:
+    monkeypatch.setattr(op4_jaccard, "PORTION", 3)
+    base = [f"w{k}" for k in range(60)]
+    texts = {hub: base} | {k: base[: 60 - k % 25] for k in range(1, 41)}
+    pairs = [(min(hub, k), max(hub, k)) for k in texts if k != hub] + [(k, k + 1) for k in range(1, 40)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    got = op4_jaccard.verified(spark.createDataFrame(pairs, "a long, b long"), docs).collect()
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in texts.items()}
+    want = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert sorted((min(r), max(r)) for r in map(tuple, got)) == sorted(want) and 0 < len(want) < len(pairs)
+
+
 def test_jaccard_tree_loses_nothing() -> None:
     rng = np.random.default_rng(1)
     points = rng.poisson(2, (300, 32)).astype(np.int32)
