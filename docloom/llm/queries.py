@@ -12,8 +12,9 @@ from .op8_packing import op8_packing
 from .op9_pii import op9_pii
 from .op10_embeddings import op10_embeddings
 from .op6_licenses import op6_licenses
+from .op11_sharding import op11_sharding
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings, op11_sharding)}
 
 ORACLE_SQL = {
     "op4_jaccard": r"""
