@@ -13,10 +13,40 @@ from .op9_pii import op9_pii
 from .op10_embeddings import op10_embeddings
 from .op6_licenses import op6_licenses
 from .op11_sharding import op11_sharding
+from .op12_vectorcodes import op12_vectorcodes
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings, op11_sharding, op12_vectorcodes)}
+
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd rounds over all parts and entries: one pair of steps a round."""
+    near = """SELECT r, p, min(struct_pack(d := d, j := j)) AS near FROM (
+    SELECT a.r, a.p, c.j, list_sum(list_transform(list_zip(a.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts a JOIN c{k} c USING (p)) GROUP BY r, p"""
+    steps = "".join(
+        f""",
+a{k} AS ({near.format(k=k)}),
+m{k} AS (SELECT p, j, list(floored ORDER BY at) AS x FROM (
+    SELECT p, j, at, (s - ((s % n) + n) % n) // n AS floored FROM (
+      SELECT a.p, a.near.j AS j, at, sum(b.x[at])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN parts b USING (r, p), range(1, 9) t(at) GROUP BY a.p, a.near.j, at)) GROUP BY p, j),
+c{k + 1} AS (SELECT c.p, c.j, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (p, j))"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (SELECT r, p, list_slice(e, p * (len(e) // 8) + 1, (p + 1) * (len(e) // 8)) AS x FROM v, range(8) t(p)),
+c0 AS (SELECT p, r AS j, x FROM parts WHERE r < 16){steps},
+last AS ({near.format(k=rounds)}),
+sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', near.j), '' ORDER BY p) AS code, sum(near.d)::BIGINT AS error FROM last GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (r), sha
+"""
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings, op11_sharding)}
 
 ORACLE_SQL = {
+    "op12_vectorcodes": _codes_sql(),
     "op4_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
