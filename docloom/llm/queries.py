@@ -26,9 +26,9 @@ def _codes_sql(rounds: int = 6) -> str:
     steps = "".join(
         f""",
 a{k} AS ({near.format(k=k)}),
-m{k} AS (SELECT p, j, list(floored ORDER BY at) AS x FROM (
-    SELECT p, j, at, (s - ((s % n) + n) % n) // n AS floored FROM (
-      SELECT a.p, a.near.j AS j, at, sum(b.x[at])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN parts b USING (r, p), range(1, 9) t(at) GROUP BY a.p, a.near.j, at)) GROUP BY p, j),
+m{k} AS (SELECT p, j, list(floored ORDER BY place) AS x FROM (
+    SELECT p, j, place, (s - ((s % n) + n) % n) // n AS floored FROM (
+      SELECT a.p, a.near.j AS j, place, sum(b.x[place])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN parts b USING (r, p), range(1, 9) t(place) GROUP BY a.p, a.near.j, place)) GROUP BY p, j),
 c{k + 1} AS (SELECT c.p, c.j, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (p, j))"""
         for k in range(rounds)
     )
