@@ -14,8 +14,9 @@ from .op10_embeddings import op10_embeddings
 from .op6_licenses import op6_licenses
 from .op11_sharding import op11_sharding
 from .op12_vectorcodes import op12_vectorcodes
+from .op13_repair import op13_repair
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings, op11_sharding, op12_vectorcodes)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_html, op4_jaccard, op5_mixing, op6_licenses, op7_lm, op8_packing, op9_pii, op10_embeddings, op11_sharding, op12_vectorcodes, op13_repair)}
 
 
 
@@ -45,7 +46,51 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
+#: crc32 by bits, and the costs and least letters of what is left from each state, from the last row of a conversation back.
+_REPAIR_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations
+), faults AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1), lambda i: list_transform(range(0, 8), lambda b: ((ascii(substr(key, i, 1)) >> b) & 1)::BIGINT)))),
+    lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384))) % 20 AS fault FROM word
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM faults, range(2) t(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ink FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS earlier FROM placed
+), sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id
+), best AS (
+  SELECT conv_id, n AS k, {c: 0, x: ''} AS nothing, {c: 10, x: 'II'} AS s, {c: 5, x: 'I'} AS u, {c: 0, x: ''} AS a FROM sums
+  UNION ALL
+  SELECT conv_id, k, least(b0, {c: 5 + least(b2, {c: 5 + b3.c, x: 'I' || b3.x}).c, x: 'I' || least(b2, {c: 5 + b3.c, x: 'I' || b3.x}).x}), least(b1, {c: 5 + least(b2, {c: 5 + b3.c, x: 'I' || b3.x}).c, x: 'I' || least(b2, {c: 5 + b3.c, x: 'I' || b3.x}).x}),
+    least(b2, {c: 5 + b3.c, x: 'I' || b3.x}), least(b3, {c: 5 + b2.c, x: 'I' || b2.x})
+  FROM (SELECT conv_id, k,
+    least({c: 2 + nothing.c, x: 'D' || nothing.x}, {c: kept + CASE WHEN initial = 's' THEN s.c WHEN initial = 'u' THEN u.c ELSE 999999999 END, x: 'K' || CASE WHEN initial = 's' THEN s.x ELSE u.x END}, {c: 1 + kept + u.c, x: 'R' || u.x}) AS b0,
+    least({c: 2 + s.c, x: 'D' || s.x}, {c: kept + CASE WHEN initial = 'u' THEN u.c ELSE 999999999 END, x: 'K' || u.x}, {c: 1 + kept + u.c, x: 'R' || u.x}) AS b1,
+    least({c: 2 + u.c, x: 'D' || u.x}, {c: kept + CASE WHEN initial = 'a' THEN a.c ELSE 999999999 END, x: 'K' || a.x}, {c: 1 + kept + a.c, x: 'R' || a.x}) AS b2,
+    least({c: 2 + a.c, x: 'D' || a.x}, {c: kept + CASE WHEN initial = 'u' THEN u.c ELSE 999999999 END, x: 'K' || u.x}, {c: 1 + kept + u.c, x: 'R' || u.x}) AS b3
+    FROM (SELECT b.conv_id, b.k - 1 AS k, nothing, s, u, a, initial, CASE fault WHEN 'blank' THEN 999999999 WHEN 'duplicate' THEN 999999999 WHEN 'truncated' THEN 5 ELSE 0 END AS kept
+      FROM best b JOIN marked m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.k = b.k))
+), audits AS (SELECT conv_id, nothing.c AS cost, nothing.x AS audit FROM best WHERE k = 0),
+letters AS (SELECT conv_id, i, substr(audit, i, 1) AS x, length(replace(left(audit, i), 'I', '')) AS k, i - length(replace(left(audit, i), 'D', '')) AS gone FROM audits, range(1, length(audit) + 1) t(i)),
+said AS (
+  SELECT l.conv_id, l.i, l.x, m.role, m.text, l.i - l.gone - coalesce(max(CASE WHEN l.x = 'K' AND m.initial = 's' THEN 1 END) OVER (PARTITION BY l.conv_id ORDER BY l.i), 0) AS nth
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.k = l.k AND l.x <> 'I' WHERE l.x <> 'D'
+), digests AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN role || ':' || text ELSE CASE WHEN nth % 2 = 1 THEN 'user:' ELSE 'assistant:' END || coalesce(text, '') END, chr(10) ORDER BY i)) AS sha FROM said GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE_SQL = {
+    "op13_repair": _REPAIR_SQL,
     "op12_vectorcodes": _codes_sql(),
     "op4_jaccard": r"""
 WITH RECURSIVE w AS (
