@@ -13,7 +13,7 @@ pairs of blocks are compared by separate tasks, which hand on counts and a spann
 Defined results: links need equal labels that are not null, and a cosine in double precision of at least the threshold.
 Vectors that are null, empty or zero, or hold null or non-finite components, have 0 links and are their own component;
 vectors of another length than the most frequent one meet only their like, in one cell. Repeated vec_id are taken as
-one vertex with the links of its rows added per row. Other columns are ignored.
+one vertex with the links of its rows added per row. Labels keep their type. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def _walk(df: DataFrame, index: Index) -> DataFrame:
             blob = [u.tobytes() for u in unit]
             yield pa.RecordBatch.from_arrays([b["label"].take(pa.array(who)), pa.array(cell), pa.array(~home), b["rep"].take(pa.array(who)), b["mult"].take(pa.array(who)), pa.array([blob[k] for k in who], pa.binary())], ["label", "cell", "query", "rep", "mult", "vec"])
 
-    return map_batches(df.select("label", "embedding", "rep", "mult"), run, "label int, cell long, query boolean, rep long, mult long, vec binary")
+    return map_batches(df.select("label", "embedding", "rep", "mult"), run, f"label {df.schema['label'].dataType.simpleString()}, cell long, query boolean, rep long, mult long, vec binary")
 
 
 def _compare(threshold: float):
@@ -177,7 +177,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vec_id, n_links, component_id, kept for vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     good = F.col("label").isNotNull() & (F.coalesce(F.size("embedding"), F.lit(0)) > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
+    rows = vectors.select("vec_id", "label", "embedding")
     sound = rows.where(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     uniq = stash(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "vectors")
     sizes = uniq.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
