@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Pieces have at most SIZE tokens, so their lengths are summed up in a histogram of at most SIZE counts; only that goes to
-the driver. There the gap that a piece leaves is looked up among single, pair and triple sums of lengths, and
-combinations that fill it exactly are consumed while counts last; what is left is packed best fit, longest first. The
+the driver. There the gap that a piece leaves is looked up in an index of single, pair and triple sums of lengths, and
+combinations that fill it exactly are consumed while counts last; what is left is packed best fit, longest first. That is
+planned for each depth of sums, and the plan with the fewest sequences is kept, so it is never worse than best fit alone. The
 plan says, for ranges of ranks among the pieces of one length, which sequence and offset they get; each piece finds its
 place by its rank. Ranks are counted within salts of a length and shifted by the counts of the salts before, so that a
 length that very many pieces share is ranked by many tasks.
@@ -31,6 +32,8 @@ SIZE = 1024
 END = 2
 #: Pieces of one length that one salt holds on average when all pieces have that length.
 SALT_ROWS = 256
+#: Salts of a length whose counts one task adds up.
+UPPER = 4096
 
 _TOKENIZERS: dict[str, Tokens] = {}
 
@@ -96,45 +99,58 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths (longest first) and how many sequences have each; every piece of counts is used once."""
+class Sums:
+    """Which single, pair and triple sums of lengths that are left there are: pairs by their sum, found once; triples by a length and a pair."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        there = np.flatnonzero(left).tolist()
+        self.lengths, self.pairs = there[::-1], defaultdict(list)
+        for k, b in enumerate(there):
+            for c in there[: k + 1]:
+                if b + c < len(left):
+                    self.pairs[b + c].append((b, c))  # the longest last
+
+    def of(self, gap: int, most: int, deep: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of 1 to deep lengths of at most most that fill a gap, those with the longest piece first; counts are checked by the taker."""
+        if deep >= 1 and gap <= most and self.left[gap]:
+            yield (gap,)
+        if deep >= 2:
+            for b, c in reversed(self.pairs.get(gap, ())):
+                if b <= most and self.left[b] and self.left[c]:
+                    yield b, c
+        if deep >= 3:
+            for b in self.lengths:
+                if b <= min(most, gap - 2) and self.left[b] and 3 * b >= gap:
+                    for c, d in reversed(self.pairs.get(gap - b, ())):
+                        if c <= b and self.left[c] and self.left[d]:
+                            yield b, c, d
+
+
+def filled(counts: dict[int, int], size: int, deep: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that first fills gaps exactly by up to deep further pieces, then packs what is left best fit, longest first."""
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
     out: list[tuple[tuple[int, ...], int]] = []
 
     def take(*lengths: int) -> None:
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
-        n = min(left[x] // k for x, k in need.items())
+        n = min(left[x] // lengths.count(x) for x in lengths)
         if n > 0:
-            for x, k in need.items():
-                left[x] -= n * k
-            out.append((tuple(sorted(lengths, reverse=True)), int(n)))
+            for x in lengths:
+                left[x] -= n
+            out.append((lengths, int(n)))
 
     take(size)
-    for a in range(size - 1, 0, -1):  # singles that fill the gap
-        if left[a] and size - a <= a:
-            take(a, size - a)
-    for a in range(size - 1, 0, -1):  # pairs
-        gap = size - a
-        for b in range(min(a, gap - 1), (gap - 1) // 2, -1):
-            if not left[a]:
-                break
-            if left[b] and left[gap - b]:
-                take(a, b, gap - b)
-    there = np.arange(size + 1)
-    for a in range(size - 1, 0, -1):  # triples
-        gap = size - a
-        for b in range(min(a, gap - 2), 0, -1):
-            if not left[a]:
-                break
-            rest = gap - b
-            if left[b] and rest <= 2 * b:
-                c = there[(rest + 1) // 2 : min(b, rest - 1) + 1]
-                for x in c[(left[c] > 0) & (left[rest - c] > 0)][::-1]:
-                    take(a, b, int(x), int(rest - x))
+    sums = Sums(left)
+    for depth in range(1, deep + 1):  # all single fills first: they use the longest pieces
+        for a in range(size - 1, 0, -1):
+            if left[a]:
+                for rest in sums.of(size - a, a, depth):
+                    if len(rest) == depth:
+                        take(a, *rest)
+                    if not left[a]:
+                        break
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # gap: patterns and how many
     for length in range(size, 0, -1):
         n = int(left[length])
@@ -155,6 +171,14 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
     return out + [p for ps in bins.values() for p in ps]
 
 
+def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths (longest first) and how many sequences have each; every piece of counts is used once.
+
+    Exact fills by many short pieces may leave long ones without company, so fills by up to three, two, one and no further
+    pieces are all planned on the histogram, and the one with the fewest sequences is taken, of equals the deepest."""
+    return min((filled(counts, size, deep) for deep in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length rows of first rank, pieces a sequence, first sequence, first offset."""
     rows: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
@@ -179,7 +203,10 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     salts = max(1, -(-sum(counts.values()) // SALT_ROWS))
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("ahead"))
+    # counts of the salts before in two steps, so that no task has all salts of a length
+    before = before.withColumn("upper", F.floor(F.col("salt") / UPPER))
+    uppers = before.groupBy("length", "upper").agg(F.sum("n").alias("n")).select("length", "upper", (F.sum("n").over(Window.partitionBy("length").orderBy("upper")) - F.col("n")).alias("far"))
+    before = before.join(uppers, ["length", "upper"]).select("length", "salt", (F.col("far") + F.sum("n").over(Window.partitionBy("length", "upper").orderBy("salt")) - F.col("n")).alias("ahead"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("ahead")).alias("rank"))
 

@@ -457,6 +457,45 @@ def test_plan_uses_each_piece_once() -> None:
         assert used == counts
 
 
+def best_fit(lengths, size):
+    """Sequences of plain best-fit decreasing."""
+    from bisect import bisect_left, insort
+
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(gaps, x)
+        if k < len(gaps):
+            gap = gaps.pop(k)
+        else:
+            gap, n = size, n + 1
+        insort(gaps, gap - x)
+    return n
+
+
+@pytest.mark.parametrize("shape", ["full", "uniform", "middle", "lognormal", "thirds", "pairs"])
+def test_plan_is_never_worse_than_best_fit(shape) -> None:
+    rng = np.random.default_rng(1)
+    lengths = {
+        "full": lambda: [1024] * 600 + rng.integers(1, 1025, 900).tolist(), "uniform": lambda: rng.integers(1, 1025, 5000).tolist(), "middle": lambda: rng.integers(300, 1025, 5000).tolist(),
+        "lognormal": lambda: np.clip(rng.lognormal(5.5, 1, 5000).astype(int) + 1, 1, 1024).tolist(), "thirds": lambda: [342, 341, 341] * 500 + [700, 200, 124] * 100, "pairs": lambda: [600, 424] * 300 + [500, 300, 224] * 200 + [400, 250, 200, 174] * 100,
+    }[shape]()
+    made = op8_packing.plan(Counter(lengths))
+    used: Counter = Counter()
+    for pattern, n in made:
+        assert sum(pattern) <= 1024 and list(pattern) == sorted(pattern, reverse=True)
+        for x in pattern:
+            used[x] += n
+    assert used == Counter(lengths) and sum(n for _, n in made) <= best_fit(lengths, 1024)
+
+
+def test_packing_is_as_tight_as_best_fit(spark) -> None:
+    import public_tokenizers
+
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = op8_packing.pack(df, str(public_tokenizers.path("byte_bpe_50k.json"))).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in rows}) <= best_fit([r.length for r in rows], 1024) <= 964
+
+
 def test_pii(spark, docs, odd) -> None:
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -552,6 +591,10 @@ def test_embeddings(spark, sf, odd) -> None:
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op10_embeddings.near_duplicates(df).collect()}
     assert got == {i: (len(links[i]), least[i], least[i] == i) for i in links}
     assert op10_embeddings.near_duplicates(df.where("false")).count() == 0
+    for kind in ("string", "bigint", "decimal(20,2)"):
+        big = F.when(F.col("label").isNotNull(), F.concat(F.lit("9000000000" if kind != "string" else "label "), F.col("label").cast("string"))).cast(kind)
+        again = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op10_embeddings.near_duplicates(df.withColumn("label", big)).collect()}
+        assert again == got
 
 
 def test_queries_cover_all_ten() -> None:
