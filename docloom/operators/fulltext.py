@@ -8,8 +8,10 @@ tokens of that parser (hyphenated words as a whole, addresses) are not made; the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,53 +133,61 @@ def parse(text: str | None) -> Query:
     return [a for a in out if a[0] or a[1]]
 
 
-def _has(at: dict[str, set[int]], phrase: Phrase) -> bool:
+def _starts(at: dict[str, list[int]], phrase: Phrase) -> list[int]:
+    """Where a phrase begins, ascending."""
     (_, first), *others = phrase
-    return any(all(p + d in at.get(w, ()) for d, w in others) for p in at.get(first, ()))
+    if not others:
+        return at.get(first, [])
+    sets = [(d, set(at.get(w, ()))) for d, w in others]
+    return [p for p in at.get(first, ()) if all(p + d in s for d, s in sets)]
 
 
-def _holds(at: dict[str, set[int]], query: Query) -> bool:
-    return any(all(_has(at, p) for p in yes) and not any(_has(at, p) for p in no) for yes, no in query)
+def rank_at(at: dict[str, list[int]], query: Query) -> float | None:
+    """Cover density of a text from the ascending positions of its lexemes; None if the query does not match.
 
-
-def rank(entries: list[tuple[int, str]], query: Query) -> float | None:
-    """Cover density of (position, lexeme) entries; None if the query does not match.
-
-    Each shortest stretch that satisfies the query gives 0.1 / (1 + the tokens in it that the query does not name)."""
+    Each shortest stretch that satisfies the query gives 0.1 / (1 + the tokens in it that the query does not name). Each
+    phrase is looked up once; the ends of a stretch are found among the places of phrases by bisection."""
+    ways = [([(_starts(at, p), p[-1][0]) for p in yes], [(_starts(at, p), p[-1][0]) for p in no]) for yes, no in query]
+    if not any(all(s for s, _ in yes) and not any(s for s, _ in no) for yes, no in ways):
+        return None
     named = {w for yes, no in query for p in yes + no for _, w in p}
-    entries = [e for e in entries if e[1] in named]
+    places = sorted(p for w in named for p in at.get(w, ()))
 
-    def gather(some) -> dict[str, set[int]]:
-        at: dict[str, set[int]] = {}
-        for p, w in some:
-            at.setdefault(w, set()).add(p)
-        return at
+    def soonest(phrase: tuple[list[int], int], start: int) -> float:
+        """The least end of an occurrence that begins at start or later."""
+        k = bisect_left(phrase[0], start)
+        return phrase[0][k] + phrase[1] if k < len(phrase[0]) else inf
+
+    def latest(phrase: tuple[list[int], int], end: int) -> float:
+        """The greatest begin of an occurrence that ends at end or earlier."""
+        k = bisect_right(phrase[0], end - phrase[1])
+        return phrase[0][k - 1] if k else -inf
 
-    if not query or not _holds(gather(entries), query):
-        return None
     score, start = 0.0, 0
-    while start < len(entries):
-        at: dict[str, set[int]] = {}
-        last = start
-        while last < len(entries):
-            at.setdefault(entries[last][1], set()).add(entries[last][0])
-            if _holds(at, query):
-                break
-            last += 1
-        if last == len(entries):
+    while start < len(places):
+        begin = places[start]
+        ends = [(max((soonest(p, begin) for p in yes), default=begin), no) for yes, no in ways]
+        last = min((e for e, no in ends if all(soonest(p, begin) > e for p in no)), default=inf)
+        if last == inf:
             break
-        at, first = {}, last
-        while True:
-            at.setdefault(entries[first][1], set()).add(entries[first][0])
-            if first == start or _holds(at, query):
-                break
-            first -= 1
-        noise = entries[last][0] - entries[first][0] - (last - first)
-        score += 0.1 / (1 + noise)
-        start = first + 1
+        firsts = [(min((latest(p, last) for p in yes), default=last), no) for yes, no in ways]
+        first = max(f for f, no in firsts if f >= begin and all(latest(p, last) < f for p in no))
+        at_first, at_last = bisect_left(places, first), bisect_left(places, last)
+        score += 0.1 / (1 + (last - first) - (at_last - at_first))
+        start = at_first + 1
     return score
 
 
+def rank(entries: list[tuple[int, str]], query: Query) -> float | None:
+    """rank_at() of (position, lexeme) entries."""
+    named = {w for yes, no in query for p in yes + no for _, w in p}
+    at: dict[str, list[int]] = {}
+    for p, w in entries:
+        if w in named:
+            at.setdefault(w, []).append(p)
+    return rank_at(at, query) if query else None
+
+
 def ranks(text: Column, query: str) -> Column:
     """rank() of a text column, null where the query does not match; one Arrow pass, nothing is shuffled."""
     parsed = parse(query)

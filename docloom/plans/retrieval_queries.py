@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key
-from ..operators import chunking, fulltext, graph, retrieval
+from ..operators import chunking, fulltext, graph, retrieval, textindex
 from ..operators import relational as rel
 from ..streaming import limiter
 from .catalogue import query, table
 from .graph_queries import _G
+from .store_queries import fresh_path
 
 
 def _knn_sql(distance: str, where: str = "true") -> str:
@@ -54,8 +55,24 @@ _TOKENS = "t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FR
 _ONE = f"round(0.1::DOUBLE * len(list_filter(w, lambda x: x IN {_LICENS})), 9)"
 
 
+#: Where the index of a table's files lies, for this session's queries: written by the first that asks, opened by the others.
+_INDEXES: dict[tuple, str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The stored index of documents, on shared storage; made anew when the files have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path), path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    at = (spark.sparkContext.applicationId, sf_dir, files[0].getLength(), files[0].getFileCount(), files[1])
+    if at not in _INDEXES:
+        made = fresh_path(spark, "textindex")
+        textindex.TextIndex(spark, made).append(table(spark, sf_dir, "documents"), "doc_id", "text")
+        _INDEXES[at] = made
+    return textindex.TextIndex(spark, _INDEXES[at])
+
+
 def _text_search(spark: SparkSession, sf_dir: str, q: str, limit: int | None = None) -> DataFrame:
-    return fulltext.search(table(spark, sf_dir, "documents"), "doc_id", "text", q, limit)
+    return text_index(spark, sf_dir).search(q, limit).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE regexp_matches(s, ' apaches? ') AND regexp_matches(s, ' licens(e|es|ed|ing) ')")
@@ -91,8 +108,24 @@ def fts_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM t) SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(min(k) AS BIGINT) AS first FROM p WHERE x IN {_LICENS} GROUP BY 1")
 def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FT-1: positions of a lexeme."""
-    p = fulltext.postings(table(spark, sf_dir, "documents"), "doc_id", "text").where("lexeme = 'licens'")
-    return p.select("doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).cast("long").alias("first"))
+    p = text_index(spark, sf_dir).postings(["licens"]).select(F.explode(F.arrays_zip("keys", "positions")).alias("x"))
+    return p.select(F.col("x.keys").alias("doc_id"), F.size("x.positions").cast("long").alias("n"), F.element_at("x.positions", 1).cast("long").alias("first"))
+
+
+@query(f"""WITH {_TOKENS} SELECT doc_id, score FROM (SELECT doc_id, {_ONE} AS score FROM t WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_id + 10000000, {_ONE} FROM t WHERE doc_id % 7 = 3) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+def fts_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FT-1, FT-3, TOP-1: an index written in two generations; a seventh of the documents is removed and comes back by another id, then all are merged."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = textindex.TextIndex(spark, fresh_path(spark, "textindex"))
+    index.append(d.where("doc_id % 2 = 0"), "doc_id", "text").append(d.where("doc_id % 2 = 1"), "doc_id", "text")
+    index.remove(d.where("doc_id % 7 = 3"), "doc_id").append(d.where("doc_id % 7 = 3").withColumn("doc_id", F.col("doc_id") + 10_000_000), "doc_id", "text")
+    return index.merge().search("licenses", 50).withColumnRenamed("key", "doc_id")
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id FROM t WHERE NOT regexp_matches(s, ' licens(e|es|ed|ing) ')")
+def fts_only_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FT-2: a query that only excludes, from the index."""
+    return _text_search(spark, sf_dir, "-license").select("doc_id")
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN contains(q, 'compare') OR contains(q, 'versus') OR contains(q, ' vs ') OR contains(q, ' vs.') THEN 'comparison' WHEN contains(q, 'owns') OR contains(q, 'owned by') OR contains(q, 'operates') OR contains(q, 'relationship') OR contains(q, 'related to') OR contains(q, 'connected to') THEN 'relationship'
