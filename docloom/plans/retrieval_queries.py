@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key
-from ..operators import chunking, fulltext, graph, retrieval, textindex
+from ..operators import chunking, graph, retrieval, textindex, vectorindex
 from ..operators import relational as rel
 from ..streaming import limiter
 from .catalogue import query, table
@@ -49,6 +49,32 @@ def vec_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, "cosine", 3)
 
 
+def _exact_sql(where: str) -> str:
+    return f"""SELECT a.vec_id, round(list_sort(list(round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)))[10], 6) AS tenth, true AS found_most FROM embeddings a JOIN embeddings b ON {where} WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id"""
+
+
+def _ann(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The exact tenth distance of every query, and whether all queries together found 95 % of their ten nearest."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vectorindex.VectorIndex.build(e, fresh_path(spark, "vectors"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    hits = graph.cut(vectorindex.recall(index.nearest_all(asked, 10, where), index.nearest_all(asked, 10, where, exact=True)))
+    met = hits.agg((F.sum(F.least("hits", F.lit(10))) >= 0.95 * 10 * F.count(F.lit(1))).alias("found_most"))
+    return hits.select(F.col("query").alias("vec_id"), F.round("tenth", 6).alias("tenth")).join(F.broadcast(met))  # one row
+
+
+@query(_exact_sql("true"))
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-1, TOP-2, AGG-25: recall of the ten nearest by the index against all vectors, for all ids divisible by 100."""
+    return _ann(spark, sf_dir)
+
+
+@query(_exact_sql("b.label = 3"))
+def ann_filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-1, FIL-8: the same among the vectors of one label: the filter acts before the ten are taken."""
+    return _ann(spark, sf_dir, F.col("label") == 3)
+
+
 #: Words of the test tables by their stems, and the tokens of texts.
 _LICENS = "('license', 'licenses', 'licensed', 'licensing')"
 _TOKENS = "t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents))"
