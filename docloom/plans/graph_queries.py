@@ -89,31 +89,3 @@ def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (f.where("l_linenumber <= 3"), f.where("l_linenumber > 3")):
         edges, evidence = graph.upserted(edges, evidence, batch)
     return edges.drop("relationship")
-
-
-_TEXTS = [
-    (1, "Adani Ports owns Mundra Port in Gujarat.", "company", "Adani Ports", "port", "Mundra Port", "owns", 0.75, False),
-    (2, "Mundra Port owned by Adani Ports.", "port", "Mundra Port", "company", "Adani Ports", "owns", 0.75, True),
-    (3, "Mundra Port owns Adani Ports.", "port", "Mundra Port", "company", "Adani Ports", None, None, False),
-    (4, "Brent crude shipped from Rotterdam.", "commodity", "Brent crude", "port", "Rotterdam", "shipped_from", 0.70, False),
-    (5, "Thermal coal shipped to India.", "commodity", "Thermal coal", "country", "India", "shipped_to", 0.70, False),
-    (6, "Mundra, India.", "port", "Mundra", "country", "India", "located_in", 0.60, False),
-    (7, "Adani Ports, India.", "company", "Adani Ports", "country", "India", None, None, False),
-    (8, "CT-1 for Brent crude.", "contract", "CT-1", "commodity", "Brent crude", "references", 0.55, False),
-    (9, "Adani Ports operates Mundra Terminal.", "company", "Adani Ports", "terminal", "Mundra Terminal", "operates", 0.75, False),
-    (10, "Mundra Terminal, operated by Adani Ports.", "terminal", "Mundra Terminal", "company", "Adani Ports", "operates", 0.75, True),
-    (11, "Mundra Terminal operates Adani Ports.", "terminal", "Mundra Terminal", "company", "Adani Ports", None, None, False),
-    (12, "Adani Ports, headquartered in India.", "company", "Adani Ports", "country", "India", "located_in", 0.70, False),
-    (13, "India is where Adani Ports is based in.", "country", "India", "company", "Adani Ports", None, None, False),
-    (14, "Mundra Port is situated in India.", "port", "Mundra Port", "country", "India", "located_in", 0.70, False),
-    (15, "Mundra Port trades with India.", "port", "Mundra Port", "country", "India", None, None, False),
-    (16, "Thermal coal loaded at Rotterdam.", "commodity", "Thermal coal", "port", "Rotterdam", "shipped_from", 0.70, False),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{'b' if flip else 'a'}{i}', '{'a' if flip else 'b'}{i}', '{r}', CAST({c} AS DOUBLE))" for i, *_, r, c, flip in _TEXTS if r) + ") t(chunk_id, source_id, target_id, relationship, confidence)")
-def relationship_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-10, REL-1..7, GRB-3: what the text between two mentions says."""
-    rows = [(i, t, f"{s}{i}", kind, raw, t.index(raw), 1.0) for i, t, k1, r1, k2, r2, *_ in _TEXTS for s, kind, raw in (("a", k1, r1), ("b", k2, r2))]
-    m = spark.createDataFrame(rows, "chunk_id int, text string, entity_id string, entity_type string, raw_value string, character_offset int, trust double")
-    return graph.findings(m).select("chunk_id", "source_id", "target_id", "relationship", "confidence")

@@ -11,90 +11,6 @@ from ..functions.text import alias_key
 from ..operators import graph, records, trust
 from .catalogue import query, table
 
-# One entity a line: id, type, value, rule and whether it passes (None: no rule), then canonical id, value, method and confidence.
-_CASES = [
-    ("c1", "currency", " usd ", "currency.invalid_code", True, "currency:USD", None, "alias_lookup", 1.0),
-    ("c2", "currency", "Galleons", "currency.invalid_code", False, None, None, "unresolved", 0.0),
-    ("h1", "hs_code", "2701.12", "hs_code.invalid_format", True, "hs:27", None, "prefix_lookup", 0.8),
-    ("h2", "hs_code", "99.88.77", "hs_code.invalid_format", True, "hs:99", "998877", "format_normalized", 0.5),
-    ("h3", "hs_code", "9988", "hs_code.invalid_format", True, None, None, "unresolved", 0.0),
-    ("h4", "hs_code", "coal", "hs_code.invalid_format", False, None, None, "unresolved", 0.0),
-    ("i1", "incoterm", "FOB", "incoterm.invalid_code", True, "incoterm:FOB", None, "alias_lookup", 1.0),
-    ("i2", "incoterm", "XYZ", "incoterm.invalid_code", False, None, None, "unresolved", 0.0),
-    ("u1", "unit", "MT", "unit.unrecognized", True, "unit:metric_ton", None, "alias_lookup", 1.0),
-    ("u2", "unit", "armfuls", "unit.unrecognized", False, None, None, "unresolved", 0.0),
-    ("x1", "price", "83.5 USD/INR", "exchange_rate.impossible", True, None, "83.5", "value_parsed", 0.6),
-    ("x2", "price", "exchange rate 20000", "exchange_rate.impossible", False, None, "20000.0", "value_parsed", 0.6),
-    ("x3", "price", "fx rate 0", "exchange_rate.impossible", False, None, "0.0", "value_parsed", 0.6),
-    ("p1", "price", "1,200 USD", None, None, None, "1200.0 currency:USD", "value_parsed", 0.9),
-    ("p2", "price", "1200", None, None, None, "1200.0", "value_parsed", 0.6),
-    ("p3", "price", "dear", None, None, None, None, "unresolved", 0.0),
-    ("q1", "quantity", "-500 MT", "quantity.impossible", False, None, "-500.0 unit:metric_ton", "value_parsed", 0.9),
-    ("q2", "quantity", "7 sacks", "quantity.impossible", True, None, "7.0", "value_parsed", 0.6),
-    ("d1", "date", "12 January 2026", "date.impossible", True, None, "2026-01-12", "value_parsed", 0.9),
-    ("d2", "date", "2026-02-30", "date.impossible", False, None, None, "unresolved", 0.0),
-    ("n1", "country", "INDIA", None, None, "country:IN", None, "alias_lookup", 1.0),
-    ("n2", "country", "Atlantis", None, None, None, None, "unresolved", 0.0),
-    ("m1", "commodity", "Thermal Coal", None, None, "commodity:coal", None, "alias_lookup", 1.0),
-    ("m2", "commodity", "Fly Ash", None, None, "commodity:fly_ash", None, "slug_derived_fallback", 0.5),
-    ("o1", "port", "mundra", None, None, "port:INMUN", None, "alias_lookup", 1.0),
-    ("o2", "port", "New Port", None, None, "port:new_port", None, "slug_derived_fallback", 0.5),
-    ("y1", "company", "Adani Ports Ltd.", None, None, "company:adani_ports", None, "slug_derived", 0.7),
-    ("y2", "organization", "Port Trust", None, None, "organization:port_trust", None, "slug_derived", 0.7),
-    ("y3", "vessel", "MV Star", None, None, "vessel:mv_star", None, "slug_derived", 0.7),
-    ("y4", "terminal", "West Basin", None, None, "terminal:west_basin", None, "slug_derived", 0.7),
-    ("k1", "contract", " ct-17 / a", None, None, "contract:CT-17/A", "CT-17/A", "literal_normalized", 0.6),
-    ("k2", "contract", "...", None, None, None, None, "unresolved", 0.0),
-]
-_ALIASES = [("currency", "usd", "currency:USD", "US dollar"), ("incoterm", "fob", "incoterm:FOB", "Free on board"), ("unit", "mt", "unit:metric_ton", "Metric ton"), ("country", "india", "country:IN", "India"), ("commodity", "thermal coal", "commodity:coal", "Coal"), ("commodity", "steam coal", "commodity:coal", "Coal"), ("port", "mundra", "port:INMUN", "Mundra")]
-_PROVIDERS = ("groq", "claude", "openai", "ollama", "another")
-
-
-def _sql(x: object) -> str:
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else f"'{x}'"
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) t({names})"
-
-
-def _cases(spark: SparkSession) -> DataFrame:
-    rows = [(r[0], r[1], r[2], k, _PROVIDERS[k % len(_PROVIDERS)]) for k, r in enumerate(_CASES)]
-    e = spark.createDataFrame(rows, "entity_id string, entity_type string, raw_value string, seq long, provider string")
-    box = F.struct(*(F.lit(x).alias(k) for k, x in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 9.0))))
-    e = e.select(F.lit(1).alias("run_id"), "*", F.lit(None).cast("string").alias("normalized_value"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page_number"), F.when(F.lit(False), box).alias("bbox"))
-    return trust.with_alias(e, _aliases(spark))
-
-
-def _aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ALIASES, "registry string, alias string, canonical_id string, canonical_name string")
-
-
-def _normalised(spark: SparkSession) -> DataFrame:
-    return trust.normalised(_cases(spark), ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
-
-
-@query(_values([(r[0], r[3], "warning" if r[1] == "unit" else "error", r[4]) for r in _CASES if r[3]], "entity_id, rule_id, severity, passed"))
-def validation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-1..7: each rule passing and failing."""
-    return trust.entity_findings(_cases(spark), 2026).select("entity_id", "rule_id", "severity", "passed")
-
-
-@query(_values([(r[0], *r[5:]) for r in _CASES], "entity_id, canonical_id, normalized_value, method, confidence"))
-def normalisation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NRM-1, NRM-3..11: each method for each type of entity, and what stays unresolved."""
-    return _normalised(spark).select("entity_id", "canonical_id", "normalized_value", "method", "confidence")
-
-
-@query(_values([(r[0], {"groq": 0.85, "claude": 0.95, "openai": 0.93, "ollama": 0.75}.get(_PROVIDERS[k % 5], 0.8), r[8], 1.0 if r[4] is None or r[4] else 0.0) for k, r in enumerate(_CASES)], "entity_id, provider, normalization, validation"))
-def provider_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CNF-5, CNF-7, CNF-8: priors of all providers, and components that follow findings and normalisation."""
-    e = _cases(spark)
-    tables = spark.createDataFrame([], "run_id int, page_number int, confidence double")
-    layout = spark.createDataFrame([], "run_id int, page_number int, is_multi_column boolean")
-    return trust.confidences(e, trust.entity_findings(e, 2026), _normalised(spark), tables, layout).select("entity_id", "provider", "normalization", "validation")
-
-
 @query("""WITH e AS (SELECT l_orderkey AS run, l_linenumber AS n, CAST(trunc(min(l_quantity)) AS INTEGER) AS v, l_orderkey || '.' || l_linenumber AS id FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT id AS entity_id, 'entity.duplicate' AS rule_id FROM (SELECT *, row_number() OVER (PARTITION BY run, v ORDER BY n, id) AS r FROM e) WHERE r > 1
 UNION ALL SELECT id, 'entity.conflicting_values' FROM (SELECT *, first_value(v) OVER (PARTITION BY run ORDER BY n, id) AS base FROM e) WHERE abs(v - base) / greatest(abs(v), abs(base)) > 0.05""")

@@ -163,17 +163,6 @@ def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", retrieval.intent(F.col("text")).alias("intent"), retrieval.question_type(F.col("text")).alias("question_type"))
 
 
-_TIMES = [("Q1 2026 shipment volumes", "2026-01-01", "2026-04-01"), ("Shipments in 2025", "2025-01-01", "2026-01-01"), ("from 2024-02-03 to 2024-05-06", "2024-02-03", "2024-05-06"), ("last quarter", "2025-10-01", "2026-01-01"), ("this year", "2026-01-01", None), ("last month", "2026-01-01", "2026-02-01"), ("last year", "2025-01-01", "2026-01-01"), ("no time", None, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', {f"TIMESTAMP '{a}'" if a else 'NULL'}, {f"TIMESTAMP '{b}'" if b else 'NULL'})" for q, a, b in _TIMES) + ") t(query, start_at, end_at)")
-def query_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QRY-4, DAT-3: the time a query speaks of, seen from 2026-02-15."""
-    q = spark.createDataFrame([(x[0],) for x in _TIMES], "query string")
-    r = retrieval.time_range(F.col("query"), F.lit("2026-02-15 10:00:00").cast("timestamp"))
-    return q.select("query", r.alias("r")).select("query", F.col("r.start").cast("timestamp_ntz").alias("start_at"), F.col("r.end").cast("timestamp_ntz").alias("end_at"))
-
-
 @query()
 def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QRY-1, ARR-3: names of nations and parts in queries, longest first."""
