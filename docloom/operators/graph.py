@@ -126,11 +126,24 @@ def subgraph(edges: DataFrame, reached: DataFrame, cap: int | None = None, order
 
 
 def survivors(merges: DataFrame) -> DataFrame:
-    """node, survivor along merge chains (node, into) of at most MAX_MERGES hops; a missing target ends a chain."""
-    m = merges.select("node", F.col("into").alias("survivor"))
-    for _ in range(MAX_MERGES - 1):
-        m = m.join(merges.select(F.col("node").alias("survivor"), F.col("into").alias("_next")), "survivor", "left").select("node", F.coalesce("_next", "survivor").alias("survivor"))
-    return m
+    """node, survivor along merge chains (node, into) of at most MAX_MERGES hops; a missing target ends a chain.
+
+    Pointers are doubled: two hops, four, eight, and eight after two; each step is one join of the merges with themselves."""
+
+    def after(far: DataFrame, near: DataFrame) -> DataFrame:
+        """Where far leads from where near leads."""
+        step = far.select(F.col("node").alias("survivor"), F.col("survivor").alias("_next"))
+        return near.join(step, "survivor", "left").select("node", F.coalesce("_next", "survivor").alias("survivor"))
+
+    reach = {1: cut(merges.select("node", F.col("into").alias("survivor")))}
+    while 2 * max(reach) <= MAX_MERGES:
+        n = max(reach)
+        reach[2 * n] = cut(after(reach[n], reach[n]))
+    out, hops = reach[max(reach)], max(reach)
+    for n in sorted(reach, reverse=True):
+        if hops + n <= MAX_MERGES:
+            out, hops = after(reach[n], out), hops + n
+    return out
 
 
 def merged(edges: DataFrame, evidence: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:

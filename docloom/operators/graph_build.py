@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import MIN_CONFIDENCE, cut, survivors
 from .trust import given
 
 #: Entity types that become nodes; fixed values.
@@ -82,3 +83,40 @@ def query_filters(found: Column, time_range: Column) -> Column:
     ids = F.transform(kinds, lambda k: F.struct(F.concat(k, F.lit("_ids")).alias("key"), F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x["type"] == k), lambda x: x["id"]))).alias("value")))
     span = F.when(time_range.isNotNull(), F.array(F.struct(F.lit("time_range").alias("key"), F.array(time_range["start"].cast("string"), time_range["end"].cast("string")).alias("value"))))
     return F.map_from_entries(F.concat(ids, F.coalesce(span, F.filter(ids, lambda x: F.lit(False)))))
+
+
+def built(runs: DataFrame, mentions: DataFrame, merges: DataFrame, pair: tuple[str, str], relationship: str, base: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and one row of statistics of the runs (run_id, seq), in order, up to the first that fails; what came before it stays.
+
+    mentions: run_id, chunk_id, seq, canonical_id, node_type, value, overall. A run fails if an overall of its lies outside 0 to 1.
+    Mentions without identity or overall are skipped and counted. Identities follow merges (node, into) to their survivors. Source and
+    target types of pair that share a chunk are related, base times their mean overall, MIN_CONFIDENCE at least. An upsert keeps the greatest
+    confidence, all aliases, all evidence, and the first name, whatever the order of rows; so the state after many runs is built at once,
+    and what each run has made or changed is told by the first run of each node, alias and edge."""
+    off = F.col("overall").isNotNull() & ~((F.col("overall") >= 0) & (F.col("overall") <= 1))
+    failing = mentions.where(off).select("run_id").distinct().join(runs, "run_id").agg(F.min(F.struct("seq", "run_id")).alias("f"))
+    first = failing.first().f  # one row
+    done = runs if first is None else runs.where(F.struct("seq", "run_id") < F.struct(*[F.lit(first[c]).cast(runs.schema[c].dataType).alias(c) for c in ("seq", "run_id")]))
+    m = mentions.join(done.select("run_id", F.struct("seq", "run_id").alias("run")), "run_id")
+    lives = survivors(merges).withColumnsRenamed({"node": "canonical_id"})
+    usable = F.col("canonical_id").isNotNull() & F.col("overall").isNotNull()
+    good = cut(m.where(usable).join(lives, "canonical_id", "left").withColumn("node", F.coalesce("survivor", "canonical_id")).drop("survivor"))
+
+    aliases = good.groupBy("node", "value").agg(F.min("run").alias("run"), F.min(F.struct("run", "seq", "value")).alias("said"), F.min(F.struct("run", "seq", "node_type")).alias("typed"))
+    nodes = aliases.groupBy("node").agg(F.min("said")["value"].alias("display_name"), F.min("typed")["node_type"].alias("node_type"), F.array_sort(F.collect_set("value")).alias("aliases"), F.min("run").alias("made"), (F.count_distinct("run") - 1).alias("updates"))
+
+    ends = good.groupBy("run", "chunk_id", "node").agg(F.min("node_type").alias("node_type"), F.max("overall").alias("overall"))
+    side = lambda k, name: ends.where(F.col("node_type") == pair[k]).select("run", "chunk_id", F.col("node").alias(name), F.col("overall").alias(f"_{name}"))
+    found = side(0, "source").join(side(1, "target"), ["run", "chunk_id"]).where("source <> target")
+    found = found.withColumn("confidence", F.round(F.lit(base) * (F.col("_source") + F.col("_target")) / 2, 9)).where(F.col("confidence") >= MIN_CONFIDENCE)
+    proofs = cut(found.groupBy("source", "target", "run", "chunk_id").agg(F.max("confidence").alias("confidence")))
+    by_run = proofs.groupBy("source", "target", "run").agg(F.max("confidence").alias("confidence"))
+    chunks = proofs.groupBy("source", "target").agg(F.count_distinct("chunk_id").alias("evidence_count"))
+    edges = by_run.groupBy("source", "target").agg(F.max("confidence").alias("confidence"), F.min("run").alias("made"), (F.count(F.lit(1)) - 1).alias("updates")).join(chunks, ["source", "target"])
+    edges = edges.select("source", "target", F.lit(relationship).alias("relationship"), "confidence", "evidence_count", "made", "updates")
+
+    sums = lambda df, name: df.agg(F.count(F.lit(1)).alias(f"{name}_created"), F.coalesce(F.sum("updates"), F.lit(0)).cast("long").alias(f"{name}_updated"))
+    counts = done.agg(F.count(F.lit(1)).alias("runs_processed"))
+    left = m.agg(F.count_if(~usable).alias("skipped"))
+    stats = counts.join(left).join(sums(nodes, "nodes")).join(sums(edges, "edges"))  # a row each
+    return nodes, edges, stats.withColumn("failed_run", F.lit(None if first is None else first.run_id).cast(runs.schema["run_id"].dataType))

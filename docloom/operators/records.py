@@ -51,14 +51,6 @@ def accounting(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("chunks"), F.count_if("fresh").alias("embedded"), F.count_if(~F.col("fresh")).alias("skipped"), F.sum("words").alias("words"))
 
 
-def built(runs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """One row: the first run (seq) that fails, if any, and the sums of the outputs (run_id, numbers) of runs (run_id, seq, failed) before it."""
-    first = runs.agg(F.min(F.when(F.col("failed"), F.struct("seq", "run_id"))).alias("_f")).select(F.col("_f.run_id").alias("failed_run"), F.col("_f.seq").alias("_at"))
-    done = runs.join(F.broadcast(first), F.col("_at").isNull() | (F.col("seq") < F.col("_at"))).select("run_id")  # one row
-    sums = outputs.join(done, "run_id").agg(F.count_distinct("run_id").alias("runs"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in outputs.columns if c != "run_id"))
-    return sums.crossJoin(first.select("failed_run"))  # a row each
-
-
 def company_registry(nodes: DataFrame) -> DataFrame:
     """registry, alias, canonical_id, canonical_name of the live company nodes (canonical_id, node_type, display_name, aliases, status); a key goes to its first id."""
     n = nodes.where("node_type = 'company' and status = 'active'")

@@ -76,15 +76,6 @@ def embedding_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.accounting(_cycle(spark, sf_dir))
 
 
-@query("""WITH r AS (SELECT c_custkey AS run, c_acctbal < -900 AS failed FROM customer), f AS (SELECT min(run) FILTER (failed) AS k FROM r), d AS (SELECT run FROM r, f WHERE f.k IS NULL OR run < f.k)
-SELECT count(DISTINCT o_custkey) AS runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS nodes, CAST(coalesce(sum(e), 0) AS BIGINT) AS edges, any_value(k) AS failed_run FROM f LEFT JOIN (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS e FROM orders WHERE o_custkey IN (SELECT run FROM d) GROUP BY 1) ON true""")
-def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRB-5: sums over the runs before the first one that fails, and which that is."""
-    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_custkey").alias("seq"), (F.col("c_acctbal") < -900).alias("failed"))
-    out = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.count("*").alias("nodes"), F.count_distinct("o_orderpriority").alias("edges"))
-    return records.built(runs, out)
-
-
 @query("""SELECT 'prompt' || conv_id % 10 AS name, conv_id // 10 || '.' || turn AS version, sha256(role || chr(10) || '---' || chr(10) || text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id // 10 DESC, turn DESC) AS r FROM conversations) WHERE r = 1""")
 def prompt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-19, SVC-5: the latest of immutable versions, compared as numbers, and the hash of its words."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.text import alias_key
-from docloom.operators import graph, records, retrieval
+from docloom.operators import graph, graph_build, records, retrieval
 
 
 def test_versions_do_not_change(spark) -> None:
@@ -61,12 +61,72 @@ def test_changes_may_be_null(spark) -> None:
     assert records.deleted(rows, rows.where("id = 1"), ["id"]).count() == 1
 
 
-def test_build_without_failure(spark) -> None:
-    runs = spark.createDataFrame([(1, 1, False), (2, 2, False)], "run_id int, seq int, failed boolean")
-    out = records.built(runs, spark.createDataFrame([(1, 3), (2, 4)], "run_id int, nodes int")).first()
-    assert (out.runs, out.nodes, out.failed_run) == (2, 7, None)
-    out = records.built(runs.withColumn("failed", F.col("run_id") == 1), spark.createDataFrame([(1, 3), (2, 4)], "run_id int, nodes int")).first()
-    assert (out.runs, out.nodes, out.failed_run) == (0, 0, 1)
+def folded(runs, mentions, merges):
+    """The build as a fold: run after run, each upserting its nodes and edges, until one fails."""
+    nodes, edges, stats = {}, {}, dict.fromkeys(("runs_processed", "skipped", "nodes_created", "nodes_updated", "edges_created", "edges_updated"), 0) | {"failed_run": None}
+
+    def lives(c):
+        for _ in range(graph.MAX_MERGES):
+            c = merges.get(c, c)
+        return c
+
+    for run in sorted(runs):
+        mine = sorted((m for m in mentions if m[0] == run), key=lambda m: (m[2], m[5]))
+        if any(m[6] is not None and not 0 <= m[6] <= 1 for m in mine):
+            stats["failed_run"] = run
+            break
+        stats["runs_processed"] += 1
+        good = [(m[1], lives(m[3]), m[4], m[5], m[6]) for m in mine if m[3] and m[6] is not None]
+        stats["skipped"] += len(mine) - len(good)
+        for node in dict.fromkeys(g[1] for g in good):
+            values = [g[3] for g in good if g[1] == node]
+            if node not in nodes:
+                nodes[node] = (values[0], set(values))
+                stats["nodes_created"] += 1
+            elif set(values) - nodes[node][1]:
+                nodes[node][1].update(values)
+                stats["nodes_updated"] += 1
+        touched = {}
+        for c1, n1, k1, _, o1 in good:
+            for c2, n2, k2, _, o2 in good:
+                if c1 == c2 and k1 == "company" and k2 == "port" and n1 != n2 and 0.75 * (o1 + o2) / 2 >= 0.3:
+                    touched.setdefault((n1, n2), []).append((0.75 * (o1 + o2) / 2, c1))
+        for key, found in touched.items():
+            stats["edges_updated" if key in edges else "edges_created"] += 1
+            was = edges.get(key, (0, set()))
+            edges[key] = (max(was[0], *(c for c, _ in found)), was[1] | {c for _, c in found})
+    return nodes, edges, stats
+
+
+def test_build_equals_a_fold_over_runs(spark) -> None:
+    import random
+
+    rng = random.Random(3)
+    merges = {f"c{k}": f"c{k - 1}" for k in range(1, 14)}
+    runs = list(range(12))
+    mentions = [(rng.choice(runs), rng.randint(0, 3), k, rng.choice([None, *(f"c{j}" for j in range(16))]) if k % 2 else f"p{rng.randint(0, 3)}", "company" if k % 2 else "port", f"v{rng.randint(0, 3)}", rng.choice([None, 0.0, 0.5, 0.9, 1.0])) for k in range(160)]
+    kinds = "run_id int, chunk_id int, seq int, canonical_id string, node_type string, value string, overall double"
+    r = spark.createDataFrame([(k, k) for k in runs], "run_id int, seq int")
+    for bad in (None, 7, 0):
+        rows = mentions + ([(bad, 0, 999, "c1", "company", "v", 1.5)] if bad is not None else [])
+        nodes, edges, stats = graph_build.built(r, spark.createDataFrame(rows, kinds), spark.createDataFrame(list(merges.items()), "node string, into string"), ("company", "port"), "owns", 0.75)
+        n, e, s = folded(runs, rows, merges)
+        assert {x.node: (x.display_name, set(x.aliases)) for x in nodes.collect()} == n
+        assert {(x.source, x.target): (round(x.confidence, 6), x.evidence_count) for x in edges.collect()} == {k: (round(c, 6), len(v)) for k, (c, v) in e.items()}
+        assert stats.first().asDict() == s
+    assert graph_build.built(r, spark.createDataFrame([], kinds), spark.createDataFrame([], "node string, into string"), ("company", "port"), "owns", 0.75)[2].first().runs_processed == 12
+
+
+def test_survivors_by_doubling(spark) -> None:
+    m = {f"n{k}": f"n{k + 1}" for k in range(14)} | {"x": "y", "y": "x"}
+    got = {r.node: r.survivor for r in graph.survivors(spark.createDataFrame(list(m.items()), "node string, into string")).collect()}
+
+    def walk(n):
+        for _ in range(graph.MAX_MERGES):
+            n = m.get(n, n)
+        return n
+
+    assert got == {n: walk(n) for n in m}
 
 
 def test_merge_moves_evidence_and_drops_loops(spark) -> None:
