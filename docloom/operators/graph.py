@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,13 @@ RULES = (
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the session's checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df with its lineage cut: written once to a folder of its own on shared storage, which goes when the session ends, and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docloom-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, relational as rel
+from ..operators import graph, traversal
+from ..operators import relational as rel
 from .catalogue import query, table
+from .store_queries import kept
 
 _G = """e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"""
@@ -16,6 +18,11 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.star_graph(lambda n: table(spark, sf_dir, n))[1]
 
 
+def _adjacency(spark: SparkSession, sf_dir: str) -> traversal.Adjacency:
+    """The bucketed edges, on shared storage."""
+    return traversal.Adjacency(spark, kept(spark, sf_dir, ("customer", "supplier", "nation"), "adjacency", lambda path: traversal.Adjacency.build(_edges(spark, sf_dir), path)))
+
+
 def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "seed string")
 
@@ -23,13 +30,22 @@ def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_G}, r(node, depth) AS (SELECT 's1', 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 4) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
 def khop_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRT-2, GRT-8, AGG-5: nodes within four hops, each at its least depth."""
-    return graph.within(_edges(spark, sf_dir), _seeds(spark, "s1"), 4).select("node", "depth")
+    return _adjacency(spark, sf_dir).within(["s1"], 4).select("node", "depth")
+
+
+@query(f"""WITH RECURSIVE {_G}, r(seed, node, depth) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT r.seed, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 2),
+m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed, CAST(depth AS INTEGER) AS depth, count(*) AS nodes, min(node) AS first_node, max(node) AS last_node FROM m GROUP BY 1, 2""")
+def khop_all_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRT-2, GRT-10, AGG-5: how many nodes each supplier reaches in one hop and in two; all suppliers walk at once, as bits."""
+    seeds = [f"s{r.s_suppkey}" for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()]  # the seeds of a request
+    return _adjacency(spark, sf_dir).within(seeds, 2).groupBy("seed", "depth").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
 
 
 @query(f"""WITH RECURSIVE {_G}, r(node, depth) AS (SELECT 's1', 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 6) SELECT CAST(min(depth) AS INTEGER) AS hops FROM r WHERE node = 'c3' HAVING min(depth) IS NOT NULL""")
 def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRT-3: the length of a shortest path."""
-    return graph.shortest_path(_edges(spark, sf_dir), "s1", "c3").select("hops")
+    path = _adjacency(spark, sf_dir).path("s1", "c3")
+    return spark.createDataFrame([] if path is None else [(len(path) - 1,)], "hops int")
 
 
 @query(f"""WITH RECURSIVE {_G}, r(node, depth) AS (SELECT 'n3', 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 2) SELECT DISTINCT a, b FROM e0 WHERE a IN (SELECT node FROM r) AND b IN (SELECT node FROM r)""")
@@ -42,7 +58,7 @@ def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_G}, r(seed, node, depth) AS (SELECT 's1', 's1', 0 UNION SELECT 'c7', 'c7', 0 UNION SELECT r.seed, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS hops, arg_min(seed, (depth, seed)) AS seed FROM r GROUP BY node""")
 def multi_seed_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRT-9, GRT-10, WIN-6: the fewest hops over several seeds."""
-    return graph.nearest_seed(graph.within(_edges(spark, sf_dir), _seeds(spark, "s1", "c7"), 3))
+    return _adjacency(spark, sf_dir).nearest(_seeds(spark, "s1", "c7"), 3)
 
 
 @query("""SELECT 's' || l_suppkey AS source_id, 'p' || l_partkey AS target_id, 'supplies' AS relationship, max(1 - l_discount) AS confidence, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS evidence_count FROM lineitem GROUP BY 1, 2""")

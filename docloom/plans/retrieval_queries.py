@@ -11,7 +11,7 @@ from ..operators import relational as rel
 from ..streaming import limiter
 from .catalogue import query, table
 from .graph_queries import _G
-from .store_queries import fresh_path
+from .store_queries import fresh_path, kept
 
 
 def _knn_sql(distance: str, where: str = "true") -> str:
@@ -56,7 +56,7 @@ def _exact_sql(where: str) -> str:
 def _ann(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """The exact tenth distance of every query, and whether all queries together found 95 % of their ten nearest."""
     e = table(spark, sf_dir, "embeddings")
-    index = vectorindex.VectorIndex.build(e, fresh_path(spark, "vectors"))
+    index = vectorindex.VectorIndex(spark, kept(spark, sf_dir, ("embeddings",), "vectors", lambda path: vectorindex.VectorIndex.build(e, path)))
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
     hits = graph.cut(vectorindex.recall(index.nearest_all(asked, 10, where), index.nearest_all(asked, 10, where, exact=True)))
     met = hits.agg((F.sum(F.least("hits", F.lit(10))) >= 0.95 * 10 * F.count(F.lit(1))).alias("found_most"))
@@ -81,20 +81,10 @@ _TOKENS = "t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FR
 _ONE = f"round(0.1::DOUBLE * len(list_filter(w, lambda x: x IN {_LICENS})), 9)"
 
 
-#: Where the index of a table's files lies, for this session's queries: written by the first that asks, opened by the others.
-_INDEXES: dict[tuple, str] = {}
-
-
 def text_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
-    """The stored index of documents, on shared storage; made anew when the files have changed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path), path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    at = (spark.sparkContext.applicationId, sf_dir, files[0].getLength(), files[0].getFileCount(), files[1])
-    if at not in _INDEXES:
-        made = fresh_path(spark, "textindex")
-        textindex.TextIndex(spark, made).append(table(spark, sf_dir, "documents"), "doc_id", "text")
-        _INDEXES[at] = made
-    return textindex.TextIndex(spark, _INDEXES[at])
+    """The stored index of documents, on shared storage."""
+    make = lambda path: textindex.TextIndex(spark, path).append(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return textindex.TextIndex(spark, kept(spark, sf_dir, ("documents",), "textindex", make))
 
 
 def _text_search(spark: SparkSession, sf_dir: str, q: str, limit: int | None = None) -> DataFrame:

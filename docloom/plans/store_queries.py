@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,25 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: What this session's queries have written for a table's files, by those files: made by the first that asks, opened by the others.
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, names: tuple[str, ...], tag: str, make: Callable[[str], object]) -> str:
+    """The folder that make() has written from some tables; made anew when their files have changed."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    at: tuple = (spark.sparkContext.applicationId, tag, sf_dir)
+    for n in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        fs = path.getFileSystem(hadoop)
+        at += (fs.getContentSummary(path).getLength(), fs.getContentSummary(path).getFileCount(), fs.getFileStatus(path).getModificationTime())
+    if at not in _KEPT:
+        made = fresh_path(spark, tag)
+        make(made)
+        _KEPT[at] = made
+    return _KEPT[at]
+
+
 KINDS = ("validation", "confidence", "normalisation", "review")
 
 
