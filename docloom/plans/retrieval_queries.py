@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import alias_key
 from ..operators import chunking, graph, retrieval, textindex, vectorindex
 from ..operators import relational as rel
-from ..streaming import limiter
 from .catalogue import query, table
 from .graph_queries import _G
 from .store_queries import fresh_path, kept
@@ -252,10 +251,3 @@ def embed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda c: [F.lit("chunk").alias("source_type"), F.col("doc_id").alias("source_id"), F.sha2(c, 256).alias("hash")]
     now = d.select(*row(F.when(F.col("doc_id") % 20 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
     return retrieval.changed(now, d.where("doc_id % 7 <> 0").select(*row(F.col("text"))))
-
-
-@query()
-def fixed_window_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-1: windows start at a user's first hit; the third hit and later are over."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return limiter.limited(e, 3600.0 * 24, 3)
