@@ -34,7 +34,7 @@ SAMPLE, SUB, ENTRIES, STEPS = 8192, 8, 256, 10
 #: Lists are the square root of the rows, or more so that a list has this many on average; at most, which half the sample still fits.
 LIST, LISTS = 1024, SAMPLE // 2
 BLOCK, GROUP = 1 << 16, 4096
-TARGET, TRIED, REFINE = 0.98, 256, 8
+TARGET, TRIED, REFINE = 0.995, 256, 8
 
 
 def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
