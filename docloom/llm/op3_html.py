@@ -2,7 +2,8 @@
 
 A block ends at every block-level tag. Its features are its word count and link density, those of the block before and of
 the block after, whether it lies in an article, how its containers are marked (not, weakly, strongly), whether it is a
-heading and whether it starts like a notice. The tree is grown here, by Gini impurity, from the small labelled pages
+heading and whether it is a notice by its words: a short block that begins with a statement on cookies or a copyright sign, or at most
+CALL_WORDS words that call to act and are no sentence; never a heading. Elements that are hidden by attribute or by their own style are left out. The tree is grown here, by Gini impurity, from the small labelled pages
 EXAMPLES below, most of which mark nothing by names; content blocks are joined in page order.
 
 Marks: ``nav``, ``aside``, ``footer``, ``menu`` and ``dialog`` are strong, as are names of comments; other side names
@@ -13,7 +14,7 @@ The scan is linear: a tag whose quotes never close switches to a plain reading o
 element that an end tag closes gives up what it has passed.
 
 Defined results: null or empty html, or a page without content: empty text, 0. Unclosed elements end with their parent
-(p, li, dt, dd, tr, td and th also with their next sibling); what a parser would call broken markup never fails. Repeated
+(p, li, dt, dd, tr, td and th also with their next sibling, of those within LOOK open elements; of inline elements INLINE a block are told apart, text in deeper ones stays); what a parser would call broken markup never fails. Repeated
 rows are answered each. Other columns are ignored.
 """
 
@@ -43,13 +44,22 @@ COMMENT_NAMES = frozenset("comment comments comment-area comment-body comment-co
 STRONG_NAMES = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs complementary contentinfo cookie cookie-banner cookie-consent cookie-notice cookies copyright footer menu modal nav navbar navigation pager pagination popup sidebar site-footer site-header site-nav sponsored".split())
 WEAK_NAMES = frozenset("disclaimer hidden login newsletter notice notices promo promoted recommended related share sharing signup social sponsor subscribe subscription tags toolbar widget widgets".split())
 HEADER_NAMES = frozenset("banner header masthead".split())
-NOTICE = re.compile(r"(?:accept(?: all)?(?: cookies)?\b|(?:we|this (?:web)?site|our (?:web)?site) uses? cookies|by (?:using|continuing)\b.*\bcookies|subscribe\b|sign (?:up|in)\b|log ?in\b|share (?:this|on|via)\b|follow us\b|advertisements?\b|sponsored\b|skip to\b|privacy policy|terms of (?:use|service)|related (?:posts|articles|stories)|you (?:may|might) also like|leave a (?:comment|reply)|[0-9]+ comments?$)", re.I)
+#: Notices that say what they are, and calls to act, which count only if they are the whole of a short block that is no sentence.
+NOTICE = re.compile(r"(?:we|this (?:web)?site|our (?:web)?site) uses? cookies\b|by (?:using|continuing to (?:use|browse)) (?:this|our) (?:web)?site\b|\u00a9", re.I)
+CALL = re.compile(r"(?:accept(?: all)?(?: cookies)?|subscribe|sign (?:up|in)|log ?in|share (?:this|on|via)|follow us|advertisements?|sponsored|skip to|privacy policy|terms of (?:use|service)|related (?:posts|articles|stories)|you (?:may|might) also like|leave a (?:comment|reply)|[0-9]+ comments?$)\b", re.I)
+NOTICE_WORDS, CALL_WORDS = 20, 5
+#: Names that are made of others: an element for comments or consent, by whole parts of a token.
+COMMENT_PARTS = re.compile(r"(?:user|reader|visitor|guest)-comments?|comments?-[0-9]+")
+CONSENT_PARTS = re.compile(r"(?:cookies?|gdpr|consent)(?:-[a-z]+)*")
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: For what follows a tag that never closes by the rule above: it ends where the next one starts.
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)([^<>]*+)>?")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?", re.S)
 NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+UNSHOWN = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|)display\s*:\s*none", re.I)
 RAW_END = {k: re.compile(rf"</{k}(?![\w-])[^>]*>?", re.I) for k in RAW_NAMES}
 #: Which open siblings a start tag closes, and how far up it looks; open inline elements that one block tracks.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
@@ -86,6 +96,8 @@ EXAMPLES = """
 <div><h2>-2</h2><ul><li><a>-5</a></li><li><a>-6</a></li></ul></div><div><h1>+7</h1><p>+26</p><blockquote>+8</blockquote><p>+19</p></div>
 <body><p><a>-2</a> <a>-2</a></p><h1>+4</h1><p>+15</p></body>
 <article><h1>+5</h1><p>+9</p></article><ul><li><a>-3</a></li><li><a>-2</a></li></ul>
+<article><p>+1</p><h2><a>+4</a></h2><p>+60</p><p>+2</p><p><a>+6</a></p><p>+30</p></article>
+<article><h1>+4</h1><p>+2</p><p><a>+9</a></p><p>+55</p></article>
 <div><p>+14</p><p>+6</p></div><div><a>-2</a> <a>-3</a></div>
 <aside><p>-70</p><p>-110</p><p>-200</p><p>-55</p><p>-80</p></aside><p>+66</p><footer><p>-75</p><p>-100</p><p>-300</p></footer>
 <div class=widget><p>+75</p><p>+85</p><p>+160</p><p>+66</p><p>+300</p></div>
@@ -105,11 +117,20 @@ class _Frame:
         self.body, self.side, self.named, self.comments, self.skip = (up.body, up.side, up.named, up.comments, up.skip) if up else (0, 0, 0, 0, 0)
 
 
+def _notice(text: str, n: int) -> bool:
+    return bool(n <= NOTICE_WORDS and NOTICE.match(text) or n <= CALL_WORDS and text[-1] not in ".!?:;\u2026" and CALL.match(text))
+
+
+def _unseen(attributes: str) -> bool:
+    """Whether an element says that it is not shown."""
+    return bool(HIDDEN.search(QUOTED.sub("", attributes)) or UNSHOWN.search(attributes))
+
+
 def _marked(f: _Frame, up: _Frame | None, said: set[str]) -> None:
     """side: marks that elements give, 0 to 2; named: marks that names give, which weaken below a further container."""
     if f.name in ("html", "body"):
         return
-    if said & COMMENT_NAMES:
+    if said & COMMENT_NAMES or any(COMMENT_PARTS.fullmatch(w) for w in said):
         f.side, f.comments = 2, 1
         return
     if f.name in BODY:
@@ -124,7 +145,7 @@ def _marked(f: _Frame, up: _Frame | None, said: set[str]) -> None:
         f.side = 2
     elif f.name == "form" or (f.name == "header" and not f.body):
         f.side = max(f.side, 1)
-    if said & STRONG_NAMES:
+    if said & STRONG_NAMES or any(CONSENT_PARTS.fullmatch(w) for w in said):
         f.named = 2
     elif said & WEAK_NAMES or (said & HEADER_NAMES and not f.body):
         f.named = max(f.named, 1)
@@ -148,7 +169,7 @@ def blocks(page: str) -> list[Block]:
             n = text.count(" ") + 1
             f = next((f for f in reversed(stack) if f.block), None)
             head = int(any(x.name in HEADINGS for x in stack[-LOOK:]))
-            out.append(Block((text, n, min(100.0, 100.0 * linked / n), f.body if f else 0, max(f.side, f.named) if f else 0, head, int(n <= 12 and bool(NOTICE.match(text))))))
+            out.append(Block((text, n, min(100.0, 100.0 * linked / n), f.body if f else 0, max(f.side, f.named) if f else 0, head, int(not head and _notice(text, n)))))
         parts.clear()
         linked = 0
 
@@ -246,7 +267,7 @@ def blocks(page: str) -> list[Block]:
             continue
         up = stack[-1] if stack else None
         f = _Frame(name, block, up)
-        f.skip = f.skip or int(name in SKIPPED)
+        f.skip = f.skip or int(name in SKIPPED or bool(m[3]) and _unseen(m[3]))
         if block:
             # only whole tokens count; role="x" is read like a name
             _marked(f, up, {w for g in NAMES.findall(m[3]) for w in (g[1] or g[2] or g[3]).lower().split()} if m[3] else set())

@@ -115,6 +115,19 @@ def test_html_of_other_pages() -> None:
     assert keep(f"<body><div class=widget><p>{text} {text} {text}</p><p>{text} {text} {text}</p></div></body>") == [f"{text} {text} {text}"] * 2
 
 
+def test_html_keeps_sentences_that_begin_like_notices() -> None:
+    tree = op3_html.small_tree()
+    keep = lambda page: op3_html.main_text(page, tree)
+    said = ["Subscribe models have changed the media industry a lot.", "Advertisements shape consumption in many quiet ways.", "By using continuing care, we keep cookies fresh for bakers.", "Log in the river floated past us.", "Sponsored by the king, he sailed.", "Share this moment with those who came."]
+    assert keep("<article>" + "".join(f"<p>{p}</p>" for p in said) + "</article>") == "\n\n".join(said)
+    text = " ".join(f"word{k}" for k in range(40))
+    assert keep(f"<article><h1>Share this moment: a history of cameras</h1><p>{text}</p></article>").startswith("Share this moment")
+    assert keep(f"<article><p>Intro.</p><h2><a href=x>A linked heading here</a></h2><p>{text}</p></article>") == f"Intro.\n\nA linked heading here\n\n{text}"
+    for gone in ("<p hidden>Not shown to anyone at all.</p>", "<div style='color:red; display: none'><p>Not shown to anyone at all.</p></div>", "<div>&copy; 2024 The Paper. All rights reserved.</div>", f"<div class=gdpr><p>We and our partners store things on your device, {text}</p></div>", f'<div class="user-comments"><p>{text} indeed</p></div>', f'<div id="comment-12"><p>{text} indeed</p></div>', "<p>Subscribe to our letter</p>"):
+        assert keep(f"<article><p>{text}</p>{gone}<p>{text}</p></article>") == f"{text}\n\n{text}", gone
+    assert keep(f'<article><p aria-hidden=false>{text}</p><p class="hidden-gem commentary">{text}</p></article>') == f"{text}\n\n{text}"
+
+
 def test_html_of_real_markup() -> None:
     """Names that only look like side names, headings in containers, elements that close themselves, broken tags."""
     tree = op3_html.small_tree()
