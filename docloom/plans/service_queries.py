@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import services
+from ..operators import admission, services
 from .catalogue import query, table
 
 
@@ -47,3 +47,20 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("p").alias("provider"), F.col("lang").alias("model"), F.col("n_chars").alias("input_tokens"), F.lit(100).alias("output_tokens"))
     prices = spark.createDataFrame([("p", "en", 3.0, 15.0)], "provider string, model string, input_price double, output_price double")
     return services.cost(d, prices).select("doc_id", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query("""WITH d AS (SELECT doc_id, source AS owner, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, '')) AS size FROM documents),
+s AS (SELECT owner, hash FROM d WHERE doc_id % 10 = 0),
+u AS (SELECT doc_id, owner, hash, CASE WHEN doc_id % 11 = 0 THEN 'extension' WHEN doc_id % 13 = 1 THEN 'type' WHEN size = 0 THEN 'empty' END AS wrong, EXISTS (SELECT 1 FROM s WHERE s.owner IS NOT DISTINCT FROM d.owner AND s.hash = d.hash) AS stored FROM d WHERE doc_id % 10 <> 0),
+f AS (SELECT *, CASE WHEN wrong IS NULL AND NOT stored THEN row_number() OVER (PARTITION BY owner, hash, wrong IS NULL AND NOT stored ORDER BY doc_id) = 1 ELSE false END AS is_first FROM u),
+b AS (SELECT *, coalesce(sum(is_first::INT) OVER (PARTITION BY owner ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, greatest(40 - (SELECT count(*) FROM s WHERE s.owner IS NOT DISTINCT FROM f.owner), 0) AS room FROM f)
+SELECT doc_id, owner, coalesce(wrong, CASE WHEN before >= room THEN 'quota' WHEN NOT is_first THEN 'duplicate' END) AS reason, wrong IS NULL AND before < room AND is_first AS accepted FROM b""")
+def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SVC-1, FIL-9, FIL-11, FIL-12: what a walk over uploads accepts: their own faults, the owner's quota, copies in the store and among themselves."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    named = F.when(F.col("doc_id") % 11 == 0, "notes.exe").otherwise("report.pdf")
+    mime = F.when(F.col("doc_id") % 13 == 1, "image/png").otherwise("application/pdf")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner"), F.sha2(text, 256).alias("hash"), named.alias("name"), mime.alias("mime"), F.octet_length(text).alias("size"))
+    kept = d.where("doc_id % 10 = 0")
+    out = admission.admitted(d.where("doc_id % 10 <> 0"), kept, 40, ["doc_id"])
+    return out.select("doc_id", "owner", F.substring_index("reason", ", ", 1).alias("reason"), "accepted")
