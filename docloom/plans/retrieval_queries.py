@@ -244,6 +244,17 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(d, 120, 20)
 
 
+@query("""SELECT doc_id, sha256(text) AS whole, true AS in_budget FROM documents WHERE text <> ''""")
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-1..4, STR-13: chunks of 120 tokens, 20 overlapping, of all texts: what is new in each, put together, is the text; none is over its budget."""
+    import public_tokenizers
+
+    c = chunking.chunked_by_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, 120, 20)
+    new = F.substring("text", F.col("fresh") - F.col("start") + 1, F.col("end") - F.col("fresh"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", new.alias("new"))))  # a text in pieces
+    return c.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["new"]), ""), 256).alias("whole"), (F.max("tokens") <= 120).alias("in_budget"))
+
+
 @query("""SELECT 'chunk' AS source_type, doc_id AS source_id, sha256(CASE WHEN doc_id % 20 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 20 = 0 OR doc_id % 7 = 0""")
 def embed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMB-1, EMB-4, JN-16: what is new or has changed."""
