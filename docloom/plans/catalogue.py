@@ -39,7 +39,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _load() -> None:
     import importlib.util
 
-    for name in ("relational", "scalars", "trust_queries", "graph_queries", "retrieval_queries", "service_queries", "document_queries", "build_queries", "record_queries", "store_queries", "extraction_queries", "rule_queries", "corpus_queries", "stream_queries"):
+    for name in ("relational", "scalars", "trust_queries", "graph_queries", "retrieval_queries", "service_queries", "document_queries", "build_queries", "record_queries", "store_queries", "extraction_queries", "rule_queries", "corpus_queries", "stream_queries", "judging_queries"):
         if importlib.util.find_spec(f"docloom.plans.{name}"):
             importlib.import_module(f"docloom.plans.{name}")
 
