@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def signature(df: DataFrame, order: Column, value: Column) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
@@ -14,12 +16,22 @@ def signature(df: DataFrame, order: Column, value: Column) -> DataFrame:
 
 
 def percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """p50, p95 by nearest rank, and the mean: equal values are counted first, so a task a key ranks its distinct values only."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
-    ranked = counted.select(key, value, "n", F.sum("n").over(w.orderBy(value)).alias("upto"), F.sum("n").over(w).alias("of"))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.floor(p * (F.col("of") - 1) + 0.5) + 1, F.col(value)))
-    return ranked.groupBy(key).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"))
+    """p50, p95 by nearest rank, and the mean.
+
+    Equal values are counted first; counts are dealt by ranges of (key, value), and a value's rank is the counts before it in its range plus those of
+    the key's ranges before, one sum each. So a key with very many values is ranked by many tasks."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("n"))
+    by = [F.col("_key").asc_nulls_first(), F.col("_value")]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(counted.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    placed = dealt.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(F.col("_key").alias("_k"), F.col("_part").alias("_p")).agg(F.sum("n").alias("_n"), F.sum(F.col("_value") * F.col("n")).alias("_sum"))
+    w = Window.partitionBy("_k")  # a row a range
+    far = parts.select("_k", "_p", (F.sum("_n").over(w.orderBy("_p")) - F.col("_n")).alias("far"), F.sum("_n").over(w).alias("of"), F.sum("_sum").over(w).alias("sum"))
+    near = placed.withColumn("near", F.sum("n").over(Window.partitionBy("_part", "_key").orderBy("_at")))
+    ranked = near.join(far, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    at = lambda p: F.min(F.when(F.col("far") + F.col("near") >= F.floor(p * (F.col("of") - 1) + 0.5) + 1, F.col("_value")))
+    return ranked.groupBy(F.col("_key").alias(key)).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.max("sum") / F.max("of"), 6).alias("mean"))
 
 
 def top_degrees(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:

@@ -157,3 +157,15 @@ def test_uploads(spark) -> None:
     df = spark.createDataFrame([("a.pdf", "application/pdf", 10), (None, None, None), ("x", "y", 1)], "n string, m string, s long")
     got = [r.r for r in df.select(services.upload_reasons(F.col("n"), F.col("m"), F.col("s")).alias("r")).collect()]
     assert got[0] == [] and "blank name" in got[1] and "empty" in got[1] and got[2] == ["extension"]
+
+
+def test_percentiles_of_a_hot_key(spark) -> None:
+    from docloom.operators import analytics
+
+    rows = [("hot", k * 7919 % 5000 / 2) for k in range(5000)] + [("one", 3.0)] + [("same", 1.0)] * 40 + [(None, 2.0), (None, 4.0), ("gone", None)]
+    got = {r.k: (r.p50, r.p95, r.mean) for r in analytics.percentiles(spark.createDataFrame(rows, "k string, v double").repartition(6), "k", "v").collect()}
+    rank = lambda v, p: sorted(v)[int(p * (len(v) - 1) + 0.5)]
+    for key in ("hot", "one", "same", None):
+        v = [x for k, x in rows if k == key]
+        assert got[key] == (rank(v, 0.5), rank(v, 0.95), round(sum(v) / len(v), 6)), key
+    assert "gone" not in got
