@@ -2,7 +2,7 @@
 
 An alias is compared by its key (lower case, one space for white space) and must not continue into a letter, digit or underscore on either
 side. Of matches that overlap the one that begins first is taken, of those the longest. Offsets are code points of the text as it
-stands, so a mention can be grounded on its page. The automaton (Aho and Corasick's, of a published library) is built once a worker
+stands, so a mention can be grounded on its page. The automaton (Aho and Corasick's, of a published library) is built once a task
 from the aliases, which are sent to all tasks while they have at most LIMIT characters; more aliases are cut into parts of that size, each text
 passes every part's automaton, and the matches of a text are chosen among at the end.
 """
@@ -70,30 +70,24 @@ def chosen(matches: list[Match]) -> list[Match]:
     return out
 
 
-_AUTOMATA: dict[int, object] = {}
-
-
-def _automaton(aliases: tuple[str, ...]):
+def automaton(aliases: tuple[str, ...]):
+    """All aliases in one automaton; what it finds is an alias's place."""
     import ahocorasick
 
-    made = _AUTOMATA.get(hash(aliases))
-    if made is None:
-        made = ahocorasick.Automaton()
-        for k, a in enumerate(aliases):
-            made.add_word(a, k)
-        made.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[hash(aliases)] = made
+    made = ahocorasick.Automaton()
+    for k, a in enumerate(aliases):
+        made.add_word(a, k)
+    made.make_automaton()
     return made
 
 
-def matches_in(text: str | None, aliases: tuple[str, ...]) -> list[Match]:
-    """All whole-word matches (start, end, place of the alias) in a text, overlapping ones too."""
+def matches_in(text: str | None, aliases: tuple[str, ...], made=None) -> list[Match]:
+    """All whole-word matches (start, end, place of the alias) in a text, overlapping ones too; made: the aliases' automaton, where it is at hand."""
     if not text or not aliases:
         return []
     key, original = key_of(text)
     out = []
-    for last, k in _automaton(aliases).iter(key):
+    for last, k in (made or automaton(aliases)).iter(key):
         first, end = last + 1 - len(aliases[k]), last + 1
         if not (first and _word(key[first - 1]) and _word(key[first])) and not (end < len(key) and _word(key[end]) and _word(key[end - 1])):
             out.append((original(first), original(last) + 1, k))
@@ -127,10 +121,11 @@ def entities(docs: DataFrame, key: str, text: str, registries: DataFrame, limit:
 
     def finder(aliases: tuple[str, ...], whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = automaton(aliases) if aliases else None
             for b in batches:
                 keys, out = [], []
                 for n, t in enumerate(b["text"].to_pylist()):
-                    got = matches_in(t, aliases)
+                    got = matches_in(t, aliases, made)
                     for s, e, k in chosen(got) if whole else got:
                         keys.append(n)
                         out.append((s, e, aliases[k], t[s:e]))
