@@ -5,7 +5,8 @@ neighbour, so that no bucket has all edges of a hub. A hop deals the frontier by
 there; Spark reads those without an exchange. What a frontier node passes on is combined by map-side sums before it is dealt.
 
 ``reach`` walks from many seeds at once: each node carries a set of seeds as bits of 64-bit words, so a hop has a row a node, not one a
-seed and node; seeds beyond WORDS words are taken in further rounds. ``nearest`` labels each node once, by the first seed of the fewest
+seed and node; seeds beyond WORDS words are rows of further rounds, which walk in the same hops. ``levels`` counts what each of very many seeds
+reaches, and walks once for all seeds with the same neighbours. ``nearest`` labels each node once, by the first seed of the fewest
 hops. ``path`` searches from both ends, always growing the smaller side, and then follows the nodes of shortest paths only.
 """
 
@@ -60,38 +61,72 @@ class Adjacency:
         here = cells.repartition(self.buckets, "_cell").join(self.edges, same)
         return here.withColumn("to", F.col("b")).drop("_cell", "cell", "a", "b")
 
-    def reach(self, seeds: list, depth: int) -> DataFrame:
-        """node, depth and words: at each depth the bits of the seeds (by place in the list) that reach node in so many hops and no fewer; seeds themselves at 0.
-
-        Bit k % 64 of word k // 64 (from word 0 of its round) is seed k; a column a word, w0, w1, ..."""
-        rounds = []
-        for at in range(0, len(seeds), 64 * WORDS):
-            part = seeds[at : at + 64 * WORDS]
-            words = [f"w{k}" for k in range(-(-len(part) // 64))]
-            signed = lambda k: (1 << k) - (1 << 64 if k == 63 else 0)
-            kind = self.edges.schema["a"].dataType.simpleString()
-            start = self.spark.createDataFrame([(s, *[signed(k % 64) if k // 64 == w else 0 for w in range(len(words))]) for k, s in enumerate(part)], f"node {kind}, " + ", ".join(f"{w} long" for w in words))
-            new = cut(start.groupBy("node").agg(*[F.bit_or(w).alias(w) for w in words]).withColumn("depth", F.lit(0)))
-            levels = [new]
-            for d in range(1, min(depth, MAX_DEPTH) + 1):
-                sent = self.step(new.drop("depth")).groupBy(F.col("to").alias("node")).agg(*[F.bit_or(w).alias(w) for w in words])
-                known = reduce(DataFrame.unionByName, levels).groupBy(F.col("node").alias("_node")).agg(*[F.bit_or(w).alias(f"_{w}") for w in words])
-                fresh = sent.join(known, F.col("node") == F.col("_node"), "left").select("node", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0)))).alias(w) for w in words])
-                new = cut(fresh.where(reduce(lambda x, y: x | y, [F.col(w) != 0 for w in words])).withColumn("depth", F.lit(d)))
-                if new.isEmpty():
-                    break
-                levels.append(new)
-            one = reduce(DataFrame.unionByName, levels).withColumn("round", F.lit(at // (64 * WORDS)))
-            rounds.append(one.select("node", "depth", "round", F.array(*words).alias("words")))
-        return reduce(DataFrame.unionByName, rounds)
-
-    def within(self, seeds: list, depth: int) -> DataFrame:
-        """seed, node, depth: the bits of reach() as rows."""
-        kind = self.edges.schema["a"].dataType.simpleString()
-        names = self.spark.createDataFrame([(k, s) for k, s in enumerate(seeds)], f"at int, seed {kind}")
-        each = self.reach(seeds, depth).select("node", "depth", "round", F.posexplode("words").alias("w", "bits")).where("bits <> 0")
+    def numbered(self, seeds: DataFrame) -> DataFrame:
+        """Each seed (seed) once, with at: a number of its own, gapless within each of a few partitions. Written once, so it stays."""
+        one = cut(seeds.where("seed is not null").select("seed").distinct())
+        return cut(one.repartition(1 + one.count() // (64 * WORDS * 64), "seed").withColumn("at", F.monotonically_increasing_id()))
+
+    def reach(self, starts: DataFrame, depth: int) -> DataFrame:
+        """node, depth, round and words for starts (node, at): at each depth the numbers at, as bits, that reach node in so many hops and no fewer; starts themselves at 0.
+
+        Bit k % 64 of word k // 64 of round r is the number r * 64 * WORDS + k. All rounds walk at once, a row a node and round."""
+        at = F.col("at") % (64 * WORDS)
+        last = starts.agg(F.max(at).alias("last")).first().last
+        words = [f"w{k}" for k in range(1 + (last or 0) // 64)]
+        either = lambda df, to="": df.agg(*[F.bit_or(w).alias(to + w) for w in words])
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+        start = starts.select("node", F.floor(F.col("at") / (64 * WORDS)).alias("round"), *[F.when(F.floor(at / 64) == k, bit).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(words)])
+        new = cut(either(start.groupBy("node", "round")).withColumn("depth", F.lit(0)))
+        levels = [new]
+        for d in range(1, min(depth, MAX_DEPTH) + 1):
+            sent = either(self.step(new.drop("depth")).groupBy(F.col("to").alias("node"), "round"))
+            known = either(reduce(DataFrame.unionByName, levels).groupBy(F.col("node").alias("_node"), F.col("round").alias("_round")), "_")
+            fresh = sent.join(known, (F.col("node") == F.col("_node")) & (F.col("round") == F.col("_round")), "left").select("node", "round", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0)))).alias(w) for w in words])
+            new = cut(fresh.where(reduce(lambda x, y: x | y, [F.col(w) != 0 for w in words])).withColumn("depth", F.lit(d)))
+            if new.isEmpty():
+                break
+            levels.append(new)
+        return reduce(DataFrame.unionByName, levels).select("node", "depth", "round", F.array(*words).alias("words"))
+
+    @staticmethod
+    def _bits(reached: DataFrame) -> DataFrame:
+        """at, node, depth: the bits of reach() as rows."""
+        each = reached.select("node", "depth", "round", F.posexplode("words").alias("w", "bits")).where("bits <> 0")
         bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0))
-        return each.withColumn("k", bit).withColumn("at", F.col("round") * 64 * WORDS + F.col("w") * 64 + F.col("k")).join(names, "at").select("seed", "node", "depth")
+        return each.withColumn("k", bit).select((F.col("round") * 64 * WORDS + F.col("w") * 64 + F.col("k")).alias("at"), "node", "depth")
+
+    def within(self, seeds: list | DataFrame, depth: int) -> DataFrame:
+        """seed, node, depth of all nodes within depth hops of each seed (a list, or rows of seed)."""
+        if isinstance(seeds, list):
+            seeds = self.spark.createDataFrame([(s,) for s in seeds], f"seed {self.edges.schema['a'].dataType.simpleString()}")
+        names = self.numbered(seeds)
+        return self._bits(self.reach(names.select(F.col("seed").alias("node"), "at"), depth)).join(names, "at").select("seed", "node", "depth")
+
+    def levels(self, seeds: DataFrame, depth: int) -> DataFrame:
+        """seed, depth, nodes, first_node, last_node for seeds (seed): how many nodes are so many hops from each seed, the least of them and the greatest.
+
+        Seeds with the same neighbours have the same nodes at each depth, but for themselves, whom they meet two hops away (one, if they are their own neighbour):
+        so each such class walks once, from its neighbours, and its seeds take its levels without themselves."""
+        every = seeds.select("seed").distinct()
+        zero = every.select("seed", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("nodes"), F.col("seed").alias("first_node"), F.col("seed").alias("last_node"))
+        near = cut(self.step(every.where("seed is not null").select(F.col("seed").alias("node"))).select(F.col("node").alias("seed"), "to"))
+        print_ = [F.bit_xor(F.xxhash64(F.lit(k), "to")).alias(f"x{k}") for k in range(2)]
+        seen = near.groupBy("seed").agg(F.count(F.lit(1)).alias("x2"), *print_, F.bool_or(F.col("seed") == F.col("to")).alias("loop"))
+        alike = cut(seen.join(seen.groupBy("x0", "x1", "x2").agg(F.min("seed").alias("rep")), ["x0", "x1", "x2"]).select("seed", "rep", "loop"))
+        # equal prints may hide other neighbours: such a seed, of whose equally many neighbours one is not the representative's, is a class of its own
+        theirs = near.select(F.col("seed").alias("rep"), "to")
+        odd = near.join(alike.where("seed <> rep"), "seed").join(theirs, ["rep", "to"], "left_anti").select("seed", F.lit(True).alias("odd")).distinct()
+        alike = cut(alike.join(odd, "seed", "left").select("seed", "loop", F.when(F.col("odd"), F.col("seed")).otherwise(F.col("rep")).alias("rep")))
+        names = self.numbered(alike.select(F.col("rep").alias("seed")))
+        starts = near.join(names, "seed").select(F.col("to").alias("node"), "at")
+        rows = self._bits(self.reach(starts, min(depth, MAX_DEPTH) - 1)) if depth > 0 else self._bits(self.reach(starts.where("false"), 0))
+        ends = cut(rows.groupBy("at", "depth").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("f1"), F.max("node").alias("l1")))
+        second = rows.join(ends, ["at", "depth"]).groupBy("at", "depth", "nodes", "f1", "l1").agg(F.min(F.when(F.col("node") != F.col("f1"), F.col("node"))).alias("f2"), F.max(F.when(F.col("node") != F.col("l1"), F.col("node"))).alias("l2"))
+        of = second.join(names.withColumnRenamed("seed", "rep"), "at").withColumn("depth", F.col("depth") + 1)
+        own = F.col("depth") == F.when(F.col("loop"), 1).otherwise(2)
+        other = lambda x, y: F.when(own & (F.col(x) == F.col("seed")), F.col(y)).otherwise(F.col(x))
+        far = alike.join(of, "rep").select("seed", "depth", (F.col("nodes") - own.cast("long")).alias("nodes"), other("f1", "f2").alias("first_node"), other("l1", "l2").alias("last_node"))
+        return zero.unionByName(far.where("nodes > 0"))
 
     def nearest(self, seeds: DataFrame, depth: int) -> DataFrame:
         """node, hops, seed for seeds (seed): the fewest hops over all seeds, then the first seed; a row a node."""

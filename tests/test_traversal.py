@@ -71,6 +71,26 @@ def test_many_seeds(spark, edges, adjacency) -> None:
     assert near == best
 
 
+def test_levels_and_jobs_of_many_seeds(spark, edges, adjacency) -> None:
+    seeds = ["hub", "x", "y", "nowhere", None, "n1"] + [f"n{k}" for k in range(0, 150, 3)]
+    got = {(r.seed, r.depth): (r.nodes, r.first_node, r.last_node) for r in adjacency.levels(spark.createDataFrame([(s,) for s in seeds + ["x"]], "seed string"), 3).collect()}
+    want = {(None, 0): (1, None, None)}
+    for s in filter(None, seeds):
+        by = {}
+        for n, d in levels(edges, s)[0].items():
+            by.setdefault(d, []).append(n)
+        want |= {(s, d): (len(ns), min(ns), max(ns)) for d, ns in by.items() if d <= 3}
+    assert got == want
+    # seeds beyond the words of a round take no jobs of their own
+    jobs = []
+    for n in (2, 3 * 64 * traversal.WORDS):
+        spark.sparkContext.setJobGroup(f"seeds{n}", "")
+        adjacency.within(["x"] + [f"q{k}" for k in range(n)], 1).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"seeds{n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 6, jobs
+
+
 def test_paths(spark, edges, adjacency) -> None:
     rng = random.Random(2)
     pairs = [("x", "y"), ("x", "n1"), ("z0", "z6"), ("z0", "z7"), ("n3", "n3"), ("hub", "n149")] + [(f"n{rng.randint(0, 150)}", f"n{rng.randint(0, 150)}") for _ in range(5)]
