@@ -24,6 +24,16 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double to so many digits as SQL engines on doubles do it: scaled, the nearest integer, halves away from zero.
+
+    Spark's round() takes a double's shortest decimals, so 0.1234565 goes up even where the scaled double lies below the half."""
+    scaled = F.abs(c) * 10.0**digits
+    over = scaled % 1.0
+    near_ = (scaled - over + F.when(over >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(scaled < 2.0**52, F.signum(c) * near_).otherwise(c)
+
+
 def weighted(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean of the components that are present; 0 if none is."""
     top = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts), F.lit(0.0))

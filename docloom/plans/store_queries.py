@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import graph, versions
 from .catalogue import query, table
 
@@ -44,7 +45,7 @@ KINDS = ("validation", "confidence", "normalisation", "review")
 
 def _results(orders: DataFrame, worth: float) -> dict[str, DataFrame]:
     """The four tables of trust results: an order is an entity, its priority the run; review holds the doubtful ones only."""
-    e = orders.select(F.col("o_orderpriority").alias("run"), F.col("o_orderkey").alias("entity"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / worth), 6).alias("overall"), F.col("o_orderdate").alias("day"))
+    e = orders.select(F.col("o_orderpriority").alias("run"), F.col("o_orderkey").alias("entity"), rounded(F.least(F.lit(1.0), F.col("o_totalprice") / worth), 6).alias("overall"), F.col("o_orderdate").alias("day"))
     return {
         "validation": e.select("run", "entity", F.lit("dated").alias("rule"), F.col("day").isNotNull().alias("passed")),
         "confidence": e.select("run", "entity", "overall"),
@@ -54,7 +55,7 @@ def _results(orders: DataFrame, worth: float) -> dict[str, DataFrame]:
 
 
 def _sums(store: versions.Store, version: int) -> DataFrame:
-    measure = {"validation": F.col("passed").cast("long"), "confidence": F.round(F.col("overall") * 1000).cast("long"), "normalisation": F.length("canonical_id").cast("long"), "review": (F.col("priority") == "high").cast("long")}
+    measure = {"validation": F.col("passed").cast("long"), "confidence": rounded(F.col("overall") * 1000, 0).cast("long"), "normalisation": F.length("canonical_id").cast("long"), "review": (F.col("priority") == "high").cast("long")}
     out = [store.read(k, version).groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.sum(measure[k]).cast("long").alias("total"), F.max("entity").alias("last")).select(F.lit(version).alias("version"), F.lit(k).alias("kind"), "run", "rows", "total", "last") for k in KINDS]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
