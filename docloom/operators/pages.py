@@ -84,16 +84,25 @@ def grounded_cells(tables: DataFrame, boxes: DataFrame, read: DataFrame) -> Data
 
 def grounded(values: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """values (key, page, raw_value) with x0, y0, x1, y1 of the words that hold the value: the shortest window of spans (page, pos, word, x0, y0, x1, y1), then the first; null if none of MAX_WINDOW words does."""
-    words = spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", alias_key(F.col("word")).alias("word"), "x0", "y0", "x1", "y1"))).alias("_w"))
-    v = values.join(words, "page", "left").withColumn("_t", alias_key(F.coalesce("raw_value", F.lit(""))))
-    n = F.size("_w")
-
-    def windows(size: Column) -> Column:
-        at = F.when(size <= n, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(at, lambda s: F.slice("_w", s, size)), lambda w: F.contains(F.array_join(F.filter(F.transform(w, lambda x: x["word"]), lambda t: t != ""), " "), F.col("_t")))
+    words = spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", F.split(alias_key(F.coalesce("word", F.lit(""))), " ").alias("ts"), "x0", "y0", "x1", "y1"))).alias("_w"))
+    # a value of k tokens stands in k tokens that follow each other, or nowhere; a token's window is that of the words it came from
+    tokens = F.flatten(F.transform("_w", lambda x, i: F.transform(x["ts"], lambda t: F.struct(t.alias("t"), i.alias("i")))))
+    # one struct in an array, so that tokens are made once a row and not once an element
+    one = F.array(F.struct(F.filter(tokens, lambda x: x["t"] != "").alias("w"), F.col("_t").alias("t"), F.split("_t", " ").alias("q")))
+    text = lambda w: F.array_join(F.transform(w, lambda x: x["t"]), " ")
+
+    def hits(b: Column) -> Column:
+        k = F.size(b["q"])
+        last = F.size(b["w"]) - k + 1
+        at = F.when((last >= 1) & F.contains(text(b["w"]), b["t"]), F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        begins = lambda s: F.when(k == 1, F.contains(F.element_at(b["w"], s)["t"], b["t"])).otherwise(F.endswith(F.element_at(b["w"], s)["t"], F.element_at(b["q"], 1)))
+        found = F.filter(at, lambda s: begins(s) & F.contains(text(F.slice(b["w"], s, k)), b["t"]))
+        first = lambda s: F.element_at(b["w"], s)["i"]
+        return F.array_min(F.transform(found, lambda s: F.struct((F.element_at(b["w"], s + k - 1)["i"] - first(s) + 1).alias("size"), first(s).alias("i"))))
 
-    hits = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_WINDOW)), windows))
-    v = v.withColumn("_h", F.when((F.col("_t") != "") & (F.coalesce(n, F.lit(0)) > 0), F.get(hits, F.lit(0))))
+    v = values.join(words, "page", "left").withColumn("_t", alias_key(F.coalesce("raw_value", F.lit(""))))
+    v = v.withColumn("_b", F.when((F.col("_t") != "") & F.col("_w").isNotNull(), F.get(F.transform(one, hits), F.lit(0))))
+    v = v.withColumn("_h", F.when(F.col("_b.size") <= MAX_WINDOW, F.slice("_w", F.col("_b.i") + 1, F.col("_b.size"))))
     side = lambda f, c: f(F.transform("_h", lambda x: x[c]))
     return v.select(key, "page", "raw_value", side(F.array_min, "x0").alias("x0"), side(F.array_min, "y0").alias("y0"), side(F.array_max, "x1").alias("x1"), side(F.array_max, "y1").alias("y1"))
 

@@ -27,6 +27,38 @@ def test_grounded(spark) -> None:
     assert pages.grounded(values.limit(0), spans, "id").count() == 0
 
 
+def test_grounded_against_all_windows(spark) -> None:
+    import random
+
+    rng = random.Random(3)
+    pool = ["a", "b", "ab", "a b", " ", "", None, "B  a", "aa"]
+    doc = {p: [rng.choice(pool) for _ in range(rng.randint(1, 30))] for p in range(40)} | {99: ["a"] + [" "] * 11 + ["zz"], 98: ["a"] + [" "] * 10 + ["zz"]}
+    ask = [(p * 10 + k, p, v) for p in doc for k, v in enumerate(["a", "a a", "b a", "ab a b", "A  zz", "b b a a", "aa a"])]
+    key = lambda w: " ".join((w or "").lower().split())
+    want = {}
+    for i, p, v in ask:
+        runs = [(n, s) for n in range(1, pages.MAX_WINDOW + 1) for s in range(len(doc[p]) - n + 1) if key(v) in " ".join(filter(None, map(key, doc[p][s : s + n])))]
+        want[i] = (float(runs[0][1]), float(runs[0][1] + runs[0][0] - 1)) if runs else (None, None)
+    spans = spark.createDataFrame([(p, k, w, float(k), 0.0, float(k), 0.0) for p, ws in doc.items() for k, w in enumerate(ws)], SPAN)
+    out = pages.grounded(spark.createDataFrame(ask, "id long, page long, raw_value string"), spans, "id")
+    assert {r.id: (r.x0, r.x1) for r in out.collect()} == want
+
+
+def test_grounding_grows_with_words(spark) -> None:
+    import time
+
+    def seconds(n: int) -> float:
+        text = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("w"), k.cast("string")))
+        spans = spark.range(40, numPartitions=1).select(F.col("id").alias("page"), F.posexplode(text).alias("pos", "word")).select("page", "pos", "word", *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+        values = spark.range(40, numPartitions=1).select("id", F.col("id").alias("page"), F.lit("no such").alias("raw_value"))
+        at = time.time()
+        assert pages.grounded(values, spans, "id").where("x0 is null").count() == 40
+        return time.time() - at
+
+    seconds(10)
+    assert seconds(20_000) < 12  # all windows of up to twelve words took minutes
+
+
 def test_recognised_and_text(spark) -> None:
     w = spark.createDataFrame([(1, 2, "b", 80.0), (1, 1, "a", -1.0), (1, 3, " ", 10.0), (1, 4, None, 10.0), (2, 1, "c", -1.0)], "page long, pos long, word string, conf double")
     assert {r.page: (r.text, round(r.confidence, 6)) for r in pages.recognised(w).collect()} == {1: ("a b", 0.8), 2: ("c", 0.0)}
