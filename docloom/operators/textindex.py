@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -176,19 +177,23 @@ def _postings(docs: DataFrame, key: str, text: str) -> DataFrame:
         block, held, tokens = TaskContext.get().partitionId() << WITHIN, [], 0
 
         def made(kind: pa.DataType) -> pa.RecordBatch:
-            by: dict[str, list[tuple[int, list[int]]]] = {"": [(k, []) for k in range(len(held))]}
-            for k, (_, lexemes) in enumerate(held):
-                own: dict[str, list[int]] = {}
-                for place, w in lexemes:
-                    own.setdefault(w, []).append(place)
-                for w, places in own.items():
-                    by.setdefault(w, []).append((k, places))
-            rows = list(by.values())
+            # all tokens of the block as arrays, by lexeme, then in the order of the texts; "" is the first lexeme, in every row
+            ids: dict[str, int] = {"": 0}
+            lexeme = np.fromiter((ids.setdefault(w, len(ids)) for _, lexemes in held for _, w in lexemes), np.int64)
+            place = np.fromiter((p for _, lexemes in held for p, _ in lexemes), np.int32)
+            row = np.repeat(np.arange(len(held), dtype=np.int32), [len(lexemes) for _, lexemes in held])
+            order = np.argsort(lexeme, kind="stable")
+            lexeme, place, row = lexeme[order], place[order], row[order]
+            first = np.flatnonzero((np.diff(lexeme, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+            sizes = np.concatenate((np.zeros(len(held), np.int64), np.diff(first, append=len(lexeme))))
+            local = np.concatenate((np.arange(len(held), dtype=np.int32), row[first]))
+            rows = np.bincount(lexeme[first], minlength=len(ids))
+            rows[0] = len(held)
+            ends, places = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in (rows, sizes))
+            lists = lambda at, of: pa.ListArray.from_arrays(pa.array(at), of)
+            keys = pa.array([k for k, _ in held], kind).take(pa.array(local))
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(by), pa.string()), pa.array([block] * len(rows), pa.int64()), pa.array([[k for k, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[held[k][0] for k, _ in r] for r in rows], pa.list_(kind)),
-                    pa.array([[p for _, p in r] for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([max((len(p) for _, p in r), default=0) for r in rows], pa.int32()),
-                ],
+                [pa.array(list(ids), pa.string()), pa.array(np.full(len(ids), block)), lists(ends, pa.array(local)), lists(ends, keys), lists(ends, lists(places, pa.array(place))), pa.array(np.maximum.reduceat(sizes, ends[:-1]).astype(np.int32))],
                 ["lexeme", "block", "local", "keys", "positions", "most"],
             )
 

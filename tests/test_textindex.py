@@ -107,3 +107,23 @@ def test_rank_against_all_stretches() -> None:
             start = first + 1
         got = fulltext.rank(e, q)
         assert (got is None) == (want is None) and (got is None or abs(got - want) < 1e-9), (e, q)
+
+
+def test_rows_of_a_block_against_dictionaries(spark) -> None:
+    import random
+
+    from docloom.operators import fulltext
+
+    rng = random.Random(5)
+    docs = [(k, rng.choice([None, "", " ".join(rng.choice(["licenses", "the", "token", "running", "42", "flying"]) for _ in range(rng.randint(0, 30)))])) for k in range(2 * textindex.BLOCK + 9)] + [(None, "token of no key")]
+    got = textindex._postings(spark.createDataFrame(docs, "id long, text string").coalesce(1), "id", "text").collect()
+    want = {}
+    for at, (key, text) in enumerate(docs):
+        block, local = divmod(at, textindex.BLOCK)
+        places = {}
+        for p, w in fulltext.lexemes_of(text):
+            places.setdefault(w, []).append(p)
+        for w, ps in ({"": []} | places).items():
+            want.setdefault((block, w), []).append((local, key, ps))
+    assert {(r.block, r.lexeme): list(zip(r.local, r.keys, r.positions)) for r in got} == want
+    assert all(r.most == max(len(p) for p in r.positions) for r in got) and len(got) == len(want)
