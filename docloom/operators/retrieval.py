@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, weighted
 from ..functions.text import alias_key, snippet, strip
-from ..functions.vectors import cosine_distance, inner_product_distance, l2_distance
+from ..functions.vectors import cosine_distance, dot, inner_product_distance, l2_distance, norm
 
 METRICS = {"cosine": cosine_distance, "l2": l2_distance, "inner_product": inner_product_distance}
 WEIGHTS = {"vector_similarity": 0.30, "bm25_score": 0.20, "graph_distance": 0.15, "entity_trust": 0.15, "relationship_confidence": 0.10, "recency": 0.05, "document_quality": 0.05}
@@ -16,7 +16,11 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     """query_id, vec_id, distance, rank of the k nearest items (vec_id, embedding, ...) of each query (query_id, q).
 
     queries is a stated set, sent to all tasks; each task keeps k a query before anything is shuffled."""
-    d = items.crossJoin(F.broadcast(queries)).withColumn("distance", F.round(METRICS[metric](F.col("embedding"), F.col("q")), 9))
+    if metric == "cosine":  # norms are made once a vector, not once a pair
+        d = items.withColumn("_n", norm(F.col("embedding"))).crossJoin(F.broadcast(queries.withColumn("_m", norm(F.col("q")))))
+        d = d.withColumn("distance", F.round(F.lit(1.0) - dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0)), 9))
+    else:
+        d = items.crossJoin(F.broadcast(queries)).withColumn("distance", F.round(METRICS[metric](F.col("embedding"), F.col("q")), 9))
     if drop_self:
         d = d.where("vec_id <> query_id")
     order = [F.asc("distance"), F.asc("vec_id")]

@@ -169,3 +169,15 @@ def test_percentiles_of_a_hot_key(spark) -> None:
         v = [x for k, x in rows if k == key]
         assert got[key] == (rank(v, 0.5), rank(v, 0.95), round(sum(v) / len(v), 6)), key
     assert "gone" not in got
+
+
+def test_nearest_makes_norms_once_a_vector(spark) -> None:
+    from docloom.functions.vectors import cosine_distance
+
+    items = spark.createDataFrame([(k, [float(k % 5) - 2, float(k % 3), 1.0]) for k in range(40)] + [(90, [0.0, 0.0, 0.0]), (91, None)], "vec_id long, embedding array<float>")
+    queries = items.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    got = retrieval.nearest(items, queries, 50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" not in plan.split("Join")[0].upper(), plan
+    want = items.crossJoin(queries).select("query_id", "vec_id", F.round(cosine_distance(F.col("embedding"), F.col("q")), 9).alias("d"))
+    assert sorted(map(str, got.select("query_id", "vec_id", F.col("distance").alias("d")).collect())) == sorted(map(str, want.collect()))
