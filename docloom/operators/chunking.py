@@ -7,9 +7,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import map_batches
+
 SCHEMA = "doc_id long, chunk_index int, page_number int, text string, token_count int, source_pages array<int>"
 
 
@@ -131,13 +134,32 @@ def spans(text: str, tokens: list[tuple[int, bool]], size: int, overlap: int) ->
     return out
 
 
+#: Characters of chunks that are put into a batch before it is sent on.
+BATCH_CHARS = 1 << 22
+
+
 def chunked_by_tokens(docs: DataFrame, ranks: str, pattern: str, size: int = 500, overlap: int = 75) -> DataFrame:
-    """OFFSETS for docs (doc_id, text): each text is encoded once and cut between its tokens; null and empty texts have no chunk."""
+    """OFFSETS for docs (doc_id, text): each text is encoded once and cut between its tokens; null and empty texts have no chunk.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoding(ranks, pattern)
-        for b in batches:
-            rows = [(d, k, s, f, e, n, t[s:e]) for d, t in zip(b["doc_id"], b["text"], strict=True) if t for k, (s, f, e, n) in enumerate(spans(t, token_ends(t, encoder), size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start", "fresh", "end", "tokens", "text"])
+    A worker holds one text with its tokens, its batch and some BATCH_CHARS of chunks, whatever the number of rows."""
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int32()) for c in ("chunk_index", "start", "fresh", "end", "tokens")], ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, rows, held = encoding(ranks, pattern), [], 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, OFFSETS)
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for d, t in zip(b["doc_id"], b["text"], strict=True):  # a row at a time: the batch itself stays in Arrow
+                d, t = d.as_py(), t.as_py()
+                for k, (s, f, e, n) in enumerate(spans(t, token_ends(t, encoder), size, overlap) if t else ()):
+                    rows.append((d, k, s, f, e, n, t[s:e]))
+                    held += e - s
+                    if held >= BATCH_CHARS:
+                        yield sent()
+                        rows, held = [], 0
+        if rows:
+            yield sent()
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, OFFSETS)
