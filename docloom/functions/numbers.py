@@ -11,7 +11,7 @@ _MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug
 
 def number(c: Column) -> Column:
     """The first number of a text, commas dropped; null if there is none."""
-    return F.nullif(F.regexp_extract(F.regexp_replace(c, ",", ""), r"-?[0-9]+\.?[0-9]*", 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(F.translate(c, ",", ""), r"-?[0-9]+\.?[0-9]*", 0).try_cast("double")
 
 
 def near(a: Column, b: Column, tolerance: float = 0.05) -> Column:
@@ -41,29 +41,17 @@ def weighted(parts: list[tuple[Column, float]]) -> Column:
     return F.when(below > 0, top / F.when(below > 0, below)).otherwise(0.0)
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.when((y != "") & (m != "") & (d != ""), F.format_string("%04d-%02d-%02d", y.try_cast("int"), m.try_cast("int"), d.try_cast("int"))))
-
-
-def _month(name: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for k, m in enumerate(MONTHS):
-        out = F.when(F.substring(name, 1, 3) == m, F.lit(str(k + 1))).otherwise(out)
-    return F.coalesce(out, F.lit(""))
+#: The four spellings in one pattern, and year, month and day of whichever matched; what matches none leaves "--".
+_DATES = rf"^(?:([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})|([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})|([0-9]{{1,2}})\s+{_MONTH}\.?,?\s+([0-9]{{4}})|{_MONTH}\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}}))$\R?|^[\s\S]*$"
+_PARTS = "$1$6$9$12-$2$5$8$10-$3$4$7$11"
 
 
 def flexible_date(c: Column) -> Column:
-    """A date from Y-M-D, D/M/Y, D Month Y or Month D, Y; null for others and impossible ones."""
-    t = F.lower(F.trim(c))
-    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
-    iso, slash = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-    day_first, month_first = rf"^([0-9]{{1,2}})\s+{_MONTH}\.?,?\s+([0-9]{{4}})$", rf"^{_MONTH}\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})$"
-    return F.coalesce(
-        _date(part(iso, 1), part(iso, 2), part(iso, 3)),
-        _date(part(slash, 3), part(slash, 2), part(slash, 1)),
-        _date(part(day_first, 3), _month(part(day_first, 2)), part(day_first, 1)),
-        _date(part(month_first, 3), _month(part(month_first, 1)), part(month_first, 2)),
-    )
+    """A date from Y-M-D, D/M/Y, D Month Y or Month D, Y; null for others and impossible ones. A text is matched once."""
+    said = F.regexp_replace(F.lower(F.trim(c)), _DATES, _PARTS)
+    month = F.substring_index(F.substring_index(said, "-", 2), "-", -1)
+    number_ = ((F.call_function("locate", F.substring(month, 1, 3), F.lit("".join(MONTHS))) + 2) / 3).cast("int").cast("string")
+    return F.concat_ws("-", F.substring_index(said, "-", 1), F.when(F.length(month) > 2, number_).otherwise(month), F.substring_index(said, "-", -1)).try_cast("date")
 
 
 def recency(at: Column, now: Column, half_life_days: float = 90.0) -> Column:
