@@ -26,7 +26,7 @@ def slug(c: Column) -> Column:
     ends = "|".join(s.replace(".", r"\.") for s in sorted(SUFFIXES, key=len, reverse=True))
     cut = F.regexp_replace(bare, f"(?:{ends})$", "")
     out = F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(out == "", F.lit("unknown")).otherwise(out)
+    return F.regexp_replace(out, "^$", "unknown")  # not by a condition, which would make it twice
 
 
 def canonical_id(prefix: str, c: Column) -> Column:

@@ -34,10 +34,26 @@ def with_alias(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return entities.withColumn("_key", alias_key(given())).join(a, ["entity_type", "_key"], "left").drop("_key")
 
 
-def entity_findings(entities: DataFrame, year_now: int) -> DataFrame:
-    """entity_id, rule_id, validation_type, severity, passed of the entity rules that apply; entities come from with_alias()."""
-    value, n = given(), number(given())
-    day = flexible_date(value)
+def _read(entities: DataFrame, currencies: dict[str, str] | None = None, units: dict[str, str] | None = None) -> DataFrame:
+    """Entities with what rules and normalisation read of a value, each made once a row and only for the types that ask for it."""
+    kind, value = F.col("entity_type"), F.col("_value")
+    of = lambda *kinds: F.when(kind.isin(*kinds), value)
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) if m else F.create_map().cast("map<string,string>")
+    words = lambda c: F.concat(F.array(c), F.transform(F.split(F.trim(F.regexp_replace(c, r"\$", r" \$ ")), r"\s+"), lambda w: F.regexp_replace(w, r"^[().,]+|[().,]+$", "")))
+    first_of = lambda m, c: F.get(F.filter(F.transform(words(c), lambda w: F.try_element_at(table(m), alias_key(w))), lambda x: x.isNotNull()), F.lit(0))
+    return entities.withColumn("_value", given()).withColumns({
+        "_number": number(of("currency", "price", "quantity")),
+        "_day": flexible_date(of("date")),
+        "_digits": digits(of("hs_code")),
+        "_literal": contract_literal(of("contract")),
+        "_unit": first_of(units or {}, of("quantity")),
+        "_currency": first_of(currencies or {}, of("price")),
+    })
+
+
+def _found(year_now: int) -> Column:
+    """The findings of a row of _read()."""
+    value, n, day = F.col("_value"), F.col("_number"), F.col("_day")
     box = F.col("bbox")
     bad_box = (box["x0"] < 0) | (box["y0"] < 0) | (box["x1"] <= box["x0"]) | (box["y1"] <= box["y0"]) | (box["x1"] > 5000) | (box["y1"] > 5000)
     kind = F.col("entity_type")
@@ -52,7 +68,12 @@ def entity_findings(entities: DataFrame, year_now: int) -> DataFrame:
         ("geometry.impossible_bounding_box", "geometry", "error", box.isNotNull(), ~bad_box),
     ]
     found = [F.when(applies, F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("validation_type"), F.lit(s).alias("severity"), F.coalesce(passed, F.lit(False)).alias("passed"))) for r, t, s, applies, passed in rules]
-    return entities.select("run_id", "entity_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("run_id", "entity_id", "f.*")
+    return F.array_compact(F.array(*found))
+
+
+def entity_findings(entities: DataFrame, year_now: int) -> DataFrame:
+    """entity_id, rule_id, validation_type, severity, passed of the entity rules that apply; entities come from with_alias()."""
+    return _read(entities).select("run_id", "entity_id", F.explode(_found(year_now)).alias("f")).select("run_id", "entity_id", "f.*")
 
 
 def cross_findings(entities: DataFrame) -> DataFrame:
@@ -78,20 +99,13 @@ def totals_findings(cells: DataFrame) -> DataFrame:
     return per.where("stated is not null and total is not null").withColumn("passed", (top == 0) | (F.abs(F.col("stated") - F.col("total")) <= 0.02 * top))
 
 
-def normalised(entities: DataFrame, prefixes: list[str], currencies: dict[str, str], units: dict[str, str]) -> DataFrame:
-    """entity_id, canonical_id, canonical_name, normalized_value, method, confidence; entities come from with_alias().
-
-    prefixes: two-digit commodity chapters; currencies, units: alias key to canonical id."""
-    kind, value = F.col("entity_type"), given()
-    d, n, day = digits(value), number(given()), flexible_date(given())
-    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) if m else F.create_map().cast("map<string,string>")
-    words = F.concat(F.array(value), F.transform(F.split(F.trim(F.regexp_replace(value, r"\$", r" \$ ")), r"\s+"), lambda w: F.regexp_replace(w, r"^[().,]+|[().,]+$", "")))
-    first_of = lambda m: F.element_at(F.concat(F.filter(F.transform(words, lambda w: F.try_element_at(table(m), alias_key(w))), lambda x: x.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
+def _normal(prefixes: list[str]) -> Column:
+    """The normal form of a row of _read()."""
+    kind, value, d, n, day, literal, unit, currency = (F.col(c) for c in ("entity_type", "_value", "_digits", "_number", "_day", "_literal", "_unit", "_currency"))
     row = lambda cid, name, val, method, conf: F.struct(cid.alias("canonical_id"), name.alias("canonical_name"), val.alias("normalized"), F.lit(method).alias("method"), F.lit(conf).alias("confidence"))
     none = F.lit(None).cast("string")
     unresolved = row(none, none, none, "unresolved", 0.0)
-    unit, currency = first_of(units), first_of(currencies)
-    out = (
+    return (
         F.when(kind.isin(*REGISTERED) & F.col("alias_id").isNotNull(), row(F.col("alias_id"), F.col("alias_name"), none, "alias_lookup", 1.0))
         .when(kind.isin("commodity", "port") & F.col("alias_id").isNotNull(), row(F.col("alias_id"), F.col("alias_name"), none, "alias_lookup", 1.0))
         .when(kind == "commodity", row(canonical_id("commodity", value), value, none, "slug_derived_fallback", 0.5))
@@ -99,31 +113,71 @@ def normalised(entities: DataFrame, prefixes: list[str], currencies: dict[str, s
         .when(kind.isin(*SLUGGED), row(F.concat(kind, F.lit(":"), F.substring(canonical_id("x", value), 3, 1000)), value, none, "slug_derived", 0.7))
         .when((kind == "hs_code") & F.substring(d, 1, 2).isin(*prefixes), row(F.concat(F.lit("hs:"), F.substring(d, 1, 2)), none, none, "prefix_lookup", 0.8))
         .when((kind == "hs_code") & (F.length(d) >= 6), row(F.concat(F.lit("hs:"), F.substring(d, 1, 2)), none, d, "format_normalized", 0.5))
-        .when((kind == "contract") & (contract_literal(value) != ""), row(F.concat(F.lit("contract:"), contract_literal(value)), value, contract_literal(value), "literal_normalized", 0.6))
+        .when((kind == "contract") & (literal != ""), row(F.concat(F.lit("contract:"), literal), value, literal, "literal_normalized", 0.6))
         .when((kind == "date") & day.isNotNull(), row(none, none, day.cast("string"), "value_parsed", 0.9))
         .when((kind == "quantity") & n.isNotNull() & unit.isNotNull(), row(none, none, F.concat_ws(" ", shown(n), unit), "value_parsed", 0.9))
         .when((kind == "price") & n.isNotNull() & currency.isNotNull(), row(none, none, F.concat_ws(" ", shown(n), currency), "value_parsed", 0.9))
         .when(kind.isin("quantity", "price") & n.isNotNull(), row(none, none, shown(n), "value_parsed", 0.6))
         .otherwise(unresolved)
     )
-    return entities.select("entity_id", out.alias("o")).select("entity_id", "o.canonical_id", "o.canonical_name", F.col("o.normalized").alias("normalized_value"), "o.method", "o.confidence")
+
+
+def normalised(entities: DataFrame, prefixes: list[str], currencies: dict[str, str], units: dict[str, str]) -> DataFrame:
+    """entity_id, canonical_id, canonical_name, normalized_value, method, confidence; entities come from with_alias().
+
+    prefixes: two-digit commodity chapters; currencies, units: alias key to canonical id."""
+    out = _read(entities, currencies, units).select("entity_id", _normal(prefixes).alias("o"))
+    return out.select("entity_id", "o.canonical_id", "o.canonical_name", F.col("o.normalized").alias("normalized_value"), "o.method", "o.confidence")
+
+
+def judged(entities: DataFrame, year_now: int, prefixes: list[str], currencies: dict[str, str], units: dict[str, str]) -> DataFrame:
+    """entities with findings, an array of what entity_findings() gives, and normal, what normalised() gives: both are of the row itself, so nothing is shuffled.
+
+    For entities whose ids are their own; findings between entities are another table, for confidences()."""
+    e = _read(entities, currencies, units)
+    return e.select(*entities.columns, _found(year_now).alias("findings"), _normal(prefixes).alias("normal"))
+
+
+def _weight(severity: Column) -> Column:
+    w = F.lit(0.0)
+    for name, x in SEVERITY.items():
+        w = F.when(severity == name, x).otherwise(w)
+    return w
+
+
+BETWEEN = ("duplicate", "conflict", "consistency")
 
 
 def confidences(entities: DataFrame, findings: DataFrame, normal: DataFrame, tables: DataFrame, layout: DataFrame) -> DataFrame:
     """entity_id, the eight components and overall.
 
     tables: run_id, page_number, confidence; layout: run_id, page_number, is_multi_column."""
-    w = F.lit(0.0)
-    for name, x in SEVERITY.items():
-        w = F.when(F.col("severity") == name, x).otherwise(w)
-    between = F.col("validation_type").isin("duplicate", "conflict", "consistency")
+    w, between = _weight(F.col("severity")), F.col("validation_type").isin(*BETWEEN)
     ratio = lambda c: F.sum(F.when(c & F.col("passed"), w).otherwise(0.0)) / F.nullif(F.sum(F.when(c, w).otherwise(0.0)), F.lit(0.0))
     f = findings.where("entity_id is not null").groupBy("entity_id").agg(ratio(~between).alias("validation"), ratio(between).alias("consistency"))
+    e = entities.join(f, "entity_id", "left").join(normal.select("entity_id", F.col("confidence").alias("_norm")), "entity_id", "left")
+    return _components(e, tables, layout).select("run_id", "entity_id", *WEIGHTS, "overall")
+
+
+def scored(entities: DataFrame, tables: DataFrame, layout: DataFrame, few: bool = False) -> DataFrame:
+    """Entities of judged() with the components and overall that confidences() gives, from their own findings and normal form, row by row.
+
+    few: the pages of tables and layout are so few that they are sent to all tasks."""
+    part = lambda c: F.filter("findings", lambda x: x["validation_type"].isin(*BETWEEN) if c else ~x["validation_type"].isin(*BETWEEN))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + _weight(x["severity"]))
+    ratio = lambda c: total(F.filter(part(c), lambda x: x["passed"])) / F.nullif(total(part(c)), F.lit(0.0))
+    e = entities.select("*", ratio(False).alias("validation"), ratio(True).alias("consistency"), F.col("normal.confidence").alias("_norm"))
+    return _components(e, tables, layout, few).select("run_id", "entity_id", "entity_type", "raw_value", "normalized_value", "seq", *WEIGHTS, "overall", "findings", "normal")
+
+
+def _components(e: DataFrame, tables: DataFrame, layout: DataFrame, few: bool = False) -> DataFrame:
+    """e with the components, of entities with validation, consistency and _norm, and overall."""
     t = tables.groupBy("run_id", "page_number").agg(F.avg("confidence").alias("table"))
     prior = F.lit(OTHER_PROVIDER)
     for name, x in PROVIDERS.items():
         prior = F.when(F.col("provider") == name, x).otherwise(prior)
-    e = entities.join(f, "entity_id", "left").join(normal.select("entity_id", F.col("confidence").alias("_norm")), "entity_id", "left").join(t, ["run_id", "page_number"], "left").join(layout, ["run_id", "page_number"], "left")
+    t, layout = (F.broadcast(t), F.broadcast(layout)) if few else (t, layout)
+    e = e.join(t, ["run_id", "page_number"], "left").join(layout, ["run_id", "page_number"], "left")
     parts = {
         "extraction": clamp(F.col("confidence")),
         "geometry": F.when(F.col("bbox").isNotNull(), 1.0).otherwise(0.4),
@@ -134,17 +188,41 @@ def confidences(entities: DataFrame, findings: DataFrame, normal: DataFrame, tab
         "normalization": F.coalesce(clamp(F.col("_norm")), F.lit(0.0)),
         "provider": prior,
     }
-    e = e.select("run_id", "entity_id", *(c.alias(k) for k, c in parts.items()))
-    return e.withColumn("overall", F.round(clamp(weighted([(F.col(k), x) for k, x in WEIGHTS.items()])), 9))
+    return e.withColumns(parts).withColumn("overall", F.round(clamp(weighted([(F.col(k), x) for k, x in WEIGHTS.items()])), 9))
+
+
+def _reason(reason: Column, rank: Column) -> Column:
+    return F.struct(reason.alias("reason"), rank.cast("int").alias("rank"))
+
+
+def _low(overall: Column) -> Column:
+    return _reason(F.when(overall < 0.4, "confidence very low").otherwise("confidence below threshold"), F.when(overall < 0.4, 3).otherwise(2))
+
+
+def _failed(rule: Column, severity: Column) -> Column:
+    rank = F.when(rule == "entity.conflicting_values", 3).when(severity == "critical", 4).when(severity == "error", 3).otherwise(1)
+    return _reason(F.concat(F.when(rule == "entity.conflicting_values", "conflicting value: ").when(severity.isin("critical", "error"), "validation failed: ").otherwise("validation warning: "), rule), rank)
+
+
+def _unresolved(normal: Column) -> Column:
+    return F.when(normal["canonical_id"].isNull() & (normal["method"] == "unresolved"), _reason(F.lit("unresolved canonical identity"), F.lit(1)))
+
+
+def _queue(reasons: DataFrame) -> DataFrame:
+    all_ = reasons.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("t.reason")), "; ").alias("reason"), F.max("t.rank").alias("rank"))
+    return all_.select("entity_id", "reason", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("rank")).alias("priority"))
 
 
 def review_queue(scores: DataFrame, findings: DataFrame, normal: DataFrame) -> DataFrame:
     """entity_id, reason (sorted, joined by "; ") and priority (the highest) of entities that need a look."""
-    row = lambda reason, rank: F.struct(reason.alias("reason"), rank.cast("int").alias("rank"))
-    low = scores.where("overall < 0.6").select("entity_id", row(F.when(F.col("overall") < 0.4, "confidence very low").otherwise("confidence below threshold"), F.when(F.col("overall") < 0.4, 3).otherwise(2)).alias("t"))
-    failed = findings.where("not passed and entity_id is not null")
-    rank = F.when(F.col("rule_id") == "entity.conflicting_values", 3).when(F.col("severity") == "critical", 4).when(F.col("severity") == "error", 3).otherwise(1)
-    failed = failed.select("entity_id", row(F.concat(F.when(F.col("rule_id") == "entity.conflicting_values", "conflicting value: ").when(F.col("severity").isin("critical", "error"), "validation failed: ").otherwise("validation warning: "), F.col("rule_id")), rank).alias("t"))
-    unknown = normal.where("canonical_id is null and method = 'unresolved'").select("entity_id", row(F.lit("unresolved canonical identity"), F.lit(1)).alias("t"))
-    all_ = low.unionByName(failed).unionByName(unknown).groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("t.reason")), "; ").alias("reason"), F.max("t.rank").alias("rank"))
-    return all_.select("entity_id", "reason", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("rank")).alias("priority"))
+    low = scores.where("overall < 0.6").select("entity_id", _low(F.col("overall")).alias("t"))
+    failed = findings.where("not passed and entity_id is not null").select("entity_id", _failed(F.col("rule_id"), F.col("severity")).alias("t"))
+    unknown = normal.select("entity_id", _unresolved(F.struct("canonical_id", "method")).alias("t")).where("t is not null")
+    return _queue(low.unionByName(failed).unionByName(unknown))
+
+
+def review_of(scores: DataFrame) -> DataFrame:
+    """What review_queue() gives for entities of scored(), from their own rows: only reasons are shuffled."""
+    failed = F.transform(F.filter("findings", lambda x: ~x["passed"]), lambda x: _failed(x["rule_id"], x["severity"]))
+    one = F.array(F.when(F.col("overall") < 0.6, _low(F.col("overall"))), _unresolved(F.col("normal")))
+    return _queue(scores.select("entity_id", F.explode(F.concat(F.array_compact(one), failed)).alias("t")))
