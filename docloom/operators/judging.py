@@ -20,13 +20,15 @@ def metrics(results: DataFrame, judgements: DataFrame, k: int) -> DataFrame:
     """query, hits, recall and precision at k of results (query, source_type, source_id, rank).
 
     Precision divides by what was returned, at most k; recall by the results judged relevant. Queries without a relevant judgement have neither."""
-    relevant = judgements.where("relevant").select(*KEY).distinct()
-    top = results.where(F.col("rank") <= k)
-    returned = top.groupBy("query").agg(F.count(F.lit(1)).alias("returned"))
-    hits = top.select(*KEY).distinct().join(relevant, list(KEY), "left_semi").groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
-    wanted = relevant.groupBy("query").agg(F.count(F.lit(1)).alias("wanted"))
-    j = returned.join(wanted, "query", "left").join(hits, "query", "left")
-    n = F.when(F.col("wanted").isNotNull(), F.coalesce("hits", F.lit(0)))
+    whole = F.lit(True)
+    for c in KEY:  # a null equals nothing
+        whole = whole & F.col(c).isNotNull()
+    side = lambda df, n, w: df.select(*KEY, F.lit(n).alias("_n"), F.lit(w).alias("_w"))
+    both = side(results.where(F.col("rank") <= k), 1, 0).unionByName(side(judgements.where("relevant").where(whole), 0, 1))
+    per = both.groupBy(*KEY).agg(F.sum("_n").alias("_n"), F.max("_w").alias("_w"))
+    hit = F.when((F.col("_n") > 0) & (F.col("_w") > 0), 1).otherwise(0)
+    j = per.groupBy("query").agg(F.sum("_n").alias("returned"), F.sum("_w").alias("wanted"), F.sum(hit).alias("hits")).where("returned > 0")
+    n = F.when(F.col("wanted") > 0, F.col("hits"))
     return j.select("query", n.alias("hits"), (n / F.col("wanted")).alias("recall"), (n / F.col("returned")).alias("precision"))
 
 

@@ -17,13 +17,16 @@ t AS (SELECT r.query, count(*) AS returned, count(*) FILTER (relevant) AS hits F
 SELECT t.query, CASE WHEN wanted IS NOT NULL THEN hits END AS hits, hits / wanted AS recall, CASE WHEN wanted IS NOT NULL THEN hits / returned END AS precision FROM t LEFT JOIN w USING (query)""")
 def judged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL-1, AGG-23: judgements recorded in two batches, the later ones standing; metrics of the five dearest parts of each customer's orders."""
-    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    key = [F.col("o_custkey").alias("query"), F.lit("part").alias("source_type"), F.col("l_partkey").alias("source_id")]
-    said = line.select(*key, (F.col("l_returnflag") == "R").alias("relevant"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
-    odd = F.col("seq.l_linenumber") % 2 == 1
-    judgements = judging.recorded(judging.recorded(said.where("false"), said.where(odd)), said.where(~odd))
-    price = line.groupBy(*key).agg(F.max("l_extendedprice").alias("price"))
-    ranked = relational.top_per_key(price, ["query"], [F.desc("price"), F.asc("source_id")], 5).withColumn("rank", F.lit(1))
+    of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_id"), (F.col("l_returnflag") == "R").alias("relevant"), F.col("l_extendedprice").alias("price"))
+    # joined once; of a customer's line items on a part the last of each batch and the dearest are all that is asked
+    odd, seq = F.col("l_linenumber") % 2 == 1, F.struct("l_orderkey", "l_linenumber")
+    last = lambda batch: F.max(F.when(batch, F.struct(seq.alias("seq"), "relevant")))
+    pairs = graph.cut(line.join(of, "l_orderkey").groupBy("query", "source_id").agg(last(odd).alias("first"), last(~odd).alias("second"), F.max("price").alias("price")))
+    key = ["query", F.lit("part").alias("source_type"), "source_id"]
+    batch = lambda c: pairs.where(F.col(c).isNotNull()).select(*key, f"{c}.relevant", f"{c}.seq")
+    judgements = judging.recorded(judging.recorded(batch("first").where("false"), batch("first")), batch("second"))
+    ranked = relational.top_per_key(pairs.select(*key, "price"), ["query"], [F.desc("price"), F.asc("source_id")], 5).withColumn("rank", F.lit(1))
     return judging.metrics(ranked, judgements, 5)
 
 
