@@ -74,11 +74,17 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.element_at(F.array(*map(F.lit, PROVIDERS)), (F.col("o") % 5 + 1).cast("int"))
     e = e.select(F.col("o").alias("run_id"), "entity_id", kind.alias("entity_type"), raw.alias("raw_value"), F.col("n").cast("long").alias("seq"), provider.alias("provider"), F.lit(None).cast("string").alias("normalized_value"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page_number"), F.when(F.col("k") == boxed, box).alias("bbox"))
     nations = table(spark, sf_dir, "nation").select(F.lit("country").alias("registry"), F.lower("n_name").alias("alias"), F.concat(F.lit("country:"), "n_nationkey").alias("canonical_id"), F.col("n_name").alias("canonical_name"))
-    return trust.with_alias(e, nations.unionByName(spark.createDataFrame(ALIASES, "registry string, alias string, canonical_id string, canonical_name string")))
+    few = nations.unionByName(spark.createDataFrame(ALIASES, "registry string, alias string, canonical_id string, canonical_name string"))
+    return trust.with_alias(e, F.broadcast(few))
 
 
-def _normal(e: DataFrame) -> DataFrame:
-    return trust.normalised(e, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
+FORMS = (["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with findings, normal form and confidence; no page has tables or a layout."""
+    none = table(spark, sf_dir, "lineitem").where("false").select(F.col("l_orderkey").alias("run_id"), F.lit(1).alias("page_number"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_multi_column"))
+    return trust.scored(trust.judged(entities(spark, sf_dir), 2026, *FORMS), none.drop("is_multi_column"), none.drop("confidence"))
 
 
 @query(f"""WITH {_LINES} SELECT * FROM (SELECT entity_id, {_pick([f"'{c[2]}'" if c[2] else "NULL" for c in CASES], "VARCHAR")} AS rule_id, {_pick(["'warning'" if c[0] == "unit" else "'error'" for c in CASES], "VARCHAR")} AS severity, {_pick([c[3] for c in CASES], "BOOLEAN")} AS passed FROM lines) WHERE rule_id IS NOT NULL""")
@@ -90,17 +96,13 @@ def validation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LINES} SELECT entity_id, {_pick([c[4] for c in CASES], "VARCHAR")} AS canonical_id, {_pick([c[5] for c in CASES], "VARCHAR")} AS normalized_value, {_pick([f"'{c[6]}'" for c in CASES], "VARCHAR")} AS method, {_pick([f"{c[7]}::DOUBLE" for c in CASES], "DOUBLE")} AS confidence FROM lines""")
 def normalisation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM-1, NRM-3..11: each method for each type of entity, and what stays unresolved."""
-    return _normal(entities(spark, sf_dir)).select("entity_id", "canonical_id", "normalized_value", "method", "confidence")
+    return trust.normalised(entities(spark, sf_dir), *FORMS).select("entity_id", "canonical_id", "normalized_value", "method", "confidence")
 
 
 @query(f"""WITH {_LINES} SELECT entity_id, CASE o % 5 WHEN 0 THEN 0.85 WHEN 1 THEN 0.95 WHEN 2 THEN 0.93 WHEN 3 THEN 0.75 ELSE 0.8 END::DOUBLE AS provider, {_pick([f"{c[7]}::DOUBLE" for c in CASES], "DOUBLE")} AS normalization, CASE WHEN {_pick([c[3] for c in CASES], "BOOLEAN")} = false THEN 0.0 ELSE 1.0 END::DOUBLE AS validation FROM lines""")
 def provider_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CNF-5, CNF-7, CNF-8: priors of all providers, and components that follow findings and normalisation."""
-    e = entities(spark, sf_dir)
-    none = table(spark, sf_dir, "lineitem").where("false")
-    tables = none.select(F.col("l_orderkey").alias("run_id"), F.lit(1).alias("page_number"), F.lit(1.0).alias("confidence"))
-    layout = none.select(F.col("l_orderkey").alias("run_id"), F.lit(1).alias("page_number"), F.lit(True).alias("is_multi_column"))
-    return trust.confidences(e, trust.entity_findings(e, 2026), _normal(e), tables, layout).select("entity_id", "provider", "normalization", "validation")
+    return scored(spark, sf_dir).select("entity_id", "provider", "normalization", "validation")
 
 
 # first type, what stands between, second type, relationship, base, whether the second is the source.
@@ -157,3 +159,7 @@ def query_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(question).alias("query"), F.col("o_orderdate").cast("timestamp").alias("now"))
     r = q.withColumn("r", retrieval.time_range(F.col("query"), F.col("now")))
     return r.select("o_orderkey", F.col("r.start").cast("timestamp_ntz").alias("start_at"), F.col("r.end").cast("timestamp_ntz").alias("end_at"))
+
+
+def _normal(e: DataFrame) -> DataFrame:
+    return trust.normalised(e, *FORMS)
