@@ -32,15 +32,24 @@ def metrics(results: DataFrame, judgements: DataFrame, k: int) -> DataFrame:
     return j.select("query", n.alias("hits"), (n / F.col("wanted")).alias("recall"), (n / F.col("returned")).alias("precision"))
 
 
+def _explanation(findings: Column) -> Column:
+    weights = F.struct(*[F.lit(w).alias(k) for k, w in WEIGHTS.items()])
+    parts = F.struct(*[F.col(k) for k in WEIGHTS])
+    none = F.array().cast("array<struct<rule_id:string,severity:string,passed:boolean>>")
+    return F.to_json(F.struct(weights.alias("weights"), parts.alias("components"), F.coalesce(findings, none).alias("validation_findings")))
+
+
 def explained(scores: DataFrame, findings: DataFrame) -> DataFrame:
     """scores (entity_id, components, overall) with explanation, as JSON: the weights, the components and the findings (rule_id, severity, passed), by rule."""
     said = F.sort_array(F.collect_list(F.struct("rule_id", "severity", "passed")))  # at most a row a rule
     f = findings.where("entity_id is not null").groupBy("entity_id").agg(said.alias("_f"))
-    weights = F.struct(*[F.lit(w).alias(k) for k, w in WEIGHTS.items()])
-    parts = F.struct(*[F.col(k) for k in WEIGHTS])
-    none = F.array().cast("array<struct<rule_id:string,severity:string,passed:boolean>>")
-    body = F.struct(weights.alias("weights"), parts.alias("components"), F.coalesce("_f", none).alias("validation_findings"))
-    return scores.join(f, "entity_id", "left").withColumn("explanation", F.to_json(body)).drop("_f")
+    return scores.join(f, "entity_id", "left").withColumn("explanation", _explanation(F.col("_f"))).drop("_f")
+
+
+def explained_of(scores: DataFrame) -> DataFrame:
+    """The same for scores of trust.scored(), whose findings are in their rows."""
+    said = F.transform("findings", lambda x: F.struct(x["rule_id"].alias("rule_id"), x["severity"].alias("severity"), x["passed"].alias("passed")))
+    return scores.withColumn("explanation", _explanation(F.sort_array(said)))
 
 
 def usage(runs: DataFrame, by: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, judging, relational, trust
+from ..operators import graph, judging, relational
 from .catalogue import query, table
 from .graph_queries import _G, _adjacency, _edges
-from .rule_queries import _LINES, CASES, _normal, _pick, entities
+from .rule_queries import _LINES, CASES, _pick, scored
 
 
 @query("""WITH j AS (SELECT o_custkey AS query, l_partkey AS id, arg_max(l_returnflag = 'R', (l_orderkey, l_linenumber, l_returnflag = 'R')) AS relevant FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -34,12 +34,8 @@ def judged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT entity_id, 0.25::DOUBLE AS weight, normalization, CASE WHEN passed = false THEN 0.0 ELSE 1.0 END::DOUBLE AS validation, CASE WHEN rule IS NULL THEN 0 ELSE 1 END AS findings, rule AS first_rule, CAST(passed AS VARCHAR) AS first_passed FROM x""")
 def explained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MAP-2, CNF-9: the explanation of each score as JSON, read back: a weight, two components, the findings."""
-    e = entities(spark, sf_dir)
-    none = table(spark, sf_dir, "lineitem").where("false").select(F.col("l_orderkey").alias("run_id"), F.lit(1).alias("page_number"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_multi_column"))
-    findings = trust.entity_findings(e, 2026)
-    scores = trust.confidences(e, findings, _normal(e), none.drop("is_multi_column"), none.drop("confidence"))
     got = F.from_json("explanation", "weights map<string,double>, components map<string,double>, validation_findings array<struct<rule_id:string,severity:string,passed:boolean>>")
-    out = judging.explained(scores, findings).select("entity_id", got.alias("x"))
+    out = judging.explained_of(scored(spark, sf_dir)).select("entity_id", got.alias("x"))
     return out.select("entity_id", F.col("x.weights")["validation"].alias("weight"), F.col("x.components")["normalization"].alias("normalization"), F.col("x.components")["validation"].alias("validation"), F.size("x.validation_findings").alias("findings"), F.get("x.validation_findings", F.lit(0))["rule_id"].alias("first_rule"), F.get("x.validation_findings", F.lit(0))["passed"].cast("string").alias("first_passed"))
 
 

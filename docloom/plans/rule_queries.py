@@ -159,7 +159,3 @@ def query_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(question).alias("query"), F.col("o_orderdate").cast("timestamp").alias("now"))
     r = q.withColumn("r", retrieval.time_range(F.col("query"), F.col("now")))
     return r.select("o_orderkey", F.col("r.start").cast("timestamp_ntz").alias("start_at"), F.col("r.end").cast("timestamp_ntz").alias("end_at"))
-
-
-def _normal(e: DataFrame) -> DataFrame:
-    return trust.normalised(e, *FORMS)
