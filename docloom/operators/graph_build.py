@@ -14,11 +14,19 @@ from .trust import given
 NODE_TYPES = ("company", "country", "port", "commodity", "terminal", "contract", "vessel", "organization")
 
 
+def _skipped() -> Column:
+    return F.when(~F.col("entity_type").isin(*NODE_TYPES), "type").when(F.col("canonical_id").isNull(), "identity").when(F.col("overall").isNull(), "confidence")
+
+
 def eligibility(entities: DataFrame, normalised: DataFrame, scores: DataFrame) -> DataFrame:
     """entities with canonical_id, overall and skipped: null, or why the entity becomes no node (type, identity, confidence), first reason only."""
     e = entities.join(normalised.select("entity_id", "canonical_id"), "entity_id", "left").join(scores.select("entity_id", "overall"), "entity_id", "left")
-    why = F.when(~F.col("entity_type").isin(*NODE_TYPES), "type").when(F.col("canonical_id").isNull(), "identity").when(F.col("overall").isNull(), "confidence")
-    return e.withColumn("skipped", why)
+    return e.withColumn("skipped", _skipped())
+
+
+def eligibility_of(scores: DataFrame) -> DataFrame:
+    """The same for entities of trust.scored(), from their own rows."""
+    return scores.withColumn("canonical_id", F.col("normal.canonical_id")).withColumn("skipped", _skipped())
 
 
 def node_plans(eligible: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,27 +10,25 @@ from pyspark.sql import functions as F
 from ..operators import graph, graph_build, relational as rel, services
 from .catalogue import query, table
 from .graph_queries import _edges, _G, _seeds
-from .trust_queries import _CONF, _scored, _entities
+from .trust_queries import _CONF, _scored
 
 
 @query(f"""WITH {_CONF} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (overall < 0.6) AS BIGINT) AS n_low, round(CAST(avg(overall) AS DOUBLE), 6) AS mean FROM s""")
 def trust_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-10: entities of a run, those with low confidence, and the mean."""
-    return _scored(spark, sf_dir)[0].agg(F.count("*").alias("n"), F.count_if(F.col("overall") < 0.6).alias("n_low"), F.round(F.avg("overall"), 6).alias("mean"))
+    return _scored(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("overall") < 0.6).alias("n_low"), F.round(F.avg("overall"), 6).alias("mean"))
 
 
 @query("""SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN n_nationkey < 20 THEN 'none' ELSE 'identity' END AS reason FROM nation UNION ALL SELECT 'type' FROM (SELECT DISTINCT l_orderkey FROM lineitem), range(2)) GROUP BY 1""")
 def node_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRB-1, JN-5: how many entities become nodes, and why others do not."""
-    scores, _, n = _scored(spark, sf_dir)
-    return graph_build.eligibility(_entities(spark, sf_dir), n, scores).groupBy(F.coalesce("skipped", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+    return graph_build.eligibility_of(_scored(spark, sf_dir)).groupBy(F.coalesce("skipped", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT 'country:' || n_nationkey AS canonical_id, CASE WHEN n_nationkey % 2 = 0 THEN 'old' ELSE ' ' || n_name END AS display_name, CASE WHEN n_nationkey % 2 = 1 THEN ' ' || n_name WHEN n_nationkey % 4 = 0 THEN ' ' || n_name ELSE ' ' || n_name || ',old' END AS aliases, CASE WHEN n_nationkey % 2 = 1 THEN 'new' WHEN n_nationkey % 4 = 0 THEN 'same' ELSE 'updated' END AS state FROM nation WHERE n_nationkey < 20""")
 def node_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRB-2, GRB-4: new nodes, and those whose aliases grow."""
-    scores, _, n = _scored(spark, sf_dir)
-    e = graph_build.eligibility(_entities(spark, sf_dir), n, scores)
+    e = graph_build.eligibility_of(_scored(spark, sf_dir))
     k = F.col("n_nationkey")
     old = table(spark, sf_dir, "nation").where(k % 2 == 0).select(F.concat(F.lit("country:"), k).alias("canonical_id"), F.lit("old").alias("display_name"), F.lit("country").alias("node_type"), F.array(F.when(k % 4 == 0, F.concat(F.lit(" "), "n_name")).otherwise("old")).alias("aliases"))
     return graph_build.node_plans(e, old).select("canonical_id", "display_name", F.array_join("aliases", ",").alias("aliases"), "state")

@@ -15,16 +15,17 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.lit(1).alias("run_id"), F.col("n_nationkey").cast("long").alias("seq"), F.lit("country").alias("entity_type"), F.concat(F.lit(" "), F.upper("n_name")).alias("raw_value"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page_number"))
     l = table(spark, sf_dir, "lineitem")
     q = l.groupBy("l_orderkey").agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.min("l_shipdate").alias("t"))
-    x = q.select(F.concat(F.lit("q"), "l_orderkey").alias("entity_id"), F.lit(2).alias("run_id"), F.col("l_orderkey").alias("seq"), F.lit("quantity").alias("entity_type"), F.concat((F.col("q") - 10).cast("int").cast("string"), F.lit(" MT")).alias("raw_value"), (1 - F.col("d") * 8).alias("confidence"), (F.col("l_orderkey") % 3).cast("int").alias("page_number"))
-    d = q.select(F.concat(F.lit("d"), "l_orderkey").alias("entity_id"), F.lit(2).alias("run_id"), F.col("l_orderkey").alias("seq"), F.lit("date").alias("entity_type"), F.date_format("t", "d/M/yyyy").alias("raw_value"), F.lit(0.8).alias("confidence"), F.lit(1).alias("page_number"))
-    e = n.unionByName(x).unionByName(d)
+    # both entities of an order come from one pass over its lines
+    of = lambda letter, kind, raw, confidence, page: F.struct(F.concat(F.lit(letter), "l_orderkey").alias("entity_id"), F.lit(2).alias("run_id"), F.col("l_orderkey").alias("seq"), F.lit(kind).alias("entity_type"), raw.alias("raw_value"), confidence.alias("confidence"), page.cast("int").alias("page_number"))
+    both = F.array(of("q", "quantity", F.concat((F.col("q") - 10).cast("int").cast("string"), F.lit(" MT")), 1 - F.col("d") * 8, F.col("l_orderkey") % 3), of("d", "date", F.date_format("t", "d/M/yyyy"), F.lit(0.8), F.lit(1)))
+    e = n.unionByName(q.select(F.inline(both)))
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("x1"), F.lit(10.0).alias("y1"))
     return e.withColumn("normalized_value", F.lit(None).cast("string")).withColumn("bbox", F.when(F.col("seq") % 2 == 0, box)).withColumn("provider", F.lit("groq"))
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").where("n_nationkey < 20")
-    return n.select(F.lit("country").alias("registry"), alias_key(F.col("n_name")).alias("alias"), F.concat(F.lit("country:"), "n_nationkey").alias("canonical_id"), F.col("n_name").alias("canonical_name"))
+    return F.broadcast(n.select(F.lit("country").alias("registry"), alias_key(F.col("n_name")).alias("alias"), F.concat(F.lit("country:"), "n_nationkey").alias("canonical_id"), F.col("n_name").alias("canonical_name")))
 
 
 _E = """q AS (SELECT l_orderkey AS k, min(l_quantity) AS q, min(l_discount) AS d, min(l_shipdate) AS t FROM lineitem GROUP BY 1)"""
@@ -48,13 +49,12 @@ def normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.normalised(e, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"}).select("entity_id", "canonical_id", "normalized_value", "method", "confidence")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir))
-    f = trust.entity_findings(e, 2026)
-    n = trust.normalised(e, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with their findings, normal form and confidence."""
+    e = trust.judged(trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir)), 2026, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
     tables = spark.createDataFrame([(2, 1, 0.5), (2, 1, 0.7)], "run_id int, page_number int, confidence double")
     layout = spark.createDataFrame([(2, 1, True), (2, 2, False)], "run_id int, page_number int, is_multi_column boolean")
-    return trust.confidences(e, f, n, tables, layout), f, n
+    return trust.scored(e, tables, layout, few=True)
 
 
 _CONF = f"""{_E}, x AS (
@@ -68,7 +68,7 @@ s AS (SELECT id, ok, norm, k, least(1, greatest(0, c)) * 0.2 + CASE WHEN k % 2 =
 @query(f"WITH {_CONF} SELECT id AS entity_id, round(CAST(overall AS DOUBLE), 6) AS overall FROM s")
 def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CNF-1..9, AGG-8, JN-10: the weighted mean of eight components."""
-    return _scored(spark, sf_dir)[0].select("entity_id", F.round("overall", 6).alias("overall"))
+    return _scored(spark, sf_dir).select("entity_id", F.round("overall", 6).alias("overall"))
 
 
 @query(f"""WITH {_CONF}, t AS (SELECT id, 'confidence very low' AS r, 3 AS p FROM s WHERE overall < 0.4 UNION ALL SELECT id, 'confidence below threshold', 2 FROM s WHERE overall >= 0.4 AND overall < 0.6
@@ -76,7 +76,7 @@ UNION ALL SELECT id, 'validation failed: ' || CASE WHEN id LIKE 'q%' THEN 'quant
 SELECT id AS entity_id, string_agg(r, '; ' ORDER BY r) AS reason, (['low', 'medium', 'high', 'critical'])[max(p)] AS priority FROM t GROUP BY id""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REV-1..4, AGG-13: who needs a look, and why."""
-    return trust.review_queue(*_scored(spark, sf_dir))
+    return trust.review_of(_scored(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS t, l_linenumber AS r, l_extendedprice AS v FROM lineitem)
