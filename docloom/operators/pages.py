@@ -34,9 +34,17 @@ def recall(truth: Column, found: Column) -> tuple[Column, Column]:
 
     def share(pattern: str) -> Column:
         tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
-        # One struct in an array, so that the tokens are found once a row and not once an element.
-        both = F.array(F.struct(F.array_distinct(tokens(found)).alias("have"), tokens(truth).alias("want")))
-        part = F.transform(both, lambda b: F.size(F.filter(b["want"], lambda x: F.array_contains(b["have"], x))) / F.greatest(F.lit(1), F.size(b["want"])))
+        # One struct in an array, so that each step is made once a row and not once an element.
+        step = lambda xs, f: F.transform(xs, f)
+        x = F.array(F.struct(F.array_distinct(tokens(found)).alias("have"), tokens(truth).alias("want")))
+        x = step(x, lambda b: F.struct(b["want"].alias("want"), F.array_except(b["want"], b["have"]).alias("miss"), F.array_intersect(b["want"], b["have"]).alias("hit"), F.ceil(F.sqrt(F.greatest(F.lit(1), F.size(b["want"])))).cast("int").alias("n")))
+        few = lambda b: F.when(F.size(b["miss"]) <= F.size(b["hit"]), b["miss"]).otherwise(b["hit"])
+        # the fewer of what is missed and what is met, dealt by hash to as many lists as the root of the words: a word is looked for in one of them
+        x = step(x, lambda b: F.struct(b["want"].alias("want"), b["n"].alias("n"), (F.size(b["miss"]) <= F.size(b["hit"])).alias("of_miss"), few(b).alias("few")))
+        lists = lambda b: F.transform(F.sequence(F.lit(0), b["n"] - 1), lambda k: F.filter(b["few"], lambda w: F.pmod(F.hash(w), b["n"]) == k))
+        x = step(x, lambda b: F.struct(b["want"].alias("want"), b["n"].alias("n"), b["of_miss"].alias("of_miss"), lists(b).alias("lists")))
+        inside = lambda b: F.size(F.filter(b["want"], lambda w: F.array_contains(F.get(b["lists"], F.pmod(F.hash(w), b["n"])), w)))
+        part = step(step(x, lambda b: F.struct(F.size(b["want"]).alias("of"), inside(b).alias("in"), b["of_miss"].alias("of_miss"))), lambda c: F.when(c["of_miss"], c["of"] - c["in"]).otherwise(c["in"]) / F.greatest(F.lit(1), c["of"]))
         return F.get(part, F.lit(0))
 
     return share(r"[a-z0-9]+(?:\.[0-9]+)?"), share(r"[0-9]+(?:\.[0-9]+)?")
