@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import map_batches
 from .graph import cut
 from .versions import Store
 
@@ -37,6 +38,16 @@ BLOCK, GROUP = 1 << 16, 4096
 TARGET, TRIED, REFINE = 0.995, 256, 8
 
 
+#: Numbers of one array of distances, and bytes of a batch that is sent on: batches are worked on in slices, however many rows and lists there are.
+SLICE, SENT = 1 << 20, 8 << 20
+
+
+def _slices(rows: int, wide: int) -> Iterator[slice]:
+    """Stretches of rows whose distances to so many centroids are at most SLICE numbers, one row at least."""
+    n = max(1, SLICE // max(1, wide))
+    return (slice(i, min(i + n, rows)) for i in range(0, rows, n))
+
+
 def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
 
@@ -165,12 +176,12 @@ class VectorIndex:
         types = {c: rows.schema[c].dataType.simpleString() for c in keep}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (b.slice(at.start, at.stop - at.start) for b in batches for at in _slices(len(b), max(len(codes.coarse), ENTRIES))):
                 x = codes.scaled(np.array(b["embedding"].to_pylist(), np.float64).reshape(len(b), -1))
-                at, coded = codes.encode(x) if len(b) else (np.zeros(0, int), np.zeros((0, 1), np.uint8))
+                at, coded = codes.encode(x)
                 yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(at, pa.int32()), pa.array([c.tobytes() for c in coded], pa.binary()), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary()), *[b[c] for c in keep]], ["vec_id", "list", "code", "vector", *keep])
 
-        made = rows.mapInArrow(run, f"vec_id long, list int, code binary, vector binary{''.join(f', {c} {t}' for c, t in types.items())}")
+        made = map_batches(rows, run, f"vec_id long, list int, code binary, vector binary{''.join(f', {c} {t}' for c, t in types.items())}")
         many = {k: n for k, n in enumerate(codes.blocks) if n > 1}
         blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in many.items() for v in kv]), F.col("list")), F.lit(1)) if many else F.lit(1)
         made = made.withColumn("cell", F.col("list").cast("long") * (1 << 20) + F.pmod(F.xxhash64("vec_id"), blocks))
@@ -223,7 +234,7 @@ class VectorIndex:
                         _meet(codes, best[n], q[n], at, ids[own], coded[own], x[own])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), [len(v.d) for v in best.values()]), pa.int64()), pa.array(np.concatenate([v.ids for v in best.values()]), pa.int64()), pa.array(np.concatenate([v.d for v in best.values()]), pa.float64())], ["query", "vec_id", "distance"])
 
-        found = _ranked(rows.mapInArrow(run, "query long, vec_id long, distance double"), "query", k)
+        found = _ranked(map_batches(rows, run, "query long, vec_id long, distance double"), "query", k)
         if where is None or probes >= len(codes.coarse):
             return found
         kept = cut(found)
@@ -257,15 +268,16 @@ class VectorIndex:
         codes = self.codes
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if len(b):
-                    q = codes.scaled(np.array(b["embedding"].to_pylist(), np.float64).reshape(len(b), -1))
-                    at = codes.probes(q, probes)
-                    who = np.repeat(np.arange(len(b)), at.shape[1])
-                    blobs = [v.tobytes() for v in q]
+            for b in (b.slice(at.start, at.stop - at.start) for b in batches for at in _slices(len(b), len(codes.coarse))):
+                q = codes.scaled(np.array(b["embedding"].to_pylist(), np.float64).reshape(len(b), -1))
+                probed = codes.probes(q, probes)
+                for part in _slices(len(b), probed.shape[1] * codes.dim * 8 * SLICE // SENT):  # a row goes out once for each of its lists
+                    at = probed[part]
+                    who = np.repeat(np.arange(part.start, part.stop), at.shape[1])
+                    blobs = {i: q[i].tobytes() for i in range(part.start, part.stop)}
                     yield pa.RecordBatch.from_arrays([b["query"].take(pa.array(who)), pa.array(at.ravel(), pa.int32()), pa.array([blobs[i] for i in who], pa.binary())], ["query", "list", "vector"])
 
-        probed = asked.mapInArrow(walk, "query long, list int, vector binary")
+        probed = map_batches(asked, walk, "query long, list int, vector binary")
         # many queries of one list are dealt in groups; its rows are then sent to each group
         loads = {r["list"]: -(-r["count"] // GROUP) for r in probed.groupBy("list").count().collect() if r["count"] > GROUP}  # a row a list
         groups = lambda: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in loads.items() for v in kv]), F.col("list")), F.lit(1)) if loads else F.lit(1)
@@ -302,7 +314,7 @@ class VectorIndex:
                         _meet(codes, best[i], v, at, ids[lo:hi], coded, x, exact)
             yield flush()
 
-        return _ranked(dealt.mapInArrow(meet, "query long, vec_id long, distance double"), "query", k)
+        return _ranked(map_batches(dealt, meet, "query long, vec_id long, distance double"), "query", k)
 
 
 def _ranked(found: DataFrame, key: str, k: int) -> DataFrame:
