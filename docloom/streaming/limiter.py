@@ -66,7 +66,7 @@ class Windows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         ts = np.sort(np.concatenate([f["ts"].astype("datetime64[us]").astype("int64").to_numpy() for f in rows]))
-        start, n = self.window.get() if self.window.exists() else (None, 0)
+        start, n = self.window.get() or (None, 0)  # each call is a message to the JVM: one to read, one to write, two more for a new window
         was = start
         numbers, start, n = _numbered(ts, start, n, self.width)
         self.window.update((start, n))
@@ -74,11 +74,11 @@ class Windows(StatefulProcessor):
             if was is not None:
                 self.handle.deleteTimer((was + self.width) // 1000)
             self.handle.registerTimer((start + self.width) // 1000)
-        yield pd.DataFrame({"key": key[0], "ts": pd.to_datetime(ts, unit="us"), "hits": numbers.astype("int32"), "allowed": numbers <= self.most})
+        yield pd.DataFrame({"key": key[0], "ts": ts.view("datetime64[us]"), "hits": numbers.astype("int32"), "allowed": numbers <= self.most})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.window.clear()  # a later hit is after this window's end, and begins one of its own
-        yield pd.DataFrame({"key": pd.Series([], dtype=str), "ts": pd.Series([], dtype="datetime64[us]"), "hits": pd.Series([], dtype="int32"), "allowed": pd.Series([], dtype=bool)})
+        return iter(())
 
     def close(self) -> None:
         pass
