@@ -105,3 +105,13 @@ def candidate_keys(c: Column) -> Column:
     """Alias keys to look up in order: the whole text, then each word, a dollar sign apart and marks at the ends dropped."""
     words = F.split(strip(F.replace(c, F.lit("$"), F.lit(" $ "))), rf"{SPACE}+")
     return F.concat(F.array(alias_key(c)), F.transform(words, lambda w: alias_key(F.regexp_replace(w, r"^[().,]+|[().,]+$", ""))))
+
+
+def keys_of_words(c: Column) -> Column:
+    """The alias keys of the whole text and of each word between ASCII white space, a dollar sign apart and marks at the ends of words dropped.
+
+    By patterns on the whole text, a line for each key: a function over arrays, which is not compiled, would ask each word for itself."""
+    lines = F.regexp_replace(F.trim(F.regexp_replace(c, r"\$", r" \$ ")), r"\s+", "\n")
+    bare = F.regexp_replace(lines, r"(?<![^\n])[().,]+|[().,]+(?=[\x85\u2028\u2029]?(?:\n|\z))", "")
+    spaced = F.regexp_replace(F.lower(bare), r"(?U)[\s&&[^\n]]+", " ")
+    return F.split(F.concat(alias_key(c), F.lit("\n"), F.regexp_replace(spaced, r"(?<![^\n]) | (?=\n|\z)", "")), "\n")

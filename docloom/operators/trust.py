@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, flexible_date, number, shown, weighted
-from ..functions.text import alias_key, canonical_id, contract_literal, digits
+from ..functions.text import alias_key, contract_literal, digits, keys_of_words, slug
 from .relational import conflicts, repeats
 
 SEVERITY = {"info": 1.0, "warning": 1.0, "error": 2.0, "critical": 3.0}
@@ -21,6 +21,10 @@ RATE_HINT = r"(?i)exchange rate|fx rate|/\s?[a-z]{3}\b|per\s+[a-z]{3}\b"
 HS_CODE = r"^\d{2}(\.?\d{2}){0,4}$"
 SLUGGED = ("company", "organization", "vessel", "terminal")
 REGISTERED = ("country", "currency", "unit", "incoterm")
+#: Types of whose registry entry rules or normal forms take anything.
+LOOKED_UP = (*REGISTERED, "commodity", "port")
+#: Types of findings between entities.
+BETWEEN = ("duplicate", "conflict", "consistency")
 
 
 def given(c: str = "normalized_value", raw: str = "raw_value") -> Column:
@@ -38,42 +42,63 @@ def _read(entities: DataFrame, currencies: dict[str, str] | None = None, units:
     """Entities with what rules and normalisation read of a value, each made once a row and only for the types that ask for it."""
     kind, value = F.col("entity_type"), F.col("_value")
     of = lambda *kinds: F.when(kind.isin(*kinds), value)
-    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) if m else F.create_map().cast("map<string,string>")
-    words = lambda c: F.concat(F.array(c), F.transform(F.split(F.trim(F.regexp_replace(c, r"\$", r" \$ ")), r"\s+"), lambda w: F.regexp_replace(w, r"^[().,]+|[().,]+$", "")))
-    first_of = lambda m, c: F.get(F.filter(F.transform(words(c), lambda w: F.try_element_at(table(m), alias_key(w))), lambda x: x.isNotNull()), F.lit(0))
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    first_of = lambda m, c: F.try_element_at(table(m), F.get(F.filter(keys_of_words(c), lambda k: k.isin(*m)), F.lit(0))) if m else F.lit(None).cast("string")
     return entities.withColumn("_value", given()).withColumns({
         "_number": number(of("currency", "price", "quantity")),
         "_day": flexible_date(of("date")),
         "_digits": digits(of("hs_code")),
         "_literal": contract_literal(of("contract")),
+        "_slug": slug(of("commodity", "port", *SLUGGED)),
+        "_hs": F.rlike(F.trim(of("hs_code")), F.lit(HS_CODE)),
+        "_rate": F.rlike(F.when(kind.isin("currency", "price"), F.col("raw_value")), F.lit(RATE_HINT)),
         "_unit": first_of(units or {}, of("quantity")),
         "_currency": first_of(currencies or {}, of("price")),
     })
 
 
-def _found(year_now: int) -> Column:
-    """The findings of a row of _read()."""
-    value, n, day = F.col("_value"), F.col("_number"), F.col("_day")
+def _rules(year_now: int) -> list[tuple[str, str, str, Column, Column]]:
+    """Rules on a row of _read(): rule_id, validation_type, severity, whether it applies, whether it is passed."""
+    n, day = F.col("_number"), F.col("_day")
     box = F.col("bbox")
     bad_box = (box["x0"] < 0) | (box["y0"] < 0) | (box["x1"] <= box["x0"]) | (box["y1"] <= box["y0"]) | (box["x1"] > 5000) | (box["y1"] > 5000)
     kind = F.col("entity_type")
-    rules = [
+    return [
         ("date.impossible", "date", "error", kind == "date", day.isNotNull() & F.year(day).between(1990, year_now + 5)),
         ("currency.invalid_code", "currency", "error", kind == "currency", F.col("alias_id").isNotNull()),
         ("quantity.impossible", "quantity", "error", kind == "quantity", n.isNotNull() & (n >= 0) & (n <= 1e12)),
-        ("hs_code.invalid_format", "hs_code", "error", kind == "hs_code", F.rlike(F.trim(value), F.lit(HS_CODE))),
+        ("hs_code.invalid_format", "hs_code", "error", kind == "hs_code", F.col("_hs")),
         ("incoterm.invalid_code", "incoterm", "error", kind == "incoterm", F.col("alias_id").isNotNull()),
         ("unit.unrecognized", "unit", "warning", kind == "unit", F.col("alias_id").isNotNull()),
-        ("exchange_rate.impossible", "exchange_rate", "error", kind.isin("currency", "price") & F.rlike("raw_value", F.lit(RATE_HINT)) & n.isNotNull(), n.between(1e-4, 1e4)),
+        ("exchange_rate.impossible", "exchange_rate", "error", F.col("_rate") & n.isNotNull(), n.between(1e-4, 1e4)),
         ("geometry.impossible_bounding_box", "geometry", "error", box.isNotNull(), ~bad_box),
     ]
-    found = [F.when(applies, F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("validation_type"), F.lit(s).alias("severity"), F.coalesce(passed, F.lit(False)).alias("passed"))) for r, t, s, applies, passed in rules]
+
+
+def _checked(read: DataFrame, year_now: int) -> DataFrame:
+    """Rows of _read() with a column a rule: passed or not, null if the rule does not apply. Each is asked once a row."""
+    return read.withColumns({f"_{r}": F.when(applies, F.coalesce(passed, F.lit(False))) for r, _, _, applies, passed in _rules(year_now)})
+
+
+def _found(year_now: int) -> Column:
+    """The findings of a row of _checked()."""
+    passed = lambda r: F.col(f"`_{r}`")
+    found = [F.when(passed(r).isNotNull(), F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("validation_type"), F.lit(s).alias("severity"), passed(r).alias("passed"))) for r, t, s, _, _ in _rules(year_now)]
     return F.array_compact(F.array(*found))
 
 
+def _share(year_now: int, between: bool) -> Column:
+    """The weight of the passed rules of a row of _checked() over that of all that apply, of those between entities or the others; null where none applies.
+
+    Plain sums of the rules' columns: functions over the array of findings are not compiled, and cost more than all else of a row."""
+    mine = [(F.col(f"`_{r}`"), SEVERITY[s]) for r, t, s, _, _ in _rules(year_now) if (t in BETWEEN) == between]
+    total = lambda of: sum((F.when(of(p), w).otherwise(0.0) for p, w in mine), F.lit(0.0))
+    return total(lambda p: p) / F.nullif(total(lambda p: p.isNotNull()), F.lit(0.0))
+
+
 def entity_findings(entities: DataFrame, year_now: int) -> DataFrame:
     """entity_id, rule_id, validation_type, severity, passed of the entity rules that apply; entities come from with_alias()."""
-    return _read(entities).select("run_id", "entity_id", F.explode(_found(year_now)).alias("f")).select("run_id", "entity_id", "f.*")
+    return _checked(_read(entities), year_now).select("run_id", "entity_id", F.explode(_found(year_now)).alias("f")).select("run_id", "entity_id", "f.*")
 
 
 def cross_findings(entities: DataFrame) -> DataFrame:
@@ -99,43 +124,68 @@ def totals_findings(cells: DataFrame) -> DataFrame:
     return per.where("stated is not null and total is not null").withColumn("passed", (top == 0) | (F.abs(F.col("stated") - F.col("total")) <= 0.02 * top))
 
 
-def _normal(prefixes: list[str]) -> Column:
-    """The normal form of a row of _read()."""
+#: Fields of a normal form.
+FORM = ("canonical_id", "canonical_name", "normalized", "method", "confidence")
+
+
+def _formed(read: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Rows of _read() with the normal form, a column a field, so that one that nobody asks for is not made; _form() puts them together.
+
+    The case is found once a row, and fields go by its number: Spark compiles all this to one method, and long methods are left to the JVM's interpreter."""
     kind, value, d, n, day, literal, unit, currency = (F.col(c) for c in ("entity_type", "_value", "_digits", "_number", "_day", "_literal", "_unit", "_currency"))
-    row = lambda cid, name, val, method, conf: F.struct(cid.alias("canonical_id"), name.alias("canonical_name"), val.alias("normalized"), F.lit(method).alias("method"), F.lit(conf).alias("confidence"))
     none = F.lit(None).cast("string")
-    unresolved = row(none, none, none, "unresolved", 0.0)
-    return (
-        F.when(kind.isin(*REGISTERED) & F.col("alias_id").isNotNull(), row(F.col("alias_id"), F.col("alias_name"), none, "alias_lookup", 1.0))
-        .when(kind.isin("commodity", "port") & F.col("alias_id").isNotNull(), row(F.col("alias_id"), F.col("alias_name"), none, "alias_lookup", 1.0))
-        .when(kind == "commodity", row(canonical_id("commodity", value), value, none, "slug_derived_fallback", 0.5))
-        .when(kind == "port", row(canonical_id("port", value), value, none, "slug_derived_fallback", 0.5))
-        .when(kind.isin(*SLUGGED), row(F.concat(kind, F.lit(":"), F.substring(canonical_id("x", value), 3, 1000)), value, none, "slug_derived", 0.7))
-        .when((kind == "hs_code") & F.substring(d, 1, 2).isin(*prefixes), row(F.concat(F.lit("hs:"), F.substring(d, 1, 2)), none, none, "prefix_lookup", 0.8))
-        .when((kind == "hs_code") & (F.length(d) >= 6), row(F.concat(F.lit("hs:"), F.substring(d, 1, 2)), none, d, "format_normalized", 0.5))
-        .when((kind == "contract") & (literal != ""), row(F.concat(F.lit("contract:"), literal), value, literal, "literal_normalized", 0.6))
-        .when((kind == "date") & day.isNotNull(), row(none, none, day.cast("string"), "value_parsed", 0.9))
-        .when((kind == "quantity") & n.isNotNull() & unit.isNotNull(), row(none, none, F.concat_ws(" ", shown(n), unit), "value_parsed", 0.9))
-        .when((kind == "price") & n.isNotNull() & currency.isNotNull(), row(none, none, F.concat_ws(" ", shown(n), currency), "value_parsed", 0.9))
-        .when(kind.isin("quantity", "price") & n.isNotNull(), row(none, none, shown(n), "value_parsed", 0.6))
-        .otherwise(unresolved)
-    )
+    hs, named = F.concat(F.lit("hs:"), F.substring(d, 1, 2)), F.concat(kind, F.lit(":"), F.col("_slug"))
+    cases = [  # condition; canonical_id, canonical_name, normalized, method, confidence
+        (kind.isin(*LOOKED_UP) & F.col("alias_id").isNotNull(), F.col("alias_id"), F.col("alias_name"), none, "alias_lookup", 1.0),
+        (kind == "commodity", named, value, none, "slug_derived_fallback", 0.5),
+        (kind == "port", named, value, none, "slug_derived_fallback", 0.5),
+        (kind.isin(*SLUGGED), F.concat(kind, F.lit(":"), F.substring("_slug", 1, 1000)), value, none, "slug_derived", 0.7),
+        ((kind == "hs_code") & F.substring(d, 1, 2).isin(*prefixes), hs, none, none, "prefix_lookup", 0.8),
+        ((kind == "hs_code") & (F.length(d) >= 6), hs, none, d, "format_normalized", 0.5),
+        ((kind == "contract") & (literal != ""), F.concat(F.lit("contract:"), literal), value, literal, "literal_normalized", 0.6),
+        ((kind == "date") & day.isNotNull(), none, none, day.cast("string"), "value_parsed", 0.9),
+        ((kind == "quantity") & n.isNotNull() & unit.isNotNull(), none, none, F.concat_ws(" ", shown(n), unit), "value_parsed", 0.9),
+        ((kind == "price") & n.isNotNull() & currency.isNotNull(), none, none, F.concat_ws(" ", shown(n), currency), "value_parsed", 0.9),
+        (kind.isin("quantity", "price") & n.isNotNull(), none, none, shown(n), "value_parsed", 0.6),
+    ]
+    unresolved = (none, none, none, "unresolved", 0.0)
+
+    which = F.when(cases[0][0], 0)
+    for k, case in enumerate(cases[1:], 1):
+        which = which.when(case[0], k)
+    values = [*(case[1:] for case in cases), unresolved]
+    constant = lambda k: F.get(F.array(*[F.lit(v[k]) for v in values]), F.col("_case"))
+
+    def field(k: int) -> Column:
+        out = none
+        for x in {id(v[k]): v[k] for v in values if v[k] is not none}.values():
+            out = F.when(F.col("_case").isin(*[n for n, v in enumerate(values) if v[k] is x]), x).otherwise(out)
+        return out
+
+    fields = [*map(field, range(3)), constant(3), constant(4)]
+    return read.withColumn("_case", which.otherwise(len(cases))).withColumns({f"_form_{name}": x for name, x in zip(FORM, fields)})
+
+
+def _form() -> Column:
+    return F.struct(*[F.col(f"_form_{name}").alias(name) for name in FORM])
 
 
 def normalised(entities: DataFrame, prefixes: list[str], currencies: dict[str, str], units: dict[str, str]) -> DataFrame:
     """entity_id, canonical_id, canonical_name, normalized_value, method, confidence; entities come from with_alias().
 
     prefixes: two-digit commodity chapters; currencies, units: alias key to canonical id."""
-    out = _read(entities, currencies, units).select("entity_id", _normal(prefixes).alias("o"))
+    out = _formed(_read(entities, currencies, units), prefixes).select("entity_id", _form().alias("o"))
     return out.select("entity_id", "o.canonical_id", "o.canonical_name", F.col("o.normalized").alias("normalized_value"), "o.method", "o.confidence")
 
 
 def judged(entities: DataFrame, year_now: int, prefixes: list[str], currencies: dict[str, str], units: dict[str, str]) -> DataFrame:
-    """entities with findings, an array of what entity_findings() gives, and normal, what normalised() gives: both are of the row itself, so nothing is shuffled.
+    """entities with findings, an array of what entity_findings() gives, validation and consistency, the shares of their weights that passed, and normal, what
+    normalised() gives: all are of the row itself, so nothing is shuffled.
 
     For entities whose ids are their own; findings between entities are another table, for confidences()."""
-    e = _read(entities, currencies, units)
-    return e.select(*entities.columns, _found(year_now).alias("findings"), _normal(prefixes).alias("normal"))
+    e = _formed(_checked(_read(entities, currencies, units), year_now), prefixes)
+    shares = _share(year_now, False).alias("validation"), _share(year_now, True).alias("consistency")
+    return e.select(*entities.columns, _found(year_now).alias("findings"), *shares, _form().alias("normal"))
 
 
 def _weight(severity: Column) -> Column:
@@ -145,9 +195,6 @@ def _weight(severity: Column) -> Column:
     return w
 
 
-BETWEEN = ("duplicate", "conflict", "consistency")
-
-
 def confidences(entities: DataFrame, findings: DataFrame, normal: DataFrame, tables: DataFrame, layout: DataFrame) -> DataFrame:
     """entity_id, the eight components and overall.
 
@@ -163,10 +210,7 @@ def scored(entities: DataFrame, tables: DataFrame, layout: DataFrame, few: bool
     """Entities of judged() with the components and overall that confidences() gives, from their own findings and normal form, row by row.
 
     few: the pages of tables and layout are so few that they are sent to all tasks."""
-    part = lambda c: F.filter("findings", lambda x: x["validation_type"].isin(*BETWEEN) if c else ~x["validation_type"].isin(*BETWEEN))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + _weight(x["severity"]))
-    ratio = lambda c: total(F.filter(part(c), lambda x: x["passed"])) / F.nullif(total(part(c)), F.lit(0.0))
-    e = entities.select("*", ratio(False).alias("validation"), ratio(True).alias("consistency"), F.col("normal.confidence").alias("_norm"))
+    e = entities.withColumn("_norm", F.col("normal.confidence"))
     return _components(e, tables, layout, few).select("run_id", "entity_id", "entity_type", "raw_value", "normalized_value", "seq", *WEIGHTS, "overall", "findings", "normal")
 
 
