@@ -32,10 +32,13 @@ def given(c: str = "normalized_value", raw: str = "raw_value") -> Column:
     return F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(raw))
 
 
-def with_alias(entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Entities with alias_id and alias_name: the registry entry of their type and key; aliases (registry, alias, canonical_id, canonical_name)."""
+def with_alias(entities: DataFrame, aliases: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Entities with alias_id and alias_name: the registry entry of their type and key; aliases (registry, alias, canonical_id, canonical_name).
+
+    kinds: types to look up, all by default. Others have no key and no entry; for aliases that are sent to all tasks, since rows without a key would be dealt to one."""
     a = aliases.select(F.col("registry").alias("entity_type"), F.col("alias").alias("_key"), F.col("canonical_id").alias("alias_id"), F.col("canonical_name").alias("alias_name"))
-    return entities.withColumn("_key", alias_key(given())).join(a, ["entity_type", "_key"], "left").drop("_key")
+    key = alias_key(given()) if kinds is None else F.when(F.col("entity_type").isin(*kinds), alias_key(given()))
+    return entities.withColumn("_key", key).join(a, ["entity_type", "_key"], "left").drop("_key")
 
 
 def _read(entities: DataFrame, currencies: dict[str, str] | None = None, units: dict[str, str] | None = None) -> DataFrame:

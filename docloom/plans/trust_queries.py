@@ -36,7 +36,7 @@ UNION ALL SELECT 'd' || k, 'date.impossible', 'error', year(t) BETWEEN 1990 AND
 UNION ALL SELECT id, 'geometry.impossible_bounding_box', 'error', true FROM (SELECT 'q' || k AS id, k FROM q UNION ALL SELECT 'd' || k, k FROM q UNION ALL SELECT 'n' || n_nationkey, n_nationkey FROM nation) WHERE k % 2 = 0""".replace("CAST(q - 10 AS INTEGER) >= 0", "q >= 0"))
 def validation_entity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-1, VAL-3, VAL-8: the rules that apply to each entity, passed or not."""
-    e = trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir))
+    e = trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir), trust.LOOKED_UP)
     return trust.entity_findings(e, 2026).select("entity_id", "rule_id", "severity", "passed")
 
 
@@ -45,13 +45,13 @@ UNION ALL SELECT 'd' || k, NULL, strftime(t, '%Y-%m-%d'), 'value_parsed', 0.9 FR
 UNION ALL SELECT 'q' || k, NULL, CAST(CAST(trunc(q - 10) AS INTEGER) AS VARCHAR) || '.0 unit:metric_ton', 'value_parsed', 0.9 FROM q""")
 def normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM-1, NRM-4, NRM-9, NRM-10: canonical ids and parsed values."""
-    e = trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir))
+    e = trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir), trust.LOOKED_UP)
     return trust.normalised(e, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"}).select("entity_id", "canonical_id", "normalized_value", "method", "confidence")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with their findings, normal form and confidence."""
-    e = trust.judged(trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir)), 2026, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
+    e = trust.judged(trust.with_alias(_entities(spark, sf_dir), _aliases(spark, sf_dir), trust.LOOKED_UP), 2026, ["27"], {"usd": "currency:USD"}, {"mt": "unit:metric_ton"})
     tables = spark.createDataFrame([(2, 1, 0.5), (2, 1, 0.7)], "run_id int, page_number int, confidence double")
     layout = spark.createDataFrame([(2, 1, True), (2, 2, False)], "run_id int, page_number int, is_multi_column boolean")
     return trust.scored(e, tables, layout, few=True)
