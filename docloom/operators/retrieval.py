@@ -30,12 +30,12 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
 
 
 def label_metrics(ranked: DataFrame, items: DataFrame) -> DataFrame:
-    """hits, k, precision_at_k and recall_at_k with equal labels as judgements; precision divides by what was returned."""
+    """hits, k, precision_at_k and recall_at_k with equal labels as judgements; precision divides by what was returned. Recall is NaN, as in the SQL, if a query's label is no other row's."""
     label = items.select("vec_id", "label")
     relevant = label.groupBy("label").agg((F.count("*") - 1).cast("double").alias("relevant"))
     q = label.join(relevant, "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), "relevant")
-    per = ranked.join(q, "query_id").join(label, "vec_id").groupBy("query_id").agg(F.sum((F.col("label") == F.col("q_label")).cast("double")).alias("hits"), F.count("*").cast("double").alias("k"), F.first("relevant").alias("relevant"))
-    return per.agg(F.sum("hits").alias("hits"), F.sum("k").cast("long").alias("k"), F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("precision_at_k"), F.round(F.avg(F.col("hits") / F.col("relevant")), 6).alias("recall_at_k"))
+    per = ranked.join(q, "query_id").join(label, "vec_id").groupBy("query_id").agg(F.count_if(F.col("label") == F.col("q_label")).cast("double").alias("hits"), F.count("*").cast("double").alias("k"), F.first("relevant").alias("relevant"))
+    return per.agg(F.sum("hits").alias("hits"), F.sum("k").cast("long").alias("k"), F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("precision_at_k"), F.round(F.avg(F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(float("nan"))), 6).alias("recall_at_k"))
 
 
 SOURCE_TYPES = ("document_chunk", "graph_node", "graph_edge", "canonical_entity", "ontology_definition")
