@@ -184,11 +184,10 @@ def fil_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
   JOIN embeddings q ON q.vec_id = t.q JOIN embeddings n ON n.vec_id = t.n JOIN (SELECT label, CAST(count(*) - 1 AS DOUBLE) AS relevant FROM embeddings GROUP BY 1) r ON r.label = q.label WHERE rk <= 10 GROUP BY 1)""")
 def recall_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-23, AGG-25, EVL-1: mean precision and recall of the ten nearest of every vector, labels as judgements."""
-    from ..operators import retrieval
+    from ..operators import neighbours, retrieval
 
     e = table(spark, sf_dir, "embeddings")
-    got = retrieval.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10, "cosine", drop_self=True)
-    return retrieval.label_metrics(got, e)
+    return retrieval.label_metrics(neighbours.neighbours(e, 10), e)
 
 
 @query("""SELECT doc_id, first_id FROM (SELECT doc_id, first_value(doc_id) OVER w AS first_id, row_number() OVER w AS r FROM documents WINDOW w AS (PARTITION BY lang, source, trim(regexp_replace(lower(text), '[\\s]+', ' ', 'g')) ORDER BY doc_id)) WHERE r > 1""".replace("\\\\", "\\"))
