@@ -93,10 +93,38 @@ def grounded_cells(tables: DataFrame, boxes: DataFrame, read: DataFrame) -> Data
 def grounded(values: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """values (key, page, raw_value) with x0, y0, x1, y1 of the words that hold the value: the shortest window of spans (page, pos, word, x0, y0, x1, y1), then the first; null if none of MAX_WINDOW words does."""
     words = spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", F.split(alias_key(F.coalesce("word", F.lit(""))), " ").alias("ts"), "x0", "y0", "x1", "y1"))).alias("_w"))
+    v = standing(values, words.withColumn("words", F.transform("_w", lambda x: F.array_join(x["ts"], " "))))
+    v = v.withColumn("_h", F.slice("_w", F.col("at.i") + 1, F.col("at.size")))
+    side = lambda f, c: f(F.transform("_h", lambda x: x[c]))
+    return v.select(key, "page", "raw_value", side(F.array_min, "x0").alias("x0"), side(F.array_min, "y0").alias("y0"), side(F.array_max, "x1").alias("x1"), side(F.array_max, "y1").alias("y1"))
+
+
+def standing(values: DataFrame, words: DataFrame) -> DataFrame:
+    """values (page, raw_value, ...) with at, the size and the first word (i, from 0) of the shortest, then first, window of a page's words that holds the value; null if none of MAX_WINDOW words does.
+
+    words (page, words, ...) has a row a page; its other columns follow. Where each word of a page is one token, as on most pages, every window of a
+    value has its number of tokens, so the first place in the text is asked for, by compiled code; other pages are walked token by token."""
+    text = F.lower(F.array_join("words", " ", ""))
+    plain = ~F.contains("_s", F.lit("  ")) & ~F.startswith("_s", F.lit(" ")) & ~F.endswith("_s", F.lit(" ")) & (_spaces(F.col("_s")) == F.col("_n") - 1) & (~F.rlike("_s", F.lit("[^!-~ ]")) | ~F.rlike("_s", F.lit(r"(?U)[\s&&[^ ]]")))
+    w = words.select(*[c for c in words.columns if c != "words"], "words", text.alias("_s"), F.size("words").alias("_n")).withColumn("_plain", plain)
+    w = w.withColumn("_s", F.when(F.col("_plain"), F.col("_s"))).withColumn("words", F.when(~F.col("_plain"), F.col("words"))).drop("_n", "_plain")
+    v = values.join(w, "page", "left").withColumn("_t", alias_key(F.coalesce("raw_value", F.lit(""))))
+    v = v.withColumn("_p", F.when(F.col("_t") != "", F.instr("_s", F.col("_t"))))
+    first = F.struct((_spaces(F.col("_t")) + 1).alias("size"), _spaces(F.substring("_s", F.lit(1), F.col("_p") - 1)).alias("i"))
+    v = v.withColumn("at", F.when(F.col("_p") > 0, first).when((F.col("_t") != "") & F.col("words").isNotNull(), _walked(F.col("words"), F.col("_t"))))
+    return v.withColumn("at", F.when(F.col("at.size") <= MAX_WINDOW, F.col("at"))).drop("words", "_s", "_t", "_p")
+
+
+def _spaces(c: Column) -> Column:
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))
+
+
+def _walked(words: Column, value: Column) -> Column:
+    """The smallest (size, i) of the windows of words that hold value, of any words."""
     # a value of k tokens stands in k tokens that follow each other, or nowhere; a token's window is that of the words it came from
-    tokens = F.flatten(F.transform("_w", lambda x, i: F.transform(x["ts"], lambda t: F.struct(t.alias("t"), i.alias("i")))))
+    tokens = F.flatten(F.transform(words, lambda x, i: F.transform(F.split(alias_key(F.coalesce(x, F.lit(""))), " "), lambda t: F.struct(t.alias("t"), i.alias("i")))))
     # one struct in an array, so that tokens are made once a row and not once an element
-    one = F.array(F.struct(F.filter(tokens, lambda x: x["t"] != "").alias("w"), F.col("_t").alias("t"), F.split("_t", " ").alias("q")))
+    one = F.array(F.struct(F.filter(tokens, lambda x: x["t"] != "").alias("w"), value.alias("t"), F.split(value, " ").alias("q")))
     text = lambda w: F.array_join(F.transform(w, lambda x: x["t"]), " ")
 
     def hits(b: Column) -> Column:
@@ -108,11 +136,7 @@ def grounded(values: DataFrame, spans: DataFrame, key: str) -> DataFrame:
         first = lambda s: F.element_at(b["w"], s)["i"]
         return F.array_min(F.transform(found, lambda s: F.struct((F.element_at(b["w"], s + k - 1)["i"] - first(s) + 1).alias("size"), first(s).alias("i"))))
 
-    v = values.join(words, "page", "left").withColumn("_t", alias_key(F.coalesce("raw_value", F.lit(""))))
-    v = v.withColumn("_b", F.when((F.col("_t") != "") & F.col("_w").isNotNull(), F.get(F.transform(one, hits), F.lit(0))))
-    v = v.withColumn("_h", F.when(F.col("_b.size") <= MAX_WINDOW, F.slice("_w", F.col("_b.i") + 1, F.col("_b.size"))))
-    side = lambda f, c: f(F.transform("_h", lambda x: x[c]))
-    return v.select(key, "page", "raw_value", side(F.array_min, "x0").alias("x0"), side(F.array_min, "y0").alias("y0"), side(F.array_max, "x1").alias("x1"), side(F.array_max, "y1").alias("y1"))
+    return F.get(F.transform(one, hits), F.lit(0))
 
 
 def with_page_tables(chunks: DataFrame, tables: DataFrame) -> DataFrame:
